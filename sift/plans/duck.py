@@ -163,3 +163,83 @@ def hybrid_ctes(sem: str, lex: str, chunks: str, k: int, name: str = "hyb") -> s
 {name} AS (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(hybrid_score, 9) DESC, first_side, first_rank) AS rank
     FROM {name}_s) WHERE rank <= {k})"""
+
+
+# ---------------------------------------------------------------- questions / answers
+
+def dbl(v: float) -> str:
+    return f"{v!r}::DOUBLE"
+
+
+def classify(x: str, patterns) -> str:
+    low = f"lower({x})"
+    whens = " ".join(f"WHEN {contains_any(low, pats)} THEN {lit(cls)}" for cls, pats in patterns.items())
+    return f"(CASE {whens} ELSE 'general' END)"
+
+
+def extract_terms(x: str, synonyms, extra) -> str:
+    low = f"lower({x})"
+    items = [f"CASE WHEN {contains_any(low, [h, *s])} THEN {lit(h)} END" for h, s in synonyms.items()]
+    items += [f"CASE WHEN contains({low}, {lit(w)}) THEN {lit(w)} END" for w in extra]
+    return f"list_sort(list_distinct(list_filter([{', '.join(items)}], lambda z: z IS NOT NULL)))"
+
+
+def hints(t: str, hint_map) -> str:
+    whens = " ".join(f"WHEN {t} = {lit(c)} THEN {str_list(h)}" for c, h in hint_map.items())
+    return f"(CASE {whens} ELSE []::VARCHAR[] END)"
+
+
+def question_confidence(x: str, terms: str) -> str:
+    wc = word_count(x)
+    return (f"least({dbl(0.5)} + least(len({terms}) * {dbl(0.1)}, {dbl(0.3)}) + "
+            f"CASE WHEN {wc} BETWEEN 5 AND 20 THEN {dbl(0.2)} "
+            f"ELSE greatest({dbl(0.0)}, {dbl(0.2)} - abs({wc} - 12) * {dbl(0.01)}) END, {dbl(1.0)})")
+
+
+def starts_with_any(x: str, prefixes) -> str:
+    return "(" + " OR ".join(f"starts_with({x}, {lit(p)})" for p in prefixes) + ")"
+
+
+def filter_lines(x: str, skip) -> str:
+    return (f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: {strip('l')}), "
+            f"lambda l: length(l) > 3 AND NOT {contains_any('lower(l)', skip)})")
+
+
+def sentence_prefix(x: str, window: int) -> str:
+    return f"regexp_extract(substring({x}, 1, {window}), {lit('(?s)^(.*[.] )')}, 1)"
+
+
+def opener_pick(key: str, openers) -> str:
+    return f"{str_list(openers)}[({bucket(f'CAST({key} AS VARCHAR)', len(openers))}) + 1]"
+
+
+def clamp01(s: str) -> str:
+    return f"greatest({dbl(0.0)}, least({dbl(1.0)}, {s}))"
+
+
+def g_confidence(r: str, L) -> str:
+    low = f"lower({r})"
+    return clamp01(f"{dbl(0.5)} + CASE WHEN length({r}) BETWEEN 50 AND 1000 THEN {dbl(0.2)} ELSE {dbl(0.0)} END"
+                   f" + CASE WHEN {contains_any(low, L.SPECIFIC_WORDS)} THEN {dbl(0.1)} ELSE {dbl(0.0)} END"
+                   f" - CASE WHEN {contains_any(low, L.UNCERTAIN_WORDS)} THEN {dbl(0.2)} ELSE {dbl(0.0)} END")
+
+
+def g_relevance(r: str, q: str, n_sources: str) -> str:
+    qt = f"list_distinct({words(f'lower({q})')})"
+    rt = f"list_distinct({words(f'lower({r})')})"
+    ov = f"len(list_intersect({qt}, {rt}))"
+    return clamp01(f"{dbl(0.5)} + CASE WHEN {ov} > 0 THEN least({ov} / len({qt}), {dbl(0.3)}) ELSE {dbl(0.0)} END"
+                   f" + CASE WHEN {n_sources} > 0 THEN {dbl(0.2)} ELSE {dbl(0.0)} END")
+
+
+def g_completeness(r: str, L) -> str:
+    return clamp01(f"{dbl(0.5)} + CASE WHEN length({r}) >= 100 THEN {dbl(0.3)} ELSE {dbl(0.0)} END"
+                   f" + CASE WHEN {contains_any(r, L.STRUCTURE_MARKS)} THEN {dbl(0.2)} ELSE {dbl(0.0)} END")
+
+
+def g_clarity(r: str, L) -> str:
+    pieces = f"string_split({r}, '.')"
+    total = f"list_sum(list_transform({pieces}, lambda p: len({words('p')})))"
+    avg = f"({total} / greatest(len({pieces}), 1))"
+    return clamp01(f"{dbl(0.5)} + CASE WHEN {avg} >= 10 AND {avg} <= 25 THEN {dbl(0.3)} ELSE {dbl(0.0)} END"
+                   f" + CASE WHEN {contains_any(f'lower({r})', L.CONNECTORS)} THEN {dbl(0.2)} ELSE {dbl(0.0)} END")

@@ -42,3 +42,96 @@ def label_centroids(spark: SparkSession, sf: str, dim: int = 64) -> DataFrame:
     g = e.groupBy("label").agg(*aggs)
     return g.select(F.col("label").cast("long").alias("label"),
                     F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias("embedding"))
+
+
+# Questions: every user turn of ``conversations`` plus one templated question per
+# ``part`` row (the template is picked by part key), so question analytics see
+# real text and every class of the pattern table.
+QUESTION_TEMPLATES = [
+    ("Do you have ", "p_name", " in stock?"),
+    ("How much is the ", "p_brand", " price for this item?"),
+    ("Compare ", "p_name", " versus the rest of the range"),
+    ("What is ", "p_type", " made of?"),
+    ("How to choose a size ", "p_size", " product?"),
+    ("Tell me about ", "p_name", ""),
+    ("Best practices and tips for selling ", "p_brand", " goods"),
+    ("Where is the nearest shop with ", "p_type", "?"),
+]
+PART_QID_BASE = 1_000_000_000
+TURN_QID_STRIDE = 1000
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    conv = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
+        (F.col("conv_id") * TURN_QID_STRIDE + F.col("turn")).alias("qid"), "text")
+    part = table(spark, sf, "part")
+    k = F.pmod(F.col("p_partkey"), F.lit(len(QUESTION_TEMPLATES)))
+    expr = None
+    for i, (a, c, b) in enumerate(QUESTION_TEMPLATES):
+        v = F.concat(F.lit(a), F.col(c).cast("string"), F.lit(b))
+        expr = F.when(k == i, v) if expr is None else expr.when(k == i, v)
+    tq = part.select((F.lit(PART_QID_BASE) + F.col("p_partkey")).alias("qid"), expr.alias("text"))
+    return conv.unionByName(tq)
+
+
+def questions_sql() -> str:
+    from . import duck as D
+    cases = " ".join(f"WHEN {i} THEN {D.lit(a)} || CAST({c} AS VARCHAR) || {D.lit(b)}"
+                     for i, (a, c, b) in enumerate(QUESTION_TEMPLATES))
+    return f"""questions AS (
+  SELECT conv_id * {TURN_QID_STRIDE} + turn AS qid, text FROM conversations WHERE role = 'user'
+  UNION ALL
+  SELECT {PART_QID_BASE} + p_partkey AS qid, CASE p_partkey % {len(QUESTION_TEMPLATES)} {cases} END AS text FROM part)"""
+
+
+# Answers: every exchange (user turn + following assistant turn) of
+# ``conversations``; the variant (by key) wraps the answer the way generated
+# answers arrive — role prefixes, meta lines, empty output, doubled length —
+# so every cleaning branch runs on table data.
+ANSWER_VARIANTS = [
+    ("", ""),
+    ("Answer: ", ""),
+    ("  assistant:   Response: ", ""),
+    ("Based on the context provided, ", "\nSource: knowledge base"),
+    ("", "\n\n{dup}"),
+    (None, None),
+    ("Context: see below\nok\n", "\nAccording to the document above."),
+    ("Here's the thing. Specifically, ", " However, it might vary."),
+]
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.conversations import exchanges
+    ex = exchanges(table(spark, sf, "conversations"))
+    k = F.pmod(F.col("conv_id") + F.col("q_turn"), F.lit(len(ANSWER_VARIANTS)))
+    expr = None
+    for i, (a, b) in enumerate(ANSWER_VARIANTS):
+        if a is None:
+            v = F.lit("")
+        elif b == "\n\n{dup}":
+            v = F.concat(F.col("answer"), F.lit("\n\n"), F.col("answer"))
+        else:
+            v = F.concat(F.lit(a), F.col("answer"), F.lit(b))
+        expr = F.when(k == i, v) if expr is None else expr.when(k == i, v)
+    return ex.select("conv_id", "q_turn", "exchange_no", "question",
+                     k.alias("variant"), expr.alias("answer"))
+
+
+def answers_sql() -> str:
+    from . import duck as D
+    cases = []
+    for i, (a, b) in enumerate(ANSWER_VARIANTS):
+        if a is None:
+            cases.append(f"WHEN {i} THEN ''")
+        elif b == "\n\n{dup}":
+            cases.append(f"WHEN {i} THEN answer || chr(10) || chr(10) || answer")
+        else:
+            cases.append(f"WHEN {i} THEN {D.lit(a)} || answer || {D.lit(b)}")
+    return f"""ex AS (
+  SELECT u.conv_id, u.turn AS q_turn, u.text AS question, a.text AS answer,
+         (row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) - 1) AS exchange_no
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'),
+answers AS (
+  SELECT conv_id, q_turn, exchange_no, question, (conv_id + q_turn) % {len(ANSWER_VARIANTS)} AS variant,
+         CASE (conv_id + q_turn) % {len(ANSWER_VARIANTS)} {' '.join(cases)} END AS answer FROM ex)"""
