@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import words
+from ..functions.text import WS, words
 
 CONV, TURN = "conv_id", "turn"
 PAGE = 100          # messages per rendered transcript page (H6)
@@ -111,8 +111,11 @@ def history_slice(turns: DataFrame, n: int) -> DataFrame:
     return w.join(users.select(CONV, TURN), [CONV, TURN])
 
 
+FIRST_SENTENCE_RE = r"(?s)^(.*?[.!?])(?:" + WS + r"|\z)"
+
+
 def _first_sentence(text) -> Column:
-    return F.regexp_extract(text, r"(?s)^(.*?[.!?])(\s|$)", 1)
+    return F.regexp_extract(text, FIRST_SENTENCE_RE, 1)
 
 
 def budget_memory(turns: DataFrame, budget: int = 1000, block: int = BLOCK) -> DataFrame:
