@@ -156,3 +156,103 @@ def d13_hybrid_search(spark, sf):
     h = hybrid_hits(spark, sf)
     return H.round_scores(h.select("qid", "rank", "chunk_id", "content", "semantic_score",
                                    "keyword_score", "hybrid_score", "confidence"))
+
+
+def _hybrid_parts(spark, sf, k: int = HYB_K):
+    chunks = line_chunks(spark, sf)
+    sem = semantic_search(query_vectors(spark, sf), chunk_vectors(spark, sf), 2 * k, "cosine")
+    vocab, post = build_tfidf(chunks)
+    lex = lexical_search(query_weights(bench_queries(spark, sf), vocab), post, 2 * k)
+    sem_s = H.minmax(sem, "distance", "sem_score", invert=True)
+    lex_s = H.minmax(lex, "score", "lex_score")
+    return chunks, sem_s, lex_s
+
+
+@register("d9_minmax", sql=f"""WITH {_HYB}
+SELECT qid, 'semantic' AS side, chunk_id, rank, round(sem_score, 6) AS scaled FROM hyb_sem
+UNION ALL
+SELECT qid, 'keyword' AS side, chunk_id, rank, round(lex_score, 6) AS scaled FROM hyb_lex""")
+def d9_minmax(spark, sf):
+    _, sem_s, lex_s = _hybrid_parts(spark, sf)
+    a = sem_s.select("qid", F.lit("semantic").alias("side"), "chunk_id", "rank",
+                     F.round("sem_score", 6).alias("scaled"))
+    b = lex_s.select("qid", F.lit("keyword").alias("side"), "chunk_id", "rank",
+                     F.round("lex_score", 6).alias("scaled"))
+    return a.unionByName(b)
+
+
+@register("d10_merge_hits", sql=f"""WITH {_HYB}
+SELECT qid, content, round(semantic_score, 6) AS semantic_score, round(keyword_score, 6) AS keyword_score,
+       first_side, first_rank, chunk_id FROM hyb_s""")
+def d10_merge_hits(spark, sf):
+    chunks, sem_s, lex_s = _hybrid_parts(spark, sf)
+    m = H.merge_hits(sem_s, lex_s, chunks)
+    return H.round_scores(m)
+
+
+@register("d11_hybrid_score", sql=f"""WITH {_HYB}
+SELECT qid, chunk_id, round(hybrid_score, 6) AS hybrid_score FROM hyb_s""")
+def d11_hybrid_score(spark, sf):
+    chunks, sem_s, lex_s = _hybrid_parts(spark, sf)
+    s = H.hybrid_scores(H.merge_hits(sem_s, lex_s, chunks))
+    return s.select("qid", "chunk_id", F.round("hybrid_score", 6).alias("hybrid_score"))
+
+
+@register("d12_confidence", sql=f"""WITH {_HYB}
+SELECT qid, chunk_id, round(confidence, 6) AS confidence FROM hyb_s""")
+def d12_confidence(spark, sf):
+    chunks, sem_s, lex_s = _hybrid_parts(spark, sf)
+    s = H.hybrid_scores(H.merge_hits(sem_s, lex_s, chunks))
+    return s.select("qid", "chunk_id", F.round("confidence", 6).alias("confidence"))
+
+
+@register("d14_search_report", sql=f"""WITH {_HYB}
+SELECT qid, count_if(semantic_score > 0.1) AS semantic_results, count_if(keyword_score > 0.1) AS keyword_results,
+       count(*) AS combined_results,
+       round(arg_min(semantic_score, rank), 3) AS top_semantic, round(arg_min(keyword_score, rank), 3) AS top_keyword,
+       round(arg_min(hybrid_score, rank), 3) AS top_hybrid
+FROM hyb GROUP BY qid""")
+def d14_search_report(spark, sf):
+    return H.search_report(hybrid_hits(spark, sf))
+
+
+_DOCS5 = f"""{D.semantic_hits_cte('s5', 'qv', 'cv', HYB_K)},
+docs AS (SELECT s5.qid, s5.rank, c.content, c.source FROM s5 JOIN line_chunks c USING (chunk_id))"""
+
+
+def _context_docs(spark, sf):
+    hits = semantic_search(query_vectors(spark, sf), chunk_vectors(spark, sf), HYB_K, "cosine")
+    return hits.join(line_chunks(spark, sf).select("chunk_id", "content", "source"), "chunk_id")
+
+
+@register("d15_attach_scores", sql=f"""WITH {_HYB}, {_DOCS5},
+hs AS (SELECT qid, content, max(hybrid_score) AS hs FROM hyb GROUP BY qid, content)
+SELECT d.qid, d.rank, round(coalesce(nullif(hs.hs, 0.0), 0.5), 3) AS display_score
+FROM docs d LEFT JOIN hs ON hs.qid = d.qid AND hs.content = d.content""")
+def d15_attach_scores(spark, sf):
+    a = H.attach_scores(_context_docs(spark, sf), hybrid_hits(spark, sf))
+    return a.select("qid", "rank", "display_score")
+
+
+@register("d16_cited_sources", sql=f"""WITH {_QV_CV}, {_DOCS5},
+f AS (SELECT qid, coalesce(regexp_extract(source, '([^/\\\\]*)$', 1), 'Unknown') AS file, min(rank) AS first
+      FROM docs GROUP BY qid, file)
+SELECT qid, array_to_string(list(file ORDER BY first)[1:5], '|') AS sources,
+       greatest(count(*) - 5, 0) AS more_sources FROM f GROUP BY qid""")
+def d16_cited_sources(spark, sf):
+    c = H.cited_sources(_context_docs(spark, sf), 5)
+    return c.select("qid", F.array_join("sources", "|").alias("sources"), "more_sources")
+
+
+@register("d17_as_documents", sql=f"""WITH {_HYB}
+SELECT h.qid, h.rank, h.content AS page_content, CAST(h.chunk_id AS VARCHAR) AS meta_chunk_id, c.source AS meta_source,
+       printf('%.6f', h.hybrid_score) AS meta_hybrid_score
+FROM hyb h JOIN line_chunks c USING (chunk_id)""")
+def d17_as_documents(spark, sf):
+    h = hybrid_hits(spark, sf).join(line_chunks(spark, sf).select("chunk_id", "source"), "chunk_id")
+    h = h.withColumn("hybrid_score", F.format_string("%.6f", F.col("hybrid_score")))
+    d = H.as_documents(h)
+    return d.select("qid", "rank", "page_content",
+                    F.col("metadata")["chunk_id"].alias("meta_chunk_id"),
+                    F.col("metadata")["source"].alias("meta_source"),
+                    F.col("metadata")["hybrid_score"].alias("meta_hybrid_score"))
