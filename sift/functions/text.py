@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 # so Java regex and RE2 read it the same way.
 WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
 STRIP_RE = r"\A" + WS + r"+|" + WS + r"+\z"
+# The same whitespace as an explicit character set (for btrim): every code
+# point with str.isspace() — built by that rule, not listed by hand.
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 WORD_RE = r"[\p{L}\p{N}_]{2,}"        # two or more word characters, any script
 BASENAME_RE = r"([^/\\]*)$"
 
@@ -28,8 +31,8 @@ def col_(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``; NULL stays NULL."""
-    return F.regexp_replace(col_(c), STRIP_RE, "")
+    """``str.strip()``; NULL stays NULL (``btrim`` with the whitespace set, no regex)."""
+    return F.btrim(col_(c), F.lit(WS_CHARS))
 
 
 def words(c) -> Column:

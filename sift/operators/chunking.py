@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..functions.vectors import cosine_similarity
+from ..session import ship_package
 
 
 # --------------------------------------------------------------------------- B1
@@ -104,6 +105,7 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, separators: Sequen
     Every document is processed whole.  Output rows are generated in the task
     that read the document: no shuffle.
     """
+    ship_package(docs.sparkSession)
     keep = [c for c in keep if c in docs.columns and c != id_col]
     src = docs.select(id_col, *keep, text_col)
     id_type = dict(src.dtypes)[id_col]
@@ -228,12 +230,14 @@ def group_similar(chunks: DataFrame, tau: float, doc_col: str = "doc_id", pos_co
     """Merge adjacent chunks of a document while cosine(prev, cur) >= tau.
 
     Gaps-and-islands: a chunk starts a new group unless it is similar enough
-    to its predecessor; the group number is the running count of starts.
+    to its predecessor (compared at 1e-9 resolution, so summation order cannot
+    flip an exact tie); the group number is the running count of starts.
     """
     w = Window.partitionBy(doc_col).orderBy(pos_col)
     prev = F.lag(vec_col).over(w)
     x = chunks.withColumn("_start", F.when(prev.isNull(), 1)
-                          .when(cosine_similarity(prev, F.col(vec_col)) >= F.lit(tau), 0).otherwise(1))
+                          .when(F.round(cosine_similarity(prev, F.col(vec_col)), 9) >= F.lit(tau), 0)
+                          .otherwise(1))
     x = x.withColumn("group_no", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     g = x.groupBy(doc_col, "group_no").agg(
         F.min(pos_col).alias("first_chunk"), F.count(F.lit(1)).alias("n_chunks"),

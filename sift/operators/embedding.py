@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, word_tokens, words
+from ..session import ship_package
 
 DEFAULT_DIM = 64
 
@@ -72,6 +73,7 @@ def embed_with(df: DataFrame, text_col: str, embedder: Callable[[list[str]], np.
 
     Vectors are L2-normalised on the way out.  Columns other than ``out`` pass through.
     """
+    ship_package(df.sparkSession)
     schema = df.schema.add(out, "array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

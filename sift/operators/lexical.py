@@ -9,8 +9,8 @@ The index is never a matrix.  It is two tables:
   per chunk, hash-partitioned by ``chunk_id``.
 
 Term analysis: lower-case, tokens of two or more word characters, stop words
-removed, then unigrams + bigrams of what is left (Spark ML
-``StopWordsRemover`` and ``NGram``: JVM-side transformers, no Python).
+removed, then unigrams + bigrams of what is left — built-in expressions, a
+broadcast anti-join and a ``lead`` window; no Python and no array lambdas.
 Keyword search joins the (small, size-checked) query-term table to postings
 on ``term`` — an equi-join, no query x chunk product — sums ``qw * w`` per
 (query, chunk), and keeps the top ``k`` per query with a ``row_number``
@@ -23,11 +23,11 @@ import math
 import os
 from typing import Sequence
 
-from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from ..session import shared_dir
 
 _SW_FILE = os.path.join(os.path.dirname(__file__), "..", "functions", "stopwords_english.txt")
 with open(_SW_FILE, encoding="utf-8") as _f:
@@ -38,26 +38,35 @@ MAX_BROADCAST_QUERY_TERMS = 2_000_000
 RANK_DECIMALS = 9
 
 
-def analyze(df: DataFrame, text_col: str, out: str = "terms",
-            stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True) -> DataFrame:
-    """Adds ``out ARRAY<STRING>``: unigrams then bigrams after stop-word removal."""
-    x = df.withColumn("_toks", word_tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    x = StopWordsRemover(inputCol="_toks", outputCol="_kept", stopWords=list(stop_words),
-                         caseSensitive=True).transform(x)
-    if bigrams:
-        x = NGram(n=2, inputCol="_kept", outputCol="_bi").transform(x)
-        x = x.withColumn(out, F.concat("_kept", "_bi")).drop("_bi")
-    else:
-        x = x.withColumn(out, F.col("_kept"))
-    return x.drop("_toks", "_kept")
+def term_rows(df: DataFrame, id_col: str, text_col: str,
+              stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True) -> DataFrame:
+    """``(id, term)``, one row per unigram / bigram occurrence.
+
+    Lambda-free: tokens are ``posexplode``-d, stop words leave through a
+    broadcast anti-join (the stop-word table has a fixed size), and a bigram is
+    a token plus the next kept token (``lead`` over the document's positions).
+    The input is hash-partitioned by ``id`` once; the window and the later
+    ``groupBy(id, term)`` reuse that partitioning.
+    """
+    spark = df.sparkSession
+    x = df.select(id_col, text_col).repartition(id_col)
+    e = x.select(id_col, F.posexplode(word_tokens(F.coalesce(F.col(text_col), F.lit(""))))
+                 .alias("_pos", "term"))
+    sw = spark.createDataFrame([(w,) for w in stop_words], "_sw string")
+    e = e.join(F.broadcast(sw), e["term"] == sw["_sw"], "left_anti")
+    if not bigrams:
+        return e.select(id_col, "term")
+    nxt = F.lead("term").over(Window.partitionBy(id_col).orderBy("_pos"))
+    e = e.withColumn("_next", nxt)
+    both = F.explode(F.array(F.col("term"), F.concat(F.col("term"), F.lit(" "), F.col("_next"))))
+    return e.select(id_col, both.alias("term")).filter(F.col("term").isNotNull())
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str,
                 stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True) -> DataFrame:
-    """``(id, term, tf)`` — one shuffle, keyed by ``id`` so per-document windows reuse it."""
-    t = analyze(df.select(id_col, text_col), text_col, "_terms", stop_words, bigrams)
-    ex = t.select(id_col, F.explode("_terms").alias("term")).repartition(id_col)
-    return ex.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(id, term, tf)`` — one shuffle (keyed by ``id``), reused by per-document windows."""
+    return (term_rows(df, id_col, text_col, stop_words, bigrams)
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def build_tfidf(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content",
@@ -69,7 +78,10 @@ def build_tfidf(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
     ``tf * idf`` scaled to unit length per chunk over the kept vocabulary.
     """
     n_docs = chunks.select(F.count(F.lit(1))).scalar()
-    tf = term_counts(chunks, id_col, text_col, stop_words)
+    # tf feeds both the vocabulary and the postings: materialise it once in the
+    # shared checkpoint folder (keeps its chunk_id partitioning, cuts lineage)
+    shared_dir(chunks.sparkSession)
+    tf = term_counts(chunks, id_col, text_col, stop_words).checkpoint(eager=True)
     stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     vocab = (stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
@@ -88,21 +100,24 @@ def query_weights(queries: DataFrame, vocab: DataFrame, qid_col: str = "qid",
     w = tf.join(F.broadcast(vocab.select("term", "idf")), "term")
     w = w.withColumn("_raw", F.col("tf") * F.col("idf"))
     nrm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(qid_col)))
-    return w.select(qid_col, "term", (F.col("_raw") / nrm).alias("qweight"))
+    out = w.select(qid_col, "term", (F.col("_raw") / nrm).alias("qweight"))
+    # the size bound comes from the query side alone (weights are a subset of its terms)
+    return F.broadcast(out) if _small(tf, MAX_BROADCAST_QUERY_TERMS) else out
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast only when a bounded count proves the side is small."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def _small(df: DataFrame, max_rows: int) -> bool:
+    """A bounded count: True when ``df`` has at most ``max_rows`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def lexical_search(qweights: DataFrame, postings: DataFrame, k: int, qid_col: str = "qid",
-                   id_col: str = "chunk_id",
-                   max_broadcast_terms: int = MAX_BROADCAST_QUERY_TERMS) -> DataFrame:
-    """``(qid, id, score, rank)`` — cosine of tf-idf vectors, top ``k``, score > 0 only."""
-    q = _maybe_broadcast(qweights, max_broadcast_terms)
-    j = postings.join(q, "term")
+                   id_col: str = "chunk_id") -> DataFrame:
+    """``(qid, id, score, rank)`` — cosine of tf-idf vectors, top ``k``, score > 0 only.
+
+    ``qweights`` comes from ``query_weights`` (broadcast when its size check passed);
+    postings never move for the join.
+    """
+    j = postings.join(qweights, "term")
     scores = (j.groupBy(qid_col, id_col).agg(F.sum(F.col("qweight") * F.col("weight")).alias("score"))
               .filter(F.col("score") > 0))
     win = Window.partitionBy(qid_col).orderBy(F.round("score", RANK_DECIMALS).desc(), F.col(id_col))
@@ -124,14 +139,14 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, qid_col: str = "q
     n_docs = chunks.select(F.count(F.lit(1))).scalar()
     dl = Window.partitionBy(id_col)
     tf = tf.withColumn("_len", F.sum("tf").over(dl))
-    avg_len = tf.groupBy(id_col).agg(F.first("_len").alias("_len")).select(
-        (F.sum("_len") / n_docs).alias("a")).scalar()
-    qt = term_counts(queries, qid_col, qtext_col, stop_words).select(qid_col, "term").distinct()
+    avg_len = tf.select((F.sum("tf") / n_docs).alias("a")).scalar()
+    qt = term_counts(queries, qid_col, qtext_col, stop_words).select(qid_col, "term")
+    small = _small(qt, max_broadcast_terms)
     df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qt = qt.join(df_t, "term")
     qt = qt.withColumn("idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
-    q = _maybe_broadcast(qt.select(qid_col, "term", "idf"), max_broadcast_terms)
-    j = tf.join(q, "term")
+    q = qt.select(qid_col, "term", "idf")
+    j = tf.join(F.broadcast(q) if small else q, "term")
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (
         F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / avg_len))
     scores = j.groupBy(qid_col, id_col).agg(F.sum(part).alias("score")).filter(F.col("score") > 0)

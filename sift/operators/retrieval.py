@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 MAX_BROADCAST_QUERIES = 20_000
 METRICS = ("cosine", "l2", "ip")
 RANK_DECIMALS = 9        # ranking key: distance rounded, then id (engine-independent ties)
@@ -109,6 +111,7 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str =
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     spark = corpus.sparkSession
+    ship_package(spark)
     q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("_qv"))
     nq = q.count()
     nblocks = max(1, math.ceil(nq / max_broadcast_queries))

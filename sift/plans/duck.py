@@ -6,7 +6,7 @@ itself never runs DuckDB.
 
 from __future__ import annotations
 
-from ..functions.text import STRIP_RE, WORD_RE, WS
+from ..functions.text import WORD_RE, WS, WS_CHARS
 from ..operators.chunking import LINE_ID_STRIDE
 from ..operators.lexical import STOP_WORDS
 
@@ -19,8 +19,11 @@ def str_list(xs) -> str:
     return "[" + ", ".join(lit(x) for x in xs) + "]"
 
 
+_WS_SQL = " || ".join(f"chr({ord(c)})" for c in WS_CHARS)
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {lit(STRIP_RE)}, '', 'g')"
+    return f"trim({x}, {_WS_SQL})"
 
 
 def words(x: str) -> str:
