@@ -140,3 +140,89 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int, **kw) -> DataFrame:
     """D3: the top-k ids without scores."""
     hits = semantic_search(queries, corpus, k, **kw)
     return hits.drop("distance")
+
+
+# --------------------------------------------------------------------------- D4 MMR
+
+def _mmr_pick(pdf, k: int, lam: float):
+    """Greedy maximal-marginal-relevance over one query's candidates (<= fetch_k rows)."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("rank", kind="stable")
+    E = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_cv"]])
+    q = np.asarray(pdf["_qv"].iloc[0], dtype=np.float64)
+    en = np.linalg.norm(E, axis=1)
+    qn = np.linalg.norm(q)
+    den = en * qn
+    qsim = np.divide(E @ q, den, out=np.zeros(len(E)), where=den > 0)
+    pden = en[:, None] * en[None, :]
+    pair = np.divide(E @ E.T, pden, out=np.zeros((len(E), len(E))), where=pden > 0)
+    first = int(np.lexsort((np.arange(len(E)), -np.round(qsim, RANK_DECIMALS)))[0])
+    picked = [first]
+    while len(picked) < min(k, len(E)):
+        best, best_i = None, -1
+        for i in range(len(E)):
+            if i in picked:
+                continue
+            red = max(pair[i, j] for j in picked)
+            score = round(lam * qsim[i] - (1.0 - lam) * red, RANK_DECIMALS)
+            if best is None or score > best:
+                best, best_i = score, i
+        picked.append(best_i)
+    ids = pdf[pdf.columns[1]].to_numpy()
+    return pd.DataFrame({"qid": [int(pdf["qid"].iloc[0])] * len(picked),
+                         "chunk_id": [int(ids[i]) for i in picked],
+                         "pick": list(range(1, len(picked) + 1))})
+
+
+def mmr(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch_k: int = 8, lam: float = 0.5,
+        metric: str = "l2", qid_col: str = "qid", qvec_col: str = "embedding",
+        id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
+    """Diversity re-rank — fetch ``fetch_k`` nearest, then greedily pick ``k``
+    maximising ``lam * sim(q, d) - (1 - lam) * max sim(d, picked)``; the first
+    pick is the most similar; ties go to the earlier candidate.
+
+    Each query's group holds at most ``fetch_k`` candidate rows, so the Python
+    step works on bounded groups only.
+    """
+    cand = semantic_search(queries, corpus, fetch_k, metric, qid_col, qvec_col, id_col, vec_col)
+    cand = cand.withColumnRenamed(qid_col, "qid")
+    # candidates are bounded (queries x fetch_k): only their vectors are joined in
+    cv = corpus.select(F.col(id_col), F.col(vec_col).alias("_cv"))
+    qv = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("_qv"))
+    c = cand.join(cv, id_col).join(qv, "qid").select("qid", id_col, "rank", "_cv", "_qv")
+    out = c.groupBy("qid").applyInPandas(lambda pdf: _mmr_pick(pdf, k, lam),
+                                         f"qid long, {id_col} long, pick int")
+    return out.withColumnRenamed("qid", qid_col)
+
+
+# --------------------------------------------------------------------------- D5 LSH
+
+def ann_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 1.0,
+               tables: int = 8, threshold: float = 2.0, seed: int = 7,
+               qid_col: str = "qid", qvec_col: str = "embedding",
+               id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
+    """Approximate k-nearest by Euclidean distance with random-projection LSH.
+
+    Candidates are pairs that share a hash bucket in at least one of
+    ``tables`` hash tables (an equi-join on bucket keys, no product); they are
+    rescored exactly and the best ``k`` per query kept.  Pairs that never
+    collide are missed — that is the approximation; measure it with ``recall_at_k``.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    c = corpus.select(F.col(id_col).alias("_id"), array_to_vector(F.col(vec_col)).alias("_v"))
+    q = queries.select(F.col(qid_col).cast("long").alias("_qid"), array_to_vector(F.col(qvec_col)).alias("_v"))
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
+                                        numHashTables=tables, seed=seed).fit(c)
+    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="distance")
+    p = pairs.select(F.col("datasetA._qid").alias(qid_col), F.col("datasetB._id").alias(id_col), "distance")
+    w = Window.partitionBy(qid_col).orderBy(F.round("distance", RANK_DECIMALS), F.col(id_col))
+    return p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_col: str = "chunk_id") -> DataFrame:
+    """Per query: share of the exact top-k found by the approximate search."""
+    hit = exact.join(approx.select(qid_col, id_col, F.lit(1).alias("_f")), [qid_col, id_col], "left")
+    return hit.groupBy(qid_col).agg((F.count("_f") / F.count(F.lit(1))).alias("recall"))

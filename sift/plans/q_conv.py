@@ -198,3 +198,55 @@ def j1_latency_flags(spark, sf):
 @register("j1_latency_percentiles")
 def j1_latency_percentiles(spark, sf):
     return latency_percentiles(table(spark, sf, "events"))
+
+
+# ------------------------------------------------------------------ I4 (end to end, profile "improved")
+
+def _i4_sql() -> str:
+    from ..functions import lexicons as L  # noqa: F811
+    from .q_text import clean_ctes
+    tmpl = _template_sql(P.DEFAULT_TEMPLATE, {"context": "context", "question": "question",
+                                              "chat_history": "chat_history"})
+    return f"""WITH {D.line_chunks_cte()}, {_EX},
+qq AS (SELECT conv_id * 1000 + q_turn AS qid, conv_id, q_turn, question, answer FROM ex),
+{D.hash_embed_ctes('qv', 'qq', 'qid', 'question')},
+{D.hash_embed_ctes('cv', 'line_chunks', 'chunk_id', 'content')},
+{D.semantic_hits_cte('sh', 'qv', 'cv', 3, 'l2')},
+hits AS (SELECT sh.qid, sh.rank, c.content FROM sh JOIN line_chunks c USING (chunk_id)),
+ctx AS (SELECT qid, count(*) AS n_docs, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context
+        FROM hits GROUP BY qid),
+hw AS (SELECT conv_id, turn, role, list(role || ': ' || text)
+         OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM conversations),
+hist AS (SELECT conv_id * 1000 + turn AS qid, coalesce(array_to_string(h, chr(10)), '') AS chat_history
+         FROM hw WHERE role = 'user'),
+x AS (SELECT qq.qid, qq.conv_id, qq.q_turn, qq.question, qq.answer, coalesce(ctx.n_docs, 0) AS n_docs, ctx.context,
+             hist.chat_history FROM qq LEFT JOIN ctx USING (qid) LEFT JOIN hist USING (qid)),
+x2 AS (SELECT *, {tmpl} AS prompt FROM x),
+{clean_ctes('improved', 'x2')},
+g AS (SELECT *, {D.g_confidence('answer', L)} AS c1, {D.g_relevance('answer', 'question', 'n_docs')} AS c2,
+             {D.g_completeness('answer', L)} AS c3, {D.g_clarity('answer', L)} AS c4 FROM cl),
+g2 AS (SELECT *, c1 * {D.dbl(0.3)} + c2 * {D.dbl(0.3)} + c3 * {D.dbl(0.2)} + c4 * {D.dbl(0.2)} AS overall FROM g)
+SELECT qid, n_docs, length(prompt) AS prompt_chars, cleaned, round(overall, 6) AS overall_quality,
+       overall >= {D.dbl(0.6)} AS validation_passed FROM g2"""
+
+
+@register("i4_run_profile", sql=_i4_sql())
+def i4_run_profile(spark, sf):
+    from ..operators import answers as A
+    from ..operators.embedding import hash_embed
+    turns = _turns(spark, sf)
+    ex = C.exchanges(turns)
+    qs = ex.select((F.col("conv_id") * 1000 + F.col("q_turn")).alias("qid"), "question", "answer")
+    hist = C.history_slice(turns, 6).select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+                                            F.col("history_text").alias("chat_history"))
+    cvec = chunk_vectors(spark, sf)
+
+    def retr(q):
+        return retrieve(hash_embed(q, "qid", "question"), cvec, 3, metric="l2")
+
+    x = P.run_profile(
+        qs.select("qid", "question"), retr, line_chunks(spark, sf), hist, qs.select("qid", "answer"),
+        clean=lambda d: A.clean_answers(d, "answer", "improved"),
+        validate=lambda d: A.validate_answers(d, "answer", "question", "n_docs"))
+    return x.select("qid", "n_docs", F.length("prompt").alias("prompt_chars"), "cleaned",
+                    F.round("overall_quality", 6).alias("overall_quality"), "validation_passed")

@@ -256,3 +256,55 @@ def d17_as_documents(spark, sf):
                     F.col("metadata")["chunk_id"].alias("meta_chunk_id"),
                     F.col("metadata")["source"].alias("meta_source"),
                     F.col("metadata")["hybrid_score"].alias("meta_hybrid_score"))
+
+
+# ------------------------------------------------------------------ D4 / D5
+
+def _mmr_sql(k: int = 4, fetch_k: int = 8) -> str:
+    picks = []
+    prev = []
+    ctes = [f"""{_QV_CV}, {D.semantic_hits_cte('fk', 'qv', 'cv', fetch_k, 'l2')},
+cand AS (SELECT fk.qid, fk.rank AS r, fk.chunk_id, c.embedding AS ce, q.embedding AS qe
+         FROM fk JOIN cv c ON c.id = fk.chunk_id JOIN qv q ON q.id = fk.qid),
+qs AS (SELECT qid, r, chunk_id, 1.0 - {D.cos_dist('qe', 'ce')} AS qsim FROM cand),
+pr AS (SELECT a.qid, a.r AS r, b.r AS s, 1.0 - {D.cos_dist('a.ce', 'b.ce')} AS sim
+       FROM cand a JOIN cand b ON a.qid = b.qid),
+m1 AS (SELECT qid, r AS p1 FROM (SELECT qid, r, row_number() OVER (PARTITION BY qid ORDER BY round(qsim, 9) DESC, r) AS rn
+                                 FROM qs) WHERE rn = 1)"""]
+    for n in range(2, k + 1):
+        prev = [f"p{i}" for i in range(1, n)]
+        red = "greatest(" + ", ".join(f"(SELECT sim FROM pr WHERE pr.qid = q.qid AND pr.r = q.r AND pr.s = m.{p})"
+                                      for p in prev) + ")" if len(prev) > 1 else \
+            f"(SELECT sim FROM pr WHERE pr.qid = q.qid AND pr.r = q.r AND pr.s = m.{prev[0]})"
+        notin = " AND ".join(f"q.r <> m.{p}" for p in prev)
+        ctes.append(f"""m{n} AS (SELECT qid, {', '.join(prev)}, r AS p{n} FROM (
+  SELECT q.qid, {', '.join('m.' + p for p in prev)}, q.r,
+         row_number() OVER (PARTITION BY q.qid ORDER BY round(0.5 * q.qsim - 0.5 * {red}, 9) DESC, q.r) AS rn
+  FROM qs q JOIN m{n - 1} m ON m.qid = q.qid WHERE {notin}) WHERE rn = 1)""")
+    last = f"m{k}"
+    for i in range(1, k + 1):
+        picks.append(f"SELECT m.qid, qs.chunk_id, {i} AS pick FROM {last} m JOIN qs ON qs.qid = m.qid AND qs.r = m.p{i}")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(picks)
+
+
+@register("d4_mmr", sql=_mmr_sql())
+def d4_mmr(spark, sf):
+    from ..operators.retrieval import mmr
+    return mmr(query_vectors(spark, sf), chunk_vectors(spark, sf), k=4, fetch_k=8, lam=0.5, metric="l2")
+
+
+@register("d5_ann_search")
+def d5_ann_search(spark, sf):
+    from ..operators.retrieval import ann_search
+    hits = ann_search(label_centroids(spark, sf), _vec_corpus(spark, sf), 10, qid_col="label")
+    return hits.select("label", F.col("chunk_id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@register("d5_ann_recall")
+def d5_ann_recall(spark, sf):
+    """Recall@10 of the LSH search against the exact L2 search, per label."""
+    from ..operators.retrieval import ann_search, recall_at_k
+    cent, corp = label_centroids(spark, sf), _vec_corpus(spark, sf)
+    approx = ann_search(cent, corp, 10, qid_col="label")
+    exact = semantic_search(cent, corp, 10, "l2", qid_col="label")
+    return recall_at_k(approx, exact, "label")

@@ -93,52 +93,52 @@ def e9_question_report(spark, sf):
 
 # ------------------------------------------------------------------ F
 
-def _clean_sql(profile: str) -> str:
-    """The DuckDB mirror of ``clean_answers`` for one profile (step CTEs)."""
-    if profile == "fast":
-        rx = A.prefix_strip_first_re(L.PREFIXES_FAST)
-        return f"""WITH {_AN},
-s1 AS (SELECT *, {D.strip('answer')} AS s FROM answers),
-s2 AS (SELECT *, regexp_replace(s, {D.lit(rx)}, '') AS p FROM s1),
-s3 AS (SELECT *, CASE WHEN length(p) > 500 THEN {D.strip(D.sentence_prefix('p', 500))} ELSE p END AS t FROM s2)
-SELECT conv_id, q_turn, variant, CASE WHEN coalesce(s, '') = '' THEN {D.lit(L.EMPTY_MSG['fast'])}
-  WHEN t = '' THEN {D.lit(L.TRUNCATED_EMPTY_MSG['fast'])} ELSE t END AS cleaned FROM s3"""
-    if profile == "improved":
-        rx = A.prefix_strip_first_re(L.PREFIXES_IMPROVED)
-        return f"""WITH {_AN},
-s2 AS (SELECT *, regexp_replace({D.strip('answer')}, {D.lit(rx)}, '') AS p FROM answers),
-s3 AS (SELECT *, CASE WHEN length(p) > 1500 THEN {D.strip(D.sentence_prefix('p', 1502))} ELSE p END AS t FROM s2)
-SELECT conv_id, q_turn, variant, CASE WHEN coalesce(answer, '') = '' THEN {D.lit(L.EMPTY_MSG['improved'])}
-  WHEN t = '' THEN {D.lit(L.TRUNCATED_EMPTY_MSG['improved'])} ELSE t END AS cleaned FROM s3"""
+def clean_ctes(profile: str, src: str, col: str = "answer", key: str = "conv_id * 1000 + q_turn",
+               p: str = "cl") -> str:
+    """DuckDB mirror of ``clean_answers``: CTEs ``{p}_1..`` ending in ``{p}`` = src columns + ``cleaned``."""
+    if profile in ("fast", "improved"):
+        prefixes = L.PREFIXES_FAST if profile == "fast" else L.PREFIXES_IMPROVED
+        rx = A.prefix_strip_first_re(prefixes)
+        limit, window = (500, 500) if profile == "fast" else (1500, 1502)
+        empty_test = f"coalesce({p}_s, '') = ''" if profile == "fast" else f"coalesce({col}, '') = ''"
+        return f"""{p}_1 AS (SELECT *, {D.strip(col)} AS {p}_s FROM {src}),
+{p}_2 AS (SELECT *, regexp_replace({p}_s, {D.lit(rx)}, '') AS {p}_p FROM {p}_1),
+{p}_3 AS (SELECT *, CASE WHEN length({p}_p) > {limit} THEN {D.strip(D.sentence_prefix(f'{p}_p', window))}
+                         ELSE {p}_p END AS {p}_t FROM {p}_2),
+{p} AS (SELECT * EXCLUDE ({p}_s, {p}_p, {p}_t), CASE WHEN {empty_test} THEN {D.lit(L.EMPTY_MSG[profile])}
+  WHEN {p}_t = '' THEN {D.lit(L.TRUNCATED_EMPTY_MSG[profile])} ELSE {p}_t END AS cleaned FROM {p}_3)"""
     prefixes = {"flan": L.PREFIXES_FLAN, "orca": L.PREFIXES_ORCA, "advanced": L.PREFIXES_ADVANCED}[profile]
     skip = {"flan": L.SKIP_LINES_FLAN, "orca": L.SKIP_LINES_ORCA, "advanced": L.SKIP_LINES_ADVANCED}[profile]
     limit = {"flan": 500, "orca": 2500, "advanced": 2000}[profile]
     rx = A.prefix_strip_sequential_re(prefixes)
-    p = f"regexp_replace({D.strip('answer')}, {D.lit(rx)}, '')"
+    pe = f"regexp_replace({D.strip(col)}, {D.lit(rx)}, '')"
     if profile == "flan":
         for ph in L.REMOVE_PHRASES_FLAN:
-            p = D.strip(f"replace({p}, {D.lit(ph)}, '')")
-    steps = f"s2 AS (SELECT *, {p} AS p FROM answers)"
+            pe = D.strip(f"replace({pe}, {D.lit(ph)}, '')")
+    steps = f"{p}_2 AS (SELECT *, {pe} AS {p}_p FROM {src})"
+    last = f"{p}_2"
     if profile == "advanced":
-        pick = D.opener_pick("conv_id * 1000 + q_turn", L.OPENERS)
+        pick = D.opener_pick(key, L.OPENERS)
         steps += f""",
-s2b AS (SELECT * REPLACE (CASE WHEN {D.starts_with_any('lower(p)', L.OPENER_CHECKS)} OR {pick} = '' THEN p
-                                ELSE {pick} || ' ' || p END AS p) FROM s2)"""
-        last = "s2b"
-    else:
-        last = "s2"
+{p}_2b AS (SELECT * REPLACE (CASE WHEN {D.starts_with_any(f'lower({p}_p)', L.OPENER_CHECKS)} OR {pick} = ''
+                                  THEN {p}_p ELSE {pick} || ' ' || {p}_p END AS {p}_p) FROM {p}_2)"""
+        last = f"{p}_2b"
     sep = "' '" if profile == "flan" else "chr(10)"
     if profile == "flan":
-        cut = f"CASE WHEN f <> '' THEN {D.strip('f')} ELSE substring(c, 1, {limit - 3}) || '...' END"
+        cut = f"CASE WHEN {p}_f <> '' THEN {D.strip(p + '_f')} ELSE substring({p}_c, 1, {limit - 3}) || '...' END"
     else:
-        cut = f"CASE WHEN length(f) > 100 THEN {D.strip('f')} ELSE substring(c, 1, {limit - 3}) || '...' END"
-    return f"""WITH {_AN}, {steps},
-s3 AS (SELECT *, {D.filter_lines('p', skip)} AS lines FROM {last}),
-s4 AS (SELECT *, array_to_string(lines, {sep}) AS c FROM s3),
-s5 AS (SELECT *, {D.sentence_prefix('c', limit)} AS f FROM s4)
-SELECT conv_id, q_turn, variant, CASE WHEN coalesce(answer, '') = '' THEN {D.lit(L.EMPTY_MSG[profile])}
-  WHEN len(lines) = 0 THEN {D.lit(L.NO_LINES_MSG[profile])}
-  WHEN length(c) > {limit} THEN {cut} ELSE c END AS cleaned FROM s5"""
+        cut = f"CASE WHEN length({p}_f) > 100 THEN {D.strip(p + '_f')} ELSE substring({p}_c, 1, {limit - 3}) || '...' END"
+    return f"""{steps},
+{p}_3 AS (SELECT *, {D.filter_lines(f'{p}_p', skip)} AS {p}_lines FROM {last}),
+{p}_4 AS (SELECT *, array_to_string({p}_lines, {sep}) AS {p}_c FROM {p}_3),
+{p}_5 AS (SELECT *, {D.sentence_prefix(f'{p}_c', limit)} AS {p}_f FROM {p}_4),
+{p} AS (SELECT * EXCLUDE ({p}_p, {p}_lines, {p}_c, {p}_f), CASE WHEN coalesce({col}, '') = '' THEN {D.lit(L.EMPTY_MSG[profile])}
+  WHEN len({p}_lines) = 0 THEN {D.lit(L.NO_LINES_MSG[profile])}
+  WHEN length({p}_c) > {limit} THEN {cut} ELSE {p}_c END AS cleaned FROM {p}_5)"""
+
+
+def _clean_sql(profile: str) -> str:
+    return f"WITH {_AN}, {clean_ctes(profile, 'answers')} SELECT conv_id, q_turn, variant, cleaned FROM cl"
 
 
 def _clean_query(profile: str):
