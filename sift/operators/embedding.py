@@ -2,10 +2,7 @@
 
 The default embedder is feature hashing done entirely in SQL expressions:
 every lower-cased word token goes to bucket ``md5(token)[0:8] as hex mod dim``,
-a document's vector is its bucket counts scaled to unit length.  The bucket
-counts are a single ``groupBy(id)`` with one ``count_if`` per bucket: the
-aggregate is code-generated and pre-aggregates inside each task, so the
-shuffle carries one row of ``dim`` counters per document.
+a document's vector is its bucket counts scaled to unit length.
 
 A model embedder plugs in as an Arrow batch function (``embed_with``): the
 model is loaded once per Python worker and sees whole Arrow batches.
@@ -32,20 +29,27 @@ def token_bucket(tok, dim: int = DEFAULT_DIM) -> Column:
 
 def hash_embed(df: DataFrame, id_cols: Sequence[str] | str, text_col: str = "text",
                dim: int = DEFAULT_DIM, out: str = "embedding") -> DataFrame:
-    """C1 (+C2): ``(ids..., out ARRAY<DOUBLE>)``, unit length, zeros for token-free text."""
+    """C1 (+C2): ``(ids..., out ARRAY<DOUBLE>)``, unit length, zeros for token-free text.
+
+    Two small aggregates: ``(id, bucket) -> count`` (pre-aggregated inside each
+    task, so a document contributes at most ``dim`` rows to the shuffle however
+    long it is), then ``id -> {bucket: count}`` plus the squared norm.  The dense
+    vector is read out of the map (``dim`` look-ups per document).
+    """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     toks = df.select(*ids, F.explode_outer(word_tokens(text_col)).alias("_tok"))
     b = toks.select(*ids, token_bucket("_tok", dim).alias("_b"))
-    counts = b.groupBy(*ids).agg(*[F.count_if(F.col("_b") == i).alias(f"_c{i}") for i in range(dim)])
-    cs = [F.col(f"_c{i}") for i in range(dim)]
-    sq = cs[0] * cs[0]
-    for c in cs[1:]:
-        sq = sq + c * c
-    # the norm is its own projection so it is computed once, not inlined per element
-    normed = counts.select(*ids, *cs, F.sqrt(sq.cast("double")).alias("_n"))
-    n = F.col("_n")
-    vec = F.array(*[F.when(n > 0, c / n).otherwise(F.lit(0.0)) for c in cs])
-    return normed.select(*ids, vec.alias(out))
+    c = b.groupBy(*ids, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    has = F.col("_b").isNotNull()
+    g = c.groupBy(*ids).agg(
+        F.map_from_entries(F.collect_list(F.when(has, F.struct("_b", "_n")))).alias("_m"),
+        F.coalesce(F.sum(F.when(has, F.col("_n") * F.col("_n"))), F.lit(0)).alias("_ss"))
+    g = g.withColumn("_norm", F.sqrt(F.col("_ss").cast("double")))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                      lambda i: F.when(F.col("_norm") > 0,
+                                       F.coalesce(F.element_at("_m", i.cast("long")), F.lit(0)) / F.col("_norm"))
+                      .otherwise(F.lit(0.0)))
+    return g.select(*ids, vec.alias(out))
 
 
 def truncate_tokens(c, n: int = 256) -> Column:
