@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-MAX_BROADCAST_QUERIES = 20_000
+MAX_BROADCAST_QUERIES = 20_000   # x dim x 8 bytes: 10 MB broadcast at dim 64
+QUERY_TILE = 1024                # queries scored per matrix product inside a batch
 METRICS = ("cosine", "l2", "ip")
 RANK_DECIMALS = 9        # ranking key: distance rounded, then id (engine-independent ties)
 
@@ -88,13 +89,16 @@ def _search_block(spark: SparkSession, qids: np.ndarray, Q: np.ndarray, corpus:
             order = np.argsort(ids, kind="stable")
             ids, V = ids[order], V[order]
             vn = np.linalg.norm(V, axis=1)
-            D = _distances(V, Qm, metric, vn, qn_all)
-            rd = np.round(D, RANK_DECIMALS)
-            r, c = _topk_rows(rd, ids, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qid_arr[c], pa.int64()), pa.array(ids[r], pa.int64()),
-                 pa.array(D[r, c], pa.float64())],
-                names=["qid", id_col, "distance"])
+            # queries in tiles: a batch x tile distance block stays ~ QUERY_TILE x batch doubles
+            for lo in range(0, len(qid_arr), QUERY_TILE):
+                hi = min(lo + QUERY_TILE, len(qid_arr))
+                D = _distances(V, Qm[lo:hi], metric, vn, qn_all[lo:hi])
+                rd = np.round(D, RANK_DECIMALS)
+                r, c = _topk_rows(rd, ids, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qid_arr[lo:hi][c], pa.int64()), pa.array(ids[r], pa.int64()),
+                     pa.array(D[r, c], pa.float64())],
+                    names=["qid", id_col, "distance"])
 
     return corpus.select(id_col, vec_col).mapInArrow(score, out_schema)
 
