@@ -135,7 +135,9 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, qid_col: str = "q
     ``sum over distinct query terms of idf * tf (k1+1) / (tf + k1 (1 - b + b len/avglen))``
     with ``len`` the chunk's term count.
     """
-    tf = term_counts(chunks, id_col, text_col, stop_words)
+    shared_dir(chunks.sparkSession)
+    # used three times (lengths, document frequencies, scoring): materialise once
+    tf = term_counts(chunks, id_col, text_col, stop_words).checkpoint(eager=True)
     n_docs = chunks.select(F.count(F.lit(1))).scalar()
     dl = Window.partitionBy(id_col)
     tf = tf.withColumn("_len", F.sum("tf").over(dl))

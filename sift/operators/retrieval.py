@@ -117,13 +117,21 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str =
     spark = corpus.sparkSession
     ship_package(spark)
     q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("_qv"))
-    nq = q.count()
-    nblocks = max(1, math.ceil(nq / max_broadcast_queries))
+    # one bounded read: at most max_broadcast_queries + 1 rows reach the driver
+    first = q.limit(max_broadcast_queries + 1).toPandas()
+    if len(first) <= max_broadcast_queries:
+        nblocks, blocks = 1, [first]
+    else:
+        # twice the minimum block count: hash-split blocks vary, each stays well inside the bound
+        nblocks = max(2, math.ceil(2 * q.count() / max_broadcast_queries))
+        blocks = None
     parts = []
     for b in range(nblocks):
-        blk = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == b)
-        # bounded by the count check above: at most ~max_broadcast_queries rows
-        pdf = blk.toPandas()
+        if blocks is not None:
+            pdf = blocks[b]
+        else:
+            # each block is ~1/nblocks of the queries: within the broadcast bound
+            pdf = q.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == b).toPandas()
         if len(pdf) == 0:
             continue
         qids = pdf["qid"].to_numpy(np.int64)
