@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col_, word_tokens, words
 from ..session import ship_package
@@ -78,7 +79,7 @@ def embed_with(df: DataFrame, text_col: str, embedder: Callable[[list[str]], np.
     Vectors are L2-normalised on the way out.  Columns other than ``out`` pass through.
     """
     ship_package(df.sparkSession)
-    schema = df.schema.add(out, "array<double>")
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:

@@ -63,12 +63,14 @@ def render_prompts(df: DataFrame, template: str = DEFAULT_TEMPLATE, context_col:
 def run_profile(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], chunks: DataFrame,
                 history: DataFrame | None, answers: DataFrame | None, clean: Callable[[DataFrame], DataFrame],
                 validate: Callable[[DataFrame], DataFrame] | None, max_tokens: int | None = None,
-                template: str = DEFAULT_TEMPLATE, qid: str = "qid") -> DataFrame:
-    """I4: questions -> retrieve -> context -> prompt -> answers (table) -> clean -> validate.
+                template: str = DEFAULT_TEMPLATE, qid: str = "qid",
+                generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """I4: questions -> retrieve -> context -> prompt -> answers -> clean -> validate.
 
     ``questions``: (qid, question); ``retrieve(questions) -> (qid, chunk_id, rank)``;
     ``chunks``: (chunk_id, content, ...); ``history``: (qid, chat_history) or None;
-    ``answers``: (qid, answer) — the generation step is a table, not a model call.
+    ``answers``: (qid, answer) as a table, or ``generate((qid, prompt)) -> (qid, answer)``
+    — a batch hook (for example an Arrow-batch model call) used when no table is given.
     """
     hits = retrieve(questions).join(chunks.select("chunk_id", "content"), "chunk_id")
     if max_tokens:
@@ -78,6 +80,8 @@ def run_profile(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame]
     if history is not None:
         x = x.join(history, qid, "left")
     x = render_prompts(x, template, history_col="chat_history" if history is not None else None)
+    if answers is None and generate is not None:
+        answers = generate(x.select(qid, "prompt"))
     if answers is not None:
         x = x.join(answers, qid, "left")
         x = clean(x)
