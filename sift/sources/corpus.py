@@ -61,16 +61,41 @@ def _with_bucket(df: DataFrame, source_col: str) -> DataFrame:
     return df.withColumn("source_bucket", F.pmod(F.xxhash64(source_col), F.lit(SOURCE_BUCKETS)))
 
 
-def save_collection(df: DataFrame, path: str, mode: str = "ignore", source_col: str = "source") -> None:
+def fingerprint(df: DataFrame) -> tuple[int, int]:
+    """Order-independent content fingerprint: (row count, sum of 64-bit row hashes).
+
+    One aggregate with partial aggregation; only two numbers reach the driver.
+    """
+    cols = sorted(df.columns)
+    h = F.xxhash64(*[F.col(c) for c in cols])
+    r = df.select(F.count(F.lit(1)).alias("n"),
+                  F.sum(h.cast("decimal(38,0)")).alias("s")).first()
+    return int(r["n"]), int(r["s"] or 0)
+
+
+def save_collection(df: DataFrame, path: str, mode: str = "ignore", source_col: str = "source") -> bool:
     """A3: ``ignore`` keeps an existing collection untouched (get-or-create);
-    ``refresh`` rewrites it.  Partitioned by a hash bucket of the source."""
-    if mode not in ("ignore", "refresh"):
-        raise ValueError("mode is 'ignore' or 'refresh'")
+    ``refresh`` rewrites it; ``auto`` rewrites only when the content changed
+    (fingerprint of the incoming rows vs the stored one), so the collection
+    cannot go stale.  Partitioned by a hash bucket of the source.  Returns
+    whether anything was written."""
+    if mode not in ("ignore", "refresh", "auto"):
+        raise ValueError("mode is 'ignore', 'refresh' or 'auto'")
+    spark = df.sparkSession
+    if mode == "auto":
+        if _exists(spark, path):
+            stored = spark.read.parquet(path).select(*df.columns)
+            if fingerprint(stored) == fingerprint(df):
+                return False
+        mode = "refresh"
+    if mode == "ignore" and _exists(spark, path):
+        return False
     out = _with_bucket(df, source_col) if source_col in df.columns else df
     w = out.write.mode("ignore" if mode == "ignore" else "overwrite")
     if "source_bucket" in out.columns:
         w = w.partitionBy("source_bucket")
     w.parquet(path)
+    return True
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

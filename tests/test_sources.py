@@ -41,3 +41,13 @@ def test_collection_modes(spark, tmpdir_fresh):
 def test_clear_session(spark):
     log = spark.createDataFrame([("a", 0), ("b", 0), ("a", 1)], "session_id string, turn int")
     assert [r.session_id for r in A.clear_session(log, "a").collect()] == ["b"]
+
+
+def test_collection_auto_refresh(spark, tmpdir_fresh):
+    path = os.path.join(tmpdir_fresh, "coll")
+    a = spark.createDataFrame([("1", "s1", "a")], "chunk_id string, source string, content string")
+    b = spark.createDataFrame([("1", "s1", "changed")], "chunk_id string, source string, content string")
+    assert A.save_collection(a, path, "auto") is True
+    assert A.save_collection(a, path, "auto") is False      # same content: untouched
+    assert A.save_collection(b, path, "auto") is True       # changed: rewritten
+    assert spark.read.parquet(path).first().content == "changed"
