@@ -210,7 +210,7 @@ def mmr(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch_k: int = 8, lam
 
 # --------------------------------------------------------------------------- D5 LSH
 
-def ann_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 1.0,
+def ann_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.1,
                tables: int = 8, threshold: float = 2.0, seed: int = 7,
                qid_col: str = "qid", qvec_col: str = "embedding",
                id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
