@@ -19,7 +19,6 @@ window that Catalyst limits per partition before the shuffle.
 
 from __future__ import annotations
 
-import math
 import os
 from typing import Sequence
 

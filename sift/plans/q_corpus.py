@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
 from ..functions.vectors import cosine_distance, inner_product_distance, l2_normalize, l2sq_distance
 from ..operators import chunking as B
 from ..operators.embedding import embed_distinct, hash_embed, truncate_tokens

@@ -308,3 +308,23 @@ def d5_ann_recall(spark, sf):
     approx = ann_search(cent, corp, 10, qid_col="label")
     exact = semantic_search(cent, corp, 10, "l2", qid_col="label")
     return recall_at_k(approx, exact, "label")
+
+
+def _cited_sql(cap: int, default: str) -> str:
+    return f"""WITH {_QV_CV}, {_DOCS5},
+f AS (SELECT qid, coalesce(regexp_extract(source, '([^/\\\\]*)$', 1), {D.lit(default)}) AS file, min(rank) AS first
+      FROM docs GROUP BY qid, file)
+SELECT qid, array_to_string(list(file ORDER BY first)[1:{cap}], '|') AS sources,
+       greatest(count(*) - {cap}, 0) AS more_sources FROM f GROUP BY qid"""
+
+
+def _cited_query(cap: int, default: str):
+    def q(spark, sf):
+        c = H.cited_sources(_context_docs(spark, sf), cap, default=default)
+        return c.select("qid", F.array_join("sources", "|").alias("sources"), "more_sources")
+    return q
+
+
+# profile variants: first profile lists 3 sources ("Memory" when unknown), orca 6 plus a remainder count
+register("d16_cited_sources_flan", sql=_cited_sql(3, "Memory"))(_cited_query(3, "Memory"))
+register("d16_cited_sources_orca", sql=_cited_sql(6, "Unknown"))(_cited_query(6, "Unknown"))

@@ -237,3 +237,11 @@ SELECT count(*) AS answers,
 FROM g3""")
 def g7_quality_report(spark, sf):
     return A.quality_report(_validated(spark, sf))
+
+
+@register("e2_enhance_question_flan", sql=f"""WITH {_QS}
+SELECT qid, CASE WHEN {D.contains_any('lower(text)', L.DOMAIN_KEYWORDS_7)} THEN text
+            ELSE {D.lit(L.DOMAIN_PREFIX)} || text END AS enhanced FROM questions""")
+def e2_enhance_question_flan(spark, sf):
+    """E2 with the first profile's 7 keywords."""
+    return questions(spark, sf).select("qid", Q.enhance_question("text", L.DOMAIN_KEYWORDS_7).alias("enhanced"))
