@@ -156,7 +156,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int, **kw) -> DataFrame:
 
 # --------------------------------------------------------------------------- D4 MMR
 
-def _mmr_pick(pdf, k: int, lam: float):
+def _mmr_pick(pdf, k: int, lam: float, id_col: str):
     """Greedy maximal-marginal-relevance over one query's candidates (<= fetch_k rows)."""
     import pandas as pd
 
@@ -181,9 +181,9 @@ def _mmr_pick(pdf, k: int, lam: float):
             if best is None or score > best:
                 best, best_i = score, i
         picked.append(best_i)
-    ids = pdf[pdf.columns[1]].to_numpy()
+    ids = pdf[id_col].to_numpy()
     return pd.DataFrame({"qid": [int(pdf["qid"].iloc[0])] * len(picked),
-                         "chunk_id": [int(ids[i]) for i in picked],
+                         id_col: [int(ids[i]) for i in picked],
                          "pick": list(range(1, len(picked) + 1))})
 
 
@@ -203,7 +203,7 @@ def mmr(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch_k: int = 8, lam
     cv = corpus.select(F.col(id_col), F.col(vec_col).alias("_cv"))
     qv = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("_qv"))
     c = cand.join(cv, id_col).join(qv, "qid").select("qid", id_col, "rank", "_cv", "_qv")
-    out = c.groupBy("qid").applyInPandas(lambda pdf: _mmr_pick(pdf, k, lam),
+    out = c.groupBy("qid").applyInPandas(lambda pdf: _mmr_pick(pdf, k, lam, id_col),
                                          f"qid long, {id_col} long, pick int")
     return out.withColumnRenamed("qid", qid_col)
 

@@ -35,13 +35,17 @@ def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return hash_embed(bench_queries(spark, sf), "qid", "text")
 
 
-def label_centroids(spark: SparkSession, sf: str, dim: int = 64) -> DataFrame:
-    """(label, centroid ARRAY<DOUBLE>): mean vector per label — one aggregate, partial per task."""
-    e = table(spark, sf, "embeddings")
-    aggs = [F.avg(F.col("embedding")[i].cast("double")).alias(f"_m{i}") for i in range(dim)]
-    g = e.groupBy("label").agg(*aggs)
+def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """(label, centroid ARRAY<DOUBLE>): mean vector per label.
+
+    ``(label, position)`` averages (partial per task, so a label holding most
+    rows is pre-aggregated), then one ordered array per label.
+    """
+    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("_i", "_x"))
+    m = e.groupBy("label", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    g = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"))
     return g.select(F.col("label").cast("long").alias("label"),
-                    F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias("embedding"))
+                    F.transform("_v", lambda s: s["_m"]).alias("embedding"))
 
 
 # Questions: every user turn of ``conversations`` plus one templated question per
