@@ -29,3 +29,37 @@ def k5_session_activity(spark, sf):
 FROM events GROUP BY 1, 2""")
 def k6_hourly_quality(spark, sf):
     return hourly_quality(table(spark, sf, "events"))
+
+
+# Streaming runs: the table is read as a file stream, the operator runs to
+# completion (availableNow) into a table under the shared folder, and that
+# table is the result — checked against the same SQL as the batch twin.
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import lexicons as L  # noqa: E402
+from ..streaming.live import analyze_stream, history_stream, run_to_table, table_stream  # noqa: E402
+from . import duck as D  # noqa: E402
+
+
+@register("k2_analysis_stream", sql=f"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+an AS (SELECT conv_id, turn, text, {D.classify('text', L.QUERY_PATTERNS)} AS query_type,
+              {D.extract_terms('text', L.DOMAIN_SYNONYMS, L.EXTRA_DOMAIN_WORDS)} AS terms FROM u)
+SELECT conv_id, turn, query_type, array_to_string(terms, '|') AS retail_terms,
+       round({D.question_confidence('text', 'terms')}, 6) AS confidence FROM an""")
+def k2_analysis_stream(spark, sf):
+    s = table_stream(spark, sf, "conversations").filter(F.col("role") == "user")
+    out = run_to_table(analyze_stream(s.select("conv_id", "turn", "text")), "k2")
+    return out.select("conv_id", "turn", "query_type", F.array_join("retail_terms", "|").alias("retail_terms"),
+                      F.round("confidence", 6).alias("confidence"))
+
+
+@register("k4_history_stream", sql="""WITH
+w AS (SELECT conv_id, turn, role,
+        list(role || ': ' || text)
+          OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
+SELECT conv_id, turn, coalesce(len(h), 0) AS history_size, coalesce(array_to_string(h, chr(10)), '') AS history_text
+FROM w WHERE role = 'user'""")
+def k4_history_stream(spark, sf):
+    out = run_to_table(history_stream(table_stream(spark, sf, "conversations"), 6), "k4")
+    return out.select("conv_id", "turn", "history_size", "history_text")
