@@ -63,3 +63,22 @@ FROM w WHERE role = 'user'""")
 def k4_history_stream(spark, sf):
     out = run_to_table(history_stream(table_stream(spark, sf, "conversations"), 6), "k4")
     return out.select("conv_id", "turn", "history_size", "history_text")
+
+
+from . import q_retrieval  # noqa: E402,F401  (registers d7 first)
+from .registry import ORACLE as _ORACLE  # noqa: E402
+
+
+@register("k3_retrieve_stream", sql=_ORACLE["d7_lexical_search"])
+def k3_retrieve_stream(spark, sf):
+    """Benchmark passages as a question stream, keyword top-10 of each micro-batch
+    against the index of the document lines (oracle: d7's SQL)."""
+    from ..operators.lexical import build_tfidf
+    from ..session import scratch_path
+    from ..streaming.live import retrieve_stream
+    from .inputs import line_chunks
+    vocab, post = build_tfidf(line_chunks(spark, sf))
+    qs = table_stream(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    out = scratch_path(spark, "k3-hits")
+    retrieve_stream(qs, vocab, post, out, k=10)
+    return spark.read.parquet(out).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
