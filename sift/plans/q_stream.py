@@ -82,3 +82,18 @@ def k3_retrieve_stream(spark, sf):
     out = scratch_path(spark, "k3-hits")
     retrieve_stream(qs, vocab, post, out, k=10)
     return spark.read.parquet(out).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("k1_ingest_stream")
+def k1_ingest_stream(spark, sf):
+    """The documents table as a stream, chunked (advanced preset) into a collection
+    in the shared folder by the incremental upsert; the collection is the result."""
+    from ..session import scratch_path
+    from ..streaming.live import ingest_stream
+    from .profiles import PROFILES
+    spec = PROFILES["advanced"].chunk
+    coll = scratch_path(spark, "k1-collection")
+    docs = table_stream(spark, sf, "documents").select("doc_id", "source", "text")
+    ingest_stream(docs, coll, spec.size, spec.overlap, spec.separators)
+    return spark.read.parquet(coll).select("chunk_id", "doc_id", "source", "chunk_no", "start_index",
+                                           "chunk_length", "content")

@@ -44,20 +44,17 @@ def corpus_stream(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFr
     return s.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
-def ingest_corpus(spark: SparkSession, path: str, collection: str, size: int, overlap: int,
-                  separators, checkpoint: str | None = None, glob: str = "*.txt"):
-    """K1: chunk every new file once and add its chunks to the collection.
-
-    Chunk ids are stable (``xxhash64(source) , chunk_no``), so a replayed
-    micro-batch adds nothing twice (left-anti against the collection).
-    Runs with ``availableNow`` and returns the finished query.
-    """
+def ingest_stream(docs: DataFrame, collection: str, size: int, overlap: int, separators,
+                  checkpoint: str | None = None, id_col: str = "doc_id"):
+    """K1 core: chunk every new document of a stream once and add its chunks to
+    the collection (left-anti on the chunk id, so a replayed micro-batch adds
+    nothing twice).  Runs with ``availableNow`` and returns the finished query."""
+    spark = docs.sparkSession
     ship_package(spark)
-    docs = corpus_stream(spark, path, glob).withColumn("doc_id", F.xxhash64("source"))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        ch = chunk_documents(df, size, overlap, separators, keep=("source",))
-        ch = ch.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"),
+        ch = chunk_documents(df, size, overlap, separators, id_col=id_col, keep=("source",))
+        ch = ch.withColumn("chunk_id", F.concat_ws(":", F.col(id_col).cast("string"),
                                                    F.col("chunk_no").cast("string")))
         append_new(ch, collection, key="chunk_id")
 
@@ -68,6 +65,14 @@ def ingest_corpus(spark: SparkSession, path: str, collection: str, size: int, ov
     return q
 
 
+def ingest_corpus(spark: SparkSession, path: str, collection: str, size: int, overlap: int,
+                  separators, checkpoint: str | None = None, glob: str = "*.txt"):
+    """K1: new text files under ``path`` -> chunks -> collection.  The document id
+    is ``xxhash64(source)``, so ids are stable across runs."""
+    docs = corpus_stream(spark, path, glob).withColumn("doc_id", F.xxhash64("source"))
+    return ingest_stream(docs, collection, size, overlap, separators, checkpoint)
+
+
 # ---------------------------------------------------------------- K2 / K3
 
 def analyze_stream(questions: DataFrame, text_col: str = "text") -> DataFrame:

@@ -70,3 +70,10 @@ def test_k3_retrieve_stream(spark, tmpdir_fresh):
     import __spark_entry__ as E
     batch = E.queries()["d7_lexical_search"](spark, SF).filter(F.col("rank") <= 5)
     assert rows(spark.read.parquet(out), ["qid", "chunk_id", "rank"]) == rows(batch, ["qid", "chunk_id", "rank"])
+
+
+def test_k1_registered_stream_equals_batch_chunks(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    cols = ["doc_id", "chunk_no", "start_index", "content"]
+    assert rows(q["k1_ingest_stream"](spark, SF), cols) == rows(q["b1_recursive_chunks"](spark, SF), cols)
