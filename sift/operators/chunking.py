@@ -257,5 +257,5 @@ def corpus_stats(docs: DataFrame, chunks: DataFrame, doc_col: str = "doc_id",
              .agg(F.count(F.lit(1)).alias("documents"),
                   F.coalesce(F.sum("_c"), F.lit(0)).alias("chunks"),
                   F.coalesce(F.sum("_l"), F.lit(0)).alias("chunk_chars"),
-                  F.round(F.sum("_l") / F.sum("_c"), 6).alias("avg_chunk_length"),
+                  (F.sum("_l") / F.sum("_c")).alias("avg_chunk_length"),
                   F.grouping(group_col).alias("is_total")))

@@ -183,8 +183,8 @@ def i3_render_prompts(spark, sf):
 # ------------------------------------------------------------------ J
 
 @register("j1_latency_report", sql="""SELECT event_type, count(*) AS requests, count_if(value > 30.0) AS slow,
-  round(avg(value), 6) AS mean_seconds, min(value) AS min_seconds, max(value) AS max_seconds,
-  round(count_if(value > 30.0) / count(*), 6) AS slow_share FROM events GROUP BY event_type""")
+  (CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) / count(value)) AS mean_seconds, min(value) AS min_seconds, max(value) AS max_seconds,
+  count_if(value > 30.0) / count(*) AS slow_share FROM events GROUP BY event_type""")
 def j1_latency_report(spark, sf):
     return latency_report(table(spark, sf, "events"))
 

@@ -106,7 +106,7 @@ def b7_group_similar(spark, sf):
 pd AS (SELECT doc_id, count(*) AS c, sum(length(content)) AS l FROM line_chunks GROUP BY doc_id),
 d AS (SELECT documents.doc_id, source, c, l FROM documents LEFT JOIN pd USING (doc_id))
 SELECT source, count(*) AS documents, coalesce(sum(c), 0) AS chunks, coalesce(sum(l), 0) AS chunk_chars,
-       round(sum(l) / sum(c), 6) AS avg_chunk_length, grouping(source) AS is_total
+       sum(l) / sum(c) AS avg_chunk_length, grouping(source) AS is_total
 FROM d GROUP BY ROLLUP (source)""")
 def b8_corpus_stats(spark, sf):
     return B.corpus_stats(table(spark, sf, "documents"), line_chunks(spark, sf))

@@ -18,14 +18,14 @@ s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE TH
                 OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM e)
 SELECT user_id, epoch_us(min(ts)) AS session_start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS session_end_us,
        count(*) AS events, count_if(event_type = 'purchase') AS purchases, count_if(event_type = 'error') AS errors,
-       round(avg(value), 6) AS mean_value
+       (CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) / count(value)) AS mean_value
 FROM s GROUP BY user_id, sid""")
 def k5_session_activity(spark, sf):
     return session_activity(table(spark, sf, "events"))
 
 
 @register("k6_hourly_quality", sql="""SELECT epoch_us(date_trunc('hour', ts)) AS hour_start_us, event_type,
-       count(*) AS requests, count_if(value > 30.0) AS slow, round(avg(value), 6) AS mean_seconds
+       count(*) AS requests, count_if(value > 30.0) AS slow, (CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) / count(value)) AS mean_seconds
 FROM events GROUP BY 1, 2""")
 def k6_hourly_quality(spark, sf):
     return hourly_quality(table(spark, sf, "events"))

@@ -25,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import questions as Q
 from ..operators.chunking import chunk_documents
-from ..operators.latency import SLOW_SECONDS
+from ..operators.latency import SLOW_SECONDS, exact_mean
 from ..operators.lexical import lexical_search, query_weights
 from ..session import scratch_path, ship_package
 from ..sources.corpus import append_new
@@ -157,7 +157,7 @@ def session_activity(events: DataFrame, gap: str = "30 minutes", watermark: str
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_type") == "purchase").alias("purchases"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
-        F.round(F.avg("value"), 6).alias("mean_value"))
+        exact_mean("value").alias("mean_value"))
     return g.select("user_id", F.unix_micros(F.col("s.start")).alias("session_start_us"),
                     F.unix_micros(F.col("s.end")).alias("session_end_us"),
                     "events", "purchases", "errors", "mean_value")
@@ -169,7 +169,7 @@ def hourly_quality(events: DataFrame, watermark: str = "1 hour", threshold: floa
     g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("value") > F.lit(threshold)).alias("slow"),
-        F.round(F.avg("value"), 6).alias("mean_seconds"))
+        exact_mean("value").alias("mean_seconds"))
     return g.select(F.unix_micros(F.col("w.start")).alias("hour_start_us"), "event_type",
                     "requests", "slow", "mean_seconds")
 
