@@ -84,7 +84,7 @@ def e7_analyze_questions(spark, sf):
 
 @register("e9_question_report", sql=f"""WITH {_E7_CTE},
 ex AS (SELECT query_type, confidence, unnest(CASE WHEN len(terms) = 0 THEN [NULL::VARCHAR] ELSE terms END) AS term FROM an2)
-SELECT query_type, term, count(*) AS n, round(avg(confidence), 6) AS avg_confidence,
+SELECT query_type, term, count(*) AS n, (CAST(sum(CAST(confidence AS DECIMAL(38,6))) AS DOUBLE) / count(confidence)) AS avg_confidence,
        grouping(query_type, term) AS level
 FROM ex GROUP BY ROLLUP (query_type, term)""")
 def e9_question_report(spark, sf):
@@ -226,10 +226,10 @@ def g6_issue_list(spark, sf):
 
 @register("g7_quality_report", sql=f"""WITH {_G_CTE}
 SELECT count(*) AS answers,
-       round(avg(confidence_score), 6) AS avg_confidence_score, round(avg(relevance_score), 6) AS avg_relevance_score,
-       round(avg(completeness_score), 6) AS avg_completeness_score, round(avg(clarity_score), 6) AS avg_clarity_score,
-       round(avg(overall_quality), 6) AS avg_overall_quality,
-       round(avg(CASE WHEN validation_passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate,
+       (CAST(sum(CAST(confidence_score AS DECIMAL(38,6))) AS DOUBLE) / count(confidence_score)) AS avg_confidence_score, (CAST(sum(CAST(relevance_score AS DECIMAL(38,6))) AS DOUBLE) / count(relevance_score)) AS avg_relevance_score,
+       (CAST(sum(CAST(completeness_score AS DECIMAL(38,6))) AS DOUBLE) / count(completeness_score)) AS avg_completeness_score, (CAST(sum(CAST(clarity_score AS DECIMAL(38,6))) AS DOUBLE) / count(clarity_score)) AS avg_clarity_score,
+       (CAST(sum(CAST(overall_quality AS DECIMAL(38,6))) AS DOUBLE) / count(overall_quality)) AS avg_overall_quality,
+       count_if(validation_passed) / count(*) AS pass_rate,
        count_if(list_contains(issues, 'Low confidence')) AS n_low_confidence,
        count_if(list_contains(issues, 'Low relevance')) AS n_low_relevance,
        count_if(list_contains(issues, 'Incomplete response')) AS n_incomplete_response,
