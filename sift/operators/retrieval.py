@@ -74,9 +74,9 @@ def _vectors(col: pa.Array) -> np.ndarray:
 
 
 def _search_block(spark: SparkSession, qids: np.ndarray, Q: np.ndarray, corpus: DataFrame,
-                  id_col: str, vec_col: str, k: int, metric: str) -> DataFrame:
+                  id_col: str, vec_col: str, k: int, metric: str, carry: bool = False) -> DataFrame:
     bq = spark.sparkContext.broadcast((qids, Q))
-    out_schema = f"qid long, {id_col} long, distance double"
+    out_schema = f"qid long, {id_col} long, distance double" + (", _cv array<double>" if carry else "")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid_arr, Qm = bq.value
@@ -95,10 +95,13 @@ def _search_block(spark: SparkSession, qids: np.ndarray, Q: np.ndarray, corpus:
                 D = _distances(V, Qm[lo:hi], metric, vn, qn_all[lo:hi])
                 rd = np.round(D, RANK_DECIMALS)
                 r, c = _topk_rows(rd, ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid_arr[lo:hi][c], pa.int64()), pa.array(ids[r], pa.int64()),
-                     pa.array(D[r, c], pa.float64())],
-                    names=["qid", id_col, "distance"])
+                cols = [pa.array(qid_arr[lo:hi][c], pa.int64()), pa.array(ids[r], pa.int64()),
+                        pa.array(D[r, c], pa.float64())]
+                names = ["qid", id_col, "distance"]
+                if carry:                  # the candidate's own vector, for re-rankers
+                    cols.append(pa.array(list(V[r]), pa.list_(pa.float64())))
+                    names.append("_cv")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return corpus.select(id_col, vec_col).mapInArrow(score, out_schema)
 
@@ -106,11 +109,14 @@ def _search_block(spark: SparkSession, qids: np.ndarray, Q: np.ndarray, corpus:
 def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
                     qid_col: str = "qid", qvec_col: str = "embedding",
                     id_col: str = "chunk_id", vec_col: str = "embedding",
-                    max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+                    carry_vectors: bool = False) -> DataFrame:
     """``(qid, id, distance, rank)`` — the k nearest corpus rows per query, ascending.
 
     ``metric``: ``cosine`` (1 - cos), ``l2`` (squared Euclidean, the vector
     store default) or ``ip`` (1 - inner product).  Ties rank by id.
+    ``carry_vectors`` adds each hit's own vector (``_cv``) so a re-ranker needs
+    no join back to the corpus.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -136,9 +142,10 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str =
             continue
         qids = pdf["qid"].to_numpy(np.int64)
         Q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_qv"]])
-        parts.append(_search_block(spark, qids, Q, corpus, id_col, vec_col, k, metric))
+        parts.append(_search_block(spark, qids, Q, corpus, id_col, vec_col, k, metric, carry_vectors))
     if not parts:
-        return spark.createDataFrame([], f"qid long, {id_col} long, distance double, rank int")
+        extra = ", _cv array<double>" if carry_vectors else ""
+        return spark.createDataFrame([], f"qid long, {id_col} long, distance double{extra}, rank int")
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
@@ -197,12 +204,12 @@ def mmr(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch_k: int = 8, lam
     Each query's group holds at most ``fetch_k`` candidate rows, so the Python
     step works on bounded groups only.
     """
-    cand = semantic_search(queries, corpus, fetch_k, metric, qid_col, qvec_col, id_col, vec_col)
+    cand = semantic_search(queries, corpus, fetch_k, metric, qid_col, qvec_col, id_col, vec_col,
+                           carry_vectors=True)
     cand = cand.withColumnRenamed(qid_col, "qid")
-    # candidates are bounded (queries x fetch_k): only their vectors are joined in
-    cv = corpus.select(F.col(id_col), F.col(vec_col).alias("_cv"))
+    # candidates carry their vectors; only the (bounded, checked) query vectors are joined
     qv = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("_qv"))
-    c = cand.join(cv, id_col).join(qv, "qid").select("qid", id_col, "rank", "_cv", "_qv")
+    c = cand.join(qv, "qid").select("qid", id_col, "rank", "_cv", "_qv")
     out = c.groupBy("qid").applyInPandas(lambda pdf: _mmr_pick(pdf, k, lam, id_col),
                                          f"qid long, {id_col} long, pick int")
     return out.withColumnRenamed("qid", qid_col)
