@@ -97,3 +97,11 @@ def k1_ingest_stream(spark, sf):
     ingest_stream(docs, coll, spec.size, spec.overlap, spec.separators)
     return spark.read.parquet(coll).select("chunk_id", "doc_id", "source", "chunk_no", "start_index",
                                            "chunk_length", "content")
+
+
+@register("k5_session_activity_split", sql=_ORACLE["k5_session_activity"])
+def k5_session_activity_split(spark, sf):
+    """Batch sessionisation that splits hot users by time block (same sessions as k5)."""
+    from ..streaming.live import session_activity_split
+    return session_activity_split(table(spark, sf, "events")).select(
+        "user_id", "session_start_us", "session_end_us", "events", "purchases", "errors", "mean_value")

@@ -55,3 +55,12 @@ def test_global_numbering_with_clustered_ids(spark):
     got = with_chunk_ids(df, "doc_", buckets=7).select("doc_id", "chunk_no", "chunk_index")
     want = df.withColumn("chunk_index", (F.row_number().over(Window.orderBy("doc_id", "chunk_no")) - 1).cast("long"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_split_sessions_equal_session_windows_for_a_hot_user(spark):
+    from sift.streaming.live import session_activity, session_activity_split
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    hot = ev.unionByName(ev.withColumn("user_id", F.lit(-1).cast(ev.schema["user_id"].dataType)))
+    cols = session_activity(hot).columns
+    assert sorted(map(tuple, session_activity_split(hot).select(*cols).collect())) == \
+        sorted(map(tuple, session_activity(hot).collect()))
