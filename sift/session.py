@@ -46,13 +46,16 @@ def build_session(master: str | None = None, app: str = "sift",
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; we only read it.  When it is unset (local runs and
-    tests) a private folder under the system temp dir is set once for this
-    session, and ``SparkContext.setCheckpointDir`` follows it so
-    ``DataFrame.checkpoint()`` writes there too.
+    The cluster names it; we only read it.  When it is unset in a local run
+    (one machine, as in tests) a private folder under the system temp dir is set
+    once for this session, and ``SparkContext.setCheckpointDir`` follows it so
+    ``DataFrame.checkpoint()`` writes there too.  On a cluster a machine-local
+    folder would be lost to the executors, so the setting is required there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
@@ -66,7 +69,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -78,7 +81,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
