@@ -6,6 +6,7 @@ from __future__ import annotations
 from .flow import documents
 from .hash_tree import hash_tree_shards
 from .licenses import scan_licenses
+from .near_sets import jaccard_components
 from .packing import pack
 from .quality import classify_quality
 from .rules import quality_rules
@@ -28,9 +29,14 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_diagonals, op4_hash_tree, op6_quality_rules, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_license_diagonals, op4_hash_tree, op6_quality_rules, op7_ngram_jaccard, op9_best_fit_packing)}
 ORACLE: dict[str, str] = {}
