@@ -10,6 +10,7 @@ from .near_sets import jaccard_components
 from .packing import pack
 from .quality import classify_quality
 from .rules import quality_rules
+from .suffix_dedup import dedup_report
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -25,6 +26,10 @@ def op4_hash_tree(spark, sf_dir):
     return hash_tree_shards(documents(spark, sf_dir), 24)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return dedup_report(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -38,5 +43,5 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_license_diagonals, op4_hash_tree, op6_quality_rules, op7_ngram_jaccard, op9_best_fit_packing)}
+    op1_quality_classifier, op2_license_diagonals, op4_hash_tree, op5_suffix_dedup, op6_quality_rules, op7_ngram_jaccard, op9_best_fit_packing)}
 ORACLE: dict[str, str] = {}
