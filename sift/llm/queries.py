@@ -10,6 +10,7 @@ from .near_sets import jaccard_components
 from .packing import pack
 from .quality import classify_quality
 from .rules import quality_rules
+from .stable_lsh import near_duplicates
 from .suffix_dedup import dedup_report
 
 
@@ -38,10 +39,14 @@ def op7_ngram_jaccard(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op8_stable_lsh(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_license_diagonals, op4_hash_tree, op5_suffix_dedup, op6_quality_rules, op7_ngram_jaccard, op9_best_fit_packing)}
+    op1_quality_classifier, op2_license_diagonals, op4_hash_tree, op5_suffix_dedup, op6_quality_rules, op7_ngram_jaccard, op8_stable_lsh, op9_best_fit_packing)}
 ORACLE: dict[str, str] = {}
