@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sift.llm.flow import documents
+from sift.llm.near_sets import jaccard_components
 from sift.llm.packing import pack
+from sift.llm.pii import mask
 from sift.llm.quality import classify_quality
+from sift.llm.suffix_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,11 +18,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select(*[F.col(c) for c in docs.columns])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id, once if its row is repeated.
+
+    Documents without words and rows without an id link with nothing here and stay.
+    """
+    found = jaccard_components(docs)
+    drop = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    copies = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    stay = docs.join(drop, "doc_id", "left_anti")
+    again = stay.join(copies, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.join(copies, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that repeat in 200-byte strings go from the texts."""
+    return remove_repeats(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the texts."""
+    return mask(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality classifier", quality), ("best-fit packing", packing)]
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", substrings),
+    ("PII", personal_data),
+    ("best-fit packing", packing),
+]
 
 ORACLE_SQL = None
 

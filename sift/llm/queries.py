@@ -8,10 +8,12 @@ from .hash_tree import hash_tree_shards
 from .licenses import scan_licenses
 from .near_sets import jaccard_components
 from .packing import pack
+from .pii import report
 from .quality import classify_quality
 from .rules import quality_rules
 from .stable_lsh import near_duplicates
 from .suffix_dedup import dedup_report
+from .wfst import encode_documents
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -23,6 +25,10 @@ def op2_license_diagonals(spark, sf_dir):
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op3_skip_chain_pii(spark, sf_dir):
+    return report(documents(spark, sf_dir))
+
+
 def op4_hash_tree(spark, sf_dir):
     return hash_tree_shards(documents(spark, sf_dir), 24)
 
@@ -47,6 +53,11 @@ def op9_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op10_sentencepiece_wfst(spark, sf_dir):
+    return encode_documents(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_license_diagonals, op4_hash_tree, op5_suffix_dedup, op6_quality_rules, op7_ngram_jaccard, op8_stable_lsh, op9_best_fit_packing)}
+    op1_quality_classifier, op2_license_diagonals, op3_skip_chain_pii, op4_hash_tree, op5_suffix_dedup, op6_quality_rules, op7_ngram_jaccard, op8_stable_lsh, op9_best_fit_packing,
+    op10_sentencepiece_wfst)}
 ORACLE: dict[str, str] = {}
