@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sift.llm.flow import documents
 from sift.llm.near_sets import jaccard_components
@@ -14,8 +14,11 @@ from sift.llm.suffix_dedup import remove_repeats
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; columns stay as they are."""
-    judged = classify_quality(docs, documents(spark, sf_dir, "labels"), docs.columns)
-    return judged.where("kept").select(*[F.col(c) for c in docs.columns])
+    names = docs.columns
+    own = {c: f"d{k}" for k, c in enumerate(names)}  # extra columns may have any name
+    judged = classify_quality(docs.toDF(*own.values()), documents(spark, sf_dir, "labels"), list(own.values()),
+                              own["doc_id"], own["text"], own["source"], own["lang"])
+    return judged.where("kept").select(*own.values()).toDF(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

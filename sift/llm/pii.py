@@ -37,7 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])")
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{2,64}+(?: ?[\[(](?:at|AT)[\])] ?|@)[A-Za-z0-9-]{2,64}+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{2,64}+)*")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{1,64}+(?: ?[\[(](?:at|AT)[\])] ?|@)[A-Za-z0-9-]{1,64}+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{1,64}+)*")
 _OFTEN = re.compile(r"[0-9@\[(]")
 
 

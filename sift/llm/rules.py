@@ -46,6 +46,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def _beta_tail(k: float, n: float, p: float) -> float:
     """P(X <= k) of a binomial(n, p), by the continued fraction of the incomplete beta function."""
+    if k >= n:
+        return 1.0
     a, b, x = n - k, k + 1.0, 1.0 - p
     if x <= 0 or x >= 1:
         return float(x >= 1)
