@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import WS, col_, contains_any, py_strip, starts_with_any, words
-from .latency import exact_mean
 
 _REGEX_SPECIAL = set(".^$*+?()[]{}|\\")
 
@@ -189,7 +188,7 @@ def quality_report(validated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Averages, pass rate and issue counts (per group, or one row)."""
     g = validated.groupBy(*by) if by else validated.groupBy()
     aggs = [F.count(F.lit(1)).alias("answers")]
-    aggs += [exact_mean(c, 6).alias(f"avg_{c}") for c in
+    aggs += [F.avg(c).alias(f"avg_{c}") for c in
              ("confidence_score", "relevance_score", "completeness_score", "clarity_score", "overall_quality")]
     aggs += [(F.count_if("validation_passed") / F.count(F.lit(1))).alias("pass_rate")]
     aggs += [F.count_if(F.array_contains("issues", lbl)).alias("n_" + lbl.lower().replace(" ", "_"))

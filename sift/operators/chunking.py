@@ -6,24 +6,23 @@
 * B2 ``split_chunks`` / B3 ``window_chunks`` — SQL-only chunkers
   (``posexplode`` of a split / of a ``sequence`` of window starts).
 * B5 ``with_chunk_ids`` — a stable global running index without a single
-  ordered partition: per-document counts, bucketed prefix sums, broadcast of
-  the per-bucket offsets (one row per bucket).
+  ordered task: per-document counts, range-partitioned prefix sums, broadcast
+  of the ranges' offsets (one row per partition).
 * B6 ``enrich_chunks``, B7 ``group_similar``, B8 ``corpus_stats``.
 """
 
 from __future__ import annotations
 
 import re
-from typing import Iterator, Sequence
+from typing import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..functions.vectors import cosine_similarity
-from ..session import ship_package
+from ..session import shared_dir, ship_package
 
 
 # --------------------------------------------------------------------------- B1
@@ -37,18 +36,18 @@ def _split_keep(text: str, sep: str) -> list[str]:
     return [p for p in out if p != ""]
 
 
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
+def _merge(pieces: list[str], size: int, overlap: int, length=len) -> list[str]:
     out: list[str] = []
     cur: list[str] = []
     total = 0
     for p in pieces:
-        n = len(p)
+        n = length(p)
         if total + n > size and cur:
             joined = "".join(cur).strip()
             if joined:
                 out.append(joined)
             while total > overlap or (total + n > size and total > 0):
-                total -= len(cur[0])
+                total -= length(cur[0])
                 cur = cur[1:]
         cur.append(p)
         total += n
@@ -58,8 +57,8 @@ def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
-def split_text(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:
-    """Recursive character splitting of one text (the per-row helper of B1)."""
+def split_text(text: str, size: int, overlap: int, separators: Sequence[str], length=len) -> list[str]:
+    """Recursive splitting of one text (the per-row helper of B1); ``length`` measures a piece."""
     sep = separators[-1]
     deeper: list[str] = []
     for i, s in enumerate(separators):
@@ -73,37 +72,43 @@ def split_text(text: str, size: int, overlap: int, separators: Sequence[str]) ->
     chunks: list[str] = []
     small: list[str] = []
     for piece in _split_keep(text, sep):
-        if len(piece) < size:
+        if length(piece) < size:
             small.append(piece)
             continue
         if small:
-            chunks.extend(_merge(small, size, overlap))
+            chunks.extend(_merge(small, size, overlap, length))
             small = []
         if not deeper:
             chunks.append(piece)
         else:
-            chunks.extend(split_text(piece, size, overlap, deeper))
+            chunks.extend(split_text(piece, size, overlap, deeper, length))
     if small:
-        chunks.extend(_merge(small, size, overlap))
+        chunks.extend(_merge(small, size, overlap, length))
     return chunks
 
 
-def start_indexes(text: str, chunks: list[str], overlap: int) -> list[int]:
+def start_indexes(text: str, chunks: list[str], overlap: int, length=len) -> list[int]:
+    """Each chunk's place, searched from ``overlap`` before the previous end (the whole previous chunk when length is not in characters)."""
     idx, prev_len, out = 0, 0, []
     for c in chunks:
-        idx = text.find(c, max(0, idx + prev_len - overlap))
+        idx = text.find(c, max(0, idx + prev_len - overlap) if length is len else max(0, idx + min(1, prev_len)))
         prev_len = len(c)
         out.append(idx)
     return out
 
 
+OUT_ROWS = 5000     # chunks per output batch
+
+
 def chunk_documents(docs: DataFrame, size: int, overlap: int, separators: Sequence[str],
                     id_col: str = "doc_id", text_col: str = "text",
-                    keep: Sequence[str] = ("source",)) -> DataFrame:
+                    keep: Sequence[str] = ("source",), length_fn: Callable[[str], int] = len) -> DataFrame:
     """B1 (+B4): ``(id, keep..., chunk_no, start_index, chunk_length, content)``.
 
-    Every document is processed whole.  Output rows are generated in the task
-    that read the document: no shuffle.
+    ``size`` and ``overlap`` are measured by ``length_fn`` (characters by
+    default); ``chunk_length`` is in characters.  Every document is processed
+    whole.  Output rows are generated in the task that read the document, a few
+    thousand chunks at a time: no shuffle.
     """
     ship_package(docs.sparkSession)
     keep = [c for c in keep if c in docs.columns and c != id_col]
@@ -116,21 +121,28 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, separators: Sequen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            cols = {n: rb.column(n).to_pylist() for n in [id_col, *keep, text_col]}
-            out = {n: [] for n in [id_col, *keep, "chunk_no", "start_index", "chunk_length", "content"]}
-            for i, text in enumerate(cols[text_col]):
-                text = text or ""
-                pieces = split_text(text, size, overlap, seps)
-                starts = start_indexes(text, pieces, overlap)
-                for j, (p, s) in enumerate(zip(pieces, starts)):
-                    out[id_col].append(cols[id_col][i])
-                    for c in keep:
-                        out[c].append(cols[c][i])
-                    out["chunk_no"].append(j)
-                    out["start_index"].append(s)
-                    out["chunk_length"].append(len(p))
-                    out["content"].append(p)
-            yield pa.RecordBatch.from_pydict(out, schema=_arrow_schema(rb.schema, id_col, keep))
+            arrow = _arrow_schema(rb.schema, id_col, keep)
+            rows: list[int] = []
+            out = {n: [] for n in ["chunk_no", "start_index", "chunk_length", "content"]}
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                cols = [rb.column(n).take(at) for n in [id_col, *keep]]
+                cols += [pa.array(out[n], arrow.field(n).type) for n in out]
+                return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+            for i, text in enumerate(rb.column(text_col)):
+                text = text.as_py() or ""
+                pieces = split_text(text, size, overlap, seps, length_fn)
+                for j, (p, s) in enumerate(zip(pieces, start_indexes(text, pieces, overlap, length_fn))):
+                    rows.append(i)
+                    for n, v in zip(out, (j, s, len(p), p)):
+                        out[n].append(v)
+                if len(rows) >= OUT_ROWS:
+                    yield flush()
+                    rows = []
+                    out = {n: [] for n in out}
+            yield flush()
 
     return src.mapInArrow(run, schema)
 
@@ -144,22 +156,26 @@ def _arrow_schema(in_schema: pa.Schema, id_col: str, keep: Sequence[str]) -> pa.
 
 # --------------------------------------------------------------------------- B2 / B3
 
-LINE_ID_STRIDE = 1_000_000   # chunk_id = doc_id * stride + line number
+def row_key(a, b) -> Column:
+    """Key of row ``b`` of parent ``a`` (both integers): fixed-width text, so it is
+    unique for all values and sorts by (a, b) where they are not negative."""
+    return F.format_string("%020d:%010d", F.col(a).cast("long"), F.col(b).cast("long"))
 
 
 def split_chunks(docs: DataFrame, sep: str = "\n", id_col: str = "doc_id", text_col: str = "text",
                  keep: Sequence[str] = ("source",)) -> DataFrame:
     """B2: one row per non-blank piece of ``split(text, sep)`` with its position.
 
-    ``chunk_id = doc_id * 1e6 + position`` — unique while a document has
-    fewer than a million pieces.
+    ``chunk_id`` is ``row_key(doc_id, chunk_no)`` (the id as text and the number
+    for ids that are not integers).
     """
     keep = [c for c in keep if c in docs.columns and c != id_col]
     x = docs.select(id_col, *keep, F.posexplode(F.split(F.col(text_col), re.escape(sep), -1))
                     .alias("chunk_no", "_piece"))
     x = x.withColumn("content", py_strip("_piece")).filter(F.length("content") > 0)
-    return x.select((F.col(id_col) * F.lit(LINE_ID_STRIDE) + F.col("chunk_no")).alias("chunk_id"),
-                    id_col, *keep, "chunk_no", "content")
+    whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    key = row_key(id_col, "chunk_no") if whole else F.format_string("%s:%010d", F.col(id_col), F.col("chunk_no"))
+    return x.select(key.alias("chunk_id"), id_col, *keep, "chunk_no", "content")
 
 
 def window_chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id",
@@ -183,32 +199,25 @@ def window_chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_i
 # --------------------------------------------------------------------------- B5
 
 def with_chunk_ids(chunks: DataFrame, prefix: str = "doc_", doc_col: str = "doc_id",
-                   pos_col: str = "chunk_no", buckets: int | None = None) -> DataFrame:
+                   pos_col: str = "chunk_no", parts: int | None = None) -> DataFrame:
     """``chunk_index`` = global running index in (doc, position) order and
     ``chunk_key = prefix || chunk_index``.
 
-    Exact and stable; no single ordered partition.  Documents are cut into
-    key-range buckets (approximate quantiles of the numeric doc key; any cut
-    gives the same numbering), each bucket computes its own running sum, and
-    the per-bucket totals (one row per bucket) are prefix-summed and broadcast.
+    Exact and stable for keys of any sortable type; no single ordered task.
+    Documents (with their chunk counts) are range-partitioned by key, each range
+    has its own running sum, and the ranges' totals (one row per partition) are
+    prefix-summed and broadcast.
     """
     spark = chunks.sparkSession
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = chunks.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_k", F.col(doc_col).cast("double"))
-    qs = counts.approxQuantile("_k", [i / nb for i in range(1, nb)], 0.001) if nb > 1 else []
-    splits = [float("-inf")] + sorted(set(qs)) + [float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    counts = Bucketizer(splits=splits, inputCol="_k", outputCol="_b").transform(counts)
-    wb = Window.partitionBy("_b").orderBy(doc_col).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_within", F.sum("_n").over(wb) - F.col("_n"))
-    totals = counts.groupBy("_b").agg(F.sum("_n").alias("_bt"))
-    # one row per bucket: a bounded table, so a global window and a broadcast are safe
-    tw = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.withColumn("_boff", F.coalesce(F.sum("_bt").over(tw), F.lit(0))).select("_b", "_boff")
-    doc_off = counts.join(F.broadcast(offs), "_b").select(
-        doc_col, (F.col("_boff") + F.col("_within")).alias("_doff"))
+    ranged = counts.repartitionByRange(n, doc_col).withColumn("_b", F.spark_partition_id())
+    shared_dir(spark)
+    ranged = ranged.checkpoint()  # range borders are sampled: fix them before they are used twice
+    within = F.sum("_n").over(Window.partitionBy("_b").orderBy(doc_col).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    totals = ranged.groupBy("_b").agg(F.sum("_n").alias("_t"))
+    before = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    doc_off = ranged.withColumn("_w", within).join(F.broadcast(before), "_b").select(doc_col, (F.col("_o") + F.col("_w")).alias("_doff"))
     local = F.row_number().over(Window.partitionBy(doc_col).orderBy(pos_col)) - 1
     out = chunks.withColumn("_local", local).join(doc_off, doc_col)
     out = out.withColumn("chunk_index", (F.col("_doff") + F.col("_local")).cast("long"))

@@ -4,9 +4,9 @@ Scale rule: one conversation may hold a large share of all rows, so nothing
 here sorts a whole conversation in one task.
 
 * Neighbour and sliding-window look-ups (H1, H3, H4) are equi-joins on
-  ``(conv_id, turn + d)`` — every key is unique, so no key is hot.  This
-  needs dense turn numbers (0, 1, 2, ... per conversation); ``dense_turns``
-  renumbers a table that has gaps.
+  ``(conv_id, position + d)``, where a message's position is its rank in the
+  conversation (two-level, see ``positions``): "next" is the next row, whatever
+  the gaps between turn numbers.  Every key is unique, so no key is hot.
 * "Last N" (H2) is ``row_number() <= N``, which Catalyst limits inside each
   partition before the shuffle (WindowGroupLimit).
 * Running sums (H5) are two-level: per-block totals, then a prefix over
@@ -30,10 +30,16 @@ PAGE = 100          # messages per rendered transcript page (H6)
 BLOCK = 256         # turns per block for two-level running sums (H5)
 
 
-def dense_turns(turns: DataFrame) -> DataFrame:
-    """Renumber turns 0..n-1 per conversation (only needed when the input has gaps)."""
-    w = Window.partitionBy(CONV).orderBy(TURN)
-    return turns.withColumn(TURN, (F.row_number().over(w) - 1).cast("long"))
+def positions(turns: DataFrame, out: str = "_pos") -> DataFrame:
+    """0-based place of each message in its conversation by turn order."""
+    return _rank_in_conv(turns, TURN, out)
+
+
+def next_message(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text, next_role, next_text)``: each message with the one after it, or nulls."""
+    t = positions(turns.select(CONV, TURN, "role", "text"))
+    nxt = t.select(CONV, (F.col("_pos") - 1).alias("_pos"), F.col("role").alias("next_role"), F.col("text").alias("next_text"))
+    return t.join(nxt, [CONV, "_pos"], "left").drop("_pos")
 
 
 def render(role, text) -> Column:
@@ -47,12 +53,8 @@ def exchanges(turns: DataFrame) -> DataFrame:
     counts exchanges from 0 in turn order (a running count of user→assistant
     pairs, computed with the same keyed join, not a per-conversation sort).
     """
-    t = turns.select(CONV, TURN, "role", "text")
-    nxt = t.select(CONV, (F.col(TURN) - 1).alias(TURN), F.col("role").alias("_nrole"),
-                   F.col("text").alias("answer"))
-    pairs = (t.filter(F.col("role") == "user").join(nxt, [CONV, TURN])
-              .filter(F.col("_nrole") == "assistant")
-              .select(CONV, F.col(TURN).alias("q_turn"), F.col("text").alias("question"), "answer"))
+    pairs = (next_message(turns).filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+             .select(CONV, F.col(TURN).alias("q_turn"), F.col("text").alias("question"), F.col("next_text").alias("answer")))
     # exchange number = number of earlier pairs; pairs never overlap, so inside a
     # conversation it is the rank by q_turn.  Rank via per-block counts (bounded).
     return _rank_in_conv(pairs, "q_turn", "exchange_no")
@@ -78,21 +80,19 @@ def tail_history(turns: DataFrame, n: int) -> DataFrame:
     return turns.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def _window_behind(df: DataFrame, key: str, n: int, payload: Column, out_prefix: str) -> DataFrame:
-    """For each row, the rows with ``key`` in ``[key-n, key-1]`` of the same conversation.
+def _window_behind(df: DataFrame, key: str, n: int, payload: Column, out_prefix: str,
+                   targets: DataFrame | None = None) -> DataFrame:
+    """For each target row (default: every row), the rows with ``key`` in ``[key-n, key-1]`` of its conversation.
 
-    Each row is copied to the ``n`` positions that will look back at it and
-    joined on (conv_id, key) — unique keys, so no hot join key; every output
-    group has at most ``n`` members.
+    Targets name the ``n`` places they look back at (keys only) and are joined
+    on (conv_id, key) — unique keys, so no hot join key; every output group has
+    at most ``n`` members.
     """
-    src = df.select(CONV, key, payload.alias("_pl"))
-    fan = src.select(CONV, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_d"), key, "_pl")
-    fan = fan.select(CONV, (F.col(key) + F.col("_d")).alias("_target"), F.col(key).alias("_src"), "_pl")
-    tgt = df.select(CONV, key)
-    j = tgt.join(fan, (tgt[CONV] == fan[CONV]) & (tgt[key] == fan["_target"]), "left")
-    g = j.groupBy(tgt[CONV], tgt[key]).agg(
-        F.array_sort(F.collect_list(F.when(fan["_src"].isNotNull(), F.struct(fan["_src"], fan["_pl"]))))
-        .alias("_w"))
+    src = df.select(CONV, F.col(key).alias("_src"), payload.alias("_pl"))
+    back = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    fan = (df if targets is None else targets).select(CONV, key, back.alias("_d")).withColumn("_src", F.col(key) - F.col("_d"))
+    g = fan.join(src, [CONV, "_src"], "left").groupBy(CONV, key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_pl").isNotNull(), F.struct("_src", "_pl")))).alias("_w"))
     return g.select(CONV, key,
                     F.size("_w").alias(f"{out_prefix}_size"),
                     F.array_join(F.transform("_w", lambda s: s["_pl"]), "\n").alias(f"{out_prefix}_text"))
@@ -106,9 +106,10 @@ def memory_window(ex: DataFrame, k: int) -> DataFrame:
 
 def history_slice(turns: DataFrame, n: int) -> DataFrame:
     """H4: for each user message (a request), the ``n`` messages right before it."""
-    users = turns.filter(F.col("role") == "user")
-    w = _window_behind(turns, TURN, n, render(F.col("role"), F.col("text")), "history")
-    return w.join(users.select(CONV, TURN), [CONV, TURN])
+    t = positions(turns.select(CONV, TURN, "role", "text"))
+    users = t.filter(F.col("role") == "user").select(CONV, "_pos", TURN)
+    w = _window_behind(t, "_pos", n, render(F.col("role"), F.col("text")), "history", users)
+    return w.join(users, [CONV, "_pos"]).select(CONV, TURN, "history_size", "history_text")
 
 
 FIRST_SENTENCE_RE = r"(?s)^(.*?[.!?])(?:" + WS + r"|\z)"

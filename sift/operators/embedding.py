@@ -1,8 +1,10 @@
 """Turning a text column into unit vectors.
 
-The default embedder is feature hashing done entirely in SQL expressions:
-every lower-cased word token goes to bucket ``md5(token)[0:8] as hex mod dim``,
-a document's vector is its bucket counts scaled to unit length.
+The default embedder is feature hashing: every lower-cased word token (split by
+a SQL expression) goes to bucket ``md5(token)[0:8] as hex mod dim``, a
+document's vector is its bucket counts scaled to unit length.  The vector is
+local to its row, so it is counted in the Arrow batch that holds the row and
+nothing is shuffled.
 
 A model embedder plugs in as an Arrow batch function (``embed_with``): the
 model is loaded once per Python worker and sees whole Arrow batches.
@@ -10,6 +12,7 @@ model is loaded once per Python worker and sees whole Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable, Iterator, Sequence
 
 import numpy as np
@@ -24,33 +27,35 @@ from ..session import ship_package
 DEFAULT_DIM = 64
 
 
-def token_bucket(tok, dim: int = DEFAULT_DIM) -> Column:
-    return F.conv(F.substring(F.md5(col_(tok)), 1, 8), 16, 10).cast("long") % F.lit(dim)
+def _bucket_counts(n_ids: int, dim: int, out: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            toks = rb.column(n_ids)
+            n = rb.num_rows
+            size = np.asarray(toks.value_lengths().fill_null(0)).astype(np.int64)
+            enc = toks.flatten().dictionary_encode()
+            bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in enc.dictionary.to_pylist()], np.int64)
+            m = np.zeros((n, dim))
+            if len(bucket):
+                cell = np.repeat(np.arange(n), size) * dim + bucket[np.asarray(enc.indices)]
+                m = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            arr = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([*rb.columns[:n_ids], arr], names=[*rb.schema.names[:n_ids], out])
+    return run
 
 
 def hash_embed(df: DataFrame, id_cols: Sequence[str] | str, text_col: str = "text",
-               dim: int = DEFAULT_DIM, out: str = "embedding") -> DataFrame:
-    """C1 (+C2): ``(ids..., out ARRAY<DOUBLE>)``, unit length, zeros for token-free text.
-
-    Two small aggregates: ``(id, bucket) -> count`` (pre-aggregated inside each
-    task, so a document contributes at most ``dim`` rows to the shuffle however
-    long it is), then ``id -> {bucket: count}`` plus the squared norm.  The dense
-    vector is read out of the map (``dim`` look-ups per document).
-    """
+               dim: int = DEFAULT_DIM, out: str = "embedding", max_tokens: int | None = None) -> DataFrame:
+    """C1 (+C2): ``(ids..., out ARRAY<DOUBLE>)``, one row per input row, unit length,
+    zeros for token-free text.  ``max_tokens`` keeps the first tokens only (C4).  No shuffle."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    toks = df.select(*ids, F.explode_outer(word_tokens(text_col)).alias("_tok"))
-    b = toks.select(*ids, token_bucket("_tok", dim).alias("_b"))
-    c = b.groupBy(*ids, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    has = F.col("_b").isNotNull()
-    g = c.groupBy(*ids).agg(
-        F.map_from_entries(F.collect_list(F.when(has, F.struct("_b", "_n")))).alias("_m"),
-        F.coalesce(F.sum(F.when(has, F.col("_n") * F.col("_n"))), F.lit(0)).alias("_ss"))
-    g = g.withColumn("_norm", F.sqrt(F.col("_ss").cast("double")))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.when(F.col("_norm") > 0,
-                                       F.coalesce(F.element_at("_m", i.cast("long")), F.lit(0)) / F.col("_norm"))
-                      .otherwise(F.lit(0.0)))
-    return g.select(*ids, vec.alias(out))
+    ship_package(df.sparkSession)
+    text = F.col(text_col) if max_tokens is None else truncate_tokens(text_col, max_tokens)
+    src = df.select(*ids, word_tokens(text).alias("_toks"))
+    schema = T.StructType(src.schema.fields[:-1] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return src.mapInArrow(_bucket_counts(len(ids), dim, out), schema)
 
 
 def truncate_tokens(c, n: int = 256) -> Column:
@@ -62,9 +67,7 @@ def embed_distinct(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM
                    out: str = "embedding") -> DataFrame:
     """Embed each distinct text once and join the vectors back on the text.
 
-    The distinct set is keyed by a SHA-256 of the text so the join key stays
-    narrow; the text itself is compared too, so a hash collision cannot pair
-    the wrong rows.
+    Texts are told apart by their SHA-256, so the join key stays narrow.
     """
     keyed = df.withColumn("_tkey", F.sha2(F.col(text_col), 256))
     uniq = keyed.select("_tkey", text_col).dropDuplicates(["_tkey"])

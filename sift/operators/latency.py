@@ -19,21 +19,13 @@ def latency_flag(value, threshold: float = SLOW_SECONDS) -> Column:
     return F.when(v > F.lit(threshold), F.lit("slow")).otherwise(F.lit("acceptable"))
 
 
-def exact_mean(v, scale: int = 2) -> Column:
-    """Mean of values with ``scale`` decimals: an exact decimal sum divided by the
-    count, so the result does not depend on summation order (partial aggregates
-    merge in any order) and any engine gets the same double."""
-    c = F.col(v) if isinstance(v, str) else v
-    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double") / F.count(c)
-
-
 def latency_report(events: DataFrame, value_col: str = "value", by: str = "event_type",
                    threshold: float = SLOW_SECONDS) -> DataFrame:
     v = F.col(value_col)
     return events.groupBy(by).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(v > F.lit(threshold)).alias("slow"),
-        exact_mean(v).alias("mean_seconds"),
+        F.avg(v).alias("mean_seconds"),
         F.min(v).alias("min_seconds"),
         F.max(v).alias("max_seconds"),
         (F.count_if(v > F.lit(threshold)) / F.count(F.lit(1))).alias("slow_share"))

@@ -3,69 +3,122 @@
 The index is never a matrix.  It is two tables:
 
 * ``vocab(term, cf, df, idf)`` — at most ``max_features`` rows, chosen by
-  corpus term count (ties: term ascending), so it has a proven size bound and
-  is broadcast to every join that needs it;
+  corpus term count (ties: term ascending);
 * ``postings(chunk_id, term, tf, weight)`` — tf-idf weights, L2-normalised
-  per chunk, hash-partitioned by ``chunk_id``.
-
-Term analysis: lower-case, tokens of two or more word characters, stop words
-removed, then unigrams + bigrams of what is left — built-in expressions, a
-broadcast anti-join and a ``lead`` window; no Python and no array lambdas.
-Keyword search joins the (small, size-checked) query-term table to postings
-on ``term`` — an equi-join, no query x chunk product — sums ``qw * w`` per
-(query, chunk), and keeps the top ``k`` per query with a ``row_number``
-window that Catalyst limits per partition before the shuffle.
+  per chunk.
+
+``save_index`` / ``load_index`` keep both as Parquet.  Term analysis: lower-case,
+tokens of two or more word characters (a SQL expression), stop words removed,
+then unigrams + bigrams of what is left.  A chunk is one row, so its terms,
+counts, length and norm are made in the Arrow batch that holds it: nothing is
+shuffled before ``groupBy(term)``, and that is pre-summed by batch.  Keyword
+search joins query terms to postings on ``term``, sums ``qw * w`` per (query,
+chunk), and keeps the top ``k`` per query with a ``row_number`` window that
+Catalyst limits per partition before the shuffle.  The join has one plan for
+all sizes; AQE broadcasts a small side and splits a skewed term at run time.
 """
 
 from __future__ import annotations
 
+import math
 import os
-from typing import Sequence
+from typing import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
-from ..session import shared_dir
+from ..session import ship_package
 
 _SW_FILE = os.path.join(os.path.dirname(__file__), "..", "functions", "stopwords_english.txt")
 with open(_SW_FILE, encoding="utf-8") as _f:
     STOP_WORDS: tuple[str, ...] = tuple(w.strip() for w in _f if w.strip())
 
 MAX_FEATURES = 5000
-MAX_BROADCAST_QUERY_TERMS = 2_000_000
 RANK_DECIMALS = 9
 
 
-def term_rows(df: DataFrame, id_col: str, text_col: str,
-              stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True) -> DataFrame:
-    """``(id, term)``, one row per unigram / bigram occurrence.
-
-    Lambda-free: tokens are ``posexplode``-d, stop words leave through a
-    broadcast anti-join (the stop-word table has a fixed size), and a bigram is
-    a token plus the next kept token (``lead`` over the document's positions).
-    The input is hash-partitioned by ``id`` once; the window and the later
-    ``groupBy(id, term)`` reuse that partitioning.
-    """
-    spark = df.sparkSession
-    x = df.select(id_col, text_col).repartition(id_col)
-    e = x.select(id_col, F.posexplode(word_tokens(F.coalesce(F.col(text_col), F.lit(""))))
-                 .alias("_pos", "term"))
-    sw = spark.createDataFrame([(w,) for w in stop_words], "_sw string")
-    e = e.join(F.broadcast(sw), e["term"] == sw["_sw"], "left_anti")
-    if not bigrams:
-        return e.select(id_col, "term")
-    nxt = F.lead("term").over(Window.partitionBy(id_col).orderBy("_pos"))
-    e = e.withColumn("_next", nxt)
-    both = F.explode(F.array(F.col("term"), F.concat(F.col("term"), F.lit(" "), F.col("_next"))))
-    return e.select(id_col, both.alias("term")).filter(F.col("term").isNotNull())
-
-
-def term_counts(df: DataFrame, id_col: str, text_col: str,
-                stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True) -> DataFrame:
-    """``(id, term, tf)`` — one shuffle (keyed by ``id``), reused by per-document windows."""
-    return (term_rows(df, id_col, text_col, stop_words, bigrams)
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+def _terms(toks: pa.Array, stop: pa.Array, bigrams: bool):
+    """Distinct terms of every row of a token-list column: (row, term code, tf), the terms by code, and row lengths."""
+    n = len(toks)
+    size = np.asarray(toks.value_lengths().fill_null(0)).astype(np.int64)
+    flat = toks.flatten()
+    keep = ~np.asarray(pc.is_in(flat, value_set=stop)) if len(flat) else np.zeros(0, bool)
+    enc = flat.filter(pa.array(keep)).dictionary_encode()
+    row = np.repeat(np.arange(n), size)[keep]
+    code = np.asarray(enc.indices).astype(np.int64)
+    names: list[str] = enc.dictionary.to_pylist()
+    base = max(len(names), 1)
+    rows, codes = [row], [code]
+    if bigrams and len(code) > 1:
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        u, back = np.unique(code[pair] * base + code[pair + 1], return_inverse=True)
+        rows.append(row[pair])
+        codes.append(back + len(names))
+        names = names + [f"{names[x // base]} {names[x % base]}" for x in u.tolist()]
+    total = max(len(names), 1)
+    key, tf = np.unique(np.concatenate(rows) * total + np.concatenate(codes), return_counts=True)
+    row, code = key // total, key % total
+    return row, code, tf.astype(np.int64), names, np.bincount(row, weights=tf, minlength=n).astype(np.int64)
+
+
+def _token_lists(df: DataFrame, cols: Sequence[str], text_col: str) -> DataFrame:
+    ship_package(df.sparkSession)
+    return df.select(*cols, word_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_toks"))
+
+
+def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = STOP_WORDS,
+                bigrams: bool = True) -> DataFrame:
+    """``(id, term, tf, length)`` — one row per distinct term of a row, ``length`` its number of terms.  No shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(list(stop_words), pa.string())
+        for rb in batches:
+            row, code, tf, names, length = _terms(rb.column(1), stop, bigrams)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0).take(pa.array(row)), pa.array(names, pa.string()).take(pa.array(code)), pa.array(tf), pa.array(length[row])],
+                names=[id_col, "term", "tf", "length"])
+
+    src = _token_lists(df, [id_col], text_col)
+    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, term string, tf long, length long")
+
+
+def term_stats(df: DataFrame, text_col: str, stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True) -> DataFrame:
+    """``(term, cf, df)`` over all rows, pre-summed by batch; the null term has the number of terms (cf) and of rows (df)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(list(stop_words), pa.string())
+        for rb in batches:
+            _, code, tf, names, length = _terms(rb.column(0), stop, bigrams)
+            cf = np.bincount(code, weights=tf, minlength=len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*names, None], pa.string()), pa.array(np.append(cf, length.sum())),
+                 pa.array(np.append(np.bincount(code, minlength=len(names)), rb.num_rows))], names=["term", "cf", "df"])
+
+    part = _token_lists(df, [], text_col).mapInArrow(run, "term string, cf long, df long")
+    return part.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+
+def _weighted(df: DataFrame, id_col: str, text_col: str, idf: dict[str, float], stop_words: Sequence[str]) -> DataFrame:
+    """``(id, term, tf, weight)``: tf x idf over the vocabulary (bounded), unit length per row; local to the row."""
+    bc = df.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(list(stop_words), pa.string())
+        known = bc.value
+        for rb in batches:
+            row, code, tf, names, _ = _terms(rb.column(1), stop, True)
+            w = np.array([known.get(t, 0.0) for t in names])[code] if len(names) else np.zeros(0)
+            on = w > 0
+            row, code, tf, raw = row[on], code[on], tf[on], tf[on] * w[on]
+            norm = np.sqrt(np.bincount(row, weights=raw * raw, minlength=rb.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0).take(pa.array(row)), pa.array(names, pa.string()).take(pa.array(code)), pa.array(tf), pa.array(raw / norm[row])],
+                names=[id_col, "term", "tf", "weight"])
+
+    src = _token_lists(df, [id_col], text_col)
+    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, term string, tf long, weight double")
 
 
 def build_tfidf(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content",
@@ -73,48 +126,41 @@ def build_tfidf(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
     """Returns ``(vocab, postings)``.
 
     idf is the smoothed form ``ln((1+n)/(1+df)) + 1`` with ``n`` the number of
-    chunks (a scalar subquery, not a driver round trip); weights are
-    ``tf * idf`` scaled to unit length per chunk over the kept vocabulary.
+    chunks; weights are ``tf * idf`` scaled to unit length per chunk over the
+    kept vocabulary.  One pass finds the vocabulary, of which at most
+    ``max_features`` rows come to the driver; the postings are a second pass.
     """
-    n_docs = chunks.select(F.count(F.lit(1))).scalar()
-    # tf feeds both the vocabulary and the postings: materialise it once in the
-    # shared checkpoint folder (keeps its chunk_id partitioning, cuts lineage)
-    shared_dir(chunks.sparkSession)
-    tf = term_counts(chunks, id_col, text_col, stop_words).checkpoint(eager=True)
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    vocab = (stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
-    # vocab has at most max_features rows: a proven bound for the broadcast
-    w = tf.join(F.broadcast(vocab.select("term", "idf")), "term")
-    w = w.withColumn("_raw", F.col("tf") * F.col("idf"))
-    nrm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(id_col)))
-    postings = w.select(id_col, "term", "tf", (F.col("_raw") / nrm).alias("weight"))
-    return vocab, postings
+    spark = chunks.sparkSession
+    top = (term_stats(chunks, text_col, stop_words)
+           .orderBy(F.col("term").isNull().desc(), F.desc("cf"), F.asc("term")).limit(max_features + 1).collect())
+    n = next((r["df"] for r in top if r["term"] is None), 0)
+    rows = [(r["term"], r["cf"], r["df"], math.log((1.0 + n) / (1.0 + r["df"])) + 1.0) for r in top if r["term"] is not None]
+    vocab = spark.createDataFrame(rows, "term string, cf long, df long, idf double")
+    return vocab, _weighted(chunks, id_col, text_col, {r[0]: r[3] for r in rows}, stop_words)
+
+
+def save_index(vocab: DataFrame, postings: DataFrame, path: str) -> None:
+    """Store the index under ``path`` (built once, queried many times)."""
+    vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    postings.write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/postings")
 
 
 def query_weights(queries: DataFrame, vocab: DataFrame, qid_col: str = "qid",
                   text_col: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``(qid, term, qweight)``: the query's tf-idf over the index vocabulary, unit length."""
-    tf = term_counts(queries, qid_col, text_col, stop_words)
-    w = tf.join(F.broadcast(vocab.select("term", "idf")), "term")
-    w = w.withColumn("_raw", F.col("tf") * F.col("idf"))
-    nrm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(qid_col)))
-    out = w.select(qid_col, "term", (F.col("_raw") / nrm).alias("qweight"))
-    # the size bound comes from the query side alone (weights are a subset of its terms)
-    return F.broadcast(out) if _small(tf, MAX_BROADCAST_QUERY_TERMS) else out
-
-
-def _small(df: DataFrame, max_rows: int) -> bool:
-    """A bounded count: True when ``df`` has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    idf = {r["term"]: r["idf"] for r in vocab.select("term", "idf").collect()}  # at most max_features rows
+    return _weighted(queries, qid_col, text_col, idf, stop_words).select(qid_col, "term", F.col("weight").alias("qweight"))
 
 
 def lexical_search(qweights: DataFrame, postings: DataFrame, k: int, qid_col: str = "qid",
                    id_col: str = "chunk_id") -> DataFrame:
     """``(qid, id, score, rank)`` — cosine of tf-idf vectors, top ``k``, score > 0 only.
 
-    ``qweights`` comes from ``query_weights`` (broadcast when its size check passed);
-    postings never move for the join.
+    ``qweights`` comes from ``query_weights``.
     """
     j = postings.join(qweights, "term")
     scores = (j.groupBy(qid_col, id_col).agg(F.sum(F.col("qweight") * F.col("weight")).alias("score"))
@@ -126,30 +172,24 @@ def lexical_search(qweights: DataFrame, postings: DataFrame, k: int, qid_col: st
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, qid_col: str = "qid",
                 qtext_col: str = "text", id_col: str = "chunk_id", text_col: str = "content",
                 k1: float = 1.2, b: float = 0.75,
-                stop_words: Sequence[str] = STOP_WORDS,
-                max_broadcast_terms: int = MAX_BROADCAST_QUERY_TERMS) -> DataFrame:
+                stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Okapi BM25 over the same analyzer (uni+bigrams), every term kept.
 
     ``idf = ln(1 + (n - df + 0.5) / (df + 0.5))``; score =
     ``sum over distinct query terms of idf * tf (k1+1) / (tf + k1 (1 - b + b len/avglen))``
-    with ``len`` the chunk's term count.
+    with ``len`` the chunk's term count.  One pass gives document frequencies,
+    ``n`` and the average length; a second scores the postings.
     """
-    shared_dir(chunks.sparkSession)
-    # used three times (lengths, document frequencies, scoring): materialise once
-    tf = term_counts(chunks, id_col, text_col, stop_words).checkpoint(eager=True)
-    n_docs = chunks.select(F.count(F.lit(1))).scalar()
-    dl = Window.partitionBy(id_col)
-    tf = tf.withColumn("_len", F.sum("tf").over(dl))
-    avg_len = tf.select((F.sum("tf") / n_docs).alias("a")).scalar()
+    stats = term_stats(chunks, text_col, stop_words)
+    totals = stats.where("term IS NULL")
+    avg_len, n = totals.select(F.col("cf") / F.col("df")).scalar(), totals.select("df").scalar()
     qt = term_counts(queries, qid_col, qtext_col, stop_words).select(qid_col, "term")
-    small = _small(qt, max_broadcast_terms)
-    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qt = qt.join(df_t, "term")
-    qt = qt.withColumn("idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
-    q = qt.select(qid_col, "term", "idf")
-    j = tf.join(F.broadcast(q) if small else q, "term")
+    q = qt.join(stats.where("term IS NOT NULL").select("term", "df"), "term")
+    df = F.col("df")
+    q = q.select(qid_col, "term", F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5))).alias("idf"))
+    j = term_counts(chunks, id_col, text_col, stop_words).join(q, "term")
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (
-        F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / avg_len))
+        F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("length") / avg_len))
     scores = j.groupBy(qid_col, id_col).agg(F.sum(part).alias("score")).filter(F.col("score") > 0)
     win = Window.partitionBy(qid_col).orderBy(F.round("score", RANK_DECIMALS).desc(), F.col(id_col))
     return scores.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)

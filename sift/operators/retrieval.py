@@ -1,29 +1,27 @@
 """Vector retrieval over a chunk table, for a whole table of queries.
 
-Exact k-nearest search never builds a query x chunk join.  The query set is
-the small side: its row count is checked against ``max_broadcast_queries``
-before it is broadcast (a larger query set is cut into blocks that each pass
-the check).  The chunk table stays where it is; each Arrow batch is scored
-against all queries with one numpy matrix product and only the best ``k``
-per query leave the batch.  The final ``row_number() <= k`` window is planned
-by Catalyst as a partial + final WindowGroupLimit, so each partition sends
-at most ``k`` rows per query to the shuffle.
+Exact k-nearest search is a block join without a product of rows.  Corpus rows
+are dealt to cells by a hash of their id and every query to every cell of its
+query block; a task streams its cell, first the queries and then the corpus in
+Arrow batches, scores each batch with one numpy matrix product and keeps a
+running top ``k`` per query.  It emits ``k`` rows per query once, however many
+batches it saw.  Nothing passes through the driver, the corpus is read once for
+any number of queries, and a final ``row_number() <= k`` merges the cells.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-MAX_BROADCAST_QUERIES = 20_000   # x dim x 8 bytes: 10 MB broadcast at dim 64
-QUERY_TILE = 1024                # queries scored per matrix product inside a batch
+QUERY_BLOCK = 20_000     # queries held by a task at most (10 MB at dim 64)
+QUERY_TILE = 1024        # queries scored per matrix product inside a batch
 METRICS = ("cosine", "l2", "ip")
 RANK_DECIMALS = 9        # ranking key: distance rounded, then id (engine-independent ties)
 
@@ -63,92 +61,123 @@ def _topk_rows(rd: np.ndarray, ids: np.ndarray, k: int):
     return r, c
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
+def _vectors(col: pa.Array, dim: int | None) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    n = len(col)
-    if n == 0:
-        return np.zeros((0, 0))
-    return flat.reshape(n, -1)
-
-
-def _search_block(spark: SparkSession, qids: np.ndarray, Q: np.ndarray, corpus: DataFrame,
-                  id_col: str, vec_col: str, k: int, metric: str, carry: bool = False) -> DataFrame:
-    bq = spark.sparkContext.broadcast((qids, Q))
-    out_schema = f"qid long, {id_col} long, distance double" + (", _cv array<double>" if carry else "")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid_arr, Qm = bq.value
-        qn_all = np.linalg.norm(Qm, axis=1)
-        for rb in batches:
-            if rb.num_rows == 0 or len(qid_arr) == 0:
-                continue
-            ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            V = _vectors(rb.column(vec_col))
-            order = np.argsort(ids, kind="stable")
-            ids, V = ids[order], V[order]
-            vn = np.linalg.norm(V, axis=1)
-            # queries in tiles: a batch x tile distance block stays ~ QUERY_TILE x batch doubles
-            for lo in range(0, len(qid_arr), QUERY_TILE):
-                hi = min(lo + QUERY_TILE, len(qid_arr))
-                D = _distances(V, Qm[lo:hi], metric, vn, qn_all[lo:hi])
-                rd = np.round(D, RANK_DECIMALS)
-                r, c = _topk_rows(rd, ids, k)
-                cols = [pa.array(qid_arr[lo:hi][c], pa.int64()), pa.array(ids[r], pa.int64()),
-                        pa.array(D[r, c], pa.float64())]
-                names = ["qid", id_col, "distance"]
-                if carry:                  # the candidate's own vector, for re-rankers
-                    cols.append(pa.array(list(V[r]), pa.list_(pa.float64())))
-                    names.append("_cv")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return corpus.select(id_col, vec_col).mapInArrow(score, out_schema)
+    size = np.asarray(col.value_lengths())
+    if len(size) and (size != (dim or size[0])).any():
+        raise ValueError("vectors have different lengths")
+    return flat.reshape(len(col), -1)
+
+
+def _ids(col: pa.Array) -> np.ndarray:
+    return col.to_numpy(zero_copy_only=False) if pa.types.is_integer(col.type) else np.array(col.to_pylist())
+
+
+class _TopK:
+    """Queries of one cell and their running nearest corpus rows."""
+
+    def __init__(self, k: int, metric: str):
+        self.k, self.metric = k, metric
+        self.parts: list[tuple[pa.Array, np.ndarray]] = []
+        self.qids, self.q = None, np.zeros((0, 0))
+        self.best: tuple | None = None  # (query number, rounded distance, id, distance, vector) sorted by query
+
+    def add_queries(self, qids: pa.Array, vectors: np.ndarray) -> None:
+        self.parts.append((qids, vectors))
+
+    def _ready(self) -> bool:
+        if self.qids is None and self.parts:
+            self.qids = pa.concat_arrays([p[0] for p in self.parts])
+            self.q = np.concatenate([p[1] for p in self.parts])
+            self.qn = np.linalg.norm(self.q, axis=1)
+        return self.qids is not None
+
+    def add_corpus(self, ids: np.ndarray, v: np.ndarray, carry: bool) -> None:
+        if not self._ready():
+            return
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        vn = np.linalg.norm(v, axis=1)
+        found = []
+        # queries in tiles: a batch x tile distance block stays ~ QUERY_TILE x batch doubles
+        for lo in range(0, len(self.q), QUERY_TILE):
+            d = _distances(v, self.q[lo:lo + QUERY_TILE], self.metric, vn, self.qn[lo:lo + QUERY_TILE])
+            rd = np.round(d, RANK_DECIMALS)
+            r, c = _topk_rows(rd, ids, self.k)
+            found.append((c + lo, rd[r, c], ids[r], d[r, c], v[r] if carry else np.zeros((len(r), 0))))
+        if self.best is not None:
+            found.append(self.best)
+        qi, rd, own, d, vec = (np.concatenate(x) for x in zip(*found))
+        by = np.lexsort((own, rd, qi))
+        first = np.searchsorted(qi[by], np.arange(len(self.q)))
+        keep = by[np.arange(len(by)) - first[qi[by]] < self.k]
+        self.best = (qi[keep], rd[keep], own[keep], d[keep], vec[keep])
 
 
 def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
                     qid_col: str = "qid", qvec_col: str = "embedding",
                     id_col: str = "chunk_id", vec_col: str = "embedding",
-                    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-                    carry_vectors: bool = False) -> DataFrame:
+                    carry_vectors: bool = False, cells: int | None = None,
+                    query_block: int = QUERY_BLOCK) -> DataFrame:
     """``(qid, id, distance, rank)`` — the k nearest corpus rows per query, ascending.
 
     ``metric``: ``cosine`` (1 - cos), ``l2`` (squared Euclidean, the vector
     store default) or ``ip`` (1 - inner product).  Ties rank by id.
     ``carry_vectors`` adds each hit's own vector (``_cv``) so a re-ranker needs
-    no join back to the corpus.
+    no join back to the corpus.  ``cells``: parts of the corpus (default: the
+    shuffle partitions).  Vectors of unequal length are an error.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     spark = corpus.sparkSession
     ship_package(spark)
-    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("_qv"))
-    # one bounded read: at most max_broadcast_queries + 1 rows reach the driver
-    first = q.limit(max_broadcast_queries + 1).toPandas()
-    if len(first) <= max_broadcast_queries:
-        nblocks, blocks = 1, [first]
-    else:
-        # twice the minimum block count: hash-split blocks vary, each stays well inside the bound
-        nblocks = max(2, math.ceil(2 * q.count() / max_broadcast_queries))
-        blocks = None
-    parts = []
-    for b in range(nblocks):
-        if blocks is not None:
-            pdf = blocks[b]
-        else:
-            # each block is ~1/nblocks of the queries: within the broadcast bound
-            pdf = q.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == b).toPandas()
-        if len(pdf) == 0:
-            continue
-        qids = pdf["qid"].to_numpy(np.int64)
-        Q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_qv"]])
-        parts.append(_search_block(spark, qids, Q, corpus, id_col, vec_col, k, metric, carry_vectors))
-    if not parts:
-        extra = ", _cv array<double>" if carry_vectors else ""
-        return spark.createDataFrame([], f"qid long, {id_col} long, distance double{extra}, rank int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.select(F.col(qid_col).alias("_q"), F.col(qvec_col).cast("array<double>").alias("_v"))
+    c = corpus.select(F.col(id_col).alias("_i"), F.col(vec_col).cast("array<double>").alias("_v"))
+    qtype, itype = q.schema["_q"].dataType.simpleString(), c.schema["_i"].dataType.simpleString()
+    # query blocks of about half the bound, so that hash-dealt blocks stay inside it
+    n_blocks = F.ceil(2 * F.count(F.lit(1)) / query_block).cast("int")
+    blocks = q.agg(F.when(F.count(F.lit(1)) > query_block, n_blocks).otherwise(1).alias("_nb")).scalar()  # one number
+    cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    qr = q.select(cell.alias("_cell"), F.pmod(F.xxhash64("_q"), blocks).cast("int").alias("_b"), F.lit(0).alias("_side"),
+                               "_q", F.lit(None).cast(itype).alias("_i"), "_v")
+    cr = c.select(F.pmod(F.xxhash64("_i"), F.lit(cells)).cast("int").alias("_cell"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"),
+                               F.lit(1).alias("_side"), F.lit(None).cast(qtype).alias("_q"), "_i", "_v")
+    rows = qr.unionByName(cr).repartition(cells, "_cell", "_b").sortWithinPartitions("_cell", "_b", "_side")
+    extra = ", _cv array<double>" if carry_vectors else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, top, dim = None, _TopK(k, metric), None
+
+        def flush():
+            if top.best is not None:
+                qi, _, ids, d, vec = top.best
+                cols = [top.qids.take(pa.array(qi)), pa.array(ids.tolist(), id_arrow), pa.array(d)]
+                if carry_vectors:
+                    cols.append(pa.array(list(vec), pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays(cols, names=["qid", id_col, "distance", "_cv"][:len(cols)])
+
+        id_arrow = None
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            id_arrow = rb.column(4).type
+            key = np.stack([np.asarray(rb.column(j)) for j in range(3)])
+            starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rb.num_rows]):
+                if at != (key[0, a], key[1, a]):
+                    yield from flush()
+                    at, top = (key[0, a], key[1, a]), _TopK(k, metric)
+                part = rb.slice(a, b - a)
+                v = _vectors(part.column(5), dim)
+                dim = v.shape[1]
+                if key[2, a] == 0:
+                    top.add_queries(part.column(3), v)
+                else:
+                    top.add_corpus(_ids(part.column(4)), v, carry_vectors)
+        yield from flush()
+
+    cand = rows.mapInArrow(run, f"qid {qtype}, {id_col} {itype}, distance double{extra}")
     w = Window.partitionBy("qid").orderBy(F.round("distance", RANK_DECIMALS), F.col(id_col))
     return (cand.withColumn("rank", F.row_number().over(w))
                 .filter(F.col("rank") <= k)
@@ -189,8 +218,8 @@ def _mmr_pick(pdf, k: int, lam: float, id_col: str):
                 best, best_i = score, i
         picked.append(best_i)
     ids = pdf[id_col].to_numpy()
-    return pd.DataFrame({"qid": [int(pdf["qid"].iloc[0])] * len(picked),
-                         id_col: [int(ids[i]) for i in picked],
+    return pd.DataFrame({"qid": [pdf["qid"].iloc[0]] * len(picked),
+                         id_col: [ids[i] for i in picked],
                          "pick": list(range(1, len(picked) + 1))})
 
 
@@ -208,37 +237,45 @@ def mmr(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch_k: int = 8, lam
                            carry_vectors=True)
     cand = cand.withColumnRenamed(qid_col, "qid")
     # candidates carry their vectors; only the (bounded, checked) query vectors are joined
-    qv = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("_qv"))
+    qv = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("_qv"))
     c = cand.join(qv, "qid").select("qid", id_col, "rank", "_cv", "_qv")
+    kinds = dict(c.dtypes)
     out = c.groupBy("qid").applyInPandas(lambda pdf: _mmr_pick(pdf, k, lam, id_col),
-                                         f"qid long, {id_col} long, pick int")
+                                         f"qid {kinds['qid']}, {id_col} {kinds[id_col]}, pick int")
     return out.withColumnRenamed("qid", qid_col)
 
 
 # --------------------------------------------------------------------------- D5 LSH
 
 def ann_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.1,
-               tables: int = 8, threshold: float = 2.0, seed: int = 7,
+               tables: int = 8, seed: int = 7,
                qid_col: str = "qid", qvec_col: str = "embedding",
                id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
     """Approximate k-nearest by Euclidean distance with random-projection LSH.
 
     Candidates are pairs that share a hash bucket in at least one of
-    ``tables`` hash tables (an equi-join on bucket keys, no product); they are
-    rescored exactly and the best ``k`` per query kept.  Pairs that never
-    collide are missed — that is the approximation; measure it with ``recall_at_k``.
+    ``tables`` hash tables (an equi-join on bucket keys, no product, at any
+    distance); they are rescored exactly and the best ``k`` per query kept.
+    Queries with fewer than ``k`` candidates are answered by the exact search,
+    so no list is short.  Neighbours that never collide are missed — that is
+    the approximation; measure it with ``recall_at_k``.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    c = corpus.select(F.col(id_col).alias("_id"), array_to_vector(F.col(vec_col)).alias("_v"))
-    q = queries.select(F.col(qid_col).cast("long").alias("_qid"), array_to_vector(F.col(qvec_col)).alias("_v"))
+    c = corpus.select(F.col(id_col).alias("_id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    q = queries.select(F.col(qid_col).alias("_qid"), array_to_vector(F.col(qvec_col).cast("array<double>")).alias("_v"))
     model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
                                         numHashTables=tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="distance")
+    pairs = model.approxSimilarityJoin(q, c, float("inf"), distCol="distance")
     p = pairs.select(F.col("datasetA._qid").alias(qid_col), F.col("datasetB._id").alias(id_col), "distance")
     w = Window.partitionBy(qid_col).orderBy(F.round("distance", RANK_DECIMALS), F.col(id_col))
-    return p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    near = p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    full = near.filter(F.col("rank") == k).select(qid_col)
+    short = queries.join(full, qid_col, "left_anti")
+    exact = semantic_search(short, corpus, k, "l2", qid_col, qvec_col, id_col, vec_col)
+    exact = exact.select(qid_col, id_col, F.sqrt("distance").alias("distance"), "rank")
+    return near.join(full, qid_col, "left_semi").select(qid_col, id_col, "distance", "rank").unionByName(exact)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_col: str = "chunk_id") -> DataFrame:

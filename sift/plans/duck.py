@@ -7,7 +7,6 @@ itself never runs DuckDB.
 from __future__ import annotations
 
 from ..functions.text import WORD_RE, WS, WS_CHARS
-from ..operators.chunking import LINE_ID_STRIDE
 from ..operators.lexical import STOP_WORDS
 
 
@@ -74,7 +73,7 @@ def hash_embed_ctes(name: str, src: str, id_col: str, text_col: str, dim: int =
 def line_chunks_cte(name: str = "line_chunks", docs: str = "documents") -> str:
     return f"""
 {name} AS (
-  SELECT doc_id * {LINE_ID_STRIDE} + (i - 1) AS chunk_id, doc_id, source, (i - 1)::INTEGER AS chunk_no,
+  SELECT printf('%020d:%010d', doc_id, i - 1) AS chunk_id, doc_id, source, (i - 1)::INTEGER AS chunk_no,
          {strip('parts[i]')} AS content
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM {docs}) d,
        range(1, len(parts) + 1) r(i)

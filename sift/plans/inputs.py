@@ -1,6 +1,6 @@
 """Inputs every registered query derives from the given tables.
 
-* chunks   = non-blank lines of ``documents`` (B2), id ``doc_id * 1e6 + line``
+* chunks   = non-blank lines of ``documents`` (B2), id ``row_key(doc_id, line)``
 * queries  = whole ``benchmark`` passages (their text occurs inside documents)
 * vectors  = ``embeddings``; vector queries = per-label centroids (one per label)
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunking import split_chunks
+from ..operators.chunking import row_key, split_chunks
 from ..operators.embedding import hash_embed
 from ..sources.tables import table
 
@@ -61,20 +61,17 @@ QUESTION_TEMPLATES = [
     ("Best practices and tips for selling ", "p_brand", " goods"),
     ("Where is the nearest shop with ", "p_type", "?"),
 ]
-PART_QID_BASE = 1_000_000_000
-TURN_QID_STRIDE = 1000
-
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     conv = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
-        (F.col("conv_id") * TURN_QID_STRIDE + F.col("turn")).alias("qid"), "text")
+        row_key("conv_id", "turn").alias("qid"), "text")
     part = table(spark, sf, "part")
     k = F.pmod(F.col("p_partkey"), F.lit(len(QUESTION_TEMPLATES)))
     expr = None
     for i, (a, c, b) in enumerate(QUESTION_TEMPLATES):
         v = F.concat(F.lit(a), F.col(c).cast("string"), F.lit(b))
         expr = F.when(k == i, v) if expr is None else expr.when(k == i, v)
-    tq = part.select((F.lit(PART_QID_BASE) + F.col("p_partkey")).alias("qid"), expr.alias("text"))
+    tq = part.select(F.format_string("part:%020d", F.col("p_partkey").cast("long")).alias("qid"), expr.alias("text"))
     return conv.unionByName(tq)
 
 
@@ -83,9 +80,9 @@ def questions_sql() -> str:
     cases = " ".join(f"WHEN {i} THEN {D.lit(a)} || CAST({c} AS VARCHAR) || {D.lit(b)}"
                      for i, (a, c, b) in enumerate(QUESTION_TEMPLATES))
     return f"""questions AS (
-  SELECT conv_id * {TURN_QID_STRIDE} + turn AS qid, text FROM conversations WHERE role = 'user'
+  SELECT printf('%020d:%010d', conv_id, turn) AS qid, text FROM conversations WHERE role = 'user'
   UNION ALL
-  SELECT {PART_QID_BASE} + p_partkey AS qid, CASE p_partkey % {len(QUESTION_TEMPLATES)} {cases} END AS text FROM part)"""
+  SELECT printf('part:%020d', p_partkey) AS qid, CASE p_partkey % {len(QUESTION_TEMPLATES)} {cases} END AS text FROM part)"""
 
 
 # Answers: every exchange (user turn + following assistant turn) of
@@ -132,10 +129,11 @@ def answers_sql() -> str:
         else:
             cases.append(f"WHEN {i} THEN {D.lit(a)} || answer || {D.lit(b)}")
     return f"""ex AS (
-  SELECT u.conv_id, u.turn AS q_turn, u.text AS question, a.text AS answer,
-         (row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) - 1) AS exchange_no
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant'),
+  SELECT conv_id, turn AS q_turn, text AS question, next_text AS answer,
+         (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS exchange_no
+  FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant'),
 answers AS (
   SELECT conv_id, q_turn, exchange_no, question, (conv_id + q_turn) % {len(ANSWER_VARIANTS)} AS variant,
          CASE (conv_id + q_turn) % {len(ANSWER_VARIANTS)} {' '.join(cases)} END AS answer FROM ex)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..operators import conversations as C
 from ..operators import prompts as P
+from ..operators.chunking import row_key
 from ..operators.latency import latency_flag, latency_percentiles, latency_report
 from ..operators.retrieval import retrieve
 from ..sources.tables import table
@@ -20,10 +21,11 @@ def _turns(spark, sf):
 
 
 _EX = """ex AS (
-  SELECT u.conv_id, u.turn AS q_turn, u.text AS question, a.text AS answer,
-         (row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) - 1) AS exchange_no
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')"""
+  SELECT conv_id, turn AS q_turn, text AS question, next_text AS answer,
+         (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS exchange_no
+  FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant')"""
 
 
 @register("h1_exchanges", sql=f"WITH {_EX} SELECT conv_id, q_turn, exchange_no, question, answer FROM ex")
@@ -183,10 +185,10 @@ def i3_render_prompts(spark, sf):
 # ------------------------------------------------------------------ J
 
 @register("j1_latency_report", sql="""SELECT event_type, count(*) AS requests, count_if(value > 30.0) AS slow,
-  (CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) / count(value)) AS mean_seconds, min(value) AS min_seconds, max(value) AS max_seconds,
+  round(avg(value), 6) AS mean_seconds, min(value) AS min_seconds, max(value) AS max_seconds,
   count_if(value > 30.0) / count(*) AS slow_share FROM events GROUP BY event_type""")
 def j1_latency_report(spark, sf):
-    return latency_report(table(spark, sf, "events"))
+    return latency_report(table(spark, sf, "events")).withColumn("mean_seconds", F.round("mean_seconds", 6))
 
 
 @register("j1_latency_flags", sql="""SELECT event_id, CASE WHEN value > 30.0 THEN 'slow' ELSE 'acceptable' END AS flag
@@ -208,7 +210,7 @@ def _i4_sql() -> str:
     tmpl = _template_sql(P.DEFAULT_TEMPLATE, {"context": "context", "question": "question",
                                               "chat_history": "chat_history"})
     return f"""WITH {D.line_chunks_cte()}, {_EX},
-qq AS (SELECT conv_id * 1000 + q_turn AS qid, conv_id, q_turn, question, answer FROM ex),
+qq AS (SELECT printf('%020d:%010d', conv_id, q_turn) AS qid, conv_id, q_turn, question, answer FROM ex),
 {D.hash_embed_ctes('qv', 'qq', 'qid', 'question')},
 {D.hash_embed_ctes('cv', 'line_chunks', 'chunk_id', 'content')},
 {D.semantic_hits_cte('sh', 'qv', 'cv', 3, 'l2')},
@@ -217,7 +219,7 @@ ctx AS (SELECT qid, count(*) AS n_docs, string_agg(content, chr(10) || chr(10) O
         FROM hits GROUP BY qid),
 hw AS (SELECT conv_id, turn, role, list(role || ': ' || text)
          OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM conversations),
-hist AS (SELECT conv_id * 1000 + turn AS qid, coalesce(array_to_string(h, chr(10)), '') AS chat_history
+hist AS (SELECT printf('%020d:%010d', conv_id, turn) AS qid, coalesce(array_to_string(h, chr(10)), '') AS chat_history
          FROM hw WHERE role = 'user'),
 x AS (SELECT qq.qid, qq.conv_id, qq.q_turn, qq.question, qq.answer, coalesce(ctx.n_docs, 0) AS n_docs, ctx.context,
              hist.chat_history FROM qq LEFT JOIN ctx USING (qid) LEFT JOIN hist USING (qid)),
@@ -236,8 +238,8 @@ def i4_run_profile(spark, sf):
     from ..operators.embedding import hash_embed
     turns = _turns(spark, sf)
     ex = C.exchanges(turns)
-    qs = ex.select((F.col("conv_id") * 1000 + F.col("q_turn")).alias("qid"), "question", "answer")
-    hist = C.history_slice(turns, 6).select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+    qs = ex.select(row_key("conv_id", "q_turn").alias("qid"), "question", "answer")
+    hist = C.history_slice(turns, 6).select(row_key("conv_id", "turn").alias("qid"),
                                             F.col("history_text").alias("chat_history"))
     cvec = chunk_vectors(spark, sf)
 

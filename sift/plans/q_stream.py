@@ -7,6 +7,8 @@ is ``h4_history_slice``.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import table
 from ..streaming.live import hourly_quality, session_activity
 from .registry import register
@@ -18,25 +20,23 @@ s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE TH
                 OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM e)
 SELECT user_id, epoch_us(min(ts)) AS session_start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS session_end_us,
        count(*) AS events, count_if(event_type = 'purchase') AS purchases, count_if(event_type = 'error') AS errors,
-       (CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) / count(value)) AS mean_value
+       round(avg(value), 6) AS mean_value
 FROM s GROUP BY user_id, sid""")
 def k5_session_activity(spark, sf):
-    return session_activity(table(spark, sf, "events"))
+    return session_activity(table(spark, sf, "events")).withColumn("mean_value", F.round("mean_value", 6))
 
 
 @register("k6_hourly_quality", sql="""SELECT epoch_us(date_trunc('hour', ts)) AS hour_start_us, event_type,
-       count(*) AS requests, count_if(value > 30.0) AS slow, (CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) / count(value)) AS mean_seconds
+       count(*) AS requests, count_if(value > 30.0) AS slow, round(avg(value), 6) AS mean_seconds
 FROM events GROUP BY 1, 2""")
 def k6_hourly_quality(spark, sf):
-    return hourly_quality(table(spark, sf, "events"))
+    return hourly_quality(table(spark, sf, "events")).withColumn("mean_seconds", F.round("mean_seconds", 6))
 
 
 # Streaming runs: the table is read as a file stream, the operator runs to
 # completion (availableNow) into a table under the shared folder, and that
 # table is the result — checked against the same SQL as the batch twin.
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from ..functions import lexicons as L  # noqa: E402
 from ..streaming.live import analyze_stream, history_stream, run_to_table, table_stream  # noqa: E402
 from . import duck as D  # noqa: E402
@@ -104,4 +104,4 @@ def k5_session_activity_split(spark, sf):
     """Batch sessionisation that splits hot users by time block (same sessions as k5)."""
     from ..streaming.live import session_activity_split
     return session_activity_split(table(spark, sf, "events")).select(
-        "user_id", "session_start_us", "session_end_us", "events", "purchases", "errors", "mean_value")
+        "user_id", "session_start_us", "session_end_us", "events", "purchases", "errors", F.round("mean_value", 6).alias("mean_value"))

@@ -8,6 +8,8 @@ from ..functions import lexicons as L
 from ..functions.text import blank, py_strip
 from ..operators import answers as A
 from ..operators import questions as Q
+from ..operators.chunking import row_key
+from ..operators.conversations import next_message
 from . import duck as D
 from .inputs import answers, answers_sql, questions, questions_sql
 from .registry import register
@@ -84,16 +86,16 @@ def e7_analyze_questions(spark, sf):
 
 @register("e9_question_report", sql=f"""WITH {_E7_CTE},
 ex AS (SELECT query_type, confidence, unnest(CASE WHEN len(terms) = 0 THEN [NULL::VARCHAR] ELSE terms END) AS term FROM an2)
-SELECT query_type, term, count(*) AS n, (CAST(sum(CAST(confidence AS DECIMAL(38,6))) AS DOUBLE) / count(confidence)) AS avg_confidence,
+SELECT query_type, term, count(*) AS n, round(avg(confidence), 6) AS avg_confidence,
        grouping(query_type, term) AS level
 FROM ex GROUP BY ROLLUP (query_type, term)""")
 def e9_question_report(spark, sf):
-    return Q.question_report(Q.analyze_questions(questions(spark, sf)))
+    return Q.question_report(Q.analyze_questions(questions(spark, sf))).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 # ------------------------------------------------------------------ F
 
-def clean_ctes(profile: str, src: str, col: str = "answer", key: str = "conv_id * 1000 + q_turn",
+def clean_ctes(profile: str, src: str, col: str = "answer", key: str = "printf('%020d:%010d', conv_id, q_turn)",
                p: str = "cl") -> str:
     """DuckDB mirror of ``clean_answers``: CTEs ``{p}_1..`` ending in ``{p}`` = src columns + ``cleaned``."""
     if profile in ("fast", "improved"):
@@ -143,7 +145,7 @@ def _clean_sql(profile: str) -> str:
 
 def _clean_query(profile: str):
     def q(spark, sf):
-        a = answers(spark, sf).withColumn("_key", F.col("conv_id") * 1000 + F.col("q_turn"))
+        a = answers(spark, sf).withColumn("_key", row_key("conv_id", "q_turn"))
         c = A.clean_answers(a, "answer", profile, key="_key")
         return c.select("conv_id", "q_turn", "variant", "cleaned")
     return q
@@ -156,19 +158,16 @@ for _p, _ids in [("fast", "f1_f3_f6_f7"), ("flan", "f2_f4_f5_f6_f7_f8"), ("orca"
 
 
 @register("f10_failed_answers", sql=f"""WITH
-nx AS (SELECT u.conv_id, u.turn, a.role AS next_role, a.text AS next_text
-       FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-       WHERE u.role = 'user')
+nx AS (SELECT * FROM (
+  SELECT conv_id, turn, role, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user')
 SELECT conv_id, turn AS q_turn, coalesce(next_role, '') <> 'assistant' AS is_error,
        CASE WHEN coalesce(next_role, '') <> 'assistant' THEN {D.lit(L.APOLOGY['advanced'])} ELSE next_text END AS reply
 FROM nx""")
 def f10_failed_answers(spark, sf):
     """A user turn without an assistant reply right after it is a failed request."""
     from ..sources.tables import table
-    t = table(spark, sf, "conversations")
-    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"),
-                   F.col("text").alias("next_text"))
-    u = t.filter(F.col("role") == "user").select("conv_id", "turn").join(nxt, ["conv_id", "turn"], "left")
+    u = next_message(table(spark, sf, "conversations")).filter(F.col("role") == "user")
     failed = F.coalesce(F.col("next_role"), F.lit("")) != "assistant"
     return u.select("conv_id", F.col("turn").alias("q_turn"), failed.alias("is_error"),
                     A.substitute_failures(F.col("next_text"), failed).alias("reply"))
@@ -226,9 +225,9 @@ def g6_issue_list(spark, sf):
 
 @register("g7_quality_report", sql=f"""WITH {_G_CTE}
 SELECT count(*) AS answers,
-       (CAST(sum(CAST(confidence_score AS DECIMAL(38,6))) AS DOUBLE) / count(confidence_score)) AS avg_confidence_score, (CAST(sum(CAST(relevance_score AS DECIMAL(38,6))) AS DOUBLE) / count(relevance_score)) AS avg_relevance_score,
-       (CAST(sum(CAST(completeness_score AS DECIMAL(38,6))) AS DOUBLE) / count(completeness_score)) AS avg_completeness_score, (CAST(sum(CAST(clarity_score AS DECIMAL(38,6))) AS DOUBLE) / count(clarity_score)) AS avg_clarity_score,
-       (CAST(sum(CAST(overall_quality AS DECIMAL(38,6))) AS DOUBLE) / count(overall_quality)) AS avg_overall_quality,
+       round(avg(confidence_score), 6) AS avg_confidence_score, round(avg(relevance_score), 6) AS avg_relevance_score,
+       round(avg(completeness_score), 6) AS avg_completeness_score, round(avg(clarity_score), 6) AS avg_clarity_score,
+       round(avg(overall_quality), 6) AS avg_overall_quality,
        count_if(validation_passed) / count(*) AS pass_rate,
        count_if(list_contains(issues, 'Low confidence')) AS n_low_confidence,
        count_if(list_contains(issues, 'Low relevance')) AS n_low_relevance,
@@ -236,7 +235,8 @@ SELECT count(*) AS answers,
        count_if(list_contains(issues, 'Unclear response')) AS n_unclear_response
 FROM g3""")
 def g7_quality_report(spark, sf):
-    return A.quality_report(_validated(spark, sf))
+    r = A.quality_report(_validated(spark, sf))
+    return r.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") else c for c in r.columns])
 
 
 @register("e2_enhance_question_flan", sql=f"""WITH {_QS}

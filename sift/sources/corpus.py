@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -99,32 +99,40 @@ def save_collection(df: DataFrame, path: str, mode: str = "ignore", source_col:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
+    """Is there anything at ``path``; errors other than absence are raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
 
 
 def new_rows(df: DataFrame, existing: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """A4 core: rows whose key is not in ``existing`` (left-anti join)."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.join(existing.select(*keys).distinct(), keys, "left_anti")
+    return df.join(existing.select(*keys), keys, "left_anti")
 
 
 def append_new(df: DataFrame, path: str, key: str = "chunk_id", source_col: str = "source") -> int:
-    """A4: add only rows with ids not yet in the collection; returns how many were added."""
+    """A4: add only rows with ids not yet in the collection, each id once; returns how many were added.
+
+    In a collection bucketed by source the stored ids are matched within the
+    bucket, so only the buckets of the new rows are read.
+    """
     spark = df.sparkSession
+    todo = df.dropDuplicates([key])
+    bucketed = source_col in todo.columns
+    if bucketed:
+        todo = _with_bucket(todo, source_col)
     if _exists(spark, path):
-        todo = new_rows(df, spark.read.parquet(path), key)
-    else:
-        todo = df
-    out = _with_bucket(todo, source_col) if source_col in todo.columns else todo
-    w = out.write.mode("append")
-    if "source_bucket" in out.columns:
+        stored = spark.read.parquet(path)
+        if bucketed and "source_bucket" in stored.columns:
+            hit = [r[0] for r in todo.select("source_bucket").distinct().collect()]  # at most SOURCE_BUCKETS numbers
+            stored = stored.where(F.col("source_bucket").isin(hit))
+        todo = new_rows(todo, stored, key)
+    seen = Observation()
+    w = todo.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append")
+    if bucketed:
         w = w.partitionBy("source_bucket")
     w.parquet(path)
-    return spark.read.parquet(path).count()
+    return int(seen.get["n"])
 
 
 def load_collection(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -141,4 +149,4 @@ def append_messages(messages: DataFrame, path: str) -> None:
 
 def clear_session(log: DataFrame, session_id, session_col: str = "session_id") -> DataFrame:
     """A6 clear: the log without one session (its page history and its bot history)."""
-    return log.filter(F.col(session_col) != F.lit(session_id))
+    return log.filter(~F.col(session_col).eqNullSafe(F.lit(session_id)))

@@ -25,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import questions as Q
 from ..operators.chunking import chunk_documents
-from ..operators.latency import SLOW_SECONDS, exact_mean
+from ..operators.latency import SLOW_SECONDS
 from ..operators.lexical import lexical_search, query_weights
 from ..session import scratch_path, ship_package
 from ..sources.corpus import append_new
@@ -68,8 +68,8 @@ def ingest_stream(docs: DataFrame, collection: str, size: int, overlap: int, sep
 def ingest_corpus(spark: SparkSession, path: str, collection: str, size: int, overlap: int,
                   separators, checkpoint: str | None = None, glob: str = "*.txt"):
     """K1: new text files under ``path`` -> chunks -> collection.  The document id
-    is ``xxhash64(source)``, so ids are stable across runs."""
-    docs = corpus_stream(spark, path, glob).withColumn("doc_id", F.xxhash64("source"))
+    is the source path itself, so ids are stable across runs and never collide."""
+    docs = corpus_stream(spark, path, glob).withColumn("doc_id", F.col("source"))
     return ingest_stream(docs, collection, size, overlap, separators, checkpoint)
 
 
@@ -84,13 +84,15 @@ def retrieve_stream(questions: DataFrame, vocab: DataFrame, postings: DataFrame,
                     k: int = 10, checkpoint: str | None = None, qid_col: str = "qid", text_col: str = "text"):
     """K3: keyword top-k of every micro-batch of questions against a static index.
 
-    ``vocab`` / ``postings`` should be read from a written index table so each
-    micro-batch joins against stored data, not a recomputed plan.
+    ``vocab`` / ``postings`` should be read from a stored index (``load_index``) so
+    each micro-batch joins against stored data, not a recomputed plan.  A batch
+    writes its own ``epoch=N`` folder and overwrites it when replayed, so hits
+    are never doubled.
     """
     def batch(df: DataFrame, epoch: int) -> None:
         hits = lexical_search(query_weights(df.select(qid_col, text_col), vocab, qid_col, text_col),
                               postings, k, qid_col)
-        hits.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out_path)
+        hits.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     q = (questions.writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint or checkpoint_for(spark_of(questions), "retrieve"))
@@ -157,7 +159,7 @@ def session_activity(events: DataFrame, gap: str = "30 minutes", watermark: str
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_type") == "purchase").alias("purchases"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
-        exact_mean("value").alias("mean_value"))
+        F.avg("value").alias("mean_value"))
     return g.select("user_id", F.unix_micros(F.col("s.start")).alias("session_start_us"),
                     F.unix_micros(F.col("s.end")).alias("session_end_us"),
                     "events", "purchases", "errors", "mean_value")
@@ -169,16 +171,19 @@ def hourly_quality(events: DataFrame, watermark: str = "1 hour", threshold: floa
     g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("value") > F.lit(threshold)).alias("slow"),
-        exact_mean("value").alias("mean_seconds"))
+        F.avg("value").alias("mean_seconds"))
     return g.select(F.unix_micros(F.col("w.start")).alias("hour_start_us"), "event_type",
                     "requests", "slow", "mean_seconds")
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """A parquet table of the test-data folder as a file stream (schema from the batch read)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    """A parquet table as a file stream (schema from the batch read), stored as one file or as a folder of parts."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
@@ -226,5 +231,5 @@ def session_activity_split(events: DataFrame, gap_seconds: int = 1800, block_sec
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_type") == "purchase").alias("purchases"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
-        exact_mean("value").alias("mean_value"))
+        F.avg("value").alias("mean_value"))
     return g.drop("_sid")

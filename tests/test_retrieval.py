@@ -43,7 +43,7 @@ def test_semantic_matches_brute_force(spark):
 def test_blocked_query_sets_give_same_answer(spark):
     _, corp, qs = _vectors(spark)
     a = {(r.qid, r.chunk_id, r.rank) for r in semantic_search(qs, corp, 3).collect()}
-    b = {(r.qid, r.chunk_id, r.rank) for r in semantic_search(qs, corp, 3, max_broadcast_queries=7).collect()}
+    b = {(r.qid, r.chunk_id, r.rank) for r in semantic_search(qs, corp, 3, query_block=7).collect()}
     assert a == b
 
 

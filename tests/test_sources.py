@@ -32,15 +32,18 @@ def test_collection_modes(spark, tmpdir_fresh):
     A.save_collection(df1, path, "ignore")
     A.save_collection(df2, path, "ignore")           # exists: untouched
     assert spark.read.parquet(path).count() == 1
-    assert A.append_new(df2, path) == 2               # only the new id is added
-    assert A.append_new(df2, path) == 2
+    assert A.append_new(df2, path) == 1               # only the new id is added
+    assert A.append_new(df2, path) == 0
+    twice = spark.createDataFrame([("3", "s2", "c"), ("3", "s2", "d")], df2.schema)
+    assert A.append_new(twice, path) == 1             # an id repeated in the batch is added once
+    assert spark.read.parquet(path).count() == 3
     A.save_collection(df1, path, "refresh")
     assert spark.read.parquet(path).count() == 1
 
 
 def test_clear_session(spark):
-    log = spark.createDataFrame([("a", 0), ("b", 0), ("a", 1)], "session_id string, turn int")
-    assert [r.session_id for r in A.clear_session(log, "a").collect()] == ["b"]
+    log = spark.createDataFrame([("a", 0), ("b", 0), ("a", 1), (None, 0)], "session_id string, turn int")
+    assert {r.session_id for r in A.clear_session(log, "a").collect()} == {"b", None}
 
 
 def test_collection_auto_refresh(spark, tmpdir_fresh):
