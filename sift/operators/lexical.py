@@ -11,18 +11,21 @@ The index is never a matrix.  It is two tables:
 tokens of two or more word characters (a SQL expression), stop words removed,
 then unigrams + bigrams of what is left.  A chunk is one row, so its terms,
 counts, length and norm are made in the Arrow batch that holds it: nothing is
-shuffled before ``groupBy(term)``, and that is pre-summed by batch.  Keyword
-search joins query terms to postings on ``term``, sums ``qw * w`` per (query,
-chunk), and keeps the top ``k`` per query with a ``row_number`` window that
-Catalyst limits per partition before the shuffle.  The join has one plan for
-all sizes; AQE broadcasts a small side and splits a skewed term at run time.
+shuffled before ``groupBy(term)``, and that is pre-summed by batch.
+
+Keyword search from texts (``keyword_search``, ``bm25_search``) scores a chunk
+where its row is, against blocks of queries, and keeps a running top ``k`` (the
+block join of vector retrieval).  ``lexical_search`` works on a stored index: it
+joins query terms to postings on ``term``, sums ``qw * w`` per (query, chunk) and
+keeps the top ``k``; one plan for all sizes, in which AQE broadcasts a small
+side and splits a skewed term.
 """
 
 from __future__ import annotations
 
 import math
 import os
-from typing import Iterator, Sequence
+from typing import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
 from ..session import ship_package
+from .retrieval import _SparseTopK, block_join
 
 _SW_FILE = os.path.join(os.path.dirname(__file__), "..", "functions", "stopwords_english.txt")
 with open(_SW_FILE, encoding="utf-8") as _f:
     STOP_WORDS: tuple[str, ...] = tuple(w.strip() for w in _f if w.strip())
 
 MAX_FEATURES = 5000
+SPARSE_BLOCK = 4000      # queries held by a task at most
 RANK_DECIMALS = 9
 
 
@@ -100,6 +105,61 @@ def term_stats(df: DataFrame, text_col: str, stop_words: Sequence[str] = STOP_WO
     return part.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
+def _lists(row: np.ndarray, n: int, *values: pa.Array) -> list[pa.Array]:
+    """Values sorted by row as one list per row."""
+    at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(at, v) for v in values]
+
+
+def term_vectors(df: DataFrame, id_col: str, text_col: str, weigh: Callable, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """``(id, terms, weights)`` arrays, one row per input row; ``weigh(names) -> f(codes, tf, length, row) -> weights`` (0: left out)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(list(stop_words), pa.string())
+        for rb in batches:
+            row, code, tf, names, length = _terms(rb.column(1), stop, True)
+            w = weigh(names)(code, tf, length[row], row) if len(names) else np.zeros(0)
+            on = w > 0
+            terms = pa.array(names, pa.string()).take(pa.array(code[on]))
+            yield pa.RecordBatch.from_arrays([rb.column(0), *_lists(row[on], rb.num_rows, terms, pa.array(w[on]))], names=[id_col, "terms", "weights"])
+
+    src = _token_lists(df, [id_col], text_col)
+    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, terms array<string>, weights array<double>")
+
+
+def _tfidf(idf: dict[str, float]) -> Callable:
+    """tf x idf over a bounded vocabulary, unit length per row."""
+    def weigh(names: list[str]):
+        known = np.array([idf.get(t, 0.0) for t in names])
+
+        def f(code, tf, length, row):
+            raw = tf * known[code]
+            norm = np.sqrt(np.bincount(row, weights=raw * raw)) if len(row) else np.zeros(0)
+            return np.divide(raw, norm[row], out=np.zeros_like(raw), where=norm[row] > 0)
+        return f
+    return weigh
+
+
+def sparse_search(queries: DataFrame, corpus: DataFrame, k: int, qid_col: str = "qid", id_col: str = "chunk_id", **kw) -> DataFrame:
+    """``(qid, id, score, rank)``: top ``k`` by the sum of products over shared terms, score > 0 only.
+
+    Both sides are term vectors (id, terms, weights).  Scores are made where a
+    chunk's row is (see ``block_join``): no row per (query, chunk, term).
+    """
+    q = queries.select(F.col(qid_col).alias("_q"), F.col("terms").alias("_t"), F.col("weights").alias("_w"))
+    c = corpus.select(F.col(id_col).alias("_i"), F.col("terms").alias("_t"), F.col("weights").alias("_w"))
+    hits = block_join(q, c, lambda: _SparseTopK(k, "", False), id_col, "score", query_block=SPARSE_BLOCK, **kw)
+    win = Window.partitionBy("qid").orderBy(F.round("score", RANK_DECIMALS).desc(), F.col(id_col))
+    return hits.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k).withColumnRenamed("qid", qid_col)
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, vocab: DataFrame, qid_col: str = "qid", qtext_col: str = "text",
+                   id_col: str = "chunk_id", text_col: str = "content", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """D7 from texts: cosine of tf-idf vectors over ``vocab``, top ``k``, score > 0 only."""
+    idf = {r["term"]: r["idf"] for r in vocab.select("term", "idf").collect()}  # at most max_features rows
+    return sparse_search(term_vectors(queries, qid_col, qtext_col, _tfidf(idf), stop_words),
+                         term_vectors(chunks, id_col, text_col, _tfidf(idf), stop_words), k, qid_col, id_col)
+
+
 def _weighted(df: DataFrame, id_col: str, text_col: str, idf: dict[str, float], stop_words: Sequence[str]) -> DataFrame:
     """``(id, term, tf, weight)``: tf x idf over the vocabulary (bounded), unit length per row; local to the row."""
     bc = df.sparkSession.sparkContext.broadcast(idf)
@@ -181,15 +241,15 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, qid_col: str = "q
     ``n`` and the average length; a second scores the postings.
     """
     stats = term_stats(chunks, text_col, stop_words)
-    totals = stats.where("term IS NULL")
-    avg_len, n = totals.select(F.col("cf") / F.col("df")).scalar(), totals.select("df").scalar()
+    total = stats.where("term IS NULL").select("cf", "df").first()  # two numbers
+    n, avg_len = (total["df"], total["cf"] / total["df"]) if total and total["df"] else (0, 1.0)
     qt = term_counts(queries, qid_col, qtext_col, stop_words).select(qid_col, "term")
-    q = qt.join(stats.where("term IS NOT NULL").select("term", "df"), "term")
     df = F.col("df")
-    q = q.select(qid_col, "term", F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5))).alias("idf"))
-    j = term_counts(chunks, id_col, text_col, stop_words).join(q, "term")
-    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (
-        F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("length") / avg_len))
-    scores = j.groupBy(qid_col, id_col).agg(F.sum(part).alias("score")).filter(F.col("score") > 0)
-    win = Window.partitionBy(qid_col).orderBy(F.round("score", RANK_DECIMALS).desc(), F.col(id_col))
-    return scores.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
+    q = qt.join(stats.where("term IS NOT NULL").select("term", "df"), "term")
+    q = q.groupBy(qid_col).agg(F.collect_list(F.struct("term", F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5))).alias("idf"))).alias("_l"))
+    q = q.select(qid_col, F.col("_l.term").alias("terms"), F.col("_l.idf").alias("weights"))
+
+    def weigh(names: list[str]):
+        return lambda code, tf, length, row: tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / avg_len))
+
+    return sparse_search(q, term_vectors(chunks, id_col, text_col, weigh, stop_words), k, qid_col, id_col)

@@ -11,7 +11,7 @@ any number of queries, and a final ``row_number() <= k`` merges the cells.
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,27 +74,34 @@ def _ids(col: pa.Array) -> np.ndarray:
 
 
 class _TopK:
-    """Queries of one cell and their running nearest corpus rows."""
+    """Queries of one cell and their running nearest corpus rows (smallest rounded distance, then id)."""
 
-    def __init__(self, k: int, metric: str):
-        self.k, self.metric = k, metric
-        self.parts: list[tuple[pa.Array, np.ndarray]] = []
-        self.qids, self.q = None, np.zeros((0, 0))
+    def __init__(self, k: int, metric: str, carry: bool):
+        self.k, self.metric, self.carry = k, metric, carry
+        self.parts: list = []
+        self.qids = None
         self.best: tuple | None = None  # (query number, rounded distance, id, distance, vector) sorted by query
+        self.dim: int | None = None
 
-    def add_queries(self, qids: pa.Array, vectors: np.ndarray) -> None:
-        self.parts.append((qids, vectors))
+    def add_queries(self, qids: pa.Array, cols: list[pa.Array]) -> None:
+        v = _vectors(cols[0], self.dim)
+        self.dim = v.shape[1]
+        self.parts.append((qids, v))
 
     def _ready(self) -> bool:
         if self.qids is None and self.parts:
             self.qids = pa.concat_arrays([p[0] for p in self.parts])
-            self.q = np.concatenate([p[1] for p in self.parts])
-            self.qn = np.linalg.norm(self.q, axis=1)
+            self._prepare([p[1] for p in self.parts])
         return self.qids is not None
 
-    def add_corpus(self, ids: np.ndarray, v: np.ndarray, carry: bool) -> None:
+    def _prepare(self, parts: list) -> None:
+        self.q = np.concatenate(parts)
+        self.qn = np.linalg.norm(self.q, axis=1)
+
+    def add_corpus(self, ids: np.ndarray, cols: list[pa.Array]) -> None:
         if not self._ready():
             return
+        v = _vectors(cols[0], self.dim)
         order = np.argsort(ids, kind="stable")
         ids, v = ids[order], v[order]
         vn = np.linalg.norm(v, axis=1)
@@ -104,60 +111,107 @@ class _TopK:
             d = _distances(v, self.q[lo:lo + QUERY_TILE], self.metric, vn, self.qn[lo:lo + QUERY_TILE])
             rd = np.round(d, RANK_DECIMALS)
             r, c = _topk_rows(rd, ids, self.k)
-            found.append((c + lo, rd[r, c], ids[r], d[r, c], v[r] if carry else np.zeros((len(r), 0))))
+            found.append((c + lo, rd[r, c], ids[r], d[r, c], v[r] if self.carry else np.zeros((len(r), 0))))
+        self._merge(found)
+
+    def _merge(self, found: list) -> None:
         if self.best is not None:
             found.append(self.best)
         qi, rd, own, d, vec = (np.concatenate(x) for x in zip(*found))
         by = np.lexsort((own, rd, qi))
-        first = np.searchsorted(qi[by], np.arange(len(self.q)))
+        first = np.searchsorted(qi[by], np.arange(len(self.qids)))
         keep = by[np.arange(len(by)) - first[qi[by]] < self.k]
         self.best = (qi[keep], rd[keep], own[keep], d[keep], vec[keep])
 
 
-def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
-                    qid_col: str = "qid", qvec_col: str = "embedding",
-                    id_col: str = "chunk_id", vec_col: str = "embedding",
-                    carry_vectors: bool = False, cells: int | None = None,
-                    query_block: int = QUERY_BLOCK) -> DataFrame:
-    """``(qid, id, distance, rank)`` — the k nearest corpus rows per query, ascending.
+class _SparseTopK(_TopK):
+    """The same for term weights: the score is the sum of products over shared terms, largest first, above 0 only."""
 
-    ``metric``: ``cosine`` (1 - cos), ``l2`` (squared Euclidean, the vector
-    store default) or ``ip`` (1 - inner product).  Ties rank by id.
-    ``carry_vectors`` adds each hit's own vector (``_cv``) so a re-ranker needs
-    no join back to the corpus.  ``cells``: parts of the corpus (default: the
-    shuffle partitions).  Vectors of unequal length are an error.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    spark = corpus.sparkSession
+    def add_queries(self, qids: pa.Array, cols: list[pa.Array]) -> None:
+        self.parts.append((qids, cols))
+
+    def _prepare(self, parts: list) -> None:
+        terms = [t for c in parts for t in c[0].flatten().to_pylist()]
+        self.code = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+        size = np.concatenate([np.asarray(c[0].value_lengths()) for c in parts])
+        w = np.concatenate([np.asarray(c[1].flatten()) for c in parts])
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.col = np.array([self.code[t] for t in terms], np.int64)
+        self.w = w
+
+    def add_corpus(self, ids: np.ndarray, cols: list[pa.Array]) -> None:
+        if not self._ready() or not self.code:
+            return
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        size = np.asarray(cols[0].value_lengths())
+        enc = cols[0].flatten().dictionary_encode()
+        known = np.array([self.code.get(t, -1) for t in enc.dictionary.to_pylist()], np.int64)
+        if not len(known):
+            return
+        code = known[np.asarray(enc.indices)]
+        row = place[np.repeat(np.arange(len(ids)), size)]
+        on = np.flatnonzero(code >= 0)
+        on = on[np.argsort(row[on], kind="stable")]
+        row, code, w = row[on], code[on], np.asarray(cols[1].flatten())[on]
+        if not len(row):
+            return
+        hit, first = np.unique(row, return_index=True)
+        own = ids[order][hit]
+        found = []
+        tile = max(1, 4_000_000 // len(self.code))
+        for lo in range(0, len(self.qids), tile):
+            n = min(tile, len(self.qids) - lo)
+            q = np.zeros((len(self.code), n))
+            mine = (self.row >= lo) & (self.row < lo + n)
+            q[self.col[mine], self.row[mine] - lo] = self.w[mine]
+            score = np.empty((len(hit), n))
+            ends = np.append(first[1:], len(row))
+            step = max(1, 2_000_000 // n)
+            a = 0
+            while a < len(hit):
+                b = max(a + 1, int(np.searchsorted(ends, first[a] + step, "right")))
+                x, y = first[a], ends[b - 1]
+                score[a:b] = np.add.reduceat(w[x:y, None] * q[code[x:y]], first[a:b] - x, axis=0)
+                a = b
+            rd = np.where(score > 0, -np.round(score, RANK_DECIMALS), np.inf)
+            r, c = _topk_rows(rd, own, self.k)
+            pos = np.isfinite(rd[r, c])
+            r, c = r[pos], c[pos]
+            found.append((c + lo, rd[r, c], own[r], score[r, c], np.zeros((len(r), 0))))
+        self._merge(found)
+
+
+def block_join(q: DataFrame, c: DataFrame, make: Callable[[], _TopK], id_col: str, value: str,
+               carry: bool = False, cells: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """``(qid, id, value[, _cv])``: at most k rows per query and cell.  ``q``: (_q, payload...), ``c``: (_i, payload...)."""
+    spark = c.sparkSession
     ship_package(spark)
     cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.select(F.col(qid_col).alias("_q"), F.col(qvec_col).cast("array<double>").alias("_v"))
-    c = corpus.select(F.col(id_col).alias("_i"), F.col(vec_col).cast("array<double>").alias("_v"))
     qtype, itype = q.schema["_q"].dataType.simpleString(), c.schema["_i"].dataType.simpleString()
+    payload = [x for x in c.columns if x != "_i"]
     # query blocks of about half the bound, so that hash-dealt blocks stay inside it
     n_blocks = F.ceil(2 * F.count(F.lit(1)) / query_block).cast("int")
     blocks = q.agg(F.when(F.count(F.lit(1)) > query_block, n_blocks).otherwise(1).alias("_nb")).scalar()  # one number
     cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
     qr = q.select(cell.alias("_cell"), F.pmod(F.xxhash64("_q"), blocks).cast("int").alias("_b"), F.lit(0).alias("_side"),
-                               "_q", F.lit(None).cast(itype).alias("_i"), "_v")
+                  "_q", F.lit(None).cast(itype).alias("_i"), *payload)
     cr = c.select(F.pmod(F.xxhash64("_i"), F.lit(cells)).cast("int").alias("_cell"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"),
-                               F.lit(1).alias("_side"), F.lit(None).cast(qtype).alias("_q"), "_i", "_v")
+                  F.lit(1).alias("_side"), F.lit(None).cast(qtype).alias("_q"), "_i", *payload)
     rows = qr.unionByName(cr).repartition(cells, "_cell", "_b").sortWithinPartitions("_cell", "_b", "_side")
-    extra = ", _cv array<double>" if carry_vectors else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, top, dim = None, _TopK(k, metric), None
+        at, top, id_arrow = None, None, None
 
         def flush():
-            if top.best is not None:
+            if top is not None and top.best is not None:
                 qi, _, ids, d, vec = top.best
                 cols = [top.qids.take(pa.array(qi)), pa.array(ids.tolist(), id_arrow), pa.array(d)]
-                if carry_vectors:
+                if carry:
                     cols.append(pa.array(list(vec), pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(cols, names=["qid", id_col, "distance", "_cv"][:len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=["qid", id_col, value, "_cv"][:len(cols)])
 
-        id_arrow = None
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -167,17 +221,35 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str =
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rb.num_rows]):
                 if at != (key[0, a], key[1, a]):
                     yield from flush()
-                    at, top = (key[0, a], key[1, a]), _TopK(k, metric)
+                    at, top = (key[0, a], key[1, a]), make()
                 part = rb.slice(a, b - a)
-                v = _vectors(part.column(5), dim)
-                dim = v.shape[1]
                 if key[2, a] == 0:
-                    top.add_queries(part.column(3), v)
+                    top.add_queries(part.column(3), part.columns[5:])
                 else:
-                    top.add_corpus(_ids(part.column(4)), v, carry_vectors)
+                    top.add_corpus(_ids(part.column(4)), part.columns[5:])
         yield from flush()
 
-    cand = rows.mapInArrow(run, f"qid {qtype}, {id_col} {itype}, distance double{extra}")
+    return rows.mapInArrow(run, f"qid {qtype}, {id_col} {itype}, {value} double{', _cv array<double>' if carry else ''}")
+
+
+def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
+                    qid_col: str = "qid", qvec_col: str = "embedding",
+                    id_col: str = "chunk_id", vec_col: str = "embedding",
+                    carry_vectors: bool = False, cells: int | None = None,
+                    query_block: int = QUERY_BLOCK) -> DataFrame:
+    """``(qid, id, distance, rank)`` — the k nearest corpus rows per query, ascending.
+
+    ``metric``: ``cosine`` (1 - cos), ``l2`` (squared Euclidean, the vector
+    store default) or ``ip`` (1 - inner product).  Ties rank by id.
+    ``carry_vectors`` adds each hit's own vector (``_cv``) so a re-ranker needs
+    no join back to the corpus.  ``cells``: parts of the corpus (default: the
+    shuffle partitions).  Vectors of unequal length are an error.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    q = queries.select(F.col(qid_col).alias("_q"), F.col(qvec_col).cast("array<double>").alias("_v"))
+    c = corpus.select(F.col(id_col).alias("_i"), F.col(vec_col).cast("array<double>").alias("_v"))
+    cand = block_join(q, c, lambda: _TopK(k, metric, carry_vectors), id_col, "distance", carry_vectors, cells, query_block)
     w = Window.partitionBy("qid").orderBy(F.round("distance", RANK_DECIMALS), F.col(id_col))
     return (cand.withColumn("rank", F.row_number().over(w))
                 .filter(F.col("rank") <= k)

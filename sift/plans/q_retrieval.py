@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import similarity_from_distance
 from ..operators import hybrid as H
-from ..operators.lexical import bm25_search, build_tfidf, lexical_search, query_weights
+from ..operators.lexical import bm25_search, build_tfidf, keyword_search, lexical_search, load_index, query_weights, save_index
 from ..operators.retrieval import retrieve, semantic_search
+from ..session import scratch_path
 from ..sources.tables import table
 from . import duck as D
 from .inputs import bench_queries, chunk_vectors, label_centroids, line_chunks, query_vectors
@@ -100,7 +101,18 @@ _LEX = f"""{_IX}, bq AS (SELECT item_id AS qid, text FROM benchmark),
 @register("d7_lexical_search", sql=f"""WITH {_LEX}
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lex""")
 def d7_lexical_search(spark, sf):
-    vocab, post = _index(spark, sf)
+    vocab, _ = _index(spark, sf)
+    hits = keyword_search(bench_queries(spark, sf), line_chunks(spark, sf), 10, vocab)
+    return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("d7_stored_index_search", sql=f"""WITH {_LEX}
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lex""")
+def d7_stored_index_search(spark, sf):
+    """The same answers from an index stored once and read back (join on term)."""
+    path = scratch_path(spark, "keyword-index")
+    save_index(*_index(spark, sf), path)
+    vocab, post = load_index(spark, path)
     hits = lexical_search(query_weights(bench_queries(spark, sf), vocab), post, 10)
     return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -133,8 +145,8 @@ def d8_bm25_search(spark, sf):
 def hybrid_hits(spark, sf, k: int = HYB_K):
     chunks = line_chunks(spark, sf)
     sem = semantic_search(query_vectors(spark, sf), chunk_vectors(spark, sf), 2 * k, "cosine")
-    vocab, post = build_tfidf(chunks)
-    lex = lexical_search(query_weights(bench_queries(spark, sf), vocab), post, 2 * k)
+    vocab, _ = build_tfidf(chunks)
+    lex = keyword_search(bench_queries(spark, sf), chunks, 2 * k, vocab)
     return H.hybrid_search(sem, lex, chunks, k)
 
 
@@ -161,8 +173,8 @@ def d13_hybrid_search(spark, sf):
 def _hybrid_parts(spark, sf, k: int = HYB_K):
     chunks = line_chunks(spark, sf)
     sem = semantic_search(query_vectors(spark, sf), chunk_vectors(spark, sf), 2 * k, "cosine")
-    vocab, post = build_tfidf(chunks)
-    lex = lexical_search(query_weights(bench_queries(spark, sf), vocab), post, 2 * k)
+    vocab, _ = build_tfidf(chunks)
+    lex = keyword_search(bench_queries(spark, sf), chunks, 2 * k, vocab)
     sem_s = H.minmax(sem, "distance", "sem_score", invert=True)
     lex_s = H.minmax(lex, "score", "lex_score")
     return chunks, sem_s, lex_s

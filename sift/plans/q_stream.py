@@ -73,11 +73,13 @@ from .registry import ORACLE as _ORACLE  # noqa: E402
 def k3_retrieve_stream(spark, sf):
     """Benchmark passages as a question stream, keyword top-10 of each micro-batch
     against the index of the document lines (oracle: d7's SQL)."""
-    from ..operators.lexical import build_tfidf
+    from ..operators.lexical import build_tfidf, load_index, save_index
     from ..session import scratch_path
     from ..streaming.live import retrieve_stream
     from .inputs import line_chunks
-    vocab, post = build_tfidf(line_chunks(spark, sf))
+    path = scratch_path(spark, "k3-index")
+    save_index(*build_tfidf(line_chunks(spark, sf)), path)
+    vocab, post = load_index(spark, path)
     qs = table_stream(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     out = scratch_path(spark, "k3-hits")
     retrieve_stream(qs, vocab, post, out, k=10)
