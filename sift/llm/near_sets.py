@@ -73,12 +73,25 @@ def set_keys(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tk.signed(tk.mix(_sum_by(tk.mix(u), at) + n)), tk.signed(tk.mix(_sum_by(tk.mix(~u), at) ^ n))
 
 
-def bitmaps(u: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity bitmap of each set: popcount(a ^ b) never exceeds the symmetric difference."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    bit = (u >> np.uint64(54)).astype(np.int64)
-    odd = (np.bincount(doc * BITS + bit, minlength=(len(at) - 1) * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(-1, BITS), axis=1)
+def width(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's own bitmap: the power of two from 2 n on, BITS at least."""
+    return np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64))
+
+
+def bitmaps(u: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity bitmap of each set: popcount(a ^ b) never exceeds the symmetric difference.  Halves fold by xor."""
+    w = width(np.diff(at))
+    start = np.concatenate([[0], np.cumsum(w)])
+    doc = np.repeat(np.arange(len(w)), np.diff(at))
+    bit = (u & (w[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(start[doc] + bit, minlength=int(start[-1])) & 1).astype(np.uint8)
+    packed = np.packbits(odd)
+    return [packed[i:j].tobytes() for i, j in zip((start[:-1] // 8).tolist(), (start[1:] // 8).tolist())]
+
+
+def fold(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap folded to ``size`` bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size // 8), axis=0)
 
 
 def _classes(k: int):
@@ -93,7 +106,7 @@ def _classes(k: int):
                 maps = bitmaps(u, at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), pa.array(n),
-                     pa.array([m.tobytes() for m in maps], pa.binary())], ["kind", "doc_id", "k1", "k2", "n", "bits"])
+                     pa.array(maps, pa.binary())], ["kind", "doc_id", "k1", "k2", "n", "bits"])
                 _, rep = np.unique(np.stack([k1, k2]), axis=1, return_index=True)
                 keep = np.zeros(j - i, bool)
                 keep[rep] = True
@@ -145,9 +158,10 @@ def _entries(batches):
         out: tuple[list, ...] = tuple([] for _ in range(9))
         for r in range(batch.num_rows):
             lists = sorted((e["place"], e["shingle"], e["blocks"]) for e in rows["lists"][r])
+            bits = fold(rows["bits"][r], BITS).tobytes()
             for x, (place, shingle, blocks) in enumerate(lists):
                 before = [e[1] for e in lists[max(0, x - 2):x]]
-                for o, v in zip(out, (shingle, blocks, rows["id"][r] % blocks, rows["id"][r], rows["n"][r], place, before, rows["bits"][r], rows["answer"][r])):
+                for o, v in zip(out, (shingle, blocks, rows["id"][r] % blocks, rows["id"][r], rows["n"][r], place, before, bits, rows["answer"][r])):
                     o.append(v)
         names = [c.split()[0] for c in _ENTRY.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
@@ -272,26 +286,55 @@ def _second_round(percent: int):
     return run
 
 
-def _set_rows(k: int):
+def _likely(percent: int):
+    """Pairs whose own bitmaps (about two bits a shingle) do not rule a link out."""
     def run(batches):
         for batch in batches:
-            data, off = tk.text_bytes(batch.column(1))
-            for i, j in tk.slices(off, 1 << 20):
-                u, at = shingle_sets(*tk.cut(data, off, i, j), k)
-                k1, k2 = set_keys(u, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), tk.list_array(tk.signed(u), at)], ["id", "k1", "k2", "shingles"])
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for r in range(len(a)):
+                size = 8 * min(len(x[r]), len(y[r]))
+                gap = int(np.bitwise_count(fold(x[r], size) ^ fold(y[r], size)).sum())
+                if (100 + percent) * gap <= (100 - percent) * (n[r] + m[r]):
+                    keep.append(r)
+            yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
     return run
 
 
-def _linked(pairs: DataFrame, src: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of class ids whose sets are similar enough, by intersecting the whole sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "k1", "k2"), "id")
-    sets = (src.withColumnRenamed("doc_id", "id").join(ids.select("id").distinct(), "id").select("id", "text").mapInArrow(_set_rows(k), "id long, k1 long, k2 long, shingles array<long>")
-            .join(ids, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"]))
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _verified(k: int, percent: int):
+    """Pairs with both texts -> pairs whose whole sets are similar enough."""
+    def run(batches):
+        for batch in batches:
+            found = []
+            sides = [tk.text_bytes(batch.column(c)) for c in (2, 5)]
+            keys = [np.stack([np.asarray(batch.column(c)), np.asarray(batch.column(c + 1))]) for c in (3, 6)]
+            for lo in range(0, batch.num_rows, 64):
+                hi = min(lo + 64, batch.num_rows)
+                parts = [shingle_sets(*tk.cut(*side, lo, hi), k) for side in sides]
+                same = np.logical_and.reduce([(np.stack(set_keys(*p)) == key[:, lo:hi]).all(axis=0) for p, key in zip(parts, keys)])
+                (u, at), (v, to) = parts
+                for r in np.flatnonzero(same).tolist():
+                    x, y = u[at[r]:at[r + 1]], v[to[r]:to[r + 1]]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        found.append(lo + r)
+            yield batch.take(pa.array(found, pa.int64())).select(["a", "b"])
+    return run
+
+
+def _linked(st: Stage, tag: str, pairs: DataFrame, src: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of class ids whose whole sets are similar enough.  Only texts of likely pairs are moved."""
+    own = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    likely = (pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+              .mapInArrow(_likely(percent), "a long, b long"))
+    likely = st.keep(likely, f"{tag}-likely")
+    ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct().join(classes.select("id", "k1", "k2"), "id")
+    texts = st.keep(src.withColumnRenamed("doc_id", "id").join(ids, "id").select("id", "text", "k1", "k2"), f"{tag}-texts")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"), F.col("k1").alias(f"p{c}"), F.col("k2").alias(f"q{c}"))
+    both = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "pa", "qa", "tb", "pb", "qb")
+    out = st.keep(both.mapInArrow(_verified(k, percent), "a long, b long"), tag)
+    st.drop(f"{tag}-likely", f"{tag}-texts")
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,9 +350,10 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     prefix = st.keep(src.select("text").mapInArrow(_prefixes(k, percent, hot), "shingle long, k1 long, place int"), "prefix")
     shared = prefix.groupBy("shingle").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi").select(
         "shingle", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("blocks"))
+    shared = st.keep(shared, "shared")  # as a table of its own, so that AQE can split the other side of the join
     listed = st.keep(prefix.join(shared, "shingle").groupBy("k1").agg(F.collect_set(F.struct("place", "shingle", "blocks")).alias("lists"))
                      .join(classes.where("id IS NOT NULL"), "k1").select("id", "n", "bits", "lists"), "listed")
-    st.drop("prefix")
+    st.drop("prefix", "shared")
 
     def entries(answers: DataFrame) -> DataFrame:
         e = answers.select("id", "n", "bits", "lists", "answer").mapInArrow(_entries, _ENTRY)
@@ -320,14 +364,14 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     near = entries(listed.withColumn("answer", F.lit(0).cast("long"))).mapInArrow(_first_round(percent), "a long, b long, kind int, w long")
     picks = near.groupBy("a", "kind").agg(F.min(F.struct("w", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     picks = st.keep(picks, "picks")
-    sure = st.keep(_linked(picks, src, classes, k, percent), "sure")
+    sure = _linked(st, "sure", picks, src, classes, k, percent)
     answers = components(st, sure, "a", "b", "first")
     known = listed.join(answers.withColumnRenamed("v", "id"), "id", "left").withColumn("answer", F.coalesce("m", "id"))
     rest = entries(known).mapInArrow(_second_round(percent), "a long, b long").distinct()
     tried = picks.select("a", "b")
     rest = st.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    links = st.keep(sure.union(_linked(rest, src, classes, k, percent)), "links")
-    st.drop("listed", "picks", "rest")
+    st.drop("listed", "picks")
+    links = sure.union(_linked(st, "more", rest, src, classes, k, percent))
     root = components(st, links, "a", "b", "second")
     named = st.hold(classes.join(root.withColumnRenamed("v", "id"), "id", "left").select("k1", "k2", F.coalesce("m", "id").alias("component"), "copies"))
     out = st.hold(rows.select("doc_id", "k1", "k2", "n").join(named, ["k1", "k2"], "left").select(
