@@ -39,6 +39,13 @@ def h2_tail_history(spark, sf):
     return C.tail_history(_turns(spark, sf), 8).select("conv_id", "turn", "role", "text")
 
 
+@register("h2_tail_history_short", sql="""SELECT conv_id, turn, role, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3""")
+def h2_tail_history_short(spark, sf):
+    """The last 3 messages: shorter than most conversations, so rows are cut."""
+    return C.tail_history(_turns(spark, sf), 3).select("conv_id", "turn", "role", "text")
+
+
 @register("h3_memory_window", sql=f"""WITH {_EX},
 w AS (SELECT conv_id, exchange_no,
         list('Human: ' || question || chr(10) || 'AI: ' || answer)
@@ -59,6 +66,10 @@ def h4_history_slice(spark, sf):
     return C.history_slice(_turns(spark, sf), 6)
 
 
+def _budget_sql(budget: int) -> str:
+    return _BUDGET.replace("<= 1000", f"<= {budget}")
+
+
 _BUDGET = f"""b AS (SELECT conv_id, turn, role, text, {D.word_count('text')} AS tokens FROM conversations),
 b2 AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newer_tokens FROM b),
@@ -89,6 +100,21 @@ def h5_overflow_digest(spark, sf):
     return C.overflow_digest(C.budget_memory(_turns(spark, sf), 1000))
 
 
+@register("h5_budget_memory_small", sql=f"""WITH {_budget_sql(40)}
+SELECT conv_id, turn, tokens, newer_tokens, kept FROM b3""")
+def h5_budget_memory_small(spark, sf):
+    """A budget of 40 tokens, which most conversations overflow."""
+    return C.budget_memory(_turns(spark, sf), 40).select("conv_id", "turn", "tokens", "newer_tokens", "kept")
+
+
+@register("h5_overflow_digest_small", sql=f"""WITH {_budget_sql(40)}
+SELECT conv_id, (turn // 100)::BIGINT AS page,
+       string_agg(role || ': ' || regexp_extract(text, {D.lit(_FIRST_SENT)}, 1), chr(10) ORDER BY turn) AS summary
+FROM b3 WHERE NOT kept GROUP BY conv_id, turn // 100""")
+def h5_overflow_digest_small(spark, sf):
+    return C.overflow_digest(C.budget_memory(_turns(spark, sf), 40))
+
+
 @register("h6_transcript", sql="""SELECT conv_id, (turn // 100)::BIGINT AS page,
   string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript
 FROM conversations GROUP BY conv_id, turn // 100""")
@@ -161,6 +187,15 @@ def i2_cap_context(spark, sf):
     return P.cap_context(_sem_hits(spark, sf, 5), 1500).select("qid", "chunk_id", "rank", "tokens")
 
 
+@register("i2_cap_context_small", sql=f"""WITH {_sem_sql(5)},
+t AS (SELECT *, {D.word_count('content')} AS tokens FROM hits),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM t)
+SELECT qid, chunk_id, rank, tokens FROM c WHERE cum <= 60""")
+def i2_cap_context_small(spark, sf):
+    """A cap that drops hits."""
+    return P.cap_context(_sem_hits(spark, sf, 5), 60).select("qid", "chunk_id", "rank", "tokens")
+
+
 def _template_sql(template: str, slots: dict[str, str]) -> str:
     import re
     parts = re.split(r"(\{[a-z_]+\})", template)
@@ -197,9 +232,12 @@ def j1_latency_flags(spark, sf):
     return table(spark, sf, "events").select("event_id", latency_flag("value").alias("flag"))
 
 
-@register("j1_latency_percentiles")
+@register("j1_latency_percentiles", sql="""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90,
+  quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type""")
 def j1_latency_percentiles(spark, sf):
-    return latency_percentiles(table(spark, sf, "events"))
+    """Sketch percentiles at an accuracy above the number of values of a type in the test tables, so they are exact there."""
+    p = latency_percentiles(table(spark, sf, "events"), accuracy=1_000_000)
+    return p.select("event_type", *[F.col("p50_p90_p99")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
 
 
 # ------------------------------------------------------------------ I4 (end to end, profile "improved")

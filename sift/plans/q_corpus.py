@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, inner_product_distance, l2_normalize, l2sq_distance
+from ..functions.text import WS
 from ..operators import chunking as B
 from ..operators.embedding import embed_distinct, hash_embed, truncate_tokens
 from ..sources import corpus as A
+from ..session import scratch_path
 from ..sources.tables import table
 from . import duck as D
 from .inputs import label_centroids, line_chunks
@@ -17,9 +19,43 @@ from .registry import register
 # ------------------------------------------------------------------ A
 
 
-@register("a2_file_inventory")
+@register("a1_read_corpus", sql="SELECT CAST(doc_id AS VARCHAR) AS doc, text FROM documents")
+def a1_read_corpus(spark, sf):
+    """The documents written as text files into the shared folder (up to 1000 to a file, each ended by a zero
+    byte), scanned as whole files by the corpus reader and taken apart again."""
+    path = scratch_path(spark, "text-corpus")
+    docs = table(spark, sf, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("value"))
+    docs.write.option("lineSep", "\u0000").option("maxRecordsPerFile", 1000).text(path)
+    files = A.require_corpus(A.read_corpus(spark, path), path)
+    row = files.select(F.explode(F.split("text", "\u0000")).alias("row")).where("row <> ''")
+    return row.select(F.substring_index("row", "\t", 1).alias("doc"), F.expr("substring(row, instr(row, '\t') + 1)").alias("text"))
+
+
+@register("a2_file_inventory", sql="SELECT 'parquet' AS ext, count(*) AS n_rows FROM documents")
 def a2_file_inventory(spark, sf):
-    return A.file_inventory(spark, sf)
+    """The files that hold the documents, by extension, with their rows."""
+    f = spark.read.parquet(f"{sf}/documents.parquet").select(F.lower(F.regexp_extract("_metadata.file_name", r"\.([^./]*)$", 1)).alias("ext"))
+    return f.groupBy("ext").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("a3_save_collection", sql="SELECT doc_id, source, n_chars FROM documents")
+def a3_save_collection(spark, sf):
+    """Get-or-create: the second call finds the collection and leaves it alone."""
+    path = scratch_path(spark, "collection")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    A.save_collection(docs, path)
+    A.save_collection(docs.where("doc_id < 0"), path)
+    return A.load_collection(spark, path, ["doc_id", "source", "n_chars"])
+
+
+@register("a6_append_messages", sql="SELECT conv_id AS session_id, turn, role, text AS content FROM conversations")
+def a6_append_messages(spark, sf):
+    """The messages appended by role in two writes, read back."""
+    path = scratch_path(spark, "messages")
+    m = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
+    A.append_messages(m.where("role = 'user'"), path)
+    A.append_messages(m.where("role <> 'user' OR role IS NULL"), path)
+    return spark.read.parquet(path).select("session_id", "turn", "role", "content")
 
 
 @register("a4_append_new", sql="""SELECT d.doc_id, d.source, d.n_chars FROM documents d
@@ -61,6 +97,23 @@ def b4_chunk_start_index(spark, sf):
     return j.select("doc_id", "chunk_no", "start_index", "chunk_length", ok.alias("start_ok"))
 
 
+def _invariants(docs, chunks, spec):
+    """Per document: every chunk stands where it says, is short enough, and no character but white space is lost."""
+    solid = F.length(F.regexp_replace("content", WS, ""))
+    c = chunks.withColumn("_s", solid).groupBy("doc_id").agg(F.max("chunk_length").alias("longest"), F.sum("_s").alias("solid"), F.collect_list(
+        F.struct("start_index", "chunk_length", "content")).alias("c"))
+    j = docs.select("doc_id", "text").join(c, "doc_id", "left")
+    at = F.coalesce(F.forall("c", lambda x: F.substring(F.col("text"), x["start_index"] + 1, x["chunk_length"]) == x["content"]), F.lit(True))
+    return j.select("doc_id", at.alias("at_place"), (F.coalesce("longest", F.lit(0)) <= spec.size).alias("short_enough"),
+                    (F.coalesce("solid", F.lit(0)) >= F.length(F.regexp_replace(F.coalesce("text", F.lit("")), WS, ""))).alias("nothing_lost"))
+
+
+@register("b1_chunk_invariants", sql="SELECT doc_id, true AS at_place, true AS short_enough, true AS nothing_lost FROM documents")
+def b1_chunk_invariants(spark, sf):
+    docs = table(spark, sf, "documents")
+    return _invariants(docs, B.chunk_documents(docs, _ADV.size, _ADV.overlap, _ADV.separators), _ADV)
+
+
 @register("b3_window_chunks", sql="""SELECT doc_id, (s // 325)::INTEGER AS chunk_no, s::INTEGER AS start_index,
        substring(text, s + 1, 400) AS content, length(substring(text, s + 1, 400))::INTEGER AS chunk_length
 FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 76, 0), 325)) AS s FROM documents)

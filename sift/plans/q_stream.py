@@ -65,7 +65,7 @@ def k4_history_stream(spark, sf):
     return out.select("conv_id", "turn", "history_size", "history_text")
 
 
-from . import q_retrieval  # noqa: E402,F401  (registers d7 first)
+from . import q_conv, q_corpus, q_retrieval  # noqa: E402,F401  (they register first)
 from .registry import ORACLE as _ORACLE  # noqa: E402
 
 
@@ -101,6 +101,24 @@ def k1_ingest_stream(spark, sf):
                                            "chunk_length", "content")
 
 
+@register("k1_ingest_invariants", sql=_ORACLE["b1_chunk_invariants"])
+def k1_ingest_invariants(spark, sf):
+    """The ingested collection meets the invariants of batch chunking."""
+    from .profiles import PROFILES
+    from .q_corpus import _invariants
+    return _invariants(table(spark, sf, "documents"), k1_ingest_stream(spark, sf), PROFILES["advanced"].chunk)
+
+
+# K5 / K6 over conversations: a session's exchanges and topics, and answer quality by hour of the matching events.
+
+@register("k5_session_summaries", sql=_ORACLE["h7_session_insights"])
+def k5_session_summaries(spark, sf):
+    """Exchanges and topics of every session whose messages came as a stream."""
+    from ..operators.conversations import session_insights
+    out = run_to_table(table_stream(spark, sf, "conversations"), "k5-messages")
+    return session_insights(out)
+
+
 @register("k5_session_activity_split", sql=_ORACLE["k5_session_activity"])
 def k5_session_activity_split(spark, sf):
     """Batch sessionisation that splits hot users by time block (same sessions as k5)."""

@@ -32,6 +32,21 @@ def e1_non_blank(spark, sf):
                     Q.blank_reply("text").alias("reply"))
 
 
+# Questions with blanks: every third assistant-free turn is padded to white space, every fifth is null.
+_QB = f"""{_QS}, qb AS (SELECT qid, CASE WHEN length(text) % 3 = 0 THEN '  ' || chr(10) WHEN length(text) % 5 = 0 THEN NULL ELSE text END AS text FROM questions)"""
+
+
+def _with_blanks(spark, sf):
+    n = F.length("text")
+    return questions(spark, sf).withColumn("text", F.when(n % 3 == 0, F.lit("  \n")).when(n % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("text")))
+
+
+@register("e1_non_blank_mixed", sql=f"WITH {_QB} SELECT qid, text FROM qb WHERE length({D.strip('coalesce(text, chr(32))')}) > 0")
+def e1_non_blank_mixed(spark, sf):
+    """The filter on questions of which a part is blank or null."""
+    return Q.non_blank(_with_blanks(spark, sf)).select("qid", "text")
+
+
 @register("e2_enhance_question", sql=f"""WITH {_QS}
 SELECT qid, CASE WHEN {D.contains_any('lower(text)', L.DOMAIN_KEYWORDS_17)} THEN text
             ELSE {D.lit(L.DOMAIN_PREFIX)} || text END AS enhanced FROM questions""")
@@ -157,6 +172,26 @@ for _p, _ids in [("fast", "f1_f3_f6_f7"), ("flan", "f2_f4_f5_f6_f7_f8"), ("orca"
     register(f"{_ids.split('_')[0]}_clean_answers_{_p}", sql=_clean_sql(_p))(_clean_query(_p))
 
 
+# answers longer than every limit without a sentence end, so the cut falls back to dots or to the fixed message.
+_LONG = f"{_AN}, long AS (SELECT conv_id, q_turn, variant, replace(repeat(coalesce(question, 'x') || ' word ', 400), '.', ',') AS answer FROM answers)"
+
+
+def _long_answers(spark, sf):
+    a = answers(spark, sf)
+    return a.withColumn("answer", F.replace(F.repeat(F.concat(F.coalesce("question", F.lit("x")), F.lit(" word ")), 400), F.lit("."), F.lit(",")))
+
+
+def _long_query(profile: str):
+    def q(spark, sf):
+        c = A.clean_answers(_long_answers(spark, sf).withColumn("_key", row_key("conv_id", "q_turn")), "answer", profile, key="_key")
+        return c.select("conv_id", "q_turn", "cleaned")
+    return q
+
+
+for _p in ("fast", "flan", "orca", "advanced", "improved"):
+    register(f"f7_truncation_{_p}", sql=f"WITH {_LONG}, {clean_ctes(_p, 'long')} SELECT conv_id, q_turn, cleaned FROM cl")(_long_query(_p))
+
+
 @register("f10_failed_answers", sql=f"""WITH
 nx AS (SELECT * FROM (
   SELECT conv_id, turn, role, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
