@@ -94,6 +94,13 @@ def round_scores(df: DataFrame, cols=("semantic_score", "keyword_score", "hybrid
     return df
 
 
+def list_sizes(sem_hits: DataFrame, lex_hits: DataFrame, qid: str = "qid") -> DataFrame:
+    """Sizes of the two raw hit lists of each query."""
+    s = sem_hits.groupBy(qid).agg(F.count(F.lit(1)).alias("semantic_raw"))
+    k = lex_hits.groupBy(qid).agg(F.count(F.lit(1)).alias("keyword_raw"))
+    return s.join(k, qid, "full").select(qid, F.coalesce("semantic_raw", F.lit(0)).alias("semantic_raw"), F.coalesce("keyword_raw", F.lit(0)).alias("keyword_raw"))
+
+
 def search_report(hits: DataFrame, qid: str = "qid", threshold: float = 0.1) -> DataFrame:
     """Per query, hits with semantic > 0.1, keyword > 0.1, total, and the top hit's scores."""
     top = F.min_by(F.struct("semantic_score", "keyword_score", "hybrid_score"), F.col("rank"))
@@ -120,14 +127,20 @@ def attach_scores(docs: DataFrame, hits: DataFrame, qid: str = "qid", content_co
 
 
 def cited_sources(hits: DataFrame, cap: int, qid: str = "qid", rank_col: str = "rank",
-                  source_col: str = "source", default: str = "Unknown") -> DataFrame:
-    """Distinct base file names in first-seen order, first ``cap`` of them,
-    plus how many more there were."""
-    f = hits.withColumn("_file", F.coalesce(basename(F.col(source_col)), F.lit(default)))
+                  source_col: str = "source", default: str = "Unknown", docs: int | None = None) -> DataFrame:
+    """Distinct base file names in first-seen order, first ``cap`` of them
+    with the places (ranks) they were first seen at, plus how many more there
+    were.  A document without source is named ``default``, in which ``{i}``
+    stands for its place; ``docs`` looks at the first documents only."""
+    f = hits if docs is None else hits.filter(F.col(rank_col) <= docs)
+    before, _, after = default.partition("{i}")
+    unknown = F.concat(F.lit(before), F.col(rank_col).cast("string"), F.lit(after)) if "{i}" in default else F.lit(default)
+    f = f.withColumn("_file", F.coalesce(basename(F.col(source_col)), unknown))
     g = f.groupBy(qid, "_file").agg(F.min(rank_col).alias("_first"))
     per_q = g.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct("_first", "_file"))).alias("_s"),
                                F.count(F.lit(1)).alias("_n"))
     return per_q.select(qid, F.slice(F.transform("_s", lambda x: x["_file"]), 1, cap).alias("sources"),
+                        F.slice(F.transform("_s", lambda x: x["_first"]), 1, cap).alias("first_places"),
                         F.greatest(F.col("_n") - F.lit(cap), F.lit(0)).alias("more_sources"))
 
 

@@ -81,6 +81,22 @@ def analyze_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
     return x.withColumn("confidence", question_confidence(text_col, "retail_terms"))
 
 
+def expand_questions(df: DataFrame, lexicon: dict[str, Sequence[str]] | None = None, text_col: str = "text",
+                     out: str = "expanded_query") -> DataFrame:
+    """The question followed by the synonyms of the lexicon heads it contains.
+
+    Without a lexicon the question stays as it is, which is what the request
+    flow uses.  Synonyms already in the question are not repeated.
+    """
+    text = F.col(text_col)
+    if not lexicon:
+        return df.withColumn(out, text)
+    low = F.lower(text)
+    added = [F.when(low.contains(head) & ~low.contains(s), F.lit(s)) for head, syn in lexicon.items() for s in syn]
+    extra = F.array_join(F.array_distinct(F.array_compact(F.array(*added))), " ")
+    return df.withColumn(out, F.when(extra == "", text).otherwise(F.concat(text, F.lit(" "), extra)))
+
+
 def question_report(analyzed: DataFrame) -> DataFrame:
     """Counts and mean confidence per (class, term) with class subtotals and a total (rollup)."""
     ex = analyzed.select("query_type", "confidence",

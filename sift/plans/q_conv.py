@@ -290,3 +290,120 @@ def i4_run_profile(spark, sf):
         validate=lambda d: A.validate_answers(d, "answer", "question", "n_docs"))
     return x.select("qid", "n_docs", F.length("prompt").alias("prompt_chars"), "cleaned",
                     F.round("overall_quality", 6).alias("overall_quality"), "validation_passed")
+
+
+# ------------------------------------------------------------------ I4 for every profile
+
+def _profile_hits(spark, sf, p, qs):
+    """(qid, chunk_id, rank) of the profile's retriever for questions (qid, question)."""
+    from ..operators.embedding import hash_embed
+    from ..operators.hybrid import hybrid_search
+    from ..operators.lexical import build_tfidf, keyword_search
+    from ..operators.retrieval import mmr, semantic_search
+    qv, cv = hash_embed(qs, "qid", "question"), chunk_vectors(spark, sf)
+    if p.retriever == "mmr":
+        return mmr(qv, cv, k=p.k, fetch_k=2 * p.k, lam=0.5, metric=p.metric).withColumnRenamed("pick", "rank")
+    if p.retriever == "hybrid":
+        chunks = line_chunks(spark, sf)
+        vocab, _ = build_tfidf(chunks)
+        lex = keyword_search(qs, chunks, 2 * p.k, vocab, qtext_col="question")
+        return hybrid_search(semantic_search(qv, cv, 2 * p.k, p.metric), lex, chunks, p.k).select("qid", "chunk_id", "rank")
+    return retrieve(qv, cv, p.k, metric=p.metric)
+
+
+def _profile_history(turns, p):
+    """What the profile shows of the conversation: the last messages, or its memory of exchanges."""
+    if p.memory_exchanges and p.history_slice < 0:
+        m = C.memory_window(C.exchanges(turns), p.memory_exchanges)
+        ex = C.exchanges(turns).select("conv_id", "q_turn", "exchange_no")
+        return m.join(ex, ["conv_id", "exchange_no"]).select(row_key("conv_id", "q_turn").alias("qid"), F.col("memory_text").alias("chat_history"))
+    n = p.history_messages if p.history_slice < 0 else p.history_slice
+    return C.history_slice(turns, n).select(row_key("conv_id", "turn").alias("qid"), F.col("history_text").alias("chat_history"))
+
+
+def run_request_table(spark, sf, name: str):
+    """I4 as the profile runs it: E1, E2, its retriever, prompt, cleaning, sources and (advanced) validation."""
+    from ..operators import answers as A
+    from ..operators import questions as Q
+    from ..operators.hybrid import cited_sources
+    from .profiles import PROFILES
+    p = PROFILES[name]
+    turns = _turns(spark, sf)
+    ex = Q.non_blank(C.exchanges(turns), "question")
+    asked = Q.enhance_question("question", p.domain_keywords) if p.domain_keywords else F.col("question")
+    qs = ex.select(row_key("conv_id", "q_turn").alias("qid"), asked.alias("question"), "answer")
+    hits = _profile_hits(spark, sf, p, qs.select("qid", "question"))
+    chunks = line_chunks(spark, sf)
+    x = P.run_profile(
+        qs.select("qid", "question"), lambda q: hits, chunks, _profile_history(turns, p), qs.select("qid", "answer"),
+        clean=lambda d: A.clean_answers(d, "answer", name, key="qid"),
+        validate=(lambda d: A.validate_answers(d, "answer", "question", "n_docs")) if p.validate else None)
+    if p.source_cap:
+        s = cited_sources(hits.join(chunks.select("chunk_id", "source"), "chunk_id"), p.source_cap, default=p.source_default, docs=p.source_docs)
+        x = x.join(s, "qid", "left")
+    out = ["qid", "n_docs", F.length("prompt").alias("prompt_chars"), F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"), "cleaned"]
+    if p.source_cap:
+        out += [F.array_join("sources", "|").alias("sources"), F.coalesce("more_sources", F.lit(0)).alias("more_sources")]
+    if p.validate:
+        out += [F.round("overall_quality", 6).alias("overall_quality"), "validation_passed"]
+    return x.select(*out)
+
+
+def _request_sql(name: str) -> str:
+    from .profiles import PROFILES
+    from .q_retrieval import mmr_sql
+    from .q_text import clean_ctes
+    p = PROFILES[name]
+    asked = (f"CASE WHEN {D.contains_any('lower(question)', p.domain_keywords)} THEN question ELSE {D.lit(L.DOMAIN_PREFIX)} || question END"
+             if p.domain_keywords else "question")
+    head = f"""{D.line_chunks_cte()}, {_EX},
+qq AS (SELECT printf('%020d:%010d', conv_id, q_turn) AS qid, conv_id, q_turn, {asked} AS question, answer FROM ex
+       WHERE length({D.strip('question')}) > 0),
+{D.hash_embed_ctes('qv', 'qq', 'qid', 'question')},
+{D.hash_embed_ctes('cv', 'line_chunks', 'chunk_id', 'content')}"""
+    if p.retriever == "mmr":
+        ctes, pick = mmr_sql(head, p.k, 2 * p.k)
+        head = f"{ctes},\nsh AS (SELECT qid, chunk_id, pick AS rank FROM ({pick}))"
+    elif p.retriever == "hybrid":
+        head += f""",
+{D.tfidf_ctes('line_chunks')}, {D.query_weight_ctes('qq', 'qid', 'question', 'ix_vocab')},
+{D.lexical_hits_cte('lex', 'qw', 'ix_post', 2 * p.k)}, {D.semantic_hits_cte('sem', 'qv', 'cv', 2 * p.k, p.metric)},
+{D.hybrid_ctes('sem', 'lex', 'line_chunks', p.k)}, sh AS (SELECT qid, chunk_id, rank FROM hyb)"""
+    else:
+        head += f", {D.semantic_hits_cte('sh', 'qv', 'cv', p.k, p.metric)}"
+    if p.memory_exchanges and p.history_slice < 0:
+        hist = f"""hist AS (SELECT printf('%020d:%010d', conv_id, q_turn) AS qid, coalesce(array_to_string(m, chr(10)), '') AS chat_history FROM (
+  SELECT conv_id, q_turn, list('Human: ' || question || chr(10) || 'AI: ' || answer)
+    OVER (PARTITION BY conv_id ORDER BY exchange_no ROWS BETWEEN {p.memory_exchanges} PRECEDING AND 1 PRECEDING) AS m FROM ex))"""
+    else:
+        n = p.history_messages if p.history_slice < 0 else p.history_slice
+        hist = f"""hist AS (SELECT printf('%020d:%010d', conv_id, turn) AS qid, coalesce(array_to_string(h, chr(10)), '') AS chat_history FROM (
+  SELECT conv_id, turn, role, list(role || ': ' || text)
+    OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS h FROM conversations) WHERE role = 'user')"""
+    tmpl = _template_sql(P.DEFAULT_TEMPLATE, {"context": "context", "question": "question", "chat_history": "chat_history"})
+    before, _, after = p.source_default.partition("{i}")
+    unknown = f"{D.lit(before)} || CAST(rank AS VARCHAR) || {D.lit(after)}" if "{i}" in p.source_default else D.lit(p.source_default)
+    cols, tail = "", ""
+    if p.source_cap:
+        cut = f"WHERE rank <= {p.source_docs}" if p.source_docs else ""
+        hist += f""",
+sf AS (SELECT qid, coalesce(regexp_extract(source, '([^/\\\\]*)$', 1), {unknown}) AS file, min(rank) AS first FROM hits {cut} GROUP BY qid, file),
+src AS (SELECT qid, array_to_string(list(file ORDER BY first)[1:{p.source_cap}], '|') AS sources, greatest(count(*) - {p.source_cap}, 0) AS more_sources FROM sf GROUP BY qid)"""
+        cols, tail = ", src.sources, coalesce(src.more_sources, 0) AS more_sources", " LEFT JOIN src USING (qid)"
+    if p.validate:
+        q = [D.g_confidence("answer", L), D.g_relevance("answer", "question", "n_docs"), D.g_completeness("answer", L), D.g_clarity("answer", L)]
+        overall = " + ".join(f"({x}) * {D.dbl(w)}" for x, w in zip(q, (0.3, 0.3, 0.2, 0.2)))
+        cols += f", round({overall}, 6) AS overall_quality, ({overall}) >= {D.dbl(0.6)} AS validation_passed"
+    return f"""WITH {head},
+hits AS (SELECT sh.qid, sh.rank, c.content, c.source FROM sh JOIN line_chunks c USING (chunk_id)),
+ctx AS (SELECT qid, count(*) AS n_docs, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY qid),
+{hist},
+x AS (SELECT qq.qid, qq.conv_id, qq.q_turn, qq.question, qq.answer, coalesce(ctx.n_docs, 0) AS n_docs, ctx.context, hist.chat_history
+      FROM qq LEFT JOIN ctx USING (qid) LEFT JOIN hist USING (qid)),
+x2 AS (SELECT *, {tmpl} AS prompt FROM x),
+{clean_ctes(name, 'x2')}
+SELECT cl.qid, n_docs, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5, cleaned{cols} FROM cl{tail}"""
+
+
+for _name in ("fast", "flan", "orca", "advanced", "improved"):
+    register(f"i4_request_{_name}", sql=_request_sql(_name))(lambda spark, sf, _n=_name: run_request_table(spark, sf, _n))

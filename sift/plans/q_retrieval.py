@@ -218,6 +218,13 @@ def d12_confidence(spark, sf):
     return s.select("qid", "chunk_id", F.round("confidence", 6).alias("confidence"))
 
 
+@register("d14_list_sizes", sql=f"""WITH {_HYB}
+SELECT qid, count_if(side = 0) AS semantic_raw, count_if(side = 1) AS keyword_raw FROM hyb_tag GROUP BY qid""")
+def d14_list_sizes(spark, sf):
+    _, sem_s, lex_s = _hybrid_parts(spark, sf)
+    return H.list_sizes(sem_s, lex_s)
+
+
 @register("d14_search_report", sql=f"""WITH {_HYB}
 SELECT qid, count_if(semantic_score > 0.1) AS semantic_results, count_if(keyword_score > 0.1) AS keyword_results,
        count(*) AS combined_results,
@@ -272,10 +279,11 @@ def d17_as_documents(spark, sf):
 
 # ------------------------------------------------------------------ D4 / D5
 
-def _mmr_sql(k: int = 4, fetch_k: int = 8) -> str:
+def mmr_sql(head: str, k: int = 4, fetch_k: int = 8) -> tuple[str, str]:
+    """(CTEs, select of qid, chunk_id, pick); ``head`` defines qv and cv."""
     picks = []
     prev = []
-    ctes = [f"""{_QV_CV}, {D.semantic_hits_cte('fk', 'qv', 'cv', fetch_k, 'l2')},
+    ctes = [f"""{head}, {D.semantic_hits_cte('fk', 'qv', 'cv', fetch_k, 'l2')},
 cand AS (SELECT fk.qid, fk.rank AS r, fk.chunk_id, c.embedding AS ce, q.embedding AS qe
          FROM fk JOIN cv c ON c.id = fk.chunk_id JOIN qv q ON q.id = fk.qid),
 qs AS (SELECT qid, r, chunk_id, 1.0 - {D.cos_dist('qe', 'ce')} AS qsim FROM cand),
@@ -296,10 +304,10 @@ m1 AS (SELECT qid, r AS p1 FROM (SELECT qid, r, row_number() OVER (PARTITION BY
     last = f"m{k}"
     for i in range(1, k + 1):
         picks.append(f"SELECT m.qid, qs.chunk_id, {i} AS pick FROM {last} m JOIN qs ON qs.qid = m.qid AND qs.r = m.p{i}")
-    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(picks)
+    return ",\n".join(ctes), "\nUNION ALL\n".join(picks)
 
 
-@register("d4_mmr", sql=_mmr_sql())
+@register("d4_mmr", sql="WITH {}\n{}".format(*mmr_sql(_QV_CV)))
 def d4_mmr(spark, sf):
     from ..operators.retrieval import mmr
     return mmr(query_vectors(spark, sf), chunk_vectors(spark, sf), k=4, fetch_k=8, lam=0.5, metric="l2")
