@@ -52,7 +52,7 @@ def test_global_numbering_with_clustered_ids(spark):
     rows = [(d, c) for d in list(range(0, 900)) + [10**9 + i for i in range(50)] + [10**12 + i for i in range(5)]
             for c in range(d % 4 + 1)]
     df = spark.createDataFrame(rows, "doc_id long, chunk_no int")
-    got = with_chunk_ids(df, "doc_", buckets=7).select("doc_id", "chunk_no", "chunk_index")
+    got = with_chunk_ids(df, "doc_", parts=7).select("doc_id", "chunk_no", "chunk_index")
     want = df.withColumn("chunk_index", (F.row_number().over(Window.orderBy("doc_id", "chunk_no")) - 1).cast("long"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
