@@ -80,8 +80,8 @@ def _linked(cosine: float):
                     if len(own) < 2:
                         continue
                     x = raw[at[own][:, None] + np.arange(d)]
-                    for s in range(0, len(own), 1024):
-                        i, j = np.nonzero(x[s:s + 1024] @ x.T >= cosine)
+                    for s in range(0, len(own), 128):
+                        i, j = np.nonzero(x[s:s + 128] @ x.T >= cosine)
                         i, j = own[i + s], own[j]
                         ok = (i < j) & ((lo[i] == hi[i]) | (block[i] != block[j]))
                         i, j = i[ok], j[ok]
