@@ -111,8 +111,11 @@ HISTORY_OUT = "conv_id long, turn long, role string, history_size int, history_t
 HISTORY_STATE = "turns array<long>, roles array<string>, texts array<string>"
 
 
-def _history_fn(n: int):
+def _history_fn(n: int, idle_ms: int | None = None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:                     # idle for longer than allowed: forget the session
+            state.remove()
+            return
         if state.exists:
             turns, roles, texts = state.get
             buf = list(zip(turns, roles, texts))
@@ -127,18 +130,28 @@ def _history_fn(n: int):
             buf.append((int(t), r, x))
             buf = buf[-n:]                        # state never holds more than n messages
         state.update(([b[0] for b in buf], [b[1] for b in buf], [b[2] for b in buf]))
+        if idle_ms is not None:
+            last = int(rows["_ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "history_size", "history_text"])
     return fn
 
 
-def history_stream(turns: DataFrame, n: int = 6) -> DataFrame:
+def history_stream(turns: DataFrame, n: int = 6, time_col: str | None = None, idle_seconds: int = 86_400) -> DataFrame:
     """K4: for every user message, the ``n`` messages before it, with the last
     ``n`` messages per session kept as state (bounded by ``n`` per session).
     Messages of a session must arrive in turn order across micro-batches;
-    inside a micro-batch they are sorted by turn.  (No idle timeout: a
-    processing-time timeout keeps an ``availableNow`` query from finishing.)"""
+    inside a micro-batch they are sorted by turn.
+
+    With an event time (``time_col``) a session idle for ``idle_seconds`` of
+    event time is dropped from the state, so the state holds live sessions only;
+    without one, sessions are kept."""
     ship_package(turns.sparkSession)
+    if time_col is not None:
+        t = turns.select("conv_id", "turn", "role", "text", F.col(time_col).cast("timestamp").alias("_ts")).withWatermark("_ts", "0 seconds")
+        return t.groupBy("conv_id").applyInPandasWithState(_history_fn(n, idle_seconds * 1000), HISTORY_OUT, HISTORY_STATE, "append",
+                                                           GroupStateTimeout.EventTimeTimeout)
     return (turns.select("conv_id", "turn", "role", "text").groupBy("conv_id")
             .applyInPandasWithState(_history_fn(n), HISTORY_OUT, HISTORY_STATE, "append",
                                     GroupStateTimeout.NoTimeout))

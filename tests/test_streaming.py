@@ -77,3 +77,20 @@ def test_k1_registered_stream_equals_batch_chunks(spark):
     q = E.queries()
     cols = ["doc_id", "chunk_no", "start_index", "content"]
     assert rows(q["k1_ingest_stream"](spark, SF), cols) == rows(q["b1_recursive_chunks"](spark, SF), cols)
+
+
+def test_k4_idle_sessions_are_forgotten(spark, tmpdir_fresh):
+    import datetime as dt
+    import time
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    steps = [[(1, 0, 0), (2, 0, 0)], [(1, 1, 1)], [(3, 0, 60)], [(3, 1, 61)], [(1, 2, 62), (3, 2, 62)]]
+    schema = "conv_id long, turn long, role string, text string, ts timestamp"
+    src = os.path.join(tmpdir_fresh, "in")
+    for i, rows in enumerate(steps):
+        data = [(c, t, "user", f"m{c}.{t}", day + dt.timedelta(hours=h)) for c, t, h in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in the order of their times
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = {(r.conv_id, r.turn): r.history_size for r in K.run_to_table(K.history_stream(s, 6, "ts", 24 * 3600), "k4-idle").collect()}
+    assert got[(1, 1)] == 1 and got[(3, 2)] == 2
+    assert got[(1, 2)] == 0  # two days later the session has been dropped
