@@ -222,12 +222,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = st.keep(docs.mapInArrow(_anchor_rows(length), "doc_id long, text_key long, first int, n int, anchor long, context long"), "anchors")
     again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("c > 1").select(
         "anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    again = st.keep(again, "again")  # as a table of its own, so that AQE can split the other side of the join
     seen = st.keep(rows.join(again, "anchor"), "seen")
-    st.drop("anchors")
+    st.drop("anchors", "again")
     contexts = (seen.where("mixed").groupBy("anchor", "context")
                 .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "text_key", "first", "n")).alias("r")))
     contexts = st.keep(contexts, "contexts")
-    hot = contexts.groupBy("anchor").agg((F.count(F.lit(1)) > HOT_CONTEXTS).alias("hot"))
+    hot = st.keep(contexts.groupBy("anchor").agg((F.count(F.lit(1)) > HOT_CONTEXTS).alias("hot")), "hot")
     lent = (contexts.join(hot, "anchor").groupBy(F.coalesce(F.col("r.doc_id"), F.lit(-1)).alias("_id"))
             .agg(F.collect_list(F.struct("r.text_key", "r.first", "r.n", "anchor", "context", "hot")).alias("lent")))
     pieces = (docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "text").join(lent, "_id").select("text", "lent")
