@@ -15,6 +15,18 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BATCH_MB = 4
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and keep Arrow batches small: a batch (and a task's memory) must not grow with document length."""
+    shared_dir(spark)
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if "".join(c for c in spark.conf.get(key) if c.isdigit()) not in (str(BATCH_MB << 20),):
+        spark.conf.set(key, f"{BATCH_MB << 20}b")
+
+
 class Stage:
     """Intermediate tables of one operator call, written as Parquet to the shared checkpoint folder.
 
@@ -27,8 +39,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
-        shared_dir(spark)
-        ship_package(spark)
+        prepare(spark)
 
     def keep(self, df: DataFrame, part: str) -> DataFrame:
         conf = self.spark.conf

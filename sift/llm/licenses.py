@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sift.session import ship_package
-
 from . import textkit as tk
+from .flow import prepare
 
 #: Base phrases and their labels.
 BASE = {
@@ -113,7 +112,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``spans`` are the method's own: (label, first word, last word, cover) of merged license texts.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     label = F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv])
     need = F.create_map(*[F.lit(x) for p in BASE for x in (p, len(p.split()) - K_BASE + 1)])
     size = F.create_map(*[F.lit(x) for n, t in PASSAGES.items() for x in (n, len(t.split()) - K_TEXT + 1)])

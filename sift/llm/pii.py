@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sift.session import ship_package
+from .flow import prepare
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
@@ -228,7 +228,7 @@ def _report(weights: np.ndarray):
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base counts by kind, base_sha256, spans, n_added) for every document."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInArrow(_report(learn_unary(src)), f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long")
@@ -255,7 +255,7 @@ def _masker(weights: np.ndarray, at: int):
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with all spans of the text masked; other columns as they are."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
     own = docs.select(*[(F.col(c).cast("string") if c == text_col else F.col(c)).alias(f"_c{k}") for k, c in enumerate(docs.columns)])
     out = own.mapInArrow(_masker(learn_unary(docs, text_col), at), T.StructType(own.schema.fields))

@@ -21,11 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sift.session import ship_package
-
 from . import textkit as tk
 from .evidence import label_sample, learn_terms, term_scores
-from .flow import join_stats, null_safe
+from .flow import join_stats, null_safe, prepare
 from .measures import measures, shape
 
 MAX_LABELS = 20_000
@@ -124,7 +122,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, carry: list[str], id_co
     A site is ``host_col``; its path is ``path_col`` within it.  ``kept`` is
     true for a posterior of 0.5 or more.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     model, terms = fit(docs, labels, id_col, text_col, max_labels)
     own = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)]
     src = docs.select(*own, null_safe(F.col(host_col).cast("string")).alias("_host"), null_safe(F.col(path_col).cast("string")).alias("_path"),

@@ -22,11 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sift.session import ship_package
-
 from . import textkit as tk
 from .evidence import label_sample, learn_terms, term_scores
-from .flow import null_safe
+from .flow import null_safe, prepare
 from .measures import measures
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -124,7 +122,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     of the ``MAX_STRATA`` strata with the most labelled good documents are
     certified; others have too few to certify any (below 1/1000 of them).
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), null_safe(F.col(stratum_col).cast("string")).alias("_stratum"), F.col(text_col).cast("string").alias("_text"))
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, _stratum string, {', '.join(f'{c} long' for c in COUNTS)}, _rates array<double>"
     labelled = (src.join(F.broadcast(label_sample(labels, max_labels)), "doc_id")

@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sift.session import ship_package
-
 from . import textkit as tk
+from .flow import prepare
 
 SPACE = 0x2581
 UNIGRAM, BPE = 1, 2
@@ -441,7 +440,7 @@ def _encoded(path: str | None):
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """(doc_id, n_ids, ids, ids_crc32, round_trip) for every document; ``round_trip``: decoding gives the text back."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInArrow(_encoded(model), f"doc_id {kind}, n_ids long, ids array<int>, ids_crc32 long, round_trip boolean")
@@ -459,6 +458,6 @@ def _decoded(path: str | None):
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
     """(doc_id, text) from id lists."""
-    ship_package(encoded.sparkSession)
+    prepare(encoded.sparkSession)
     src = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return src.mapInArrow(_decoded(model), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string")
