@@ -25,8 +25,9 @@ Tree = dict[int, dict[int, dict[int, float]]]  # region -> rack -> shard -> weig
 def standard_tree(n_shards: int) -> Tree:
     """Equal shards filled in order: four to a rack, three racks to a region.
 
-    Twelve shards fill a region, so a shard added to full regions opens a
-    region of its own and takes rows only into itself.
+    Twelve shards fill a region, so a shard added to full regions (as the 25th)
+    opens a region of its own and takes rows only into itself; one added inside
+    a region draws rows into that region's subtree.
     """
     tree: Tree = {}
     for s in range(n_shards):

@@ -37,6 +37,7 @@ from .flow import Stage, components
 K, PERCENT = 4, 85
 BITS = 1024
 LIST_BLOCK = 8192
+PAIRS = 400_000  # pairs of a long list compared at a time
 HOT_IN_SLICE, HOT_LEAST, HOT_MOST = 4, 100, 100_000
 
 
@@ -148,24 +149,31 @@ def _prefixes(k: int, percent: int, hot: np.ndarray):
     return run
 
 
-_ENTRY = "shingle long, blocks int, block int, id long, n long, place int, before array<long>, bits binary, answer long"
+_ENTRY = "shingle long, blocks int, block int, id long, n long, place int, before1 long, before2 long, bits binary, answer long"
+ENTRY_ROWS = 20_000  # index entries per output batch
 
 
 def _entries(batches):
-    """(id, n, bits, answer, [(place, shingle, blocks)]) -> index list entries, with the two entries before each."""
+    """(id, n, bits, [(place, shingle, blocks)], answer) -> index list entries, each with the two entries before it."""
+    names = [c.split()[0] for c in _ENTRY.split(", ")]
     for batch in batches:
-        rows = batch.to_pydict()
-        out: tuple[list, ...] = tuple([] for _ in range(9))
-        for r in range(batch.num_rows):
-            lists = sorted((e["place"], e["shingle"], e["blocks"]) for e in rows["lists"][r])
-            bits = fold(rows["bits"][r], BITS).tobytes()
-            for x, (place, shingle, blocks) in enumerate(lists):
-                before = [e[1] for e in lists[max(0, x - 2):x]]
-                for o, v in zip(out, (shingle, blocks, rows["id"][r] % blocks, rows["id"][r], rows["n"][r], place, before, bits, rows["answer"][r])):
-                    o.append(v)
-        names = [c.split()[0] for c in _ENTRY.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names)
+        ids, n, bits, lists, answer = batch.columns
+        size = np.asarray(lists.value_lengths())
+        flat = lists.flatten()
+        place, shingle, blocks = (np.asarray(flat.field(c)) for c in ("place", "shingle", "blocks"))
+        row = np.repeat(np.arange(batch.num_rows), size)
+        by = np.lexsort((shingle, place, row))
+        row, place, shingle, blocks = row[by], place[by], shingle[by], blocks[by]
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        short = pa.array([fold(b, BITS).tobytes() for b in bits.to_pylist()], pa.binary())
+        own = np.asarray(ids)
+        for lo in range(0, len(row), ENTRY_ROWS):
+            k = np.arange(lo, min(lo + ENTRY_ROWS, len(row)))
+            r = pa.array(row[k])
+            back = [pa.array(shingle[np.maximum(k - d, 0)], mask=nth[k] < d) for d in (1, 2)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingle[k]), pa.array(blocks[k]), pa.array((own[row[k]] % blocks[k]).astype(np.int32)), ids.take(r), n.take(r), pa.array(place[k]),
+                 *back, short.take(r), answer.take(r)], names)
 
 
 def _complete(batches, keys: list[str]):
@@ -195,12 +203,10 @@ class _Lists:
         self.group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
         self.cross = key[1] != key[2]
         self.block, self.id, self.n, self.place, self.answer = (np.asarray(col(c)).astype(np.int64) for c in ("block", "id", "n", "place", "answer"))
-        b = col("before")
-        size = np.asarray(b.value_lengths())
-        flat, at = np.asarray(b.flatten()), np.concatenate([[0], np.cumsum(size)])
-        self.b1 = np.where(size > 0, flat[np.maximum(at[1:] - 1, 0)] if len(flat) else 0, np.arange(len(size)) * 2 + 1)
-        self.b2 = np.where(size > 1, flat[np.maximum(at[1:] - 2, 0)] if len(flat) else 0, np.arange(len(size)) * 2 + 2)
-        self.bits = np.frombuffer(b"".join(col("bits").to_pylist()), np.uint64).reshape(len(size), BITS // 64)
+        size = table.num_rows
+        self.b1, self.b2 = (np.where(np.asarray(col(c).is_valid()), np.asarray(col(c).fill_null(0)), 2 * np.arange(size) + d)
+                            for c, d in (("before1", 1), ("before2", 2)))  # without an entry before: a value of its own
+        self.bits = np.frombuffer(b"".join(col("bits").to_pylist()), np.uint64).reshape(size, BITS // 64)
 
     def _filter(self, i: np.ndarray, j: np.ndarray, other_answer: bool):
         """Pairs (i before j in the list, so n[i] <= n[j])."""
@@ -232,8 +238,9 @@ class _Lists:
             a, b = int(first[g]), int(first[g + 1])
             n = self.n[a:b]
             stop = a + np.searchsorted(n, n * 100 // self.percent, "right")  # the block of sizes within the threshold
-            for s in range(a, b, 256):
-                e = min(s + 256, b)
+            step = max(1, PAIRS // (b - a))
+            for s in range(a, b, step):
+                e = min(s + step, b)
                 width = stop[s - a:e - a] - np.arange(s, e) - 1
                 width = np.maximum(width, 0)
                 i = np.repeat(np.arange(s, e), width)
@@ -358,7 +365,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     def entries(answers: DataFrame) -> DataFrame:
         e = answers.select("id", "n", "bits", "lists", "answer").mapInArrow(_entries, _ENTRY)
         e = e.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return (e.select("shingle", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "block", "id", "n", "place", "before", "bits", "answer")
+        return (e.select("shingle", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "block", "id", "n", "place", "before1", "before2", "bits", "answer")
                 .repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi", "n", "id"))
 
     near = entries(listed.withColumn("answer", F.lit(0).cast("long"))).mapInArrow(_first_round(percent), "a long, b long, kind int, w long")
