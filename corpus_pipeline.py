@@ -12,6 +12,9 @@ from sift.llm.quality import classify_quality
 from sift.llm.suffix_dedup import remove_repeats
 
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # shingles of five words, similarity of 0.8 or more; op7 has its own contract
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; columns stay as they are."""
     names = docs.columns
@@ -26,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words and rows without an id link with nothing here and stay.
     """
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
     drop = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
     copies = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
     stay = docs.join(drop, "doc_id", "left_anti")

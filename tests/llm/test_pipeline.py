@@ -1,5 +1,10 @@
+import random
+import re
+
 import corpus_pipeline as cp
 
+from .conftest import words
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -30,3 +35,43 @@ def test_run_packs_what_the_stages_kept(spark):
 def test_empty_documents(spark, no_docs):
     for name, stage in cp.STAGES:
         assert stage(spark, no_docs, SF).count() == 0, name
+
+
+def near_brute(rows):
+    """(doc_id, text) of the rows that stay, from plain sets of five words and similarities of 0.8 or more."""
+    nodes = sorted({r[:2] for r in rows if r[0] is not None}, key=lambda x: (x[0], x[1] or ""))
+    sets = []
+    for _, text in nodes:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    up = list(range(len(nodes)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    one = [nodes[i] for i in range(len(nodes)) if sets[i] and find(i) == i]
+    bare = {nodes[i] for i in range(len(nodes)) if not sets[i]}
+    return one + [r[:2] for r in rows if r[0] is None or r[:2] in bare]
+
+
+def near_check(spark, rows):
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, df, SF).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, near_brute(rows)))
+    return got
+
+
+def test_near_copies_of_five_words_and_80_percent_go(spark, rows):
+    rng = random.Random(3)
+    own = [(1000 + i, words(rng, 400, 10 ** 6)) for i in range(3)]
+    own += [(1010 + i, own[0][1] + " " + words(rng, n, 10 ** 6)) for i, n in enumerate((80, 96, 104))]
+    own += [(1020 + i, " ".join(own[1][1].split()[n:])) for i, n in enumerate((70, 78))]
+    got = {r[0] for r in near_check(spark, rows + own)}
+    assert not {1010, 1011, 1020, 1021} & got
+    assert {1000, 1001, 1002, 1012} <= got
