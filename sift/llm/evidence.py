@@ -19,11 +19,15 @@ MIN_RATIO = 20.0     # its rate in flagged over its rate in clean documents
 MAX_TERMS = 5000     # of the highest weight (bounded model)
 
 
-def label_sample(labels: DataFrame, max_labels: int) -> DataFrame:
-    """At most ``max_labels`` labelled ids (by hash order), one row each: the worst label of a repeated id holds."""
-    one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+def label_rows(labels: DataFrame) -> DataFrame:
+    """All labelled ids, one row each: the worst label of a repeated id holds."""
+    return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min(F.coalesce("quality", F.lit(1))).cast("int").alias("_quality"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("_toxic"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
+
+
+def label_sample(labels: DataFrame, max_labels: int) -> DataFrame:
+    """At most ``max_labels`` rows of ``label_rows``, by hash order."""
+    return label_rows(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
 
 
 def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .evidence import label_sample, learn_terms, term_scores
-from .flow import null_safe, prepare
+from .evidence import label_rows, label_sample, learn_terms, term_scores
+from .flow import Stage, join_stats, null_safe
 from .measures import measures
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -38,7 +38,7 @@ RULES = {
     "sameness": [0.5, 0.6, 0.7, 0.8, 0.9, 0.95],
     "terms": [0.0, 1.0, 2.0, 4.0],
 }
-RISK, CONFIDENCE, MAX_LABELS, MAX_STRATA = 0.05, 0.95, 40_000, 1000
+RISK, CONFIDENCE, MAX_LABELS = 0.05, 0.95, 40_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -92,6 +92,22 @@ def choose(counts: list[tuple[str, str, int, int, int]], risk: float = RISK, con
     return out
 
 
+def least_rows(risk: float = RISK, confidence: float = CONFIDENCE) -> int:
+    """Good documents that certify a cutoff which rejects none of them; fewer certify nothing."""
+    return max(1, math.floor(math.log((1 - confidence) / len(RULES)) / math.log1p(-risk / len(RULES))))
+
+
+def _certified(risk: float, confidence: float):
+    """Rejection counts of a stratum -> (_stratum, _cuts in the order of the rules)."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                s = row["_stratum"]
+                cut = choose([(s, rule, k, row[f"{rule}_{k}"], row["n"]) for rule in RULES for k in range(len(RULES[rule]))], risk, confidence)
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.string()), pa.array([[cut.get(s, {}).get(r) for r in RULES]], pa.list_(pa.float64()))], ["_stratum", "_cuts"])
+    return run
+
+
 def _rates(m: dict[str, np.ndarray], hits: np.ndarray) -> dict[str, np.ndarray]:
     w, lines = np.maximum(m["n_words"], 1), np.maximum(m["n_lines"], 1)
     return {"symbols": m["n_symbols"] / w, "dup_lines": m["n_dup_lines"] / lines, "repeats": m["n_repeat_words"] / w,
@@ -117,25 +133,29 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(doc_id, counts, base_failed, kept, failed_rules) for every document.
 
     ``kept``: not base_failed and no certified rule of its stratum broken.
-    Word evidence for the ``terms`` rule comes from one half of the labelled
-    sample, the holdout that certifies all cutoffs is the other half.  Cutoffs
-    of the ``MAX_STRATA`` strata with the most labelled good documents are
-    certified; others have too few to certify any (below 1/1000 of them).
+    Word evidence for the ``terms`` rule comes from one half of a sample of at
+    most ``max_labels`` labelled ids; the good documents of all other labelled
+    ids are the holdout that certifies all cutoffs, in every stratum that has
+    ``least_rows`` of them.
     """
-    prepare(docs.sparkSession)
+    st = Stage(docs.sparkSession, "rules")
     src = docs.select(F.col(id_col).alias("doc_id"), null_safe(F.col(stratum_col).cast("string")).alias("_stratum"), F.col(text_col).cast("string").alias("_text"))
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, _stratum string, {', '.join(f'{c} long' for c in COUNTS)}, _rates array<double>"
-    labelled = (src.join(F.broadcast(label_sample(labels, max_labels)), "doc_id")
-                .withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")))
-    terms = learn_terms(labelled.select(F.col("_text").alias("text"), F.col("_toxic").alias("flag"), "fold"))[0]
-    good = labelled.where("fold = 1 AND _quality = 1 AND _toxic = 0").select("doc_id", "_stratum", "_text").mapInArrow(_measured(terms), schema)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    learn = label_sample(labels, max_labels).withColumn("fold", fold).where("fold = 0")  # bounded, so it is broadcast
+    terms = learn_terms(src.join(F.broadcast(learn), "doc_id").select(F.col("_text").alias("text"), F.col("_toxic").alias("flag"), "fold"))[0]
+    measured = st.keep(src.mapInArrow(_measured(terms), schema), "measured")
+    holdout = label_rows(labels).where("_quality = 1 AND _toxic = 0").join(F.broadcast(learn.select("doc_id")), "doc_id", "left_anti").select("doc_id")
     names = list(RULES)
-    seen = good.where(f"n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words").groupBy("_stratum").agg(
+    seen = (measured.where(f"n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words").join(holdout, "doc_id").groupBy("_stratum").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum((F.col("_rates")[r] > c).cast("long")).alias(f"{names[r]}_{k}") for r in range(len(names)) for k, c in enumerate(RULES[names[r]])])
-    top = seen.orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA).collect()
-    cut = choose([(row["_stratum"], rule, k, row[f"{rule}_{k}"], row["n"]) for row in top for rule in names for k in range(len(RULES[rule]))], risk, confidence)
-    table = docs.sparkSession.createDataFrame([(s, [c.get(r) for r in names]) for s, c in sorted(cut.items())], "_stratum string, _cuts array<double>")
-    judged = src.mapInArrow(_measured(terms), schema).join(F.broadcast(table), "_stratum", "left")  # at most MAX_STRATA rows
+        .where(F.col("n") >= least_rows(risk, confidence)))
+    cuts = seen.mapInArrow(_certified(risk, confidence), "_stratum string, _cuts array<double>")
+    strata = st.keep(measured.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows")).join(cuts, "_stratum", "left"), "strata")
+    rows = strata.agg(F.sum("_rows")).first()[0] or 0
+    judged = join_stats(measured, strata, "_stratum", "_rows", rows)
     broken = F.concat_ws(",", *[F.when(F.col("_rates")[r] > F.col("_cuts")[r], F.lit(names[r])) for r in range(len(names))])
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return judged.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & (broken == "")).alias("kept"), broken.alias("failed_rules"))
+    out = st.hold(judged.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & (broken == "")).alias("kept"), broken.alias("failed_rules")))
+    st.drop(*list(st.paths))
+    return out

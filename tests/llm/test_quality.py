@@ -4,7 +4,7 @@ import random
 import pytest
 
 from sift.llm.quality import classify_quality
-from sift.llm.rules import _beta_tail, choose, quality_rules, upper_bound
+from sift.llm.rules import RISK, RULES, _beta_tail, choose, least_rows, quality_rules, upper_bound
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,3 +69,24 @@ def test_sparse_sites_shrink_to_the_level_above(spark):
     got = classify_quality(d, spark.read.parquet(f"{SF}/labels.parquet"), ["doc_id", "source"])
     p = got.selectExpr("min(p_path)", "max(p_path)", "avg(p_document)").first()
     assert 0 < p[0] <= p[2] + 0.2 and p[1] < 1
+
+
+def test_least_rows_certify_a_cutoff_without_rejections():
+    n = least_rows()
+    error, risk = 0.05 / len(RULES), RISK / len(RULES)
+    assert upper_bound(0, n - 1, error) > risk and upper_bound(0, n + 1, error) <= risk
+
+
+def test_all_labelled_documents_certify_not_only_the_sample(spark):
+    """A language with 900 good documents gets its rules, however few of them the term-learning sample holds."""
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(25))
+    rows = [(i, text(), "en" if i % 4 else "de") for i in range(3600)] + [(5000 + i, text(), "fr") for i in range(600)]
+    rows += [(9000 + i, text() + " # # # # # # # # # #", lang) for i, lang in enumerate(("en", "de", "fr"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    lab = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] < 9000], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules(d, lab, max_labels=100).collect()}
+    assert len(got) == len(rows)
+    assert not got[9000].kept and not got[9001].kept and "symbols" in got[9001].failed_rules
+    assert got[9002].kept  # 600 good documents certify nothing
+    assert all(got[i].kept for i in range(3600))
