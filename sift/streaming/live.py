@@ -138,18 +138,25 @@ def _history_fn(n: int, idle_ms: int | None = None):
     return fn
 
 
-def history_stream(turns: DataFrame, n: int = 6, time_col: str | None = None, idle_seconds: int = 86_400) -> DataFrame:
+def history_stream(turns: DataFrame, n: int = 6, time_col: str | None = None, idle_seconds: int = 86_400,
+                   lateness_seconds: int | None = None) -> DataFrame:
     """K4: for every user message, the ``n`` messages before it, with the last
     ``n`` messages per session kept as state (bounded by ``n`` per session).
     Messages of a session must arrive in turn order across micro-batches;
     inside a micro-batch they are sorted by turn.
 
-    With an event time (``time_col``) a session idle for ``idle_seconds`` of
-    event time is dropped from the state, so the state holds live sessions only;
-    without one, sessions are kept."""
+    With an event time (``time_col``) the watermark is the newest event time of
+    all sessions in earlier micro-batches less ``lateness_seconds`` (default
+    ``idle_seconds``).  Sessions may arrive out of each other's order within
+    that: a message older than the watermark is dropped, gets no row and is
+    missing from later histories.  A session is dropped from the state once
+    the watermark is ``idle_seconds`` past its last message, so the state holds
+    live sessions only.  Without an event time nothing is dropped and sessions
+    are kept."""
     ship_package(turns.sparkSession)
     if time_col is not None:
-        t = turns.select("conv_id", "turn", "role", "text", F.col(time_col).cast("timestamp").alias("_ts")).withWatermark("_ts", "0 seconds")
+        late = idle_seconds if lateness_seconds is None else lateness_seconds
+        t = turns.select("conv_id", "turn", "role", "text", F.col(time_col).cast("timestamp").alias("_ts")).withWatermark("_ts", f"{late} seconds")
         return t.groupBy("conv_id").applyInPandasWithState(_history_fn(n, idle_seconds * 1000), HISTORY_OUT, HISTORY_STATE, "append",
                                                            GroupStateTimeout.EventTimeTimeout)
     return (turns.select("conv_id", "turn", "role", "text").groupBy("conv_id")

@@ -94,3 +94,30 @@ def test_k4_idle_sessions_are_forgotten(spark, tmpdir_fresh):
     got = {(r.conv_id, r.turn): r.history_size for r in K.run_to_table(K.history_stream(s, 6, "ts", 24 * 3600), "k4-idle").collect()}
     assert got[(1, 1)] == 1 and got[(3, 2)] == 2
     assert got[(1, 2)] == 0  # two days later the session has been dropped
+
+
+def _history_of_steps(spark, folder, steps, name, **args):
+    """History of micro-batches [(conv_id, turn, hour)], each one file."""
+    import datetime as dt
+    import time
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    schema = "conv_id long, turn long, role string, text string, ts timestamp"
+    src = os.path.join(folder, "in")
+    for step in steps:
+        data = [(c, t, "user", f"m{c}.{t}", day + dt.timedelta(hours=h)) for c, t, h in step]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in the order of their times
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return {(r.conv_id, r.turn): r.history_size for r in K.run_to_table(K.history_stream(s, 6, "ts", **args), name).collect()}
+
+
+def test_k4_sessions_out_of_global_order_keep_their_messages(spark, tmpdir_fresh):
+    steps = [[(1, 0, 20)], [(2, 0, 5)], [(1, 1, 21)], [(2, 1, 6), (1, 2, 22)], [(2, 2, 7)]]
+    got = _history_of_steps(spark, tmpdir_fresh, steps, "k4-order", idle_seconds=24 * 3600)
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (2, 0): 0, (2, 1): 1, (2, 2): 2}
+
+
+def test_k4_lateness_is_a_parameter(spark, tmpdir_fresh):
+    steps = [[(1, 0, 20)], [(1, 1, 21)], [(2, 0, 5), (3, 0, 19)]]
+    got = _history_of_steps(spark, tmpdir_fresh, steps, "k4-late", idle_seconds=24 * 3600, lateness_seconds=3 * 3600)
+    assert got == {(1, 0): 0, (3, 0): 0, (1, 1): 1}  # hour 5 is older than 20 - 3
