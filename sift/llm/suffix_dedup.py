@@ -81,36 +81,39 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int):
     return doc[first], start - off[doc[first]], count, h[a[first]], tk.span_hash(data, start, start + count - 1 + length)
 
 
-def _text_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return tk.signed(tk.span_hash(data, off[:-1], off[1:]))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """With the key of a row's id and text: rows without id, or with one id, are spread by their texts."""
+    return docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "text_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
 
 
 def _anchor_rows(length: int):
     def run(batches):
         for batch in batches:
-            data, off = tk.text_bytes(batch.column(1))
-            ids = batch.column(0)
+            data, off = tk.text_bytes(batch.column(2))
+            ids, keys = batch.column(0), batch.column(1)
             for i, j in tk.slices(off):
-                own = tk.cut(data, off, i, j)
-                doc, first, count, a, c = anchors(*own, length)
-                key = _text_keys(*own)
+                doc, first, count, a, c = anchors(*tk.cut(data, off, i, j), length)
+                at = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).take(pa.array(doc)), pa.array(key[doc]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)),
-                     pa.array(tk.signed(a)), pa.array(tk.signed(c))], ["doc_id", "text_key", "first", "n", "anchor", "context"])
+                    [ids.take(at), keys.take(at), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)),
+                     pa.array(tk.signed(a)), pa.array(tk.signed(c))], ["_id", "text_key", "first", "n", "anchor", "context"])
     return run
 
 
 def _context_bytes(length: int):
-    """Documents with the contexts they lend -> (anchor, context, hot, bytes)."""
+    """Documents with the contexts they lend -> (anchor, context, hot, bytes).  Of equal rows side by side one lends."""
     def run(batches):
+        last = None
         for batch in batches:
-            data, off = tk.text_bytes(batch.column(0))
-            lent = batch.column(1).to_pylist()
+            data, off = tk.text_bytes(batch.column(2))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = [k != before for k, before in zip(keys, [last, *keys])]
+            last = keys[-1] if keys else last
+            lent = batch.column(3)
             for i, j in tk.slices(off):
                 own, at = tk.cut(data, off, i, j)
-                key = _text_keys(own, at).tolist()
                 rows = [(x["anchor"], x["context"], x["hot"], own[at[r] + x["first"]:at[r] + x["first"] + x["n"] - 1 + length].tobytes())
-                        for r in range(j - i) for x in lent[i + r] if x["text_key"] == key[r]]
+                        for r in range(j - i) if new[i + r] for x in lent[i + r].as_py()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["anchor", "context", "hot", "bytes"])
     return run
@@ -215,23 +218,24 @@ def _window_hashes(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, spans): for each document with repeats its (text_key, lo, hi) runs of window starts.  docs: doc_id, text."""
+    """(_id, text_key, spans): for each text with repeats under an id its (lo, hi) runs of window starts.  docs: doc_id, text."""
     if length % STEP or length <= GRAM:
         raise ValueError(f"length must be a multiple of {STEP} above {GRAM}")
     st = Stage(docs.sparkSession, "suffix")
-    rows = st.keep(docs.mapInArrow(_anchor_rows(length), "doc_id long, text_key long, first int, n int, anchor long, context long"), "anchors")
+    src = _keyed(docs, "doc_id", "text").select("_id", "text_key", "text")
+    rows = st.keep(src.mapInArrow(_anchor_rows(length), "_id long, text_key long, first int, n int, anchor long, context long"), "anchors")
     again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("c > 1").select(
         "anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = st.keep(again, "again")  # as a table of its own, so that AQE can split the other side of the join
     seen = st.keep(rows.join(again, "anchor"), "seen")
     st.drop("anchors", "again")
     contexts = (seen.where("mixed").groupBy("anchor", "context")
-                .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "text_key", "first", "n")).alias("r")))
+                .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "text_key", "first", "n")).alias("r")))
     contexts = st.keep(contexts, "contexts")
     hot = st.keep(contexts.groupBy("anchor").agg((F.count(F.lit(1)) > HOT_CONTEXTS).alias("hot")), "hot")
-    lent = (contexts.join(hot, "anchor").groupBy(F.coalesce(F.col("r.doc_id"), F.lit(-1)).alias("_id"))
-            .agg(F.collect_list(F.struct("r.text_key", "r.first", "r.n", "anchor", "context", "hot")).alias("lent")))
-    pieces = (docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "text").join(lent, "_id").select("text", "lent")
+    lent = (contexts.join(hot, "anchor").groupBy("r._id", "r.text_key")
+            .agg(F.collect_list(F.struct("r.first", "r.n", "anchor", "context", "hot")).alias("lent")))
+    pieces = (src.join(lent, ["_id", "text_key"]).select("_id", "text_key", "text", "lent")
               .mapInArrow(_context_bytes(length), "anchor long, context long, hot boolean, bytes binary"))
     pieces = st.keep(pieces, "pieces")
     ranges = "anchor long, context long, from array<int>, to array<int>"
@@ -245,23 +249,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = contexts.select("anchor", "context", (F.col("c") > 1).alias("full")).join(found.unionByName(found_hot), ["anchor", "context"], "left")
     found = st.keep(found.where("full OR from IS NOT NULL"), "found")
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to")))
-    cut = lambda c: c.select("doc_id", "text_key", "first", F.explode("parts").alias("p"))
+    cut = lambda c: c.select("_id", "text_key", "first", F.explode("parts").alias("p"))
     plain = cut(seen.where("NOT mixed").withColumn("parts", whole))
     mixed = cut(seen.where("mixed").join(found, ["anchor", "context"]).withColumn("parts", F.when(F.col("full"), whole).otherwise(F.arrays_zip("from", "to"))))
-    spans = (plain.unionByName(mixed).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"))
-             .agg(F.collect_set(F.struct("text_key", (F.col("first") + F.col("p.from")).alias("lo"), (F.col("first") + F.col("p.to")).alias("hi"))).alias("spans")))
+    spans = (plain.unionByName(mixed).groupBy("_id", "text_key")
+             .agg(F.collect_set(F.struct((F.col("first") + F.col("p.from")).alias("lo"), (F.col("first") + F.col("p.to")).alias("hi"))).alias("spans")))
     spans = st.hold(spans)
     st.drop(*list(st.paths))
     return spans
 
 
-def _removed(text: np.ndarray, key: int, spans, length: int) -> np.ndarray:
+def _removed(text: np.ndarray, spans, length: int) -> np.ndarray:
     """Flags of the bytes to remove."""
     cover = np.zeros(len(text) + 1, np.int64)
     for s in spans or ():
-        if s["text_key"] == key:
-            cover[s["lo"]] += 1
-            cover[s["hi"] - 1 + length] -= 1
+        cover[s["lo"]] += 1
+        cover[s["hi"] - 1 + length] -= 1
     return np.cumsum(cover)[:-1] > 0
 
 
@@ -273,10 +276,9 @@ def _finish(length: int, at: int, spans_at: int, as_text: bool, names: list[str]
             kept, digest = [], []
             for i, j in tk.slices(off):
                 own, o = tk.cut(data, off, i, j)
-                key = _text_keys(own, o).tolist()
                 for r in range(j - i):
                     text = own[o[r]:o[r + 1]]
-                    gone = _removed(text, key[r], spans[i + r], length) if spans[i + r] else np.zeros(len(text), bool)
+                    gone = _removed(text, spans[i + r], length) if spans[i + r] else np.zeros(len(text), bool)
                     rest = text[~gone].tobytes()
                     if as_text:
                         kept.append(None if batch.column(at)[i + r].as_py() is None else rest.decode("utf-8", "ignore"))
@@ -295,7 +297,7 @@ def _finish(length: int, at: int, spans_at: int, as_text: bool, names: list[str]
 def dedup_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = src.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(repeated_spans(src, length), "_id", "left").select("doc_id", "text", "spans")
+    joined = _keyed(src, "doc_id", "text").join(repeated_spans(src, length), ["_id", "text_key"], "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return joined.mapInArrow(_finish(length, 1, 2, False, names), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -303,8 +305,9 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes removed from the text (a code point cut in part goes whole)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)], F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_id"))
-    joined = own.join(repeated_spans(src, length), "_id", "left").drop("_id")
+    own = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)])
+    own = _keyed(own, f"_c{docs.columns.index(id_col)}", f"_c{docs.columns.index(text_col)}")
+    joined = own.join(repeated_spans(src, length), ["_id", "text_key"], "left").drop("_id", "text_key")
     names = joined.columns[:-1]
     schema = T.StructType(joined.schema.fields[:-1])
     out = joined.mapInArrow(_finish(length, docs.columns.index(text_col), len(names), True, names), schema)

@@ -52,3 +52,25 @@ def test_text_stage(docs, rows, no_docs):
     assert {r.text for r in out.where("doc_id BETWEEN 100 AND 111").collect()} == {""}
     assert out.where("doc_id = 400").first().text is None
     assert sd.dedup_report(no_docs).count() == 0
+
+
+def test_rows_without_id_or_with_one_id_are_spread_by_text(spark, monkeypatch):
+    """No array holds more than one text's spans or lent contexts, and equal rows lend once."""
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    shared = text(300)
+    rows = [(None if i % 2 else 7, text(50 + i) + shared + text(40)) for i in range(60)] + [(None, text(260))] * 9 + [(None, None), (-1, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = sd.repeated_spans(df).collect()
+    assert len(spans) == 62 and max(len(r.spans) for r in spans) <= 300
+    lent = []
+    keep = sd.Stage.keep
+
+    def watch(self, frame, part):
+        out = keep(self, frame, part)
+        if part == "pieces":
+            lent.append((out.count(), out.select("anchor", "context").distinct().count()))
+        return out
+    monkeypatch.setattr(sd.Stage, "keep", watch)
+    check(df, rows)
+    assert lent[0][0] == lent[0][1]
