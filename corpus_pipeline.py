@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sift.llm.flow import documents
 from sift.llm.near_sets import jaccard_components
@@ -27,14 +27,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id, once if its row is repeated.
 
-    Documents without words and rows without an id link with nothing here and stay.
+    A document is an id with its text: rows with one id and different texts are
+    documents of their own (nodes are 64-bit hashes of both).  Documents without
+    words and rows without an id link with nothing here and stay.
     """
-    found = jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
-    drop = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    copies = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    stay = docs.join(drop, "doc_id", "left_anti")
-    again = stay.join(copies, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(copies, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    found = jaccard_components(docs.select(node.alias("node"), "text"), k=NEAR_WORDS, percent=NEAR_PERCENT, id_col="node")
+    found = found.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_node"), "component_id")
+    nodes = found.groupBy("_node").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    groups = nodes.where("component_id <> _node").select("component_id").distinct()
+    members = nodes.join(groups, "component_id").join(docs.select(node.alias("_node"), "doc_id").distinct(), "_node")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_node"))["_node"].alias("first"))
+    drop = members.join(first, "component_id").where("_node <> first").select("_node")
+    copies = nodes.where("n > 1").select("_node")
+    stay = docs.withColumn("_node", node).join(drop, "_node", "left_anti")
+    again = stay.join(copies, "_node", "left_semi").dropDuplicates(["_node"])
+    return stay.join(copies, "_node", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,13 @@ def test_near_copies_of_five_words_and_80_percent_go(spark, rows):
     got = {r[0] for r in near_check(spark, rows + own)}
     assert not {1010, 1011, 1020, 1021} & got
     assert {1000, 1001, 1002, 1012} <= got
+
+
+def test_rows_with_one_id_and_different_texts_are_documents_of_their_own(spark):
+    rng = random.Random(4)
+    a, b, c, d = (words(rng, 60, 10 ** 6) for _ in range(4))
+    rows = [(5, a), (5, b), (5, b), (3, b + " x"), (9, c), (9, d), (12, a), (None, a), (None, a), (20, None), (20, ""), (20, " ")]
+    got = near_check(spark, rows)
+    assert (5, a) in got and (9, d) in got and (5, b) not in got and (12, a) not in got
+    own = spark.createDataFrame([(9, c), (9, c + " y")], "doc_id long, text string")
+    assert cp.near_duplicates(spark, own, SF).count() == 1
