@@ -1,7 +1,8 @@
 """Operator 1: quality classifier by hierarchical empirical Bayes.
 
 A document classifier (ridge logistic regression on binned shape measures and
-learned word evidence, fitted on at most ``max_labels`` labelled rows) gives
+learned word evidence, fitted on at most ``max_labels`` labelled ids, one row
+of each) gives
 each document its own evidence.  Soft counts of good documents are then summed
 by host and by path over the whole table; sparse sites shrink toward the level
 above with strengths estimated from the data (method of moments).  A document's
@@ -78,6 +79,7 @@ class Evidence:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labels: int) -> tuple[Evidence | None, tuple]:
     sample = label_sample(labels, max_labels)  # bounded, so it is broadcast
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+            .groupBy("doc_id", "_quality", "_toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row an id, however often it occurs
             .select("text", "_quality", "_toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")))
     terms = learn_terms(rows.select("text", F.col("_toxic").alias("flag"), "fold"))
     good = ((F.col("_quality") == 1) & (F.col("_toxic") == 0)).cast("int")

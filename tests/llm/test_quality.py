@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from sift.llm import quality as ql
 from sift.llm.quality import classify_quality
 from sift.llm.rules import RISK, RULES, _beta_tail, choose, least_rows, quality_rules, upper_bound
 
@@ -90,3 +91,21 @@ def test_all_labelled_documents_certify_not_only_the_sample(spark):
     assert not got[9000].kept and not got[9001].kept and "symbols" in got[9001].failed_rules
     assert got[9002].kept  # 600 good documents certify nothing
     assert all(got[i].kept for i in range(3600))
+
+
+def test_a_repeated_labelled_id_is_one_training_row(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randint(0, 50)}" for _ in range(30))
+    rows = [(i, text()) for i in range(40)] + [(1, text()) for _ in range(150)] + [(2, None)] * 20
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    sizes = []
+
+    class Watched(ql.Evidence):
+        def __init__(self, x, good, ridge=1.0):
+            sizes.append((len(x), int(good.sum())))
+            super().__init__(x, good, ridge)
+    monkeypatch.setattr(ql, "Evidence", Watched)
+    ql.fit(d, lab, "doc_id", "text", 20)
+    ql.fit(d, lab, "doc_id", "text", 1000)
+    assert sizes[0][0] == 20 and sizes[1] == (30, 15)
