@@ -8,7 +8,7 @@ from ..functions import lexicons as L
 from ..operators import conversations as C
 from ..operators import prompts as P
 from ..operators.chunking import row_key
-from ..operators.latency import latency_flag, latency_percentiles, latency_report
+from ..operators.latency import exact_percentiles, latency_flag, latency_report
 from ..operators.retrieval import retrieve
 from ..sources.tables import table
 from . import duck as D
@@ -235,9 +235,8 @@ def j1_latency_flags(spark, sf):
 @register("j1_latency_percentiles", sql="""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90,
   quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type""")
 def j1_latency_percentiles(spark, sf):
-    """Sketch percentiles at an accuracy above the number of values of a type in the test tables, so they are exact there."""
-    p = latency_percentiles(table(spark, sf, "events"), accuracy=1_000_000)
-    return p.select("event_type", *[F.col("p50_p90_p99")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+    p = exact_percentiles(table(spark, sf, "events"))
+    return p.select("event_type", *[F.col("percentiles")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
 
 
 # ------------------------------------------------------------------ I4 (end to end, profile "improved")

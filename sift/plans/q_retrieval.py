@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.vectors import similarity_from_distance
 from ..operators import hybrid as H
@@ -322,12 +322,13 @@ def d5_ann_search(spark, sf):
 
 @register("d5_ann_recall", sql="SELECT DISTINCT CAST(label AS BIGINT) AS label, true AS recall_ok FROM embeddings")
 def d5_ann_recall(spark, sf):
-    """Is recall@10 of the LSH search against the exact L2 search at least 0.7, per label (the mean is above 0.9)."""
+    """Is recall@10 of the LSH search against the exact L2 search at least 0.7 for the label, and 0.9 in the mean of all labels."""
     from ..operators.retrieval import ann_search, recall_at_k
     cent, corp = label_centroids(spark, sf), _vec_corpus(spark, sf)
     approx = ann_search(cent, corp, 10, qid_col="label")
     exact = semantic_search(cent, corp, 10, "l2", qid_col="label")
-    return recall_at_k(approx, exact, "label").select("label", (F.col("recall") >= 0.7).alias("recall_ok"))
+    mean = F.avg("recall").over(Window.partitionBy(F.lit(0)))  # one row a label
+    return recall_at_k(approx, exact, "label").select("label", ((F.col("recall") >= 0.7) & (mean >= 0.9)).alias("recall_ok"))
 
 
 def _cited_sql(cap: int, default: str) -> str:

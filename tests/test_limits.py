@@ -103,3 +103,25 @@ def test_expansion_and_blank_filter(spark):
     got = [r.expanded_query for r in expand_questions(df, {"shop": ["store", "outlet"]}).orderBy("qid").collect()]
     assert got == ["Where is the shop store outlet", "  \n", None]
     assert expand_questions(df).filter("qid = 1").first().expanded_query == "Where is the shop"
+
+
+def test_exact_percentiles_hold_where_the_sketch_does_not(spark):
+    import math
+    import random
+    from sift.operators.latency import exact_percentiles
+    rng = random.Random(8)
+    rows = [("a", rng.random() ** 9) for _ in range(3000)] + [("b", float(rng.randint(0, 3))) for _ in range(50)] + [("c", None), (None, 2.0), ("d", 1.0), ("a", None)]
+    got = {r[0]: r[1] for r in exact_percentiles(spark.createDataFrame(rows, "event_type string, value double"), accuracy=20).collect()}
+    assert set(got) == {"a", "b", "c", "d", None}
+    for k, p in got.items():
+        v = sorted(x for t, x in rows if t == k and x is not None)
+        assert p == [v[max(1, len(v) - math.floor(len(v) - q * len(v))) - 1] if v else None for q in (0.5, 0.9, 0.99)], k
+
+
+def test_a_mean_recall_under_90_percent_is_not_ok(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from sift.operators import retrieval
+    from sift.plans import QUERIES
+    assert all(r.recall_ok for r in QUERIES["d5_ann_recall"](spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(retrieval, "recall_at_k", lambda a, e, q: e.select(q).distinct().withColumn("recall", F.lit(0.75)))
+    assert not any(r.recall_ok for r in QUERIES["d5_ann_recall"](spark, "/root/testdata/sf0.001").collect())
