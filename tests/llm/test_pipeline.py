@@ -85,3 +85,37 @@ def test_rows_with_one_id_and_different_texts_are_documents_of_their_own(spark):
     assert (5, a) in got and (9, d) in got and (5, b) not in got and (12, a) not in got
     own = spark.createDataFrame([(9, c), (9, c + " y")], "doc_id long, text string")
     assert cp.near_duplicates(spark, own, SF).count() == 1
+
+
+def test_run_equals_a_plain_chain_on_the_classifiers_documents(spark):
+    """Near copies and repeated bytes by plain Python, masked, then cut by the tokenizer library."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = [(r.doc_id, r.text) for r in cp.quality(spark, docs, SF).collect()]
+    near = near_brute(kept)
+    raw = [(i, (x or "").encode()) for i, x in near]
+    seen = Counter(t[i:i + 200] for _, t in raw for i in range(len(t) - 199))
+    rest = []
+    for doc, t in raw:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if seen[t[i:i + 200]] > 1:
+                gone[i:i + 200] = True
+        rest.append((doc, bytes(np.frombuffer(t, np.uint8)[~gone]).decode("utf-8", "ignore")))
+    masked = cp.personal_data(spark, spark.createDataFrame(rest, "doc_id long, text string"), SF).collect()
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    want = []
+    for r in masked:
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids + [0]
+        n = len(ids)
+        cuts = [0, n] if n <= 2048 else [0, *range(n % 2048 or 2048, n + 1, 2048)]
+        want += [(r.doc_id, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in cp.run(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(near) <= len(kept)
