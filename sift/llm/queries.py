@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from . import collocations as phrases, max_sketch, mixing
 from .flow import documents
 from .hash_tree import hash_tree_shards
 from .licenses import scan_licenses
@@ -57,7 +58,19 @@ def op10_sentencepiece_wfst(spark, sf_dir):
     return encode_documents(documents(spark, sf_dir))
 
 
+def op11_max_sketch_search(spark, sf_dir):
+    return max_sketch.lexical_search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op12_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_source_mix(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_license_diagonals, op3_skip_chain_pii, op4_hash_tree, op5_suffix_dedup, op6_quality_rules, op7_ngram_jaccard, op8_stable_lsh, op9_best_fit_packing,
-    op10_sentencepiece_wfst)}
-ORACLE: dict[str, str] = {}
+    op10_sentencepiece_wfst, op11_max_sketch_search, op12_phrase_collocations, op13_source_mix)}
+ORACLE = {"op11_max_sketch_search": max_sketch.ORACLE_SQL, "op12_phrase_collocations": phrases.ORACLE_SQL, "op13_source_mix": mixing.ORACLE_SQL}
