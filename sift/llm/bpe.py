@@ -3,12 +3,16 @@
 Words repeat: a slice of texts is cut into the vocabulary's pre-tokens with
 array operations on code points, only its distinct pre-tokens are encoded, and
 ids are gathered back.  Texts with letters outside the Latin blocks, or with an
-apostrophe before a letter (contractions), go through the library whole.
+apostrophe before a letter (contractions), go through the library whole.  Texts
+are first cut at the vocabulary's added tokens, which have ids of their own.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import unicodedata
 import zlib
 
@@ -35,11 +39,24 @@ def load_encoding(path: str | None = None):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """Added tokens of the vocabulary's json file (beside the rank file), which a text may spell out."""
+    import public_tokenizers as P
+
+    name = P.path("byte_bpe_50k.json") if path is None else os.path.splitext(path)[0] + ".json"
+    if path is not None and not os.path.exists(name):
+        return {}
+    with open(name, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class BpeCounter:
     """Encoder with a bounded memory of pre-tokens (``most`` entries, then it starts anew)."""
 
     def __init__(self, path: str | None = None, most: int = 1_000_000):
-        self.enc, self.most = load_encoding(path), most
+        self.enc, self.most, self.added = load_encoding(path), most, added_tokens(path)
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(longest) + ")") if longest else None
         self.width = np.array([len(self.enc.decode_single_token_bytes(i)) for i in range(self.enc.max_token_value + 1)], np.int64)
         self._reset()
 
@@ -90,6 +107,9 @@ class BpeCounter:
             cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
             if len(cp) == 0:
                 out[i] = np.zeros(0, np.uint32)
+            elif self.cuts and self.cuts.search(t):
+                parts = self.cuts.split(t)  # text, added token, text, ...
+                out[i] = np.array([x for k, p in enumerate(parts) for x in ([self.added[p]] if k % 2 else self.enc.encode_ordinary(p))], np.uint32)
             elif int(cp.max()) >= LATIN or _contraction(cp):
                 out[i] = np.array(self.enc.encode_ordinary(t), np.uint32)
             else:

@@ -20,9 +20,10 @@ Lists longer than ``LIST_BLOCK`` are split into blocks and block pairs, so no
 task holds a whole hot list.
 
 Defined results: null or wordless text has n_shingles 0 and its own id as
-component; rows with equal ids are one document node; a row without id takes
-the component of its text, or null; an empty table gives an empty result;
-extra columns are ignored.
+component; rows with equal ids and different texts are documents of their own;
+rows without id link like others; a component's id is the smallest id in it
+(null if none has one); an empty table gives an empty result; extra columns are
+ignored; ids keep their type.
 """
 
 from __future__ import annotations
@@ -96,7 +97,9 @@ def fold(bits: bytes, size: int) -> np.ndarray:
 
 
 def _classes(k: int):
-    """doc rows (kind 0: id, keys, size, bitmap) and shingles seen in several documents of a slice (kind 1)."""
+    """doc rows (kind 0: id, text key, set keys, size, bitmap) and shingles seen in several documents of a slice (kind 1)."""
+    names = ["kind", "doc_id", "text_key", "k1", "k2", "n", "bits"]
+
     def run(batches):
         for batch in batches:
             data, off = tk.text_bytes(batch.column(1))
@@ -106,8 +109,8 @@ def _classes(k: int):
                 n = np.diff(at)
                 maps = bitmaps(u, at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), pa.array(n),
-                     pa.array(maps, pa.binary())], ["kind", "doc_id", "k1", "k2", "n", "bits"])
+                    [pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(k1), pa.array(k2), pa.array(n),
+                     pa.array(maps, pa.binary())], names)
                 _, rep = np.unique(np.stack([k1, k2]), axis=1, return_index=True)
                 keep = np.zeros(j - i, bool)
                 keep[rep] = True
@@ -116,8 +119,8 @@ def _classes(k: int):
                 hot = np.flatnonzero(c >= HOT_IN_SLICE)
                 z = pa.nulls(len(hot))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(hot), np.int32)), z.cast(pa.int64()), pa.array(tk.signed(v[hot])), z.cast(pa.int64()), pa.array(c[hot]),
-                     z.cast(pa.binary())], ["kind", "doc_id", "k1", "k2", "n", "bits"])
+                    [pa.array(np.ones(len(hot), np.int32)), z.cast(batch.column(0).type), z.cast(pa.int64()), pa.array(tk.signed(v[hot])), z.cast(pa.int64()),
+                     pa.array(c[hot]), z.cast(pa.binary())], names)
     return run
 
 
@@ -335,8 +338,10 @@ def _linked(st: Stage, tag: str, pairs: DataFrame, src: DataFrame, classes: Data
     likely = (pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
               .mapInArrow(_likely(percent), "a long, b long"))
     likely = st.keep(likely, f"{tag}-likely")
-    ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct().join(classes.select("id", "k1", "k2"), "id")
-    texts = st.keep(src.withColumnRenamed("doc_id", "id").join(ids, "id").select("id", "text", "k1", "k2"), f"{tag}-texts")
+    ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct().join(classes.select("id", "k1", "k2", "rep"), "id")
+    ids = ids.select("id", "k1", "k2", F.col("rep.doc_id").alias("doc"), F.col("rep.text_key").alias("text_key"))
+    own = src.join(ids, [src["text_key"] == ids["text_key"], src["doc_id"].eqNullSafe(ids["doc"])])
+    texts = st.keep(own.select("id", "text", "k1", "k2").dropDuplicates(["id"]), f"{tag}-texts")  # a repeated row lends its text once
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"), F.col("k1").alias(f"p{c}"), F.col("k2").alias(f"q{c}"))
     both = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "pa", "qa", "tb", "pb", "qb")
     out = st.keep(both.mapInArrow(_verified(k, percent), "a long, b long"), tag)
@@ -348,18 +353,22 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     """(doc_id, n_shingles, component_id, class_size) for every document."""
     spark = docs.sparkSession
     st = Stage(spark, "nearsets")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kinds = st.keep(src.mapInArrow(_classes(k), "kind int, doc_id long, k1 long, k2 long, n long, bits binary"), "kinds")
-    rows = kinds.where("kind = 0").select("doc_id", "k1", "k2", "n", "bits")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    kinds = st.keep(src.mapInArrow(_classes(k), f"kind int, doc_id {kind}, text_key long, k1 long, k2 long, n long, bits binary"), "kinds")
+    rows = kinds.where("kind = 0").select("doc_id", "text_key", "k1", "k2", "n", "bits")
     top = kinds.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("c")).where(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "k1").limit(HOT_MOST).select("k1").toPandas()
     hot = np.sort(top["k1"].to_numpy(np.int64, copy=True).view(np.uint64)) if len(top) else np.zeros(0, np.uint64)
-    classes = st.keep(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.max("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "classes")
+    rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    classes = (rows.where("n > 0").groupBy("k1", "k2")
+               .agg(F.min("doc_id").alias("first_id"), rep.alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits"), F.count(F.lit(1)).alias("copies")))
+    classes = st.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written with its numbers
     prefix = st.keep(src.select("text").mapInArrow(_prefixes(k, percent, hot), "shingle long, k1 long, place int"), "prefix")
     shared = prefix.groupBy("shingle").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi").select(
         "shingle", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("blocks"))
     shared = st.keep(shared, "shared")  # as a table of its own, so that AQE can split the other side of the join
     listed = st.keep(prefix.join(shared, "shingle").groupBy("k1").agg(F.collect_set(F.struct("place", "shingle", "blocks")).alias("lists"))
-                     .join(classes.where("id IS NOT NULL"), "k1").select("id", "n", "bits", "lists"), "listed")
+                     .join(classes, "k1").select("id", "n", "bits", "lists"), "listed")
     st.drop("prefix", "shared")
 
     def entries(answers: DataFrame) -> DataFrame:
@@ -380,7 +389,9 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     st.drop("listed", "picks")
     links = sure.union(_linked(st, "more", rest, src, classes, k, percent))
     root = components(st, links, "a", "b", "second")
-    named = st.hold(classes.join(root.withColumnRenamed("v", "id"), "id", "left").select("k1", "k2", F.coalesce("m", "id").alias("component"), "copies"))
+    named = classes.select("id", "k1", "k2", "first_id", "copies").join(root.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("m", "id"))
+    component = named.groupBy("root").agg(F.min("first_id").alias("component"))  # null if no document of it has an id
+    named = st.hold(named.join(component, "root").select("k1", "k2", "component", "copies"))
     out = st.hold(rows.select("doc_id", "k1", "k2", "n").join(named, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.coalesce("copies", F.lit(1)).alias("class_size")))

@@ -35,11 +35,13 @@ def test_plan_fills_every_place_once():
         assert len(seqs) == len(free)
 
 
-def test_pieces_equal_the_tokenizer_library(docs, rows, no_docs):
+def test_pieces_equal_the_tokenizer_library(spark, docs, rows, no_docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    marked = [(700, "a <|endoftext|> b"), (701, "<|endoftext|>"), (702, "<|endoftext|><|endoftext|> it's <|endoftext|"), (703, "日本<|endoftext|>é " * 900)]
+    rows = [*rows, *marked]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(marked, "doc_id long, text string"))
     want = []
     for r in rows:
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
