@@ -30,6 +30,7 @@ from typing import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,10 @@ with open(_SW_FILE, encoding="utf-8") as _f:
 MAX_FEATURES = 5000
 SPARSE_BLOCK = 4000      # queries held by a task at most
 RANK_DECIMALS = 9
+COUNTERS = 400_000       # terms of a task's summary at most
+CANDIDATES = 200_000     # terms that are counted a second time at most
+FILTER_BITS = 24         # log2 of the bits of a query term filter
+SPARK_SEED = 42          # of Spark's xxhash64
 
 
 def _terms(toks: pa.Array, stop: pa.Array, bigrams: bool):
@@ -90,12 +95,15 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[
     return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, term string, tf long, length long")
 
 
-def term_stats(df: DataFrame, text_col: str, stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True) -> DataFrame:
-    """``(term, cf, df)`` over all rows, pre-summed by batch; the null term has the number of terms (cf) and of rows (df)."""
+def term_stats(df: DataFrame, text_col: str, stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True, only: list[str] | None = None) -> DataFrame:
+    """``(term, cf, df)`` over all rows, or ``only`` of some terms, pre-summed by batch; the null term has the number of terms (cf) and of rows (df)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = pa.array(list(stop_words), pa.string())
         for rb in batches:
             _, code, tf, names, length = _terms(rb.column(0), stop, bigrams)
+            if only is not None:
+                new = np.cumsum(own := np.asarray(pc.is_in(pa.array(names, pa.string()), value_set=pa.array(only, pa.string())))) - 1
+                tf, code, names = tf[own[code]], new[code[own[code]]], [t for t, k in zip(names, own.tolist()) if k]
             cf = np.bincount(code, weights=tf, minlength=len(names)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*names, None], pa.string()), pa.array(np.append(cf, length.sum())),
@@ -105,22 +113,105 @@ def term_stats(df: DataFrame, text_col: str, stop_words: Sequence[str] = STOP_WO
     return part.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
+def _summaries(counters: int, stop_words: Sequence[str]):
+    """Per task a Misra-Gries summary of at most ``counters`` terms: (term, cf, df); the null term has the rows and what
+    a term may have lost (cf: terms, df: rows, lost)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(list(stop_words), pa.string())
+        held: dict[str, list[int]] = {}
+        rows = total = lost = 0
+        for rb in batches:
+            _, code, tf, names, length = _terms(rb.column(0), stop, True)
+            cf = np.bincount(code, weights=tf, minlength=len(names)).astype(np.int64).tolist()
+            df = np.bincount(code, minlength=len(names)).tolist()
+            for t, c, d in zip(names, cf, df):
+                own = held.get(t)
+                if own is None:
+                    held[t] = [c, d]
+                else:
+                    own[0] += c
+                    own[1] += d
+            rows, total = rows + rb.num_rows, total + int(length.sum())
+            if len(held) > counters:
+                cut = sorted((c for c, _ in held.values()), reverse=True)[counters // 2]
+                held = {t: [c - cut, d] for t, (c, d) in held.items() if c > cut}
+                lost += cut
+        yield pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([*(c for c, _ in held.values()), total], pa.int64()),
+                                          pa.array([*(d for _, d in held.values()), rows], pa.int64()), pa.array([0] * len(held) + [lost], pa.int64())],
+                                         names=["term", "cf", "df", "lost"])
+    return run
+
+
+def frequent_terms(df: DataFrame, text_col: str, most: int, stop_words: Sequence[str] = STOP_WORDS, counters: int = COUNTERS) -> tuple[int, list[tuple[str, int, int]]]:
+    """(number of rows, the ``most`` most frequent terms as (term, cf, df)), exactly, shuffling at most ``counters`` terms a task.
+
+    A task's summary underrates a term by at most what it lost; summed over the
+    tasks that is the slack.  With no slack the sums are exact.  Otherwise terms
+    whose sum and slack reach the ``most``-th largest sum are counted again; a
+    term in no summary has the slack at most, so none is missed while the slack
+    is below that.  Where it is not, twice the counters are tried.
+    """
+    spark = df.sparkSession
+    while True:
+        parts = _token_lists(df, [], text_col).mapInArrow(_summaries(counters, stop_words), "term string, cf long, df long, lost long")
+        sums = parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"), F.sum("lost").alias("lost"))
+        top = sums.orderBy(F.col("term").isNull().desc(), F.desc("cf"), F.asc("term")).limit(most + 1).collect()
+        head = [r for r in top if r["term"] is None]
+        found = [(r["term"], r["cf"], r["df"]) for r in top if r["term"] is not None]
+        rows, slack = (head[0]["df"], head[0]["lost"]) if head else (0, 0)
+        if slack == 0:
+            return rows, found
+        least = found[-1][1] if len(found) == most else 0
+        if slack < least:
+            again = [r["term"] for r in sums.where(F.col("term").isNotNull() & (F.col("cf") + slack >= least)).select("term").limit(CANDIDATES + 1).collect()]
+            if len(again) <= CANDIDATES:
+                exact = term_stats(df, text_col, stop_words, only=again).where("term IS NOT NULL")
+                return rows, [(r["term"], r["cf"], r["df"]) for r in exact.orderBy(F.desc("cf"), "term").limit(most).collect()]
+        counters *= 2
+
+
 def _lists(row: np.ndarray, n: int, *values: pa.Array) -> list[pa.Array]:
     """Values sorted by row as one list per row."""
     at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
     return [pa.ListArray.from_arrays(at, v) for v in values]
 
 
-def term_vectors(df: DataFrame, id_col: str, text_col: str, weigh: Callable, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """``(id, terms, weights)`` arrays, one row per input row; ``weigh(names) -> f(codes, tf, length, row) -> weights`` (0: left out)."""
+def term_filter(vectors: DataFrame) -> np.ndarray:
+    """Bits set at the hashes of all terms of a query side: 2 MB whatever the number of queries, made on the executors."""
+    bits = vectors.select(F.explode("terms").alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(1 << FILTER_BITS)).alias("bit"))
+    at = F.col("bit") + 1
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in bits.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect():
+        out[(r["k"] - 1) * 4096:][:4096] = np.frombuffer(bytes(r["b"]), np.uint8)
+    return out
+
+
+def _asked(names: list[str], bits: np.ndarray) -> np.ndarray:
+    """Which terms may be a query's (every query term is; another one now and then)."""
+    h = np.fromiter((xxhash.xxh64_intdigest(t.encode(), SPARK_SEED) for t in names), np.uint64, len(names)) & np.uint64((1 << FILTER_BITS) - 1)
+    h = h.astype(np.int64)
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+
+
+def term_vectors(df: DataFrame, id_col: str, text_col: str, weigh: Callable, stop_words: Sequence[str] = STOP_WORDS,
+                 asked: np.ndarray | None = None) -> DataFrame:
+    """``(id, terms, weights)`` arrays, one row per input row; ``weigh(names) -> f(codes, tf, length, row) -> weights`` (0: left out).
+
+    With ``asked`` (a ``term_filter``) only terms that a query may hold leave the batch, and rows without one do not.
+    """
+    bc = None if asked is None else df.sparkSession.sparkContext.broadcast(asked)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = pa.array(list(stop_words), pa.string())
         for rb in batches:
             row, code, tf, names, length = _terms(rb.column(1), stop, True)
             w = weigh(names)(code, tf, length[row], row) if len(names) else np.zeros(0)
             on = w > 0
+            if bc is not None and len(names):
+                on &= _asked(names, bc.value)[code]
             terms = pa.array(names, pa.string()).take(pa.array(code[on]))
-            yield pa.RecordBatch.from_arrays([rb.column(0), *_lists(row[on], rb.num_rows, terms, pa.array(w[on]))], names=[id_col, "terms", "weights"])
+            out = pa.RecordBatch.from_arrays([rb.column(0), *_lists(row[on], rb.num_rows, terms, pa.array(w[on]))], names=[id_col, "terms", "weights"])
+            yield out if bc is None else out.filter(pa.array(np.bincount(row[on], minlength=rb.num_rows) > 0))
 
     src = _token_lists(df, [id_col], text_col)
     return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, terms array<string>, weights array<double>")
@@ -156,8 +247,8 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, vocab: DataFra
                    id_col: str = "chunk_id", text_col: str = "content", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """D7 from texts: cosine of tf-idf vectors over ``vocab``, top ``k``, score > 0 only."""
     idf = {r["term"]: r["idf"] for r in vocab.select("term", "idf").collect()}  # at most max_features rows
-    return sparse_search(term_vectors(queries, qid_col, qtext_col, _tfidf(idf), stop_words),
-                         term_vectors(chunks, id_col, text_col, _tfidf(idf), stop_words), k, qid_col, id_col)
+    q = term_vectors(queries, qid_col, qtext_col, _tfidf(idf), stop_words)
+    return sparse_search(q, term_vectors(chunks, id_col, text_col, _tfidf(idf), stop_words, term_filter(q)), k, qid_col, id_col)
 
 
 def _weighted(df: DataFrame, id_col: str, text_col: str, idf: dict[str, float], stop_words: Sequence[str]) -> DataFrame:
@@ -191,10 +282,8 @@ def build_tfidf(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
     ``max_features`` rows come to the driver; the postings are a second pass.
     """
     spark = chunks.sparkSession
-    top = (term_stats(chunks, text_col, stop_words)
-           .orderBy(F.col("term").isNull().desc(), F.desc("cf"), F.asc("term")).limit(max_features + 1).collect())
-    n = next((r["df"] for r in top if r["term"] is None), 0)
-    rows = [(r["term"], r["cf"], r["df"], math.log((1.0 + n) / (1.0 + r["df"])) + 1.0) for r in top if r["term"] is not None]
+    n, top = frequent_terms(chunks, text_col, max_features, stop_words)
+    rows = [(t, cf, df, math.log((1.0 + n) / (1.0 + df)) + 1.0) for t, cf, df in top]
     vocab = spark.createDataFrame(rows, "term string, cf long, df long, idf double")
     return vocab, _weighted(chunks, id_col, text_col, {r[0]: r[3] for r in rows}, stop_words)
 
@@ -252,4 +341,4 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, qid_col: str = "q
     def weigh(names: list[str]):
         return lambda code, tf, length, row: tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / avg_len))
 
-    return sparse_search(q, term_vectors(chunks, id_col, text_col, weigh, stop_words), k, qid_col, id_col)
+    return sparse_search(q, term_vectors(chunks, id_col, text_col, weigh, stop_words, term_filter(q)), k, qid_col, id_col)

@@ -1,12 +1,12 @@
 """Vector retrieval over a chunk table, for a whole table of queries.
 
 Exact k-nearest search is a block join without a product of rows.  Corpus rows
-are dealt to cells by a hash of their id and every query to every cell of its
-query block; a task streams its cell, first the queries and then the corpus in
-Arrow batches, scores each batch with one numpy matrix product and keeps a
-running top ``k`` per query.  It emits ``k`` rows per query once, however many
-batches it saw.  Nothing passes through the driver, the corpus is read once for
-any number of queries, and a final ``row_number() <= k`` merges the cells.
+are dealt once to cells by a hash of their id, every query goes to every cell.
+A task streams its cell in Arrow batches, scores each batch with one numpy
+matrix product and keeps a running top ``k`` per query.  Up to ``QUERY_BLOCK``
+queries are held and the corpus streams past them; more queries stream past the
+rows of (smaller) cells.  Either way a corpus row is shuffled once, nothing
+passes through the driver, and a final ``row_number() <= k`` merges the cells.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 QUERY_BLOCK = 20_000     # queries held by a task at most (10 MB at dim 64)
+HELD_CELLS = 16          # with more queries a cell is so much smaller, as its corpus rows are held
 QUERY_TILE = 1024        # queries scored per matrix product inside a batch
 METRICS = ("cosine", "l2", "ip")
 RANK_DECIMALS = 9        # ranking key: distance rounded, then id (engine-independent ties)
@@ -183,28 +184,24 @@ class _SparseTopK(_TopK):
         self._merge(found)
 
 
-def block_join(q: DataFrame, c: DataFrame, make: Callable[[], _TopK], id_col: str, value: str,
-               carry: bool = False, cells: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """``(qid, id, value[, _cv])``: at most k rows per query and cell.  ``q``: (_q, payload...), ``c``: (_i, payload...)."""
+def score_cells(q: DataFrame, c: DataFrame, make: Callable[[], _TopK], id_col: str, value: str, carry: bool, partitions: int) -> DataFrame:
+    """``(qid, id, value[, _cv])``: at most k rows per query and cell (per Arrow batch of queries where the corpus is held).
+
+    ``q``: (_cell, _side, _q, payload...), ``c``: (_cell, _side, _i, payload...);
+    of each cell the side with ``_side`` 0 is held, the other streams past it.
+    """
     spark = c.sparkSession
     ship_package(spark)
-    cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
     qtype, itype = q.schema["_q"].dataType.simpleString(), c.schema["_i"].dataType.simpleString()
-    payload = [x for x in c.columns if x != "_i"]
-    # query blocks of about half the bound, so that hash-dealt blocks stay inside it
-    n_blocks = F.ceil(2 * F.count(F.lit(1)) / query_block).cast("int")
-    blocks = q.agg(F.when(F.count(F.lit(1)) > query_block, n_blocks).otherwise(1).alias("_nb")).scalar()  # one number
-    cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    qr = q.select(cell.alias("_cell"), F.pmod(F.xxhash64("_q"), blocks).cast("int").alias("_b"), F.lit(0).alias("_side"),
-                  "_q", F.lit(None).cast(itype).alias("_i"), *payload)
-    cr = c.select(F.pmod(F.xxhash64("_i"), F.lit(cells)).cast("int").alias("_cell"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"),
-                  F.lit(1).alias("_side"), F.lit(None).cast(qtype).alias("_q"), "_i", *payload)
-    rows = qr.unionByName(cr).repartition(cells, "_cell", "_b").sortWithinPartitions("_cell", "_b", "_side")
+    payload = [x for x in c.columns if x not in ("_cell", "_side", "_i")]
+    qr = q.select("_cell", "_side", F.lit(0).alias("_kind"), "_q", F.lit(None).cast(itype).alias("_i"), *payload)
+    cr = c.select("_cell", "_side", F.lit(1).alias("_kind"), F.lit(None).cast(qtype).alias("_q"), "_i", *payload)
+    rows = qr.unionByName(cr).repartition(partitions, "_cell").sortWithinPartitions("_cell", "_side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, top, id_arrow = None, None, None
+        at, top, held, id_arrow = None, None, [], None
 
-        def flush():
+        def found(top):
             if top is not None and top.best is not None:
                 qi, _, ids, d, vec = top.best
                 cols = [top.qids.take(pa.array(qi)), pa.array(ids.tolist(), id_arrow), pa.array(d)]
@@ -219,19 +216,40 @@ def block_join(q: DataFrame, c: DataFrame, make: Callable[[], _TopK], id_col: st
             key = np.stack([np.asarray(rb.column(j)) for j in range(3)])
             starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rb.num_rows]):
-                if at != (key[0, a], key[1, a]):
-                    yield from flush()
-                    at, top = (key[0, a], key[1, a]), make()
+                cell, side, kind = key[:, a]
+                if at != cell:
+                    yield from found(top)
+                    at, top, held = cell, None, []
                 part = rb.slice(a, b - a)
-                if key[2, a] == 0:
+                if kind == 0:
+                    top = top or make()
                     top.add_queries(part.column(3), part.columns[5:])
-                else:
+                    if side:
+                        for ids, cols in held:
+                            top.add_corpus(ids, cols)
+                        yield from found(top)
+                        top = None
+                elif side == 0:
+                    held.append((_ids(part.column(4)), part.columns[5:]))
+                elif top is not None:
                     top.add_corpus(_ids(part.column(4)), part.columns[5:])
-        yield from flush()
+        yield from found(top)
 
     return rows.mapInArrow(run, f"qid {qtype}, {id_col} {itype}, {value} double{', _cv array<double>' if carry else ''}")
 
 
+def block_join(q: DataFrame, c: DataFrame, make: Callable[[], _TopK], id_col: str, value: str,
+               carry: bool = False, cells: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """All queries against all corpus rows by cells.  ``q``: (_q, payload...), ``c``: (_i, payload...)."""
+    cells = cells or int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = q.agg((F.count(F.lit(1)) > query_block).alias("_many")).scalar()  # one flag
+    n = F.when(many, F.lit(cells * HELD_CELLS)).otherwise(F.lit(cells))
+    side = F.when(many, F.lit(1)).otherwise(F.lit(0))
+    qr = q.withColumns({"_cell": F.explode(F.sequence(F.lit(0), n - 1)), "_side": side})
+    cr = c.withColumns({"_cell": F.pmod(F.xxhash64("_i"), n).cast("int"), "_side": 1 - side})
+    return score_cells(qr, cr, make, id_col, value, carry, cells)
+
+
 def semantic_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
                     qid_col: str = "qid", qvec_col: str = "embedding",
                     id_col: str = "chunk_id", vec_col: str = "embedding",

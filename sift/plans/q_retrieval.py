@@ -8,7 +8,10 @@ from ..functions.vectors import similarity_from_distance
 from ..operators import hybrid as H
 from ..operators.lexical import bm25_search, build_tfidf, keyword_search, lexical_search, load_index, query_weights, save_index
 from ..operators.retrieval import retrieve, semantic_search
-from ..session import scratch_path
+from ..operators.block_max import block_max_search, build_block_index
+from ..operators.ivf import build_ivf, ivf_search
+from ..operators.segments import add_segment, merge_segments, segment_search
+from ..session import drop_path, scratch_path
 from ..sources.tables import table
 from . import duck as D
 from .inputs import bench_queries, chunk_vectors, label_centroids, line_chunks, query_vectors
@@ -35,6 +38,26 @@ def c1_hash_embed(spark, sf):
     return v.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+@register("c1_embed_hook", sql=f"""WITH {_EMB_DOCS}
+SELECT id AS doc_id, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM dv""")
+def c1_embed_hook(spark, sf):
+    """The same vectors from a batch function handed to the model hook."""
+    from ..operators.embedding import embed_with
+
+    def model(texts):
+        import hashlib
+        import numpy as np
+        import regex
+        out = np.zeros((len(texts), 64))
+        for i, t in enumerate(texts):
+            for tok in regex.findall(r"[\p{L}\p{N}_]{2,}", t.lower()):
+                out[i, int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % 64] += 1
+        return out
+
+    v = embed_with(table(spark, sf, "documents").select("doc_id", "text"), "text", model, 64)
+    return v.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
 # ------------------------------------------------------------------ D1 / D2 / D3
 
 _CENT = """
@@ -140,6 +163,58 @@ def d8_bm25_search(spark, sf):
     return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _block_max(spark, sf, scorer: str):
+    path = scratch_path(spark, f"block-max-{scorer}")
+    index = build_block_index(line_chunks(spark, sf), path, scorer)
+    hits = block_max_search(index, bench_queries(spark, sf), 10)
+    return drop_path(spark, path, hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank"))
+
+
+@register("d7_block_max_search", sql=f"""WITH {_LEX}
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lex""")
+def d7_block_max_search(spark, sf):
+    """Keyword top-10 from a stored index whose blocks are skipped by their largest weights."""
+    return _block_max(spark, sf, "tfidf")
+
+
+@register("d8_block_max_search", sql=f"""WITH {_BM25}
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM bm""")
+def d8_block_max_search(spark, sf):
+    return _block_max(spark, sf, "bm25")
+
+
+def _ingests(spark, sf):
+    """All line chunks in three ingests by document; every fifth document comes first in an old version, then as it is."""
+    chunks = line_chunks(spark, sf).withColumn("source", F.col("doc_id").cast("string"))
+    part, old = F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.col("doc_id") % 5 == 0
+    stale = chunks.withColumn("content", F.when(old, F.concat(F.reverse("content"), F.lit(" outdated line"))).otherwise(F.col("content")))
+    return [stale.where(part == i) for i in range(3)] + [chunks.where(old)]
+
+
+@register("d8_segment_search", sql=f"""WITH {_BM25}
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM bm""")
+def d8_segment_search(spark, sf):
+    """BM25 over an index grown by three ingests and a change of every fifth document: equal to an index built anew."""
+    path = scratch_path(spark, "segments")
+    for seg, chunks in enumerate(_ingests(spark, sf)):
+        add_segment(chunks, path, seg)
+    hits = segment_search(spark, path, bench_queries(spark, sf), 10)
+    return drop_path(spark, path, hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank"))
+
+
+@register("d8_merged_segment_search", sql=f"""WITH {_BM25}
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM bm""")
+def d8_merged_segment_search(spark, sf):
+    """The same after the segments were merged into one."""
+    path, merged = scratch_path(spark, "segments"), scratch_path(spark, "segments-merged")
+    for seg, chunks in enumerate(_ingests(spark, sf)):
+        add_segment(chunks, path, seg)
+    merge_segments(spark, path, merged)
+    hits = segment_search(spark, merged, bench_queries(spark, sf), 10)
+    hits = drop_path(spark, merged, hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank"))
+    return drop_path(spark, path, hits)
+
+
 # ------------------------------------------------------------------ D9-D17 (hybrid)
 
 def hybrid_hits(spark, sf, k: int = HYB_K):
@@ -331,6 +406,26 @@ def d5_ann_recall(spark, sf):
     return recall_at_k(approx, exact, "label").select("label", ((F.col("recall") >= 0.7) & (mean >= 0.9)).alias("recall_ok"))
 
 
+@register("d5_ivf_search", sql=f"""WITH {_CENT}, {D.semantic_hits_cte('hits', 'cent', 'vecs', 10, 'l2')}
+SELECT qid AS label, chunk_id AS vec_id, round(distance, 6) AS distance, rank FROM hits""")
+def d5_ivf_search(spark, sf):
+    """Nearest vectors from a stored inverted file; cells that may still hold a nearer one are scanned too, so the lists are exact."""
+    path = scratch_path(spark, "ivf")
+    index = build_ivf(_vec_corpus(spark, sf), path, 32, "l2")
+    hits = ivf_search(index, label_centroids(spark, sf), 10, probes=4, exact=True, qid_col="label")
+    return drop_path(spark, path, hits.select("label", F.col("chunk_id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank"))
+
+
+@register("d5_ivf_recall")
+def d5_ivf_recall(spark, sf):
+    """Recall@10 by label of the probed cells alone (half of them: these vectors have hardly any clusters)."""
+    from ..operators.retrieval import recall_at_k
+    path, cent, corp = scratch_path(spark, "ivf-recall"), label_centroids(spark, sf), _vec_corpus(spark, sf)
+    hits = ivf_search(build_ivf(corp, path, 32, "l2"), cent, 10, probes=20, qid_col="label")
+    found = recall_at_k(hits, semantic_search(cent, corp, 10, "l2", qid_col="label"), "label")
+    return drop_path(spark, path, found)
+
+
 def _cited_sql(cap: int, default: str) -> str:
     return f"""WITH {_QV_CV}, {_DOCS5},
 f AS (SELECT qid, coalesce(regexp_extract(source, '([^/\\\\]*)$', 1), {D.lit(default)}) AS file, min(rank) AS first

@@ -60,3 +60,44 @@ def test_lsh_recall(spark):
     exact = semantic_search(qs, corp, 5, "l2")
     rec = recall_at_k(approx, exact).agg(F.avg("recall")).first()[0]
     assert rec >= 0.8
+
+
+def test_vocabulary_from_small_summaries_is_exact(spark):
+    """Summaries that lose terms, a recount, and counters too few to prove anything (they are doubled)."""
+    from sift.operators import lexical as lx
+    from sift.plans.inputs import line_chunks
+    chunks = line_chunks(spark, SF).repartition(5).cache()
+    full = lx.term_stats(chunks, "content").where("term IS NOT NULL").orderBy(F.desc("cf"), "term").limit(40).collect()
+    want = [(r.term, r.cf, r.df) for r in full]
+    seen = []
+    keep = lx._summaries
+    try:
+        def watch(counters, stop):
+            seen.append(counters)
+            return keep(counters, stop)
+        lx._summaries = watch
+        for counters in (10 ** 6, 4000, 60):
+            n, got = lx.frequent_terms(chunks, "content", 40, counters=counters)
+            assert n == chunks.count() and got == want, counters
+    finally:
+        lx._summaries = keep
+    assert seen[:2] == [10 ** 6, 4000] and seen[2] == 60 and len(seen) > 3
+    part = next(iter(lx._summaries(60, lx.STOP_WORDS)([])))
+    assert part.num_rows == 1  # a task without rows sends its totals alone
+
+
+def test_queries_filter_the_terms_that_are_shuffled(spark):
+    from sift.operators import lexical as lx
+    from sift.plans.inputs import bench_queries, line_chunks
+    chunks, q = line_chunks(spark, SF), bench_queries(spark, SF)
+    one = lambda names: lambda code, tf, length, row: tf * 1.0
+    asked = lx.term_vectors(q, "qid", "text", one)
+    terms = {t for r in asked.collect() for t in r.terms}
+    cut = lx.term_vectors(chunks, "chunk_id", "content", one, asked=lx.term_filter(asked)).collect()
+    whole = {r.chunk_id: dict(zip(r.terms, r.weights)) for r in lx.term_vectors(chunks, "chunk_id", "content", one).collect()}
+    kept = {r.chunk_id: dict(zip(r.terms, r.weights)) for r in cut}
+    assert all(kept)
+    for c, own in whole.items():
+        mine = {t: w for t, w in own.items() if t in terms}
+        assert mine.items() <= kept.get(c, {}).items()
+    assert sum(map(len, kept.values())) < 1.02 * sum(len([t for t in own if t in terms]) for own in whole.values()) + 20
