@@ -37,6 +37,7 @@ class Profile:
     source_docs: int | None = None
     source_default: str = "Unknown"
     validate: bool = False       # G1-G6
+    context_tokens: int | None = None  # I2: token cap of the retrieved context
 
 
 # Chunking presets (size, overlap, separators, start index).
@@ -52,7 +53,7 @@ PROFILES = {
                     retriever="mmr", domain_keywords=tuple(L.DOMAIN_KEYWORDS_7), source_cap=3, source_default="Memory"),
     "orca": Profile("orca", ChunkSpec(400, 75, SEPS_7, True), "retail_doc_", k=3, metric="cosine",
                     history_messages=0, memory_exchanges=5, history_slice=-1, answer_limit=2500,
-                    domain_keywords=tuple(L.DOMAIN_KEYWORDS_17), source_cap=6, source_default="Document_{i}"),
+                    domain_keywords=tuple(L.DOMAIN_KEYWORDS_17), source_cap=6, source_default="Document_{i}", context_tokens=1500),
     "advanced": Profile("advanced", ChunkSpec(350, 50, SEPS_8, True), "enhanced_doc_", k=5,
                         metric="cosine", history_messages=20, memory_exchanges=0,
                         history_slice=-1, answer_limit=2000, retriever="hybrid", source_cap=5, source_docs=5, validate=True),

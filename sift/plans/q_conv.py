@@ -10,6 +10,7 @@ from ..operators import prompts as P
 from ..operators.chunking import row_key
 from ..operators.latency import exact_percentiles, latency_flag, latency_report
 from ..operators.retrieval import retrieve
+from ..session import drop_path, scratch_path
 from ..sources.tables import table
 from . import duck as D
 from .inputs import bench_queries, chunk_vectors, line_chunks, query_vectors
@@ -70,7 +71,8 @@ def _budget_sql(budget: int) -> str:
     return _BUDGET.replace("<= 1000", f"<= {budget}")
 
 
-_BUDGET = f"""b AS (SELECT conv_id, turn, role, text, {D.word_count('text')} AS tokens FROM conversations),
+_BUDGET = f"""b AS (SELECT conv_id, turn, role, text, {D.word_count('text')} AS tokens,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations),
 b2 AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newer_tokens FROM b),
 b3 AS (SELECT *, newer_tokens <= 1000 AS kept FROM b2)"""
@@ -93,9 +95,9 @@ _FIRST_SENT = C.FIRST_SENTENCE_RE
 
 
 @register("h5_overflow_digest", sql=f"""WITH {_BUDGET}
-SELECT conv_id, (turn // 100)::BIGINT AS page,
-       string_agg(role || ': ' || regexp_extract(text, {D.lit(_FIRST_SENT)}, 1), chr(10) ORDER BY turn) AS summary
-FROM b3 WHERE NOT kept GROUP BY conv_id, turn // 100""")
+SELECT conv_id, (position // 100)::BIGINT AS page,
+       string_agg(role || ': ' || regexp_extract(text, {D.lit(_FIRST_SENT)}, 1), chr(10) ORDER BY position) AS summary
+FROM b3 WHERE NOT kept GROUP BY conv_id, position // 100""")
 def h5_overflow_digest(spark, sf):
     return C.overflow_digest(C.budget_memory(_turns(spark, sf), 1000))
 
@@ -108,16 +110,42 @@ def h5_budget_memory_small(spark, sf):
 
 
 @register("h5_overflow_digest_small", sql=f"""WITH {_budget_sql(40)}
-SELECT conv_id, (turn // 100)::BIGINT AS page,
-       string_agg(role || ': ' || regexp_extract(text, {D.lit(_FIRST_SENT)}, 1), chr(10) ORDER BY turn) AS summary
-FROM b3 WHERE NOT kept GROUP BY conv_id, turn // 100""")
+SELECT conv_id, (position // 100)::BIGINT AS page,
+       string_agg(role || ': ' || regexp_extract(text, {D.lit(_FIRST_SENT)}, 1), chr(10) ORDER BY position) AS summary
+FROM b3 WHERE NOT kept GROUP BY conv_id, position // 100""")
 def h5_overflow_digest_small(spark, sf):
     return C.overflow_digest(C.budget_memory(_turns(spark, sf), 40))
 
 
-@register("h6_transcript", sql="""SELECT conv_id, (turn // 100)::BIGINT AS page,
-  string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript
-FROM conversations GROUP BY conv_id, turn // 100""")
+def _ranked_sql(budget: int, rounds: int = 5, keep: int = 3) -> str:
+    steps = "".join(f""",
+r{k} AS (SELECT m.conv_id, m.page, m.unit, m.i AS n, 0.15::DOUBLE + 0.85::DOUBLE * sum(m.w / d.t * r.r) AS r
+       FROM m JOIN d ON d.conv_id = m.conv_id AND d.page = m.page AND d.unit = m.unit AND d.i = m.j
+       JOIN r{k - 1} r ON r.conv_id = m.conv_id AND r.page = m.page AND r.unit = m.unit AND r.n = m.j GROUP BY ALL)""" for k in range(1, rounds + 1))
+    return f"""WITH {_budget_sql(budget)},
+ss AS (SELECT conv_id, (position // 100)::BIGINT AS page, position, i, {D.strip('parts[i]')} AS s
+       FROM (SELECT conv_id, position, regexp_extract_all(coalesce(text, ''), {D.lit(C.SENTENCE_RE)}) AS parts FROM b3 WHERE NOT kept) x, range(1, len(parts) + 1) r(i)),
+sn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, page ORDER BY position, i) - 1 AS n FROM ss WHERE length(s) > 0),
+su AS (SELECT *, (n // 100)::BIGINT AS unit, list_distinct({D.words('lower(s)')}) AS w FROM sn),
+m AS (SELECT a.conv_id, a.page, a.unit, a.n AS i, b.n AS j, CASE WHEN a.n = b.n THEN 0.0::DOUBLE ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w))::DOUBLE END AS w
+      FROM su a JOIN su b ON a.conv_id = b.conv_id AND a.page = b.page AND a.unit = b.unit),
+d AS (SELECT conv_id, page, unit, i, CASE WHEN sum(w) > 0 THEN sum(w) ELSE 1 END AS t FROM m GROUP BY ALL),
+r0 AS (SELECT conv_id, page, unit, n, 1.0::DOUBLE AS r FROM su){steps},
+best AS (SELECT su.conv_id, su.page, su.unit, su.n, su.s, row_number() OVER (PARTITION BY su.conv_id, su.page, su.unit ORDER BY round(r, 9) DESC, su.n) AS place
+         FROM r{rounds} JOIN su ON su.conv_id = r{rounds}.conv_id AND su.page = r{rounds}.page AND su.unit = r{rounds}.unit AND su.n = r{rounds}.n)
+SELECT conv_id, page, unit, string_agg(s, chr(10) ORDER BY n) AS summary FROM best WHERE place <= {keep} GROUP BY conv_id, page, unit"""
+
+
+@register("h5_ranked_digest", sql=_ranked_sql(40))
+def h5_ranked_digest(spark, sf):
+    """The best sentences of each page of overflowed messages by graph ranking (budget of 40 tokens)."""
+    return C.ranked_digest(C.budget_memory(_turns(spark, sf), 40))
+
+
+@register("h6_transcript", sql="""WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations)
+SELECT conv_id, (position // 100)::BIGINT AS page,
+  string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY position) AS transcript
+FROM p GROUP BY conv_id, position // 100""")
 def h6_transcript(spark, sf):
     return C.transcript(_turns(spark, sf))
 
@@ -155,6 +183,17 @@ def h9_global_topics(spark, sf):
     return C.global_topics(_turns(spark, sf), 20)
 
 
+@register("h9_sketched_topics", sql=f"""SELECT word, count(*) AS cnt
+FROM (SELECT unnest({D.words('lower(text)')}) AS word FROM conversations WHERE role = 'user')
+GROUP BY word ORDER BY cnt DESC, word LIMIT 20""")
+def h9_sketched_topics(spark, sf):
+    """The same topics from stored hourly sketches (turns are minutes here), combined."""
+    from ..operators.sketches import topics_from_sketches, write_topic_sketches
+    path = scratch_path(spark, "topic-sketches")
+    write_topic_sketches(_turns(spark, sf).withColumn("ts", F.expr("timestamp_seconds(60 * turn)")), path, "ts")
+    return drop_path(spark, path, topics_from_sketches(spark.read.parquet(path), 20))
+
+
 # ------------------------------------------------------------------ I
 
 def _sem_hits(spark, sf, k):
@@ -217,6 +256,31 @@ def i3_render_prompts(spark, sf):
     return P.render_prompts(x, P.DEFAULT_TEMPLATE, history_col=None).select("qid", "prompt")
 
 
+def _generate_sql() -> str:
+    from .q_text import clean_ctes
+    prompt = _template_sql(P.DEFAULT_TEMPLATE, {"context": "x.context", "question": "b.text", "chat_history": "''"})
+    return f"""WITH {_sem_sql(3)}, {_CTX}, pr AS (SELECT b.qid, {prompt} AS prompt FROM bq b LEFT JOIN ctx x USING (qid)),
+an AS (SELECT qid, 'Answer: ' || replace(substring(prompt, 80, 700), chr(10), ' ') AS answer FROM pr),
+{clean_ctes('fast', 'an')} SELECT qid, cleaned FROM cl"""
+
+
+@register("i4_generate_hook", sql=_generate_sql())
+def i4_generate_hook(spark, sf):
+    """Answers made by a batch function of the prompt (a stand-in for a model call), then cleaned."""
+    from ..operators import answers as A
+
+    def generate(prompts):
+        def run(frames):
+            for f in frames:
+                yield f.assign(answer=["Answer: " + p[79:779].replace("\n", " ") for p in f["prompt"]])[["qid", "answer"]]
+        return prompts.mapInPandas(run, "qid long, answer string")
+
+    x = P.run_profile(bench_queries(spark, sf).withColumnRenamed("text", "question"),
+                      lambda q: retrieve(query_vectors(spark, sf), chunk_vectors(spark, sf), 3, metric="cosine"), line_chunks(spark, sf), None, None,
+                      clean=lambda d: A.clean_answers(d, "answer", "fast"), validate=None, generate=generate)
+    return x.select("qid", "cleaned")
+
+
 # ------------------------------------------------------------------ J
 
 @register("j1_latency_report", sql="""SELECT event_type, count(*) AS requests, count_if(value > 30.0) AS slow,
@@ -239,6 +303,18 @@ def j1_latency_percentiles(spark, sf):
     return p.select("event_type", *[F.col("percentiles")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
 
 
+@register("j1_sketched_percentiles")
+def j1_sketched_percentiles(spark, sf):
+    """Percentiles from stored hourly sketches; the share of the values at or below each one shows the error."""
+    from ..operators.sketches import latency_from_sketches, write_latency_sketches
+    path, events = scratch_path(spark, "latency-sketches"), table(spark, sf, "events")
+    write_latency_sketches(events, path)
+    p = latency_from_sketches(spark.read.parquet(path))
+    at = [F.avg((F.col("value") <= F.col(c)).cast("double")).alias(f"share_{c}") for c in ("p50", "p90", "p99")]
+    shares = events.select("event_type", "value").join(p, "event_type").groupBy("event_type").agg(*at)
+    return drop_path(spark, path, p.join(shares, "event_type"))
+
+
 # ------------------------------------------------------------------ I4 (end to end, profile "improved")
 
 def _i4_sql() -> str:
@@ -293,17 +369,26 @@ def i4_run_profile(spark, sf):
 
 # ------------------------------------------------------------------ I4 for every profile
 
-def _profile_hits(spark, sf, p, qs):
+def profile_chunks(spark, sf, p):
+    """The documents cut by the profile's own chunking preset (B1), as (chunk_id, doc_id, source, content)."""
+    from ..operators.chunking import chunk_documents
+    spec = p.chunk
+    ch = chunk_documents(table(spark, sf, "documents"), spec.size, spec.overlap, spec.separators, keep=("source",))
+    return ch.select(row_key("doc_id", "chunk_no").alias("chunk_id"), "doc_id", "source", "content")
+
+
+def _profile_hits(spark, sf, p, qs, chunks=None):
     """(qid, chunk_id, rank) of the profile's retriever for questions (qid, question)."""
     from ..operators.embedding import hash_embed
     from ..operators.hybrid import hybrid_search
     from ..operators.lexical import build_tfidf, keyword_search
     from ..operators.retrieval import mmr, semantic_search
-    qv, cv = hash_embed(qs, "qid", "question"), chunk_vectors(spark, sf)
+    qv = hash_embed(qs, "qid", "question")
+    cv = chunk_vectors(spark, sf) if chunks is None else hash_embed(chunks, "chunk_id", "content")
     if p.retriever == "mmr":
         return mmr(qv, cv, k=p.k, fetch_k=2 * p.k, lam=0.5, metric=p.metric).withColumnRenamed("pick", "rank")
     if p.retriever == "hybrid":
-        chunks = line_chunks(spark, sf)
+        chunks = line_chunks(spark, sf) if chunks is None else chunks
         vocab, _ = build_tfidf(chunks)
         lex = keyword_search(qs, chunks, 2 * p.k, vocab, qtext_col="question")
         return hybrid_search(semantic_search(qv, cv, 2 * p.k, p.metric), lex, chunks, p.k).select("qid", "chunk_id", "rank")
@@ -320,8 +405,16 @@ def _profile_history(turns, p):
     return C.history_slice(turns, n).select(row_key("conv_id", "turn").alias("qid"), F.col("history_text").alias("chat_history"))
 
 
-def run_request_table(spark, sf, name: str):
-    """I4 as the profile runs it: E1, E2, its retriever, prompt, cleaning, sources and (advanced) validation."""
+def _profile_table(spark, sf, name: str):
+    from .profiles import PROFILES
+    return profile_chunks(spark, sf, PROFILES[name])
+
+
+def run_request_table(spark, sf, name: str, chunks=None):
+    """I4 as the profile runs it: E1, E2, its retriever, context cap, prompt, cleaning, sources and (advanced) validation.
+
+    ``chunks``: the corpus table (``profile_chunks``, or any other); default: lines.
+    """
     from ..operators import answers as A
     from ..operators import questions as Q
     from ..operators.hybrid import cited_sources
@@ -331,12 +424,12 @@ def run_request_table(spark, sf, name: str):
     ex = Q.non_blank(C.exchanges(turns), "question")
     asked = Q.enhance_question("question", p.domain_keywords) if p.domain_keywords else F.col("question")
     qs = ex.select(row_key("conv_id", "q_turn").alias("qid"), asked.alias("question"), "answer")
-    hits = _profile_hits(spark, sf, p, qs.select("qid", "question"))
-    chunks = line_chunks(spark, sf)
+    hits = _profile_hits(spark, sf, p, qs.select("qid", "question"), chunks)
+    chunks = line_chunks(spark, sf) if chunks is None else chunks
     x = P.run_profile(
         qs.select("qid", "question"), lambda q: hits, chunks, _profile_history(turns, p), qs.select("qid", "answer"),
         clean=lambda d: A.clean_answers(d, "answer", name, key="qid"),
-        validate=(lambda d: A.validate_answers(d, "answer", "question", "n_docs")) if p.validate else None)
+        validate=(lambda d: A.validate_answers(d, "answer", "question", "n_docs")) if p.validate else None, max_tokens=p.context_tokens)
     if p.source_cap:
         s = cited_sources(hits.join(chunks.select("chunk_id", "source"), "chunk_id"), p.source_cap, default=p.source_default, docs=p.source_docs)
         x = x.join(s, "qid", "left")
@@ -348,14 +441,16 @@ def run_request_table(spark, sf, name: str):
     return x.select(*out)
 
 
-def _request_sql(name: str) -> str:
+def _request_sql(name: str, chunks: str | None = None) -> str:
+    """``chunks``: a table (chunk_id, source, content) to take instead of the lines."""
     from .profiles import PROFILES
     from .q_retrieval import mmr_sql
     from .q_text import clean_ctes
     p = PROFILES[name]
     asked = (f"CASE WHEN {D.contains_any('lower(question)', p.domain_keywords)} THEN question ELSE {D.lit(L.DOMAIN_PREFIX)} || question END"
              if p.domain_keywords else "question")
-    head = f"""{D.line_chunks_cte()}, {_EX},
+    corpus = f"line_chunks AS (SELECT * FROM {chunks})" if chunks else D.line_chunks_cte()
+    head = f"""{corpus}, {_EX},
 qq AS (SELECT printf('%020d:%010d', conv_id, q_turn) AS qid, conv_id, q_turn, {asked} AS question, answer FROM ex
        WHERE length({D.strip('question')}) > 0),
 {D.hash_embed_ctes('qv', 'qq', 'qid', 'question')},
@@ -395,7 +490,9 @@ src AS (SELECT qid, array_to_string(list(file ORDER BY first)[1:{p.source_cap}],
         cols += f", round({overall}, 6) AS overall_quality, ({overall}) >= {D.dbl(0.6)} AS validation_passed"
     return f"""WITH {head},
 hits AS (SELECT sh.qid, sh.rank, c.content, c.source FROM sh JOIN line_chunks c USING (chunk_id)),
-ctx AS (SELECT qid, count(*) AS n_docs, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY qid),
+fit AS (SELECT *, sum({D.word_count('content')}) OVER (PARTITION BY qid ORDER BY rank) AS tokens FROM hits),
+ctx AS (SELECT qid, count(*) AS n_docs, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM fit
+        WHERE {f'tokens <= {p.context_tokens}' if p.context_tokens else 'true'} GROUP BY qid),
 {hist},
 x AS (SELECT qq.qid, qq.conv_id, qq.q_turn, qq.question, qq.answer, coalesce(ctx.n_docs, 0) AS n_docs, ctx.context, hist.chat_history
       FROM qq LEFT JOIN ctx USING (qid) LEFT JOIN hist USING (qid)),
@@ -406,3 +503,8 @@ SELECT cl.qid, n_docs, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5
 
 for _name in ("fast", "flan", "orca", "advanced", "improved"):
     register(f"i4_request_{_name}", sql=_request_sql(_name))(lambda spark, sf, _n=_name: run_request_table(spark, sf, _n))
+
+
+# The same on the chunks of the profile's own preset (B1 has no SQL form: the tests hand these chunks to the SQL above).
+for _name in ("fast", "flan", "orca", "advanced", "improved"):
+    register(f"i4_profile_{_name}")(lambda spark, sf, _n=_name: run_request_table(spark, sf, _n, _profile_table(spark, sf, _n)))

@@ -9,7 +9,7 @@ from ..functions.text import WS
 from ..operators import chunking as B
 from ..operators.embedding import embed_distinct, hash_embed, truncate_tokens
 from ..sources import corpus as A
-from ..session import scratch_path
+from ..session import drop_path, scratch_path
 from ..sources.tables import table
 from . import duck as D
 from .inputs import label_centroids, line_chunks
@@ -31,11 +31,32 @@ def a1_read_corpus(spark, sf):
     return row.select(F.substring_index("row", "\t", 1).alias("doc"), F.expr("substring(row, instr(row, '\t') + 1)").alias("text"))
 
 
-@register("a2_file_inventory", sql="SELECT 'parquet' AS ext, count(*) AS n_rows FROM documents")
+@register("a1_detected_corpus", sql="SELECT CAST(doc_id AS VARCHAR) AS doc, text FROM documents")
+def a1_detected_corpus(spark, sf):
+    """The documents written in five encodings without marks (by id; Latin-1 where the text allows), read back by detection.
+
+    A row ends with U+0000 in its encoding; the writer's separator is that character's last byte.
+    """
+    path = scratch_path(spark, "encoded-corpus")
+    row = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.coalesce("text", F.lit("")), F.lit("\u0000"))
+    docs = table(spark, sf, "documents").select(row.alias("row"), F.pmod("doc_id", F.lit(5)).alias("kind"))
+    latin = ~F.col("row").rlike("[^\u0000-\u00ff]")
+    for kind, name in enumerate(("UTF-8", "ISO-8859-1", "UTF-16LE", "UTF-16BE", "UTF-32")):
+        own = docs.where((F.col("kind") == kind) & (latin if kind == 1 else F.lit(True)) | (F.col("kind") == 1) & ~latin & F.lit(kind == 0))
+        code = F.encode("row", name)
+        own.select(F.substring(code, F.lit(1), F.length(code) - 1).cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", 1000).text(f"{path}/{kind}")
+    rows = A.read_corpus(spark, path).select(F.explode(F.split("text", "\u0000")).alias("row")).where("row <> ''")
+    out = rows.select(F.substring_index("row", "\t", 1).alias("doc"), F.expr("substring(row, instr(row, '\t') + 1)").alias("text"))
+    return out
+
+
+@register("a2_file_inventory", sql="""SELECT 'txt' AS ext, count(DISTINCT doc_id % 4) AS files, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents""")
 def a2_file_inventory(spark, sf):
-    """The files that hold the documents, by extension, with their rows."""
-    f = spark.read.parquet(f"{sf}/documents.parquet").select(F.lower(F.regexp_extract("_metadata.file_name", r"\.([^./]*)$", 1)).alias("ext"))
-    return f.groupBy("ext").agg(F.count(F.lit(1)).alias("n_rows"))
+    """The documents written as text files (four parts by id), taken stock of by extension."""
+    path = scratch_path(spark, "inventory")
+    docs = table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.pmod("doc_id", F.lit(4)).alias("part"))
+    docs.repartition(4, "part").write.partitionBy("part").text(path)
+    return drop_path(spark, path, A.file_inventory(spark, path))
 
 
 @register("a3_save_collection", sql="SELECT doc_id, source, n_chars FROM documents")
@@ -114,6 +135,15 @@ def b1_chunk_invariants(spark, sf):
     return _invariants(docs, B.chunk_documents(docs, _ADV.size, _ADV.overlap, _ADV.separators), _ADV)
 
 
+@register("b1_length_fn_chunks", sql=f"""SELECT doc_id, length(regexp_replace(text, {D.lit(WS)}, '', 'g'))::BIGINT AS solid, true AS short_enough FROM documents
+WHERE length(regexp_replace(text, {D.lit(WS)}, '', 'g')) > 0""")
+def b1_length_fn_chunks(spark, sf):
+    """Chunks of at most 60 words (``length_fn`` counts words), without overlap: their characters add up to the text's."""
+    ch = B.chunk_documents(table(spark, sf, "documents"), 60, 0, ("\n", ". ", " ", ""), length_fn=lambda x: len(x.split()))
+    words = F.size(F.filter(F.split("content", WS + "+"), lambda x: x != ""))
+    return ch.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("content", WS, ""))).alias("solid"), (F.max(words) <= 60).alias("short_enough"))
+
+
 @register("b3_window_chunks", sql="""SELECT doc_id, (s // 325)::INTEGER AS chunk_no, s::INTEGER AS start_index,
        substring(text, s + 1, 400) AS content, length(substring(text, s + 1, 400))::INTEGER AS chunk_length
 FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 76, 0), 325)) AS s FROM documents)
@@ -186,6 +216,24 @@ def c3_embed_distinct(spark, sf):
     return e.select("conv_id", "turn", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+@register("c3_cached_embed", sql=f"""WITH ut AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+uq AS (SELECT DISTINCT text FROM ut),
+{D.hash_embed_ctes('qv', 'uq', 'text', 'text')}
+SELECT ut.conv_id, ut.turn, list_transform(qv.embedding, lambda x: round(x, 6)) AS embedding
+FROM ut JOIN qv ON qv.id = ut.text""")
+def c3_cached_embed(spark, sf):
+    """The same vectors from a stored cache, filled by the first half of the turns and then by all."""
+    from ..operators.embed_cache import EmbeddingCache
+    ut = table(spark, sf, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    path = scratch_path(spark, "embedding-cache")
+    cache = EmbeddingCache(spark, f"embedding_cache_{path[-12:]}", path, 8)
+    cache.fill(ut.where("conv_id % 2 = 0"))
+    e = cache.embed(ut).select("conv_id", "turn", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    out = drop_path(spark, path, e)
+    cache.drop()
+    return out
+
+
 @register("c4_truncate_tokens", sql=f"""SELECT doc_id, array_to_string({D.words('text')}[1:256], ' ') AS truncated
 FROM documents""")
 def c4_truncate_tokens(spark, sf):

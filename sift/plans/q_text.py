@@ -280,3 +280,46 @@ SELECT qid, CASE WHEN {D.contains_any('lower(text)', L.DOMAIN_KEYWORDS_7)} THEN
 def e2_enhance_question_flan(spark, sf):
     """E2 with the first profile's 7 keywords."""
     return questions(spark, sf).select("qid", Q.enhance_question("text", L.DOMAIN_KEYWORDS_7).alias("enhanced"))
+
+
+# E3, E4 with the lexicons as tables: the same answers by one automaton over all patterns.
+
+def _pattern_table(spark):
+    return spark.createDataFrame([(i, c, p) for i, (c, ps) in enumerate(L.QUERY_PATTERNS.items()) for p in ps], "priority int, query_type string, pattern string")
+
+
+def _synonym_table(spark):
+    rows = [(h, s) for h, syn in L.DOMAIN_SYNONYMS.items() for s in syn] + [(w, w) for w in L.EXTRA_DOMAIN_WORDS]
+    return spark.createDataFrame(rows, "head string, synonym string")
+
+
+@register("e3_classify_by_table", sql=f"""WITH {_QS}
+SELECT qid, {D.classify('text', L.QUERY_PATTERNS)} AS query_type FROM questions""")
+def e3_classify_by_table(spark, sf):
+    from ..operators.patterns import classify_by
+    return classify_by(questions(spark, sf).select("qid", "text"), "text", _pattern_table(spark)).select("qid", "query_type")
+
+
+@register("e4_terms_by_table", sql=f"""WITH {_QS}
+SELECT qid, array_to_string({D.extract_terms('text', L.DOMAIN_SYNONYMS, L.EXTRA_DOMAIN_WORDS)}, '|') AS retail_terms FROM questions""")
+def e4_terms_by_table(spark, sf):
+    from ..operators.patterns import terms_by
+    t = terms_by(questions(spark, sf).select("qid", "text"), "text", _synonym_table(spark))
+    return t.select("qid", F.array_join("retail_terms", "|").alias("retail_terms"))
+
+
+_HEADS = {h: list(syn)[:3] for h, syn in list(L.DOMAIN_SYNONYMS.items())[:5]}
+
+
+def _expand_sql(x: str) -> str:
+    low = f"lower({x})"
+    parts = [f"CASE WHEN contains({low}, {D.lit(h)}) AND NOT contains({low}, {D.lit(s)}) THEN {D.lit(s)} END" for h, syn in _HEADS.items() for s in syn]
+    extra = f"list_filter([{', '.join(parts)}], lambda z: z IS NOT NULL)"
+    return f"""CASE WHEN len({extra}) = 0 THEN {x} ELSE {x} || ' ' || array_to_string(list_transform(list_filter(list_zip({extra}, range(1, len({extra}) + 1)),
+      lambda z: list_position({extra}, z[1]) = z[2]), lambda z: z[1]), ' ') END"""
+
+
+@register("e8_expand_questions", sql=f"WITH {_QS} SELECT qid, {_expand_sql('text')} AS expanded_query FROM questions")
+def e8_expand_questions(spark, sf):
+    """The question followed by synonyms of the first lexicon heads it holds."""
+    return Q.expand_questions(questions(spark, sf), _HEADS).select("qid", "expanded_query")

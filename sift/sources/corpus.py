@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..session import ship_package
+from .encodings import decode
+
 SOURCE_BUCKETS = 64
 
 
@@ -20,14 +24,24 @@ def read_corpus(spark: SparkSession, path: str, glob: str = "*.txt",
                 fallback: str = "ISO-8859-1") -> DataFrame:
     """A1: every matching file under ``path`` (recursive) as one document.
 
-    ``(source, text, n_bytes)``; bytes that are not valid UTF-8 are decoded
-    with ``fallback`` instead.
+    ``(source, text, n_bytes, encoding)``.  Plain UTF-8 is decoded by Spark;
+    files with zero bytes, a byte-order mark or bytes that are not UTF-8 go to
+    the detector (``encodings.detect``), ``fallback`` being its last resort.
     """
+    ship_package(spark)
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", glob).load(path))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")) \
-            .otherwise(F.decode("content", fallback))
-    return raw.select(F.col("path").alias("source"), text.alias("text"), F.col("length").alias("n_bytes"))
+    as_text = F.col("content").cast("string")
+    plain = F.is_valid_utf8(as_text) & ~as_text.contains("\u0000") & ~as_text.startswith("\ufeff")
+
+    @F.pandas_udf("text string, encoding string")
+    def detected(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if c is None else decode(bytes(c), fallback) for c in content], columns=["text", "encoding"])
+
+    files = raw.select(F.col("path").alias("source"), "content", plain.alias("_plain"), F.col("length").alias("n_bytes"))
+    files = files.withColumn("_d", detected(F.when(~F.col("_plain"), F.col("content"))))
+    return files.select("source", F.when(F.col("_plain"), F.decode("content", "UTF-8")).otherwise(F.col("_d.text")).alias("text"), "n_bytes",
+                        F.when(F.col("_plain"), F.lit("utf-8")).otherwise(F.col("_d.encoding")).alias("encoding"))
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:

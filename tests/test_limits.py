@@ -125,3 +125,26 @@ def test_a_mean_recall_under_90_percent_is_not_ok(spark, monkeypatch):
     assert all(r.recall_ok for r in QUERIES["d5_ann_recall"](spark, "/root/testdata/sf0.001").collect())
     monkeypatch.setattr(retrieval, "recall_at_k", lambda a, e, q: e.select(q).distinct().withColumn("recall", F.lit(0.75)))
     assert not any(r.recall_ok for r in QUERIES["d5_ann_recall"](spark, "/root/testdata/sf0.001").collect())
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("name", ["fast", "flan", "orca", "advanced", "improved"])
+def test_request_table_on_the_profiles_own_chunks(spark, name):
+    """The request table on B1 chunks equals its SQL handed the same chunks."""
+    import tempfile
+
+    import duckdb
+
+    from sift.plans.q_conv import _profile_table, _request_sql, run_request_table
+    from tools.check_oracle import digest
+    path = tempfile.mkdtemp(prefix="sift-chunks-") + "/c"
+    _profile_table(spark, SF, name).write.parquet(path)
+    df = run_request_table(spark, SF, name, spark.read.parquet(path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    cur = con.execute(_request_sql(name, f"read_parquet('{path}/*.parquet')"))
+    cols = [d[0] for d in cur.description]
+    want = cur.fetchall()
+    assert len(want) > 0 and digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(cols, want)[0]

@@ -54,3 +54,29 @@ def test_collection_auto_refresh(spark, tmpdir_fresh):
     assert A.save_collection(a, path, "auto") is False      # same content: untouched
     assert A.save_collection(b, path, "auto") is True       # changed: rewritten
     assert spark.read.parquet(path).first().content == "changed"
+
+
+TEXTS = {"es": "El niño comió piña en la mañana; ¿dónde está el corazón? Qué lástima, señor Muñoz.",
+         "de": "Die schöne Straße führt über große Hügel. Müller läßt grüßen, während Ärzte öfter prüfen.",
+         "fr": "L'été dernier, où étaient les élèves? Ça fait déjà longtemps; le garçon a mangé des gâteaux à Noël.",
+         "ru": "Съешь ещё этих мягких французских булок, да выпей же чаю. Москва не сразу строилась."}
+
+
+def test_encodings_are_detected():
+    from sift.sources.encodings import decode
+    for lang, codecs in {"es": ("utf-8", "cp1252", "utf-16-le", "utf-16-be", "utf-32-be", "mac_roman", "cp850"), "de": ("utf-8-sig", "cp1252", "utf-16", "mac_roman", "cp850"),
+                         "fr": ("cp1252", "utf-32-le", "utf-16-be", "mac_roman"), "ru": ("utf-8", "cp1251", "koi8_r", "utf-16-le")}.items():
+        for codec in codecs:
+            text, name = decode((TEXTS[lang] * 3).encode(codec))
+            assert text == TEXTS[lang] * 3, (lang, codec, name)
+    assert decode(b"") == ("", "utf-8") and decode(b"plain") == ("plain", "utf-8")
+    assert decode(bytes([0x81, 0x8D, 0xFF, 0x00, 0x98]) * 3)[0]  # nothing fits: still decoded
+
+
+def test_read_corpus_detects(spark, tmpdir_fresh):
+    for i, codec in enumerate(("utf-8", "cp1252", "utf-16", "utf-16-be", "utf-32")):
+        with open(os.path.join(tmpdir_fresh, f"{i}.txt"), "wb") as f:
+            f.write((TEXTS["fr"] * 2).encode(codec))
+    got = A.read_corpus(spark, tmpdir_fresh).collect()
+    assert len(got) == 5 and all(r.text == TEXTS["fr"] * 2 for r in got)
+    assert {os.path.basename(r.source): r.encoding for r in got}["0.txt"] == "utf-8"
