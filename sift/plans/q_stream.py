@@ -38,6 +38,7 @@ def k6_hourly_quality(spark, sf):
 # table is the result — checked against the same SQL as the batch twin.
 
 from ..functions import lexicons as L  # noqa: E402
+from ..session import drop_path  # noqa: E402
 from ..streaming.live import analyze_stream, history_stream, run_to_table, table_stream  # noqa: E402
 from . import duck as D  # noqa: E402
 
@@ -125,3 +126,91 @@ def k5_session_activity_split(spark, sf):
     from ..streaming.live import session_activity_split
     return session_activity_split(table(spark, sf, "events")).select(
         "user_id", "session_start_us", "session_end_us", "events", "purchases", "errors", F.round("mean_value", 6).alias("mean_value"))
+
+
+# Event time for conversations, which have none: a message a minute, two hours' rest after every fourth turn.
+_TIMED = "timestamp_seconds(1700000000 + 60 * turn + 7200 * floor(turn / 4) + 60 * (conv_id % 7))"
+LATE, IDLE = 601, 1800  # seconds; never a multiple of a minute, so no message stands at the watermark itself
+_TIMED_SQL = f"""timed AS (SELECT *, (1700000000 + 60 * turn + 7200 * (turn // 4) + 60 * (conv_id % 7))::BIGINT AS t FROM conversations),
+mark AS (SELECT max(t) - {LATE} AS w FROM timed)"""
+
+
+def _timed_turns(spark, sf):
+    return table_stream(spark, sf, "conversations").withColumn("ts", F.expr(_TIMED))
+
+
+@register("k4_ordered_history_stream", sql=f"""WITH {_TIMED_SQL},
+f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY conv_id ORDER BY turn) >= 86400 THEN 1 ELSE 0 END AS fresh FROM timed),
+h AS (SELECT *, list(coalesce(role, '') || ': ' || coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM f)
+SELECT conv_id, turn, coalesce(len(h), 0)::INTEGER AS history_size, coalesce(array_to_string(h, chr(10)), '') AS history_text
+FROM h, mark WHERE role = 'user' AND t <= w""")
+def k4_ordered_history_stream(spark, sf):
+    """History of every user message that the watermark has reached, from list state in event time order."""
+    from ..streaming.sessions import ordered_history
+    return run_to_table(ordered_history(_timed_turns(spark, sf), "ts", 6, LATE), "k4-ordered")
+
+
+@register("k5_live_summaries", sql=f"""WITH {_TIMED_SQL},
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= {IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS sid
+      FROM (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM timed)),
+closed AS (SELECT conv_id, sid, min(t) AS a, max(t) AS b, count_if(role IN ('user', 'assistant')) // 2 AS total_exchanges
+           FROM s GROUP BY conv_id, sid HAVING max(t) + {IDLE} <= (SELECT w FROM mark)),
+u AS (SELECT conv_id, sid, turn, i AS pos, w[i + 1] AS word
+      FROM (SELECT conv_id, sid, turn, {D.words('lower(text)')} AS w FROM s WHERE role = 'user'), range(0, len(w)) r(i)),
+wc AS (SELECT conv_id, sid, word, count(*) AS cnt, min({{'turn': turn, 'pos': pos}}) AS f FROM u GROUP BY conv_id, sid, word),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, sid ORDER BY cnt DESC, f) AS r FROM wc),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, sid ORDER BY r) AS r2 FROM r1
+       WHERE r <= 5 AND (list_contains({D.str_list(L.TOPIC_TERMS)}, word) OR length(word) > 4)),
+tp AS (SELECT conv_id, sid, string_agg(word, ', ' ORDER BY r2) AS common_topics FROM r2 WHERE r2 <= 3 GROUP BY conv_id, sid)
+SELECT c.conv_id, a * 1000000 AS session_start_us, b * 1000000 AS session_end_us, total_exchanges, coalesce(common_topics, '') AS common_topics
+FROM closed c LEFT JOIN tp USING (conv_id, sid)""")
+def k5_live_summaries(spark, sf):
+    """Exchanges and topics of every session closed by inactivity, from a stream of messages."""
+    from ..streaming.sessions import live_summaries
+    return run_to_table(live_summaries(_timed_turns(spark, sf), "ts", IDLE, LATE), "k5-live")
+
+
+@register("k3_hybrid_stream", sql=_ORACLE["d13_hybrid_search"])
+def k3_hybrid_stream(spark, sf):
+    """Benchmark passages as a question stream; hybrid top-5 of each micro-batch over stored vectors and chunks (oracle: d13's SQL)."""
+    from ..operators import hybrid as H
+    from ..operators.embedding import hash_embed
+    from ..operators.lexical import build_tfidf, keyword_search
+    from ..operators.retrieval import semantic_search
+    from ..session import scratch_path
+    from ..streaming.live import search_stream
+    from .inputs import chunk_vectors, line_chunks
+    path = scratch_path(spark, "k3-hybrid")
+    line_chunks(spark, sf).write.parquet(f"{path}/chunks")
+    chunk_vectors(spark, sf).write.parquet(f"{path}/vectors")
+    chunks, vectors = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors")
+    vocab = build_tfidf(chunks)[0]
+
+    def search(batch):
+        sem = semantic_search(hash_embed(batch, "qid", "text"), vectors, 10, "cosine")
+        return H.hybrid_search(sem, keyword_search(batch, chunks, 10, vocab), chunks, 5)
+
+    search_stream(table_stream(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), search, f"{path}/hits")
+    hits = H.round_scores(spark.read.parquet(f"{path}/hits").select("qid", "rank", "chunk_id", "content", "semantic_score", "keyword_score", "hybrid_score", "confidence"))
+    return drop_path(spark, path, hits)
+
+
+from .q_text import _G_CTE, N_SOURCES  # noqa: E402
+
+
+@register("k6_pass_rate_stream", sql=f"""WITH {_G_CTE},
+t AS (SELECT *, (1700000000 + 600 * q_turn + 60 * (conv_id % 50))::BIGINT AS t FROM g3),
+m AS (SELECT max(t) - 3600 AS w FROM t)
+SELECT (t - t % 3600) * 1000000 AS hour_start_us, count(*) AS answers, count_if(validation_passed) AS passed, round(avg(overall_quality), 6) AS mean_quality
+FROM t GROUP BY t - t % 3600 HAVING t - t % 3600 + 3600 <= (SELECT w FROM m)""")
+def k6_pass_rate_stream(spark, sf):
+    """Share of answers that pass validation, by hour, from a stream of answers; hours that the watermark has passed."""
+    from ..session import scratch_path
+    from ..streaming.live import hourly_pass_rate
+    from .inputs import answers
+    path = scratch_path(spark, "k6-answers")
+    a = answers(spark, sf).withColumns({"n_sources": F.lit(N_SOURCES), "ts": F.expr("timestamp_seconds(1700000000 + 600 * q_turn + 60 * (conv_id % 50))")})
+    a.write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    out = run_to_table(hourly_pass_rate(stream, "ts"), "k6-pass-rate")
+    return drop_path(spark, path, out.withColumn("mean_quality", F.round("mean_quality", 6)))

@@ -101,6 +101,19 @@ def retrieve_stream(questions: DataFrame, vocab: DataFrame, postings: DataFrame,
     return q
 
 
+def search_stream(questions: DataFrame, search, out_path: str, checkpoint: str | None = None):
+    """K3 with any retriever: ``search(batch) -> hits`` of every micro-batch of questions (for example ``hybrid_search``
+    over stored vectors and a stored keyword index).  A replayed batch overwrites its own ``epoch=N`` folder."""
+    def batch(df: DataFrame, epoch: int) -> None:
+        search(df).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+
+    q = (questions.writeStream.foreachBatch(batch)
+         .option("checkpointLocation", checkpoint or checkpoint_for(spark_of(questions), "search"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -196,6 +209,16 @@ def hourly_quality(events: DataFrame, watermark: str = "1 hour", threshold: floa
                     "requests", "slow", "mean_seconds")
 
 
+def hourly_pass_rate(answers: DataFrame, time_col: str, watermark: str = "1 hour", n_sources_col: str = "n_sources") -> DataFrame:
+    """K6: answers per hour with their mean quality and the share that passes validation (G5); stateless scoring, one window aggregate."""
+    from ..operators.answers import validate_answers
+    a = answers.withColumn("_ts", _utc_ts(time_col)).withWatermark("_ts", watermark)
+    v = validate_answers(a, "answer", "question", n_sources_col)
+    g = v.groupBy(F.window("_ts", "1 hour").alias("w")).agg(
+        F.count(F.lit(1)).alias("answers"), F.count_if("validation_passed").alias("passed"), F.avg("overall_quality").alias("mean_quality"))
+    return g.select(F.unix_micros(F.col("w.start")).alias("hour_start_us"), "answers", "passed", "mean_quality")
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
     """A parquet table as a file stream (schema from the batch read), stored as one file or as a folder of parts."""
     path = os.path.join(sf_dir, f"{name}.parquet")

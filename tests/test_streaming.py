@@ -121,3 +121,43 @@ def test_k4_lateness_is_a_parameter(spark, tmpdir_fresh):
     steps = [[(1, 0, 20)], [(1, 1, 21)], [(2, 0, 5), (3, 0, 19)]]
     got = _history_of_steps(spark, tmpdir_fresh, steps, "k4-late", idle_seconds=24 * 3600, lateness_seconds=3 * 3600)
     assert got == {(1, 0): 0, (3, 0): 0, (1, 1): 1}  # hour 5 is older than 20 - 3
+
+
+def _messages(spark, folder, steps, fn):
+    """Runs ``fn(stream)`` over micro-batches [(conv_id, turn, role, text, second)], each one file; rows and the dropped count."""
+    import datetime as dt
+    import time
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    schema = "conv_id long, turn long, role string, text string, ts timestamp"
+    src, out = os.path.join(folder, "in"), os.path.join(folder, "out")
+    for step in steps:
+        spark.createDataFrame([(*m[:4], day + dt.timedelta(seconds=m[4])) for m in step], schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in the order of their times
+    s = fn(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
+    q = (s.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", os.path.join(folder, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    late = sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators)
+    return spark.read.parquet(out).collect(), late
+
+
+def test_k4_messages_late_within_the_lateness_take_their_place(spark, tmpdir_fresh):
+    from sift.streaming.sessions import ordered_history
+    u = lambda c, t, at: (c, t, "user", f"m{c}.{t}", at)
+    steps = [[u(1, 2, 120), u(1, 0, 0)], [u(1, 1, 60), u(2, 0, 30)], [u(1, 4, 1000)], [u(1, 3, 900), u(2, 1, 20)], [u(9, 0, 9000)]]
+    got, late = _messages(spark, tmpdir_fresh, steps, lambda s: ordered_history(s, "ts", 3, lateness_seconds=300, idle_seconds=5000))
+    by = {(r.conv_id, r.turn): r.history_text for r in got}
+    assert by == {(1, 0): "", (1, 1): "user: m1.0", (1, 2): "user: m1.0\nuser: m1.1", (2, 0): "",
+                  (1, 3): "user: m1.0\nuser: m1.1\nuser: m1.2", (1, 4): "user: m1.1\nuser: m1.2\nuser: m1.3"}
+    assert late == 1  # (2, 1) came at 20 s when the watermark stood at 700 s
+
+
+def test_k5_sessions_are_summed_up_when_they_go_idle(spark, tmpdir_fresh):
+    from sift.streaming.sessions import live_summaries
+    steps = [[(1, 0, "user", "Inventory inventory question", 0), (1, 1, "assistant", "yes", 10)], [(1, 2, "user", "again question", 20), (2, 0, "user", "hi", 30)],
+             [(1, 3, "assistant", "ok", 5000), (1, 4, "user", "x", 5010)], [(3, 0, "user", "later", 20_000)], [(3, 1, "user", "much", 40_000)]]
+    got, late = _messages(spark, tmpdir_fresh, steps, lambda s: live_summaries(s, "ts", idle_seconds=600, lateness_seconds=60))
+    day = 1704067200
+    found = sorted((r.conv_id, r.session_start_us // 10 ** 6 - day, r.session_end_us // 10 ** 6 - day, r.total_exchanges, r.common_topics) for r in got)
+    assert found == [(1, 0, 20, 1, "inventory, question, again"), (1, 5000, 5010, 1, ""), (2, 30, 30, 0, ""), (3, 20_000, 20_000, 0, "later")]
+    assert late == 0
