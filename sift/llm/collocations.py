@@ -175,23 +175,27 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _runs(lang: str, k: int, words: np.ndarray, counts: np.ndarray, buckets: int):
-    """A sorted run, one row per prefix partition."""
+def _cut(lang: str, k: int, words: np.ndarray, counts: np.ndarray, buckets: int):
+    """A sorted run by prefix partition: (bucket, lang, k, words, counts)."""
     front = np.full(len(words), _lang_hash(lang), np.uint64)
     for j in range(k - 1):
         front = _fold(front, words[:, j])
     bucket = (_fold(front, words[:, -1] >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((*words.T[::-1], bucket))
     words, counts, bucket = np.ascontiguousarray(words[order]), counts[order], bucket[order]
-    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    cut = np.append(starts, len(words))
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+    for a, b in zip(starts, [*starts[1:], len(words)]):
+        yield int(bucket[a]), lang, k, words[a:b].tobytes(), counts[a:b].tobytes()
 
-    def packed(values: np.ndarray, width: int):
-        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[starts], pa.int64()), pa.array([lang] * len(starts)), pa.array(np.full(len(starts), k, np.int32)),
-         packed(words, 8 * k), packed(counts, 8)], ["bucket", "lang", "k", "words", "counts"])
+def _runs(cuts):
+    """One row per prefix partition with its cuts of all runs that leave the task at a time."""
+    cuts = sorted(cuts)
+    starts = [i for i in range(len(cuts)) if i == 0 or cuts[i][0] != cuts[i - 1][0]]
+    at = np.array([*starts, len(cuts)])
+    columns = list(zip(*cuts))
+    lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c, t)) for c, t in zip(columns[1:], (pa.string(), pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array([columns[0][i] for i in starts], pa.int64()), *lists], ["bucket", "lang", "k", "words", "counts"])
 
 
 def _count_phrases(bits, base: int, lengths: tuple[int, ...], buckets: int):
@@ -200,9 +204,9 @@ def _count_phrases(bits, base: int, lengths: tuple[int, ...], buckets: int):
         tries: dict[tuple[str, int], HatTrie] = {}
 
         def spill(keep: int):
-            for (lang, k), trie in tries.items():
-                if len(trie) > keep:
-                    yield _runs(lang, k, *trie.spill(keep), buckets)
+            cuts = [c for (lang, k), trie in tries.items() if len(trie) > keep for c in _cut(lang, k, *trie.spill(keep), buckets)]
+            if cuts:
+                yield _runs(cuts)
 
         for batch in batches:
             for words, code, names in _slices(batch):
@@ -228,12 +232,11 @@ def _merged(min_count: int):
     """Runs of a prefix partition -> the phrases with ``min_count`` occurrences or more."""
     def run(batches):
         for table in _complete(batches, ["bucket"]):
-            langs, ks = table["lang"].to_pylist(), table["k"].to_pylist()
-            parts: dict[tuple[str, int], list[int]] = {}
-            for i, at in enumerate(zip(langs, ks)):
-                parts.setdefault(at, []).append(i)
-            for (lang, k), rows in parts.items():
-                words, counts = (b"".join(table[c].take(pa.array(rows)).to_pylist()) for c in ("words", "counts"))
+            parts: dict[tuple[str, int], list] = {}
+            for lang, k, w, n in zip(*(table[c].combine_chunks().flatten().to_pylist() for c in ("lang", "k", "words", "counts"))):
+                parts.setdefault((lang, k), []).append((w, n))
+            for (lang, k), runs in parts.items():
+                words, counts = (b"".join(x) for x in zip(*runs))
                 words, counts = np.frombuffer(words, np.uint64).reshape(-1, k), np.frombuffer(counts, np.int64)
                 order = np.lexsort(words.T[::-1])
                 words, counts = words[order], counts[order]
@@ -254,13 +257,13 @@ def frequent_phrases(st: Stage, docs: DataFrame, min_count: int, text_col: str,
     """(lang, word, f, bit, text) of all words and (lang, ids, f) of the phrases of 1 to 4 words with ``min_count`` occurrences."""
     spark: SparkSession = docs.sparkSession
     src = docs.select(null_safe(F.col(text_col)).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = src.mapInArrow(_count_words, "lang string, word long, n long, bit long, text string")
     words = st.keep(counted.groupBy("lang", "word").agg(F.sum("n").alias("f"), F.min("bit").alias("bit"), F.min("text").alias("text")), "words")
 
     def phrases(shorter: DataFrame, base: int, lengths: tuple[int, ...]) -> DataFrame:
         bits = spark.sparkContext.broadcast(_filter(shorter.select("bit")))
-        runs = src.mapInArrow(_count_phrases(bits, base, lengths, buckets), "bucket long, lang string, k int, words binary, counts binary")
+        runs = src.mapInArrow(_count_phrases(bits, base, lengths, buckets), "bucket long, lang array<string>, k array<int>, words array<binary>, counts array<binary>")
         merged = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged(min_count), "lang string, ids array<long>, f long, bit long")
         out = st.keep(merged, f"phrases{base}")
         bits.destroy()
