@@ -146,8 +146,9 @@ SELECT conv_id, turn, coalesce(len(h), 0)::INTEGER AS history_size, coalesce(arr
 FROM h, mark WHERE role = 'user' AND t <= w""")
 def k4_ordered_history_stream(spark, sf):
     """History of every user message that the watermark has reached, from list state in event time order."""
-    from ..streaming.sessions import ordered_history
-    return run_to_table(ordered_history(_timed_turns(spark, sf), "ts", 6, LATE), "k4-ordered")
+    from ..streaming.sessions import ordered_history, state_store
+    with state_store(spark):
+        return run_to_table(ordered_history(_timed_turns(spark, sf), "ts", 6, LATE), "k4-ordered")
 
 
 @register("k5_live_summaries", sql=f"""WITH {_TIMED_SQL},
@@ -166,8 +167,9 @@ SELECT c.conv_id, a * 1000000 AS session_start_us, b * 1000000 AS session_end_us
 FROM closed c LEFT JOIN tp USING (conv_id, sid)""")
 def k5_live_summaries(spark, sf):
     """Exchanges and topics of every session closed by inactivity, from a stream of messages."""
-    from ..streaming.sessions import live_summaries
-    return run_to_table(live_summaries(_timed_turns(spark, sf), "ts", IDLE, LATE), "k5-live")
+    from ..streaming.sessions import live_summaries, state_store
+    with state_store(spark):
+        return run_to_table(live_summaries(_timed_turns(spark, sf), "ts", IDLE, LATE), "k5-live")
 
 
 @register("k3_hybrid_stream", sql=_ORACLE["d13_hybrid_search"])
@@ -199,7 +201,7 @@ from .q_text import _G_CTE, N_SOURCES  # noqa: E402
 
 
 @register("k6_pass_rate_stream", sql=f"""WITH {_G_CTE},
-t AS (SELECT *, (1700000000 + 600 * q_turn + 60 * (conv_id % 50))::BIGINT AS t FROM g3),
+t AS (SELECT *, (1700000000 + 2400 * q_turn + 60 * (conv_id % 50))::BIGINT AS t FROM g3),
 m AS (SELECT max(t) - 3600 AS w FROM t)
 SELECT (t - t % 3600) * 1000000 AS hour_start_us, count(*) AS answers, count_if(validation_passed) AS passed, round(avg(overall_quality), 6) AS mean_quality
 FROM t GROUP BY t - t % 3600 HAVING t - t % 3600 + 3600 <= (SELECT w FROM m)""")
@@ -209,7 +211,7 @@ def k6_pass_rate_stream(spark, sf):
     from ..streaming.live import hourly_pass_rate
     from .inputs import answers
     path = scratch_path(spark, "k6-answers")
-    a = answers(spark, sf).withColumns({"n_sources": F.lit(N_SOURCES), "ts": F.expr("timestamp_seconds(1700000000 + 600 * q_turn + 60 * (conv_id % 50))")})
+    a = answers(spark, sf).withColumns({"n_sources": F.lit(N_SOURCES), "ts": F.expr("timestamp_seconds(1700000000 + 2400 * q_turn + 60 * (conv_id % 50))")})
     a.write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     out = run_to_table(hourly_pass_rate(stream, "ts"), "k6-pass-rate")

@@ -21,9 +21,10 @@ time, turn, role, text).
 from __future__ import annotations
 
 import heapq
+from contextlib import contextmanager
 from typing import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -37,6 +38,23 @@ HISTORY = "conv_id long, turn long, history_size int, history_text string"
 SUMMARY = "conv_id long, session_start_us long, session_end_us long, total_exchanges long, common_topics string"
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """List and map state need this state store; for queries that start and end inside, the session's setting comes back after."""
+    old = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, STORE)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, old)
+
+
 def _place(m: tuple) -> tuple:
     ts, turn, role, text = m[:4]
     return ts, turn is None, turn or 0, role or "", text or ""
@@ -144,8 +162,8 @@ class _Summary(_InOrder):
 def _timed(turns: DataFrame, time_col: str, lateness_seconds: int, own_words: Column) -> DataFrame:
     spark = turns.sparkSession
     ship_package(spark)
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STORE:
-        raise RuntimeError(f"spark.sql.streaming.stateStore.providerClass must be {STORE} for list and map state")
+    if spark.conf.get(_PROVIDER, "") != STORE:
+        raise RuntimeError(f"{_PROVIDER} must be {STORE} for list and map state (see state_store)")
     ts = F.col(time_col).cast("timestamp")
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", ts.alias("ts"), F.unix_micros(ts).alias("ts_us"), own_words.alias("words"))
     return t.withWatermark("ts", f"{lateness_seconds} seconds")

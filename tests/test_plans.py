@@ -26,7 +26,7 @@ def test_no_product_joins(spark, name):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-@pytest.mark.parametrize("name", [n for n in Q if n[0] in "efghj"])
+@pytest.mark.parametrize("name", [n for n in Q if n[0] in "efghj" and not n.endswith("_by_table")])
 def test_no_python_in_text_operators(spark, name):
     p = plan(spark, name)
     for node in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "FlatMapGroupsInPandas"):

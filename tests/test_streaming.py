@@ -133,10 +133,12 @@ def _messages(spark, folder, steps, fn):
     for step in steps:
         spark.createDataFrame([(*m[:4], day + dt.timedelta(seconds=m[4])) for m in step], schema).coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)  # files are taken in the order of their times
-    s = fn(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
-    q = (s.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", os.path.join(folder, "ck"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    from sift.streaming.sessions import state_store
+    with state_store(spark):
+        s = fn(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
+        q = (s.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", os.path.join(folder, "ck"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     late = sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators)
     return spark.read.parquet(out).collect(), late
 
@@ -144,12 +146,12 @@ def _messages(spark, folder, steps, fn):
 def test_k4_messages_late_within_the_lateness_take_their_place(spark, tmpdir_fresh):
     from sift.streaming.sessions import ordered_history
     u = lambda c, t, at: (c, t, "user", f"m{c}.{t}", at)
-    steps = [[u(1, 2, 120), u(1, 0, 0)], [u(1, 1, 60), u(2, 0, 30)], [u(1, 4, 1000)], [u(1, 3, 900), u(2, 1, 20)], [u(9, 0, 9000)]]
+    steps = [[u(1, 2, 120), u(1, 0, 0)], [u(1, 1, 60), u(2, 0, 30)], [u(1, 4, 1000)], [u(1, 3, 900)], [u(2, 1, 20), u(3, 0, 2000)], [u(9, 0, 9000)]]
     got, late = _messages(spark, tmpdir_fresh, steps, lambda s: ordered_history(s, "ts", 3, lateness_seconds=300, idle_seconds=5000))
     by = {(r.conv_id, r.turn): r.history_text for r in got}
-    assert by == {(1, 0): "", (1, 1): "user: m1.0", (1, 2): "user: m1.0\nuser: m1.1", (2, 0): "",
+    assert by == {(1, 0): "", (1, 1): "user: m1.0", (1, 2): "user: m1.0\nuser: m1.1", (2, 0): "", (3, 0): "",
                   (1, 3): "user: m1.0\nuser: m1.1\nuser: m1.2", (1, 4): "user: m1.1\nuser: m1.2\nuser: m1.3"}
-    assert late == 1  # (2, 1) came at 20 s when the watermark stood at 700 s
+    assert late == 1  # (2, 1) is of 20 s and came when the watermark stood at 700 s
 
 
 def test_k5_sessions_are_summed_up_when_they_go_idle(spark, tmpdir_fresh):
