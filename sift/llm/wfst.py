@@ -29,6 +29,7 @@ from . import textkit as tk
 from .flow import prepare
 
 SPACE = 0x2581
+PART, OVERLAP, PART_CELLS = 512, 96, 2_000_000  # of a long stretch: letters of a part, of its margins, cells of a working table
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNK_PENALTY = 10.0
@@ -269,6 +270,42 @@ class Transducer:
         by = np.argsort(r, kind="stable")
         return p[by], np.bincount(r, minlength=n)
 
+    def _long(self, c: np.ndarray) -> np.ndarray:
+        """Shortest path of a long stretch, from the paths of overlapping parts side by side.
+
+        A path is allowed if every two neighbouring pieces are.  So where two
+        parts' paths pass the same piece at the same place, the first up to there
+        and the second from there on are a path of both; without such a place in
+        an overlap the stretch is taken whole.
+        """
+        start = np.arange(0, len(c), PART)
+        begin, end = np.maximum(start - OVERLAP, 0), np.minimum(start + PART + OVERLAP, len(c))
+        paths: list[np.ndarray] = []
+        few = max(1, PART_CELLS // ((PART + 2 * OVERLAP) * self.longest))
+        for a in range(0, len(start), few):
+            own = slice(a, a + few)
+            size = end[own] - begin[own]
+            at = begin[own][:, None] + np.arange(size.max())
+            part = np.where(np.arange(size.max()) < size[:, None], c[np.minimum(at, len(c) - 1)], -1)
+            p, n = self._paths(part, size.copy())
+            paths += np.split(p, np.cumsum(n)[:-1])
+        out, done = [], 0  # the path up to place ``done``
+        ends = [b + np.cumsum(self._len[p]) for b, p in zip(begin, paths)]
+        for k in range(len(paths) - 1):
+            meet = np.intersect1d(ends[k] * self.total_ids + paths[k], ends[k + 1] * self.total_ids + paths[k + 1], assume_unique=True)
+            meet = meet[meet // self.total_ids > done]
+            if len(meet) == 0:
+                return self._paths(c[None, :], np.array([len(c)]))[0]
+            cut = int(meet[len(meet) // 2] // self.total_ids)
+            out.append(paths[k][(ends[k] > done) & (ends[k] <= cut)])
+            done = cut
+        out.append(paths[-1][ends[-1] > done])
+        return np.concatenate(out)
+
+    @property
+    def total_ids(self) -> int:
+        return self.size + self.n_chars + 1
+
     def _names(self) -> list[str]:
         names = [""] * (self.size + self.n_chars)
         for s, i in self.ids.items():
@@ -310,7 +347,11 @@ class Transducer:
         for k in np.flatnonzero(direct & ~outside).tolist():
             ids = self._tied(cp[start[k]:end[k]])
             found.append((np.array([k]), *self._fallback(np.array(ids, np.int64), np.array([len(ids)]))))
-        rest = np.flatnonzero(~outside & ~direct)
+        wide = ~outside & ~direct & (size > 4 * PART) & (self.kind == BPE)
+        for k in np.flatnonzero(wide).tolist():
+            p = self._long(codes[start[k]:end[k]].astype(np.int64))
+            found.append((np.array([k]), *self._fallback(p, np.array([len(p)]))))
+        rest = np.flatnonzero(~outside & ~direct & ~wide)
         rest = rest[np.argsort(size[rest], kind="stable")]
         a = 0
         while a < len(rest):

@@ -21,6 +21,24 @@ def test_equals_the_library():
         assert m.decode(own) == sp.decode(own) == t.replace("▁", " ")
 
 
+def test_long_stretches_equal_the_library():
+    """Parts side by side, joined where their paths meet: letters without a blank, and repeats whose paths meet late."""
+    import time
+
+    import public_tokenizers as P
+    m, sp = wfst.compiled(), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = ["".join(rng.choice(letters) for _ in range(9000)), "a" * 7001, "ab" * 3000, "".join(rng.choice("the ing").replace(" ", "") or "n" for _ in range(5000)),
+             "if(a){return" * 400, "é字x" * 1500, "x" + "".join(rng.choice(letters) for _ in range(2100)) + " tail"]
+    ids, at = m.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[at[i]:at[i + 1]].tolist() == sp.encode(t), t[:40]
+    began = time.time()
+    m.encode(["".join(rng.choice(letters) for _ in range(200_000))])
+    assert time.time() - began < 30
+
+
 def test_unigram_shortest_path_equals_enumeration():
     pieces = ["<unk>", "▁", "a", "b", "ab", "ba", "▁a", "aab", "abb"]
     scores = np.array([0, -3.0, -2.1, -2.3, -3.1, -3.7, -4.9, -5.05, -5.6])
