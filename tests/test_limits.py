@@ -130,7 +130,7 @@ def test_a_mean_recall_under_90_percent_is_not_ok(spark, monkeypatch):
 import pytest  # noqa: E402
 
 
-@pytest.mark.parametrize("name", ["fast", "flan", "orca", "advanced", "improved"])
+@pytest.mark.parametrize("name", ["fast", "flan", "orca"])
 def test_request_table_on_the_profiles_own_chunks(spark, name):
     """The request table on B1 chunks equals its SQL handed the same chunks."""
     import tempfile
