@@ -40,7 +40,7 @@ from .flow import Stage, null_safe
 
 K, SLOTS = 20, 2048
 QUERY_BLOCK = 512          # queries of a block at most
-MATRIX = 1 << 22           # cells of a working matrix (documents x terms) at most
+MATRIX = 1 << 20           # cells of a working matrix (documents x terms) at most
 _SLACK = 1.0 + 1e-5        # bounds are single precision sums
 
 
