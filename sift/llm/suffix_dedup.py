@@ -38,6 +38,7 @@ from .near_sets import _complete
 
 LENGTH, GRAM, STEP = 200, 64, 8
 HOT_CONTEXTS = 16_384
+MEMBERS = 1000  # places of a context in one list, about
 BATCH_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -225,13 +226,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     src = _keyed(docs, "doc_id", "text").select("_id", "text_key", "text")
     rows = st.keep(src.mapInArrow(_anchor_rows(length), "_id long, text_key long, first int, n int, anchor long, context long"), "anchors")
     again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("c > 1").select(
-        "anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+        "anchor", "c", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = st.keep(again, "again")  # as a table of its own, so that AQE can split the other side of the join
     seen = st.keep(rows.join(again, "anchor"), "seen")
     st.drop("anchors", "again")
-    contexts = (seen.where("mixed").groupBy("anchor", "context")
-                .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "text_key", "first", "n")).alias("r")))
-    contexts = st.keep(contexts, "contexts")
+    place = F.struct("_id", "text_key", "first", "n")
+    part = F.pmod(F.xxhash64("_id", "text_key", "first"), F.ceil(F.col("c") / MEMBERS)).alias("part")
+    members = (seen.where("mixed").groupBy("anchor", "context", part)
+               .agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("r"), F.collect_list(place).alias("places")))
+    members = st.keep(members, "members")  # a context's places in lists of about MEMBERS at most
+    contexts = st.keep(members.groupBy("anchor", "context").agg(F.sum("c").alias("c"), F.min("r").alias("r")), "contexts")
     hot = st.keep(contexts.groupBy("anchor").agg((F.count(F.lit(1)) > HOT_CONTEXTS).alias("hot")), "hot")
     lent = (contexts.join(hot, "anchor").groupBy("r._id", "r.text_key")
             .agg(F.collect_list(F.struct("r.first", "r.n", "anchor", "context", "hot")).alias("lent")))
@@ -251,7 +255,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to")))
     cut = lambda c: c.select("_id", "text_key", "first", F.explode("parts").alias("p"))
     plain = cut(seen.where("NOT mixed").withColumn("parts", whole))
-    mixed = cut(seen.where("mixed").join(found, ["anchor", "context"]).withColumn("parts", F.when(F.col("full"), whole).otherwise(F.arrays_zip("from", "to"))))
+    listed = members.select("anchor", "context", "part", "places").join(found, ["anchor", "context"])
+    listed = listed.repartition("anchor", "context", "part").select(F.explode("places").alias("x"), "full", "from", "to")  # a context's lists apart
+    mixed = cut(listed.select("x.*", "full", "from", "to").withColumn("parts", F.when(F.col("full"), whole).otherwise(F.arrays_zip("from", "to"))))
     spans = (plain.unionByName(mixed).groupBy("_id", "text_key")
              .agg(F.collect_set(F.struct((F.col("first") + F.col("p.from")).alias("lo"), (F.col("first") + F.col("p.to")).alias("hi"))).alias("spans")))
     spans = st.hold(spans)
