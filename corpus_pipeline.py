@@ -16,7 +16,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80  # shingles of five words, similarity of 0.8 or
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; columns stay as they are."""
+    """Documents that the classifier rejects go, null and empty texts by the same rule; columns stay as they are."""
     names = docs.columns
     own = {c: f"d{k}" for k, c in enumerate(names)}  # extra columns may have any name
     judged = classify_quality(docs.toDF(*own.values()), documents(spark, sf_dir, "labels"), list(own.values()),
@@ -25,28 +25,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id, once if its row is repeated.
+    """One document of each group stays, the one with the smallest id (none: last), once if its row is repeated.
 
-    A document is an id with its text: rows with one id and different texts are
-    documents of their own (nodes are 64-bit hashes of both).  Documents without
-    words and rows without an id link with nothing here and stay.
+    A document is an id, or none, with its text: rows with one id and different
+    texts are documents of their own (nodes are 64-bit hashes of both).
+    Documents without words link with nothing and stay, as do their repeats.
     """
-    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    found = jaccard_components(docs.select(node.alias("node"), "text"), k=NEAR_WORDS, percent=NEAR_PERCENT, id_col="node")
-    found = found.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_node"), "component_id")
-    nodes = found.groupBy("_node").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    groups = nodes.where("component_id <> _node").select("component_id").distinct()
-    members = nodes.join(groups, "component_id").join(docs.select(node.alias("_node"), "doc_id").distinct(), "_node")
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_node"))["_node"].alias("first"))
-    drop = members.join(first, "component_id").where("_node <> first").select("_node")
-    copies = nodes.where("n > 1").select("_node")
-    stay = docs.withColumn("_node", node).join(drop, "_node", "left_anti")
-    again = stay.join(copies, "_node", "left_semi").dropDuplicates(["_node"])
-    return stay.join(copies, "_node", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    names = docs.columns
+    own = {c: f"d{k}" for k, c in enumerate(names)}  # extra columns may have any name
+    doc_id, text = own["doc_id"], own["text"]
+    d = docs.toDF(*own.values()).withColumn("node", F.xxhash64(doc_id, text))
+    found = jaccard_components(d.select("node", text), k=NEAR_WORDS, percent=NEAR_PERCENT, id_col="node", text_col=text)
+    nodes = (found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("node"))
+             .agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    groups = nodes.where("component_id <> node").select("component_id").distinct()
+    members = nodes.join(groups, "component_id").join(d.select("node", doc_id).distinct(), "node")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, "node"))["node"].alias("first"))
+    drop = members.join(first, "component_id").where("node <> first").select("node")
+    copies = nodes.where("n > 1").select("node")
+    stay = d.join(drop, "node", "left_anti")
+    again = stay.join(copies, "node", "left_semi").dropDuplicates(["node"])
+    kept = stay.join(copies, "node", "left_anti").unionByName(again)
+    return kept.select(*own.values()).toDF(*names)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that repeat in 200-byte strings go from the texts."""
+    """Bytes that repeat in 200-byte strings go from the texts; null and shorter texts stay, other columns too."""
     return remove_repeats(docs)
 
 
@@ -56,6 +60,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048 at most: a row per piece; a null or empty text is one piece, the end id alone."""
     return pack(docs)
 
 
