@@ -37,6 +37,7 @@ from .near_sets import _complete
 MIN_COUNT, TOP, LONGEST, INSIDE = 30, 2000, 4, 80
 SLICE = 4 << 20
 BURST, LIMIT = 20_000, 500_000  # entries of a container, of a task's tries
+MERGE = 200_000                 # entries of runs that are merged at a time
 BITS = 26                       # log2 of the bits of a filter (8 MB, whatever the input)
 
 BREAK = np.zeros(256, bool)
@@ -228,18 +229,27 @@ def _count_phrases(bits, base: int, lengths: tuple[int, ...], buckets: int):
     return run
 
 
+def _ranges(runs: list[tuple[np.ndarray, np.ndarray]]):
+    """Sorted runs side by side, by ranges of the first word of ``MERGE`` entries or so."""
+    n = -(-sum(len(c) for _, c in runs) // MERGE)
+    edges = [np.uint64((i << 64) // n) for i in range(n)]
+    at = [[*np.searchsorted(w[:, 0], edges).tolist(), len(c)] for w, c in runs]
+    for i in range(n):
+        yield tuple(np.concatenate([r[p][at[j][i]:at[j][i + 1]] for j, r in enumerate(runs)]) for p in (0, 1))
+
+
 def _merged(min_count: int):
     """Runs of a prefix partition -> the phrases with ``min_count`` occurrences or more."""
     def run(batches):
         for table in _complete(batches, ["bucket"]):
             parts: dict[tuple[str, int], list] = {}
             for lang, k, w, n in zip(*(table[c].combine_chunks().flatten().to_pylist() for c in ("lang", "k", "words", "counts"))):
-                parts.setdefault((lang, k), []).append((w, n))
-            for (lang, k), runs in parts.items():
-                words, counts = (b"".join(x) for x in zip(*runs))
-                words, counts = np.frombuffer(words, np.uint64).reshape(-1, k), np.frombuffer(counts, np.int64)
+                parts.setdefault((lang, k), []).append((np.frombuffer(w, np.uint64).reshape(-1, k), np.frombuffer(n, np.int64)))
+            for lang, k, words, counts in ((*of, *r) for of, runs in parts.items() for r in _ranges(runs)):
                 order = np.lexsort(words.T[::-1])
                 words, counts = words[order], counts[order]
+                if len(words) == 0:
+                    continue
                 starts = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
                 f = np.add.reduceat(counts, starts)
                 words, f = words[starts[f >= min_count]], f[f >= min_count]

@@ -94,6 +94,7 @@ def test_small_limits_give_the_same(spark, monkeypatch):
     import pyarrow as pa
     monkeypatch.setattr(co, "LIMIT", 10)
     monkeypatch.setattr(co, "BURST", 5)
+    monkeypatch.setattr(co, "MERGE", 7)
 
     class Full:
         value = np.full((1 << co.BITS) // 8, 255, np.uint8)
