@@ -38,7 +38,7 @@ from .near_sets import _complete
 
 LENGTH, GRAM, STEP = 200, 64, 8
 HOT_CONTEXTS = 16_384
-MEMBERS = 1000  # places of a context in one list, about
+MEMBERS, SHORT = 1000, 64  # places of a context in one list, about; in the parts of a list that are dealt apart
 BATCH_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -256,7 +256,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = lambda c: c.select("_id", "text_key", "first", F.explode("parts").alias("p"))
     plain = cut(seen.where("NOT mixed").withColumn("parts", whole))
     listed = members.select("anchor", "context", "part", "places").join(found, ["anchor", "context"])
-    listed = listed.repartition("anchor", "context", "part").select(F.explode("places").alias("x"), "full", "from", "to")  # a context's lists apart
+    short = F.transform(F.sequence(F.lit(0), F.floor((F.size("places") - 1) / SHORT).cast("int")), lambda i: F.slice("places", i * SHORT + 1, SHORT))
+    listed = listed.select("anchor", "context", "part", F.posexplode(short).alias("at", "some"), "full", "from", "to")
+    listed = listed.repartition("anchor", "context", "part", "at").select(F.explode("some").alias("x"), "full", "from", "to")  # a context's lists apart
     mixed = cut(listed.select("x.*", "full", "from", "to").withColumn("parts", F.when(F.col("full"), whole).otherwise(F.arrays_zip("from", "to"))))
     spans = (plain.unionByName(mixed).groupBy("_id", "text_key")
              .agg(F.collect_set(F.struct((F.col("first") + F.col("p.from")).alias("lo"), (F.col("first") + F.col("p.to")).alias("hi"))).alias("spans")))
