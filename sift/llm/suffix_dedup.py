@@ -40,7 +40,7 @@ LENGTH, GRAM, STEP = 200, 64, 8
 HOT_CONTEXTS = 16_384
 MEMBERS, SHORT = 1000, 64  # places of a context in one list, about; in the parts of a list that are dealt apart
 BATCH_BYTES = 1 << 20
-_PLACE = np.uint64((1 << 28) - 1)
+_PLACE = np.uint64((1 << 32) - 1)  # places in a text of any size that a column holds
 
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -147,18 +147,26 @@ def repeated_starts(text: np.ndarray, valid: np.ndarray, length: int) -> np.ndar
         after[:n - size] = rank[size:] + 1
         order, rank = _ranks(rank * (n + 1) + after)
         size *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    # the row that the suffix without its first symbol has: the transform's backward step read in reverse
-    leads = place[np.minimum(order + STEP, n - 1)]
+    # the transform: the symbol before each row's suffix; before the first bytes stands a symbol of its own
+    before = np.full(n, int(first.max()) + 1, np.int64)
+    inner = order >= STEP
+    before[inner] = first[order[inner] - STEP]
+    occurs = np.argsort(before, kind="stable")  # rows by symbol: a symbol's k-th occurrence extends to the k-th row of its block
+    count = np.bincount(before, minlength=int(first.max()) + 2)
+    block = np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(count)))])[:-1]
+    skip = np.bincount(first, minlength=len(count)) - count  # suffixes without a byte after their symbol come first in its block
+    extended = np.arange(n) - np.repeat(np.cumsum(count) - count, count) + np.repeat(block + np.maximum(skip, 0), count)
+    extended, occurs = extended[:n - int(count[-1])], occurs[:n - int(count[-1])]
+    leads = np.full(n, -1, np.int64)  # the row whose backward extension a row is
+    leads[extended] = occurs
     boundary = np.ones(n, bool)
     f = first[order]
     boundary[1:] = f[1:] != f[:-1]
     active = np.flatnonzero(~boundary)
-    lo, hi = np.minimum(leads[active - 1], leads[active]), np.maximum(leads[active - 1], leads[active])
+    lo, hi = leads[active - 1], leads[active]
     for _ in range(steps - 1):  # common prefixes of 8, 16, ... bytes
         below = np.cumsum(boundary)
-        ends = below[hi] != below[lo]
+        ends = (lo < 0) | (hi < 0) | (below[hi] != below[lo])
         if not ends.any():
             continue
         boundary[active[ends]] = True

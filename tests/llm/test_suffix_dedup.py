@@ -46,6 +46,21 @@ def test_interval_expansion_equals_brute_force():
         assert (sd.repeated_starts(t, valid, 32) == want).all()
 
 
+def test_backward_extension_up_to_the_last_byte():
+    """Small alphabets with zero bytes, depths of 2 to 5 symbols, and a repeat that ends the text."""
+    rng = np.random.default_rng(1)
+    for k in range(200):
+        length, n = (16, 24, 32, 40)[k % 4], int(rng.integers(100, 600))
+        t = rng.integers(0, 1 + k % 3, n).astype(np.uint8)
+        t[n - 45:] = t[:45]
+        valid = rng.random(n) < 0.95
+        valid[n - length + 1:] = False
+        valid[n - length] = True
+        seen = Counter(t[i:i + length].tobytes() for i in np.flatnonzero(valid))
+        want = np.array([valid[i] and seen[t[i:i + length].tobytes()] > 1 for i in range(n)])
+        assert (sd.repeated_starts(t, valid, length) == want).all(), (n, length)
+
+
 def test_text_stage(docs, rows, no_docs):
     out = sd.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
