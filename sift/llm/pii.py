@@ -3,9 +3,13 @@
 Nodes are the base matches of a document (clamped to their kind) and loose
 candidates: number chains and address-like tokens that no base rule accepts.
 Unary potentials are log-odds of a node's form, counted over the whole corpus
-with the base matches as labels.  Neighbouring nodes share weak chain
-potentials; nodes with the same normalised form (or the same last digits or
-mailbox), however distant, share strong skip potentials.  Loopy sum-product
+with the base matches as labels.  Neighbouring nodes share chain potentials;
+nodes with the same normalised form (or the same last digits or mailbox), however
+distant, share skip potentials.  Their strengths are fitted to the corpus: the
+maximum of the pairwise likelihood, given how often the ends of such edges agree
+and how often they would by chance, with ``PRIOR_EDGES`` edges of prior strength.
+Skip edges are counted between base matches only, since the label of a candidate
+that repeats one is what is looked for.  Loopy sum-product
 message passing runs over each document; a candidate whose most likely label is
 an entity becomes a span.  Base spans always stay.
 
@@ -17,6 +21,7 @@ table gives an empty result; extra columns are ignored, or kept by ``mask``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -28,7 +33,9 @@ from .flow import prepare
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
-CHAIN, SAME, SIMILAR, UNARY_MOST, ROUNDS, DAMP = 0.2, 6.0, 3.0, 3.0, 30, 0.5
+CHAIN, SIMILAR, SAME = range(3)  # kinds of edges
+PRIOR, PRIOR_EDGES, STRENGTH_MOST = np.array([0.2, 3.0, 6.0]), 100.0, 8.0
+UNARY_MOST, ROUNDS, DAMP = 3.0, 30, 0.5
 
 _ANY = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -107,35 +114,69 @@ N_FORMS = 45
 
 
 def _counts(batches):
-    """Label counts of every feature, summed over each batch: (feature, label, n); feature -1 counts nodes."""
+    """Summed over each batch: (feature, label, n) with feature -1 for nodes, and (-2 - kind of edge, 1 if its ends agree, n)."""
     for batch in batches:
         n = np.zeros((N_FORMS + 1, len(LABELS)), np.int64)
+        pairs = np.zeros((len(PRIOR), 2), np.int64)
         for t in batch.column(0).to_pylist():
             if t:
-                base = base_spans(t)
-                for kind, s, e in base:
-                    n[[-1, *form(t[s:e])], LABELS.index(kind)] += 1
-                for s, e in loose_spans(t, base):
-                    n[[-1, *form(t[s:e])], 0] += 1
+                nodes = _nodes(t, (base := base_spans(t)), loose_spans(t, base))
+                for label, s, e in nodes:
+                    n[[-1, *form(t[s:e])], label] += 1
+                for (i, j), kind in (_edges(t, nodes) if len(nodes) > 1 else {}).items():
+                    if kind == CHAIN or (nodes[i][0] and nodes[j][0]):
+                        pairs[kind, int(nodes[i][0] == nodes[j][0])] += 1
         f, y = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(y), pa.array(n[f, y])], ["feature", "label", "n"])
+        k, z = np.nonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.where(f == N_FORMS, -1, f), -2 - k])), pa.array(np.concatenate([y, z])),
+                                          pa.array(np.concatenate([n[f, y], pairs[k, z]]))], ["feature", "label", "n"])
+
+
+def fit_strengths(pairs: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Strength of each kind of edge from its (differing, agreeing) ends and the nodes of every label.
+
+    Ends agree with probability S e^w / (S e^w + 1 - S), S the chance that two
+    independent nodes agree, so the likelihood is largest where the log-odds of
+    agreeing exceed those of S by w.  The prior adds edges that agree as ``PRIOR`` has it.
+    """
+    out = np.empty(len(PRIOR))
+    for kind, (differ, agree) in enumerate(pairs):
+        share = nodes if kind == CHAIN else nodes[1:]
+        chance = float(np.clip(((share / share.sum()) ** 2).sum(), 1e-6, 1 - 1e-6))
+        chance_odds = math.log(chance / (1 - chance))
+        prior = 1 / (1 + math.exp(-(chance_odds + PRIOR[kind])))
+        odds = math.log((agree + PRIOR_EDGES * prior) / (differ + PRIOR_EDGES * (1 - prior)))
+        out[kind] = min(max(odds - chance_odds, 0.0), STRENGTH_MOST)
+    return out
+
+
+Weights = tuple[np.ndarray, np.ndarray]
 
 
-def learn_unary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-odds against ``none`` of every (feature, label), and of the labels in the last row; a table of fixed size."""
+def learn(docs: DataFrame, text_col: str = "text") -> Weights:
+    """Tables of fixed size: log-odds against ``none`` of every (feature, label), of the labels in the last row; strengths of the edges."""
     rows = docs.select(F.col(text_col).cast("string")).mapInArrow(_counts, "feature long, label long, n long").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
     n = np.full((N_FORMS + 1, len(LABELS)), 0.5)
+    pairs = np.zeros((len(PRIOR), 2))
     for r in rows:
-        n[r["feature"], r["label"]] += r["n"]
+        if r["feature"] >= -1:
+            n[r["feature"], r["label"]] += r["n"]
+        else:
+            pairs[-2 - r["feature"], r["label"]] += r["n"]
     share = n / n[-1]
     out = np.log(share / share[:, :1])
     out[-1] = np.log(n[-1] / n[-1, 0])
-    return out
+    return out, fit_strengths(pairs, n[-1])
+
+
+def _nodes(text: str, base: list[tuple[str, int, int]], loose: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(label, start, end) of the base matches and of the candidates (label 0), in order."""
+    return sorted([(LABELS.index(k), s, e) for k, s, e in base] + [(0, s, e) for s, e in loose], key=lambda x: (x[1], x[0]))
 
 
-def _edges(text: str, nodes: list[tuple[int, int, int]]) -> dict[tuple[int, int], float]:
-    """Chain and skip edges with their strengths; equal forms are chained in order, so a document has O(nodes) edges."""
-    edges: dict[tuple[int, int], float] = {}
+def _edges(text: str, nodes: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
+    """Chain and skip edges with their kinds; equal forms are chained in order, so a document has O(nodes) edges."""
+    edges: dict[tuple[int, int], int] = {}
     same, like = defaultdict(list), defaultdict(list)
     for k, (_, s, e) in enumerate(nodes):
         w = text[s:e]
@@ -149,11 +190,11 @@ def _edges(text: str, nodes: list[tuple[int, int, int]]) -> dict[tuple[int, int]
             like[d[-7:]].append(k)
         if k and s - nodes[k - 1][2] <= 100:
             edges[(k - 1, k)] = CHAIN
-    for groups, weight in ((like, SIMILAR), (same, SAME)):
+    for groups, kind in ((like, SIMILAR), (same, SAME)):
         for g in groups.values():
             anchor = next((k for k in g if nodes[k][0]), g[0])
             for a, b in [*zip(g, g[1:]), *((min(anchor, k), max(anchor, k)) for k in g if k != anchor)]:
-                edges[(a, b)] = max(weight, edges.get((a, b), 0.0))
+                edges[(a, b)] = max(kind, edges.get((a, b), CHAIN))
     return edges
 
 
@@ -186,22 +227,23 @@ def propagate(unary: np.ndarray, pairs: np.ndarray, strength: np.ndarray) -> np.
     return p / p.sum(axis=1, keepdims=True)
 
 
-def find_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def find_spans(text: str, weights: Weights) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of one text."""
     base = base_spans(text)
     loose = loose_spans(text, base)
     if not loose:
         return base, base
-    nodes = sorted([(LABELS.index(k), s, e) for k, s, e in base] + [(0, s, e) for s, e in loose], key=lambda x: (x[1], x[0]))
+    forms, strengths = weights
+    nodes = _nodes(text, base, loose)
     unary = np.empty((len(nodes), len(LABELS)))
     for r, (label, s, e) in enumerate(nodes):
-        unary[r] = np.clip(weights[form(text[s:e])].sum(axis=0) + weights[-1], -UNARY_MOST, UNARY_MOST)
+        unary[r] = np.clip(forms[form(text[s:e])].sum(axis=0) + forms[-1], -UNARY_MOST, UNARY_MOST)
         unary[r, 0] = 0.0
         if label:
             unary[r] = -50.0
             unary[r, label] = 0.0
     edges = _edges(text, nodes)
-    p = propagate(unary, np.array(list(edges), np.int64).reshape(-1, 2), np.array(list(edges.values())))
+    p = propagate(unary, np.array(list(edges), np.int64).reshape(-1, 2), strengths[np.array(list(edges.values()), np.int64)])
     best = p.argmax(axis=1)
     added = [(LABELS[best[r]], s, e) for r, (label, s, e) in enumerate(nodes) if label == 0 and best[r] and p[r, best[r]] > 0.5]
     return base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -211,7 +253,7 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _report(weights: np.ndarray):
+def _report(weights: Weights):
     def run(batches):
         for batch in batches:
             rows = []
@@ -231,7 +273,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_report(learn_unary(src)), f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long")
+    return src.mapInArrow(_report(learn(src)), f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -244,7 +286,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _masker(weights: np.ndarray, at: int):
+def _masker(weights: Weights, at: int):
     def run(batches):
         for batch in batches:
             new = [None if t is None else masked(t, find_spans(t, weights)[1]) for t in batch.column(at).to_pylist()]
@@ -258,5 +300,5 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
     own = docs.select(*[(F.col(c).cast("string") if c == text_col else F.col(c)).alias(f"_c{k}") for k, c in enumerate(docs.columns)])
-    out = own.mapInArrow(_masker(learn_unary(docs, text_col), at), T.StructType(own.schema.fields))
+    out = own.mapInArrow(_masker(learn(docs, text_col), at), T.StructType(own.schema.fields))
     return out.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])

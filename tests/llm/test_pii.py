@@ -41,6 +41,30 @@ def test_message_passing_equals_enumeration_on_a_tree():
     assert np.allclose(pii.propagate(unary, pairs, strength), p / p.sum(axis=1, keepdims=True), atol=1e-3)
 
 
+def test_strengths_maximise_the_pairwise_likelihood():
+    nodes = np.array([50.0, 20, 5, 5, 20])
+    pairs = np.array([[400.0, 600], [10, 300], [2, 900]])
+    got = pii.fit_strengths(pairs, nodes)
+    for kind, (differ, agree) in enumerate(pairs):
+        share = nodes if kind == pii.CHAIN else nodes[1:]
+        s = ((share / share.sum()) ** 2).sum()
+        p = lambda w: s * np.exp(w) / (s * np.exp(w) + 1 - s)
+        w = np.linspace(0, pii.STRENGTH_MOST, 8001)
+        prior = pii.PRIOR_EDGES * p(pii.PRIOR[kind])
+        like = (agree + prior) * np.log(p(w)) + (differ + pii.PRIOR_EDGES - prior) * np.log(1 - p(w))
+        assert abs(got[kind] - w[like.argmax()]) < 2e-3
+    assert np.allclose(pii.fit_strengths(np.zeros((3, 2)), nodes), pii.PRIOR)  # nothing seen: the prior
+    assert pii.fit_strengths(np.array([[1e6, 1.0]] * 3), nodes).max() == 0.0  # never a reward for differing ends
+
+
+def test_skip_edges_are_counted_between_base_matches_only():
+    import pyarrow as pa
+    t = "call +1 (988) 555-2485 or 1-988-555-2485, again +1 (988) 555-2485"
+    rows = next(pii._counts([pa.RecordBatch.from_arrays([pa.array([t, None, ""])], ["text"])])).to_pylist()
+    pairs = {(-2 - r["feature"], r["label"]): r["n"] for r in rows if r["feature"] < -1}
+    assert pairs == {(pii.SAME, 1): 1}
+
+
 def test_report_and_mask(docs, rows, no_docs):
     got = {}
     for r in pii.report(docs).collect():

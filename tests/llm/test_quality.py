@@ -65,6 +65,56 @@ def test_classifier_accuracy_on_held_out_labels(spark):
     assert right >= 0.9 * len(got)
 
 
+def _plain_strength(groups):
+    """Beta strength by moments of (rows, rate, rate above) groups."""
+    n = sum(g[0] for g in groups)
+    if not n or len(groups) < 2:
+        return 1e6
+    spread = sum(c * a * (1 - a) for c, _, a in groups) / n
+    room = n - sum(c * c for c, _, _ in groups) / n
+    tau = (sum(c * (r - a) ** 2 for c, r, a in groups) - (len(groups) - 1) * spread) / room if room > 0 else 0.0
+    return min(1e6, max(1.0, spread / tau - 1)) if tau > 0 else 1e6
+
+
+def _check_posteriors(got):
+    """Shrinkage and posterior of every row again, row by row, from the documents' own evidence."""
+    clip = lambda x: min(1 - 1e-6, max(1e-6, x))
+    mu = clip(sum(r.p_document for r in got) / len(got))
+    hosts, paths = {}, {}
+    for r in got:
+        for table, key in ((hosts, r.host), (paths, (r.host, r.path))):
+            table.setdefault(key, []).append(r.p_document)
+    rate = lambda v: sum(v) / len(v)
+    k_host = _plain_strength([(len(v), rate(v), mu) for v in hosts.values()])
+    k_path = _plain_strength([(len(v), rate(v), rate(hosts[k[0]])) for k, v in paths.items()])
+    for r in got:
+        h, s, p = hosts[r.host], paths[(r.host, r.path)], r.p_document
+        p_host = clip((sum(h) - p + k_host * mu) / (len(h) - 1 + k_host))
+        p_path = clip((sum(s) - p + k_path * p_host) / (len(s) - 1 + k_path))
+        odds = math.log(p / (1 - p)) + math.log(p_path / (1 - p_path)) - math.log(mu / (1 - mu))
+        assert (r.p_host, r.p_path) == (pytest.approx(p_host, rel=1e-6), pytest.approx(p_path, rel=1e-6))
+        assert r.p_good == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6, abs=1e-9)
+        assert r.kept == (odds >= 0) or abs(odds) < 1e-6
+    return k_host, k_path
+
+
+def test_posteriors_equal_brute_force(spark, docs, rows, labels):
+    got = classify_quality(docs, labels, ["doc_id"]).collect()
+    assert len(got) == len(rows)
+    _check_posteriors(got)
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(("river", "stone", "garden", "window", "letter")) + str(rng.randint(0, 99)) for _ in range(40)) + "."
+    bad = lambda: "$ # " * rng.randint(5, 20) + "buy " * rng.randint(5, 30)
+    share = {("a", "x"): 0.95, ("a", "y"): 0.5, ("b", "x"): 0.1, ("b", None): 0.4, (None, "x"): 0.9}
+    table = [(i, good() if (is_good := rng.random() < share[site]) else bad(), *site, int(is_good))
+             for i, site in enumerate(rng.choices(list(share), (30, 20, 40, 8, 2), k=600))]
+    d = spark.createDataFrame([r[:4] for r in table], "doc_id long, text string, source string, lang string").repartition(4)
+    lab = spark.createDataFrame([(r[0], r[4], 0) for r in table if r[0] % 3 == 0], "doc_id long, quality int, toxic int")
+    got = classify_quality(d, lab, ["doc_id"]).collect()
+    k_host, k_path = _check_posteriors(got)
+    assert k_host < 1e6 and k_path < 1e6  # sites differ, so strengths are estimated
+
+
 def test_sparse_sites_shrink_to_the_level_above(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = classify_quality(d, spark.read.parquet(f"{SF}/labels.parquet"), ["doc_id", "source"])
