@@ -44,3 +44,13 @@ def test_clarity_counts_trailing_piece(spark):
     df = spark.createDataFrame([("one two three.", )], "a string")
     # pieces: "one two three", "" -> 3 words / 2 pieces = 1.5 -> no boost
     assert df.select(A.answer_clarity("a")).first()[0] == 0.5
+
+
+def test_lines_are_lowered_once(spark):
+    from sift.operators.answers import filter_lines
+    skip = ["source:", "file:", "context:"]
+    df = spark.createDataFrame([("Keep this\n  SOURCE: x\nabc\n\nFile: y\nlast one  ",), (None,)], "t string")
+    one = filter_lines("t", skip)
+    assert [r[0] for r in df.select(one).collect()] == [["Keep this", "last one"], None]
+    plan = df.select(one.alias("lines"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(") == 1
