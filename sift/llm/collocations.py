@@ -35,9 +35,9 @@ from .flow import Stage, null_safe
 from .near_sets import _complete
 
 MIN_COUNT, TOP, LONGEST, INSIDE = 30, 2000, 4, 80
-SLICE = 4 << 20
-BURST, LIMIT = 20_000, 500_000  # entries of a container, of a task's tries
-MERGE = 200_000                 # entries of runs that are merged at a time
+SLICE = 2 << 20
+BURST, LIMIT = 20_000, 300_000  # entries of a container, of a task's tries
+MERGE = 100_000                 # entries of runs that are merged at a time
 BITS = 26                       # log2 of the bits of a filter (8 MB, whatever the input)
 
 BREAK = np.zeros(256, bool)
