@@ -88,3 +88,32 @@ def test_mmr_fetches_vectors_after_the_search(spark, monkeypatch):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.5, 0.9])], "chunk_id long, embedding array<double>")
     got = [(r["pick"], r.chunk_id) for r in R.mmr(q, c, k=5, fetch_k=5, lam=1.0, metric="cosine").orderBy("pick").collect()]
     assert asked == [False] and got == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 1)]
+
+
+def test_few_other_rows_pass_the_filter_of_hit_ids(spark):
+    """All rows of the hits' ids pass, repeated ones too; of the others hardly one."""
+    ids = spark.range(0, 3000, 3).select(F.format_string("%020d", "id").alias("chunk_id"))
+    rows = spark.range(6000).select(F.format_string("%020d", F.col("id") % 3000).alias("chunk_id"), F.col("id").alias("n"))
+    got = {r.n for r in R.likely_hits(rows.union(spark.createDataFrame([(None, -1)], "chunk_id string, n long")), ids).collect()}
+    want = {n for n in range(6000) if n % 3000 % 3 == 0}
+    assert want <= got and len(got - want) < 20
+    assert R.likely_hits(rows, ids.where("false")).count() == 0
+
+
+def test_later_rows_replace_hits_of_some_queries_only():
+    """Queries without new rows keep theirs; a bound follows its query's own k-th row."""
+    import pyarrow as pa
+    as_list = lambda m: pa.array(list(m), pa.list_(pa.float64()))
+    v, q = np.random.default_rng(5).normal(size=(7000, 6)), np.random.default_rng(6).normal(size=(515, 6))
+    top = R._TopK(3, "l2", False)
+    top.add_queries(pa.array(range(len(q))), [as_list(q)])
+    for lo in range(0, len(v), 500):
+        top.add_corpus(np.arange(lo, lo + 500), [as_list(v[lo:lo + 500])])
+        assert (top.bound == [top.best[1][top.best[0] == j][2] for j in range(len(q))]).all()
+    assert [list(top.best[2][top.best[0] == j]) for j in range(len(q))] == brute(v, np.arange(len(v)), q, 3, "l2")
+
+
+def test_places_of_flags():
+    for shape in ((3, 5), (40, 256), (1, 1), (0, 4)):
+        flags = np.random.default_rng(7).random(shape) < 0.05
+        assert (R._where(flags) == np.flatnonzero(flags)).all()
