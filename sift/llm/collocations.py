@@ -8,7 +8,8 @@ never more frequent than a part of it, so no candidate is lost).  "Frequent"
 is read from a bit filter of fixed size; a false positive costs only work.
 
 1. A task counts its phrases in a trie with word ids as edges.  Its leaves are
-   hash containers; one that grows over ``BURST`` entries becomes a trie node.
+   hash containers for a range of words, filled a slice at a time; one that grows over
+   ``BURST`` entries is cut into narrower ranges, at last into a trie node of one word.
    Over ``LIMIT`` entries the largest subtrees leave the task as sorted runs.
 2. A run is cut by prefix: all of a phrase but its last word, and the leading
    bits of that word's id, so that not even the phrases that begin with one
@@ -25,6 +26,8 @@ candidates gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import operator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ from .near_sets import _complete
 MIN_COUNT, TOP, LONGEST, INSIDE = 30, 2000, 4, 80
 SLICE = 2 << 20
 BURST, LIMIT = 20_000, 300_000  # entries of a container, of a task's tries
+FAN = 8                         # narrower containers made of one
 MERGE = 100_000                 # entries of runs that are merged at a time
 BITS = 26                       # log2 of the bits of a filter (8 MB, whatever the input)
 
@@ -57,32 +61,62 @@ def _fold(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class HatTrie:
-    """Counts of phrases of ``k`` word ids: by first word a hash container {rest: count}, once burst a trie of the rest."""
+    """Counts of phrases of ``k`` word ids: by ranges of first words hash containers {phrase: count}.
+
+    A container with over ``BURST`` entries is cut into ``FAN`` narrower ranges
+    or so; one of a single first word becomes a trie of the rest.
+    """
 
     def __init__(self, k: int):
-        self.k, self.child, self.size = k, {}, 0
+        self.k, self.size = k, 0
+        self.start, self.child = [0], {0: {}}  # child[w]: phrases whose first word is w or more, but less than the next start
 
     def __len__(self) -> int:
         return self.size
 
+    def _range(self, i: int) -> int:
+        return (self.start[i + 1] if i + 1 < len(self.start) else 1 << 64) - self.start[i]
+
     def add(self, words: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(words[:, 0], kind="stable")
-        words, counts = words[order], counts[order]
-        first, rest = words[:, 0], np.ascontiguousarray(words[:, 1:])
-        starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        keys, numbers = rest.view(f"V{8 * (self.k - 1)}").ravel().tolist(), counts.tolist()
-        for a, b, w in zip(starts.tolist(), [*starts[1:].tolist(), len(first)], first[starts].tolist()):
-            node = self.child.setdefault(w, {})
+        order = np.argsort(words[:, 0])
+        words, counts = np.ascontiguousarray(words[order]), counts[order]
+        at = [*np.searchsorted(words[:, 0], np.array(self.start, np.uint64)).tolist(), len(counts)]
+        keys, numbers = words.view(f"V{8 * self.k}").ravel().tolist(), counts.tolist()
+        for i in range(len(self.start) - 1, -1, -1):  # cutting a container moves later ones only
+            a, b, node = at[i], at[i + 1], self.child[self.start[i]]
+            if a == b:
+                continue
             before = len(node)
             if isinstance(node, HatTrie):
-                node.add(rest[a:b], counts[a:b])
+                node.add(words[a:b, 1:], counts[a:b])
             else:
-                for key, n in zip(keys[a:b], numbers[a:b]):
-                    node[key] = node.get(key, 0) + n
-                if len(node) > BURST and self.k > 2:
-                    self.child[w] = HatTrie(self.k - 1)
-                    self.child[w].add(*self._entries(node, self.k - 1))
+                node.update(zip(keys[a:b], map(operator.add, map(node.get, keys[a:b], repeat(0)), numbers[a:b])))
             self.size += len(node) - before
+            if isinstance(node, dict) and len(node) > BURST:
+                self._burst(i)
+
+    def _burst(self, i: int) -> None:
+        lo = self.start[i]
+        if self._range(i) == 1 and self.k == 2:
+            return
+        words, counts = self._entries(self.child[lo], self.k)
+        if self._range(i) == 1:
+            self.child[lo] = HatTrie(self.k - 1)
+            self.child[lo].add(words[:, 1:], counts)
+            return
+        order = np.argsort(words[:, 0])
+        words, counts = words[order], counts[order]
+        first, n = np.unique(words[:, 0], return_counts=True)
+        own = first[n > len(counts) // FAN].tolist()  # words with a range of their own
+        cuts = {lo, *words[len(counts) * np.arange(1, FAN) // FAN, 0].tolist(), *own, *(w + 1 for w in own)} - {lo + self._range(i)}
+        start = sorted(cuts)
+        at = [*np.searchsorted(words[:, 0], np.array(start, np.uint64)).tolist(), len(counts)]
+        keys, numbers = words.view(f"V{8 * self.k}").ravel().tolist(), counts.tolist()
+        self.start[i:i + 1] = start
+        self.child.update((w, dict(zip(keys[a:b], numbers[a:b]))) for w, a, b in zip(start, at, at[1:]))
+        for j in range(i + len(start) - 1, i - 1, -1):
+            if len(self.child[self.start[j]]) > BURST:
+                self._burst(j)
 
     @staticmethod
     def _entries(container: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +128,12 @@ class HatTrie:
         words, counts = [np.zeros((0, self.k), np.uint64)], [np.zeros(0, np.int64)]
         for w in self.child if children is None else children:
             node = self.child[w]
-            rest, n = node.entries() if isinstance(node, HatTrie) else self._entries(node, self.k - 1)
-            words.append(np.concatenate([np.full((len(rest), 1), w, np.uint64), rest], axis=1))
+            if isinstance(node, HatTrie):
+                rest, n = node.entries()
+                own = np.concatenate([np.full((len(rest), 1), w, np.uint64), rest], axis=1)
+            else:
+                own, n = self._entries(node, self.k)
+            words.append(own)
             counts.append(n)
         return np.concatenate(words), np.concatenate(counts)
 
@@ -109,7 +147,7 @@ class HatTrie:
             left -= n
         found = self.entries(out)
         for w in out:
-            del self.child[w]
+            self.child[w] = {}
         self.size = left
         return found
 
@@ -191,7 +229,7 @@ def _cut(lang: str, k: int, words: np.ndarray, counts: np.ndarray, buckets: int)
 
 def _runs(cuts):
     """One row per prefix partition with its cuts of all runs that leave the task at a time."""
-    cuts = sorted(cuts)
+    cuts = sorted(cuts, key=lambda c: c[0])
     starts = [i for i in range(len(cuts)) if i == 0 or cuts[i][0] != cuts[i - 1][0]]
     at = np.array([*starts, len(cuts)])
     columns = list(zip(*cuts))

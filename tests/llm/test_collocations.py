@@ -87,6 +87,20 @@ def test_trie_bursts_and_spills(monkeypatch):
         assert got == want and len(trie) == 0
 
 
+def test_rare_first_words_share_a_container():
+    """A container holds a range of first words: as many first words as entries make few containers, frequent ones their own."""
+    rng = np.random.default_rng(2)
+    trie = co.HatTrie(2)
+    rare = rng.integers(0, 2**63, (50_000, 2)).astype(np.uint64)
+    often = np.stack([np.full(50_000, 2**64 - 1, np.uint64), np.arange(50_000, dtype=np.uint64)], axis=1)
+    for words in (rare, often, often):
+        trie.add(words, np.full(len(words), 2))
+    assert len(trie) == 100_000 and len(trie.child) < 100 and len(trie.child[2**64 - 1]) == 50_000
+    words, n = trie.spill(0)
+    want = Counter({**{tuple(w): 2 for w in rare.tolist()}, **{tuple(w): 4 for w in often.tolist()}})
+    assert dict(zip(map(tuple, words.tolist()), n.tolist())) == want and len(trie) == 0
+
+
 def test_small_limits_give_the_same(spark, monkeypatch):
     """Spills after every slice, and a filter so small that it lets most phrases through."""
     rows = phrase_rows()
