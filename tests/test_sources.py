@@ -80,3 +80,22 @@ def test_read_corpus_detects(spark, tmpdir_fresh):
     got = A.read_corpus(spark, tmpdir_fresh).collect()
     assert len(got) == 5 and all(r.text == TEXTS["fr"] * 2 for r in got)
     assert {os.path.basename(r.source): r.encoding for r in got}["0.txt"] == "utf-8"
+
+
+def test_inventory_counts_files_written_in_parts(spark, tmpdir_fresh, monkeypatch):
+    """The four files of ``a2_file_inventory`` are written by all tasks, not one task each."""
+    from sift.plans import QUERIES, q_corpus
+    rows = [(i, "line " * (i % 7)) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmpdir_fresh}/documents.parquet")
+    written = []
+
+    def listed(spark, path, result):
+        root = path.removeprefix("file:")
+        written.extend(os.path.join(d, f) for d, _, files in os.walk(root) for f in files if f.endswith(".txt"))
+        assert [tuple(r) for r in A.file_inventory(spark, path).collect()] == [("txt", len(written), sum(map(os.path.getsize, written)))]
+        return result
+
+    monkeypatch.setattr(q_corpus, "drop_path", listed)
+    got = [tuple(r) for r in QUERIES["a2_file_inventory"](spark, tmpdir_fresh).collect()]
+    assert got == [("txt", 4, sum(len(t) + 1 for _, t in rows))]
+    assert len(written) >= 16 and max(map(os.path.getsize, written)) * 8 < got[0][2]
