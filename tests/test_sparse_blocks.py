@@ -111,3 +111,27 @@ def test_summaries_count_codes_and_forget_words():
     row, code, tf, names, length = lx._terms(batches[0].column(0), stop, True, lx._words_of(["red shoe"]))
     assert set(names) == {"red", "shoe", "blue", "red shoe", "shoe red"} | {f"{c}{i}" for c in "xy" for i in range(17)}
     assert {names[c] for c in code.tolist()} == {"red", "shoe", "red shoe", "shoe red"} and length[:4].tolist() == [7, 0, 3, 3]
+
+
+def test_stored_postings_are_scored_by_chunk(spark):
+    """Postings in any order, repeated and without id: the sums of a join on term; neighbours leave the scan as one row."""
+    rows = [(f"c{i % 50:02d}", f"t{(i * 7 + i // 50) % 40}", 1.0 + i % 3) for i in range(400)] + [(None, "t1", 2.0), (None, "t1", 1.0), ("c00", None, 1.0)]
+    post = spark.createDataFrame(rows, "chunk_id string, term string, weight double")
+    qw = spark.createDataFrame([(q, f"t{(q or 0) * 3 + j}", 1.0 + j) for q in (0, 1, 2, None) for j in range(6)] + [(1, "t4", 5.0), (1, None, 1.0)], "qid long, term string, qweight double")
+    want = {(r.qid, r.chunk_id): r.s for r in post.join(qw, "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("qweight") * F.col("weight")).alias("s")).collect()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for parts in (post.coalesce(1), post.repartition(3)):
+            for block, some in ((4000, 10 ** 6), (1, 3)):
+                lx.SPARSE_BLOCK, keep = block, lx.SPARSE_BLOCK
+                got = {(r.qid, r.chunk_id): (r.score, r["rank"]) for r in lx.lexical_search(qw, parts, some).collect()}
+                lx.SPARSE_BLOCK = keep
+                assert all(s == want[x] for x, (s, _) in got.items()) and (some == 3 or got.keys() == want.keys())
+                for q in (0, 1, 2, None):
+                    best = sorted(((-s, c is not None, c or "") for (a, c), s in want.items() if a == q))[:3]
+                    assert [c or None for _, _, c in best] == [c for (a, c), (_, r) in sorted(got.items(), key=lambda x: x[1][1]) if a == q and r <= 3]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    lists = lx._runs(post.orderBy("chunk_id").coalesce(1), lx.term_filter(spark.sql("SELECT array('t1', 't2', 't3', 't4', 't5') AS terms")), "chunk_id")
+    assert lists.count() <= 50
