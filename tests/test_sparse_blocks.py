@@ -135,3 +135,38 @@ def test_stored_postings_are_scored_by_chunk(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     lists = lx._runs(post.orderBy("chunk_id").coalesce(1), lx.term_filter(spark.sql("SELECT array('t1', 't2', 't3', 't4', 't5') AS terms")), "chunk_id")
     assert lists.count() <= 50
+
+
+def test_blocks_are_scored_in_cells_of_many_blocks():
+    """Rows of blocks that a query does not name are not its hits, whichever way the scores are made."""
+    from sift.operators.block_max import _BlockTopK
+    queries, corpus = term_rows(12, 9, 4), term_rows(300, 9, 5)
+    ids, block = np.random.default_rng(6).permutation(300), np.arange(300) // 16
+    named = [sorted(np.random.default_rng(j).choice(19, 5, replace=False).tolist()) for j in range(12)]
+    lists = lambda rows: pa.array(rows, pa.list_(pa.int64()))
+    top = _BlockTopK(3, "", False)
+    top.add_queries(pa.array(range(12)), [*columns(queries), lists(named)])
+    top.add_rows(top.rows([(ids[a:a + 40], [*columns(corpus[a:a + 40]), lists(block[a:a + 40, None].tolist())]) for a in range(0, 300, 40)]))
+    for j in range(12):
+        on = np.flatnonzero(np.isin(block, named[j]))
+        want = brute([queries[j]], [corpus[i] for i in on], ids[on].tolist(), 3)[0]
+        assert list(zip(top.best[2][top.best[0] == j], top.best[3][top.best[0] == j])) == want
+
+
+def test_rows_that_no_tombstone_can_name_are_not_shuffled(spark, tmpdir_fresh):
+    from sift.operators import segments as S
+    rows = spark.range(500).selectExpr("IF(id % 50 = 0, NULL, concat('s', id % 100)) AS source", "id")
+    ids = spark.createDataFrame([("s3",), ("s4",), (None,)], "source string")
+    hit, rest = (R.likely_hits(rows, ids, "source", others=x).collect() for x in (False, True))
+    assert len(hit) + len(rest) == 500 and not {"s3", "s4", None} & {r.source for r in rest} and len(rest) > 400
+    assert R.likely_hits(rows, ids.where("false"), "source", others=True).count() == 500
+    chunks = spark.range(200).selectExpr("concat('s', id % 20) AS source", "concat('c', id) AS chunk_id", "concat('word', id % 7, ' other', id) AS content")
+    S.add_segment(chunks, tmpdir_fresh, 0)
+    S.add_segment(chunks.where("source = 's1'"), tmpdir_fresh, 1)
+    live = S.live_postings(spark, tmpdir_fresh, S._schema_of(spark, tmpdir_fresh))
+    assert live.count() == 200
+    plan = live._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join LeftOuter") == 2  # with the tombstones, and with the bits of the others
+    whole = {r.term: (r.cf, r.df) for r in S.index_stats(spark, tmpdir_fresh).collect()}
+    some = {r.term: (r.cf, r.df) for r in S.index_stats(spark, tmpdir_fresh, spark.createDataFrame([("word1",), ("none",)], "term string")).collect()}
+    assert some["word1"] == whole["word1"] and some[None] == whole[None] == (600, 200) and len(some) < 5
